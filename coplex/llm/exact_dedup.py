@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, shuffle_partitions, staged
 
 RUN = "slot int, digest binary, n_bytes long, keep_id long, keep_row long, group_size long"
+RUN_SCHEMA = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), *((x, pa.int64()) for x in ("n_bytes", "keep_id", "keep_row", "group_size"))])
 
 
 def normalised(text: str | None) -> bytes:
@@ -59,7 +60,7 @@ def _fold(largest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_entry: pa.Table | None = None
         for batch in batches:
-            got = pa.Table.from_batches([batch])
+            got = pa.Table.from_arrays(batch.columns, schema=RUN_SCHEMA)
             got = got if open_entry is None else pa.concat_tables([open_entry, got]).combine_chunks()
             if not got.num_rows:
                 continue
@@ -69,7 +70,8 @@ def _fold(largest: bool):
             new = np.append(True, (raw[1:] != raw[:-1]).any(1) | (length[1:] != length[:-1]) | (slot[1:] != slot[:-1]))
             starts = np.flatnonzero(new)
             best = better(got["keep_id"].to_numpy(), got["keep_row"].to_numpy(), starts)
-            folded = got.take(pa.array(best)).set_column(5, "group_size", pa.array(np.add.reduceat(got["group_size"].to_numpy(), starts)))
+            sizes = pa.array(np.add.reduceat(got["group_size"].to_numpy(), starts))
+            folded = pa.Table.from_arrays([*got.take(pa.array(best)).columns[:5], sizes], schema=RUN_SCHEMA)
             open_entry = folded.slice(folded.num_rows - 1)
             yield from folded.slice(0, folded.num_rows - 1).to_batches()
         if open_entry is not None:
