@@ -10,13 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import encode_digests
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
+from .line_dedup import drop_boilerplate_lines
 from .packing import pack
+from .quality_rules import quality_rules
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate_lines(docs, host_col="source")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -26,7 +42,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -39,4 +58,49 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op5_quality_rules": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+            FROM documents),
+        s AS (
+            SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+            FROM t),
+        g AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM s)),
+        r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+        c AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM r, range(5) AS k(o) GROUP BY rid),
+        m AS (
+            SELECT s.rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM s LEFT JOIN c USING (rid)),
+        b AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                   n_symbols / greatest(n_words, 1) AS a1, n_dup_lines / greatest(n_lines, 1) AS a2,
+                   n_repeat_words / greatest(n_words, 1) AS a3, word_chars / greatest(n_words, 1) AS a4
+            FROM m),
+        q AS (
+            SELECT lang, source, quantile_disc(a1, [0.25, 0.5, 0.75]) AS q1, quantile_disc(a2, [0.25, 0.5, 0.75]) AS q2,
+                   quantile_disc(a3, [0.25, 0.5, 0.75]) AS q3, quantile_disc(a4, [0.25, 0.5, 0.75]) AS q4
+            FROM b WHERE NOT base_failed GROUP BY lang, source)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND coalesce(
+                   a1 <= q1[2] + greatest(4.0 * (q1[3] - q1[1]), 0.2) AND a2 <= q2[2] + greatest(4.0 * (q2[3] - q2[1]), 0.3)
+                   AND a3 <= q3[2] + greatest(4.0 * (q3[3] - q3[1]), 0.15) AND a4 <= q4[2] + greatest(5.0 * (q4[3] - q4[1]), 1.5)
+                   AND a4 >= q4[2] - greatest(5.0 * (q4[3] - q4[1]), 1.5), false) AS kept
+        FROM b LEFT JOIN q USING (lang, source)""",
+    "op6_line_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, source, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines
+            FROM documents),
+        e AS (SELECT rid, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+        k AS (SELECT rid, host, i, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS key FROM e),
+        p AS (SELECT host, key, count(DISTINCT rid) AS n FROM k WHERE key <> '' GROUP BY host, key),
+        h AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
+        f AS (SELECT host, key FROM p JOIN h USING (host) WHERE n >= 5 AND n > 0.05 * pages),
+        x AS (
+            SELECT rid, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
+            FROM k ANTI JOIN f USING (host, key) GROUP BY rid)
+        SELECT doc_id, source, coalesce(x.text, '') AS text, len(lines) AS n_lines, len(lines) - coalesce(x.n, 0) AS n_dropped
+        FROM d LEFT JOIN x USING (rid)""",
 }
