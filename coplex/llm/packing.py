@@ -25,7 +25,7 @@ END_ID = 2
 #: Part of a bin's share that a piece may leave empty before it is cut.
 SLACK = 1 / 32
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_500_000
 
 
 def cuts(n_tokens: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[int, int, int]]:
@@ -57,13 +57,14 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+        words = set().union(*split)
+        if len(self.known) > CACHED_WORDS:  # those in use stay
+            self.known = {"": b""} | {x: self.known[x] for x in words.intersection(self.known)}
         known = self.known
-        if new := list(set().union(*split).difference(known)):
+        if new := list(words.difference(known)):
             for word, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join(map(known.__getitem__, x)) for x in split]
 
 
 _encoders: dict[str, Encoder] = {}
