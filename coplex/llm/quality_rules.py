@@ -43,31 +43,37 @@ def repeated_words(words: Column) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with value computed once, as the element of a one-element array."""
+    """body(value) with value computed once, as the element of a one-element array.
+
+    A plain column would be folded into the lambdas that use it, and computed anew for each of their elements."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def metrics(docs: DataFrame) -> DataFrame:
     """Counts per row of docs, without its text."""
     text = F.coalesce("text", F.lit(""))
-    split = docs.select(
+    words = F.array_remove(F.split(text, SPACE), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
+    by_word = let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeated")))
+    by_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    counted = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
-        text.alias("text"),
-        F.array_remove(F.split(text, SPACE), "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "").alias("lines"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        by_word.alias("w"),
+        by_line.alias("l"),
     )
-    return split.select(
+    return counted.select(
         "doc_id",
         "lang",
         "source",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
+        F.col("w.n").cast("long").alias("n_words"),
+        F.col("w.chars").cast("long").alias("word_chars"),
+        "n_symbols",
+        F.col("l.n").cast("long").alias("n_lines"),
+        F.col("l.dup").cast("long").alias("n_dup_lines"),
+        F.col("w.repeated").alias("n_repeat_words"),
     )
 
 

@@ -13,9 +13,15 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .line_dedup import drop_boilerplate_lines
 from .packing import pack
+from .quality_mil import fit_quality, quality_scores
 from .quality_rules import quality_rules
 
 
+def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -42,6 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_mil": op2_quality_mil,
     "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
