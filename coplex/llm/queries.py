@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .line_dedup import drop_boilerplate_lines
+from .lm_scoring import lm_scores
 from .ngram_join import ngram_classes
 from .packing import pack
 from .quality_mil import fit_quality, quality_scores
@@ -19,6 +20,10 @@ from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_mil": op2_quality_mil,
     "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
