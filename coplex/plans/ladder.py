@@ -80,7 +80,7 @@ def tiers(sample: DataFrame, items: Sequence[Item], m: float = M) -> Tiers:
     n = found["n"]
     worth = [(mask(x), idf(n, found[f"c{i}"])) for i, x in enumerate(items)] if n else []
     score = sum((F.when(hit, F.lit(v)).otherwise(0) for hit, v in worth if v > 0), F.lit(0))
-    scored = sample.withColumn("score", score.cast("int"))
+    scored = sample.withColumn("score", score.cast("int")).cache()  # read once per count below; of the sample's size
     sizes, total = [], 0
     for r in sorted(scored.groupBy("score").count().collect(), key=lambda r: -r["score"]):
         total += r["count"]
