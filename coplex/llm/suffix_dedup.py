@@ -16,7 +16,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,9 +56,18 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_table[data] * _power(BASE)[: len(data)], out=self.sums[1:])
+        self.inverse = _power(pow(BASE, -1, 2**64))
+
+    def all(self, width: int) -> np.ndarray:
+        """Hashes of all slices of that width; slices with equal bytes have equal ones."""
+        out = self.sums[width:] - self.sums[:-width]
+        out *= self.inverse[: len(out)]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0x94D049BB133111EB)
+        return out
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[begin]) * _power(pow(BASE, -1, 2**64))[begin])
+        return _mix((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -78,9 +86,10 @@ def anchors(text: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[np.
     for offset in range(0, len(text) - length + 1, CHUNK):
         data = np.frombuffer(text, np.uint8, min(CHUNK + length - 1, len(text) - offset), offset)
         rolling = Rolling(data)
-        at = np.arange(len(data) - k + 1)
-        hashed = rolling(at, at + k)
-        chosen = (_least(hashed & ~low | at.astype(np.uint64), length - k + 1) & low).astype(np.int64)
+        hashed = rolling.all(k)
+        placed = hashed & ~low
+        placed |= np.arange(len(hashed), dtype=np.uint64)
+        chosen = (_least(placed, length - k + 1) & low).astype(np.int64)
         first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
         end = np.append(first[1:], len(chosen)) - 1 + length
         anchor = chosen[first]
@@ -104,24 +113,23 @@ ANCHORS = "h long, context long, id long, at int, first int, stop int"
 
 def _anchors(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for h, c, at, first, stop in anchors(text.as_py().encode(), length, k):
-                    yield pa.record_batch({"h": h, "context": c, "id": np.full(len(h), i), "at": at.astype(np.int32), "first": first.astype(np.int32), "stop": stop.astype(np.int32)})
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The same rows in fewer batches."""
-        held, rows = [], 0
-        for x in run(batches):
-            held.append(x)
-            rows += x.num_rows
-            if rows > 50_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
+                    held.append((h, c, np.full(len(h), i), at, first, stop))
+                    rows += len(h)
+                if rows > 50_000:
+                    yield made(held)
+                    held, rows = [], 0
         if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield made(held)
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        h, c, i, at, first, stop = map(np.concatenate, zip(*held, strict=True))
+        return pa.record_batch({"h": h, "context": c, "id": i, "at": at.astype(np.int32), "first": first.astype(np.int32), "stop": stop.astype(np.int32)})
 
-    return joined
+    return run
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +186,32 @@ def repeated_spans(before: list[bytes], after: list[bytes], length: int = LENGTH
 
 
 def _sort_contexts(length: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        spans = repeated_spans(list(rows["before"]), list(rows["after"]), length)
-        found = [(h, c, a, b) for h, c, own in zip(rows["h"], rows["context"], spans, strict=True) for a, b in own]
-        return pd.DataFrame(found, columns=["h", "context", "begin", "end"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by anchor; of an anchor there are MOST_CONTEXTS at most."""
+        anchor, held, out = None, [], []
+
+        def finish() -> None:
+            spans = repeated_spans([x[1] for x in held], [x[2] for x in held], length)
+            out.extend((anchor, x[0], a, b) for x, own in zip(held, spans, strict=True) for a, b in own)
+            held.clear()
+
+        def made() -> pa.RecordBatch:
+            h, c, a, b = zip(*out) if out else ((), (), (), ())
+            out.clear()
+            return pa.record_batch({"h": pa.array(h, pa.int64()), "context": pa.array(c, pa.int64()), "begin": pa.array(a, pa.int32()), "end": pa.array(b, pa.int32())})
+
+        for batch in batches:
+            for h, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if h != anchor:
+                    if held:
+                        finish()
+                    anchor = h
+                held.append(row)
+            if out:
+                yield made()
+        if held:
+            finish()
+        yield made()
 
     return run
 
@@ -235,7 +265,8 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: i
     cut = staged(texts.join(by_text, "id").select("text", "asked").mapInArrow(_slices, "h long, context long, before binary, after binary"), "slices")
     # a hot anchor's contexts are cut into strings, and those are counted
     few, many = mixed.filter(F.col("n_contexts") <= MOST_CONTEXTS).select("h"), mixed.filter(F.col("n_contexts") > MOST_CONTEXTS).select("h")
-    sorted_spans = cut.join(few, "h", "left_semi").groupBy("h").applyInPandas(_sort_contexts(length), "h long, context long, begin int, end int")
+    together = cut.join(few, "h", "left_semi").repartition("h").sortWithinPartitions("h")
+    sorted_spans = together.mapInArrow(_sort_contexts(length), "h long, context long, begin int, end int")
     strings = cut.join(many, "h", "left_semi").mapInArrow(_strings(length), "h long, context long, start int, string binary")
     twice = strings.groupBy("h", "start", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "start", "string")
     counted = strings.join(twice, ["h", "start", "string"], "left_semi").select("h", "context", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
