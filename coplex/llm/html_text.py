@@ -28,7 +28,7 @@ LEAST_PAGES = 10
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = set("head script style textarea title noscript iframe xmp noembed noframes template svg math canvas object audio video nav footer aside form button select menu dialog datalist".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words in a class or an id that mark what is not the article.
 DROPPED_NAMES = set(
