@@ -255,7 +255,8 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: i
     single = text.filter(F.octet_length("text") >= length).mapInArrow(_keyed_texts, "key binary, text string").groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     texts = staged(single.withColumn("id", F.monotonically_increasing_id()), "texts")
     found = texts.select("id", "text").mapInArrow(_anchors(length, k), ANCHORS)
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # written, so that the join reads both sides by exchanges of its own, whose hot anchors Spark can split
+    often = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "often")
     several = staged(found.join(often, "h", "left_semi"), "anchors")
     contexts = several.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "first", "stop")).alias("one"))
     contexts = staged(contexts, "contexts")
