@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         # large star: neighbours that are larger go to the smallest neighbour
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join can split the edges of a hot node
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours go to the smallest of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
