@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -47,7 +48,8 @@ class Encoder:
     """Text to little-endian 32-bit ids, by a vocabulary whose words never cross white space: each distinct word
     is encoded once and remembered."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cached_words: int = CACHED_WORDS):
+        self.cached_words = cached_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,17 +59,19 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        words = set().union(*split)
-        if len(self.known) > CACHED_WORDS:  # those in use stay
-            self.known = {"": b""} | {x: self.known[x] for x in words.intersection(self.known)}
+        if len(self.known) > self.cached_words:  # those in use stay
+            self.known = {"": b""} | {x: self.known[x] for x in set().union(*split).intersection(self.known)}
         known = self.known
-        if new := list(words.difference(known)):
+        missing: set[str] = set()
+        for words in split:
+            missing.update(filterfalse(known.__contains__, words))
+        if new := list(missing):
             for word, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
         return [b"".join(map(known.__getitem__, x)) for x in split]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def _slices(texts: list[str], size: int = 2_000_000) -> Iterator[list[int]]:
@@ -83,9 +87,12 @@ def _slices(texts: list[str], size: int = 2_000_000) -> Iterator[list[int]]:
         yield run
 
 
-def _pack(vocabulary: str, capacity: int, slack: float, end_id: int):
+def _pack(vocabulary: str, capacity: int, slack: float, end_id: int, cached_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.setdefault(vocabulary, Encoder(vocabulary)) if vocabulary not in _encoders else _encoders[vocabulary]
+        key = vocabulary, cached_words
+        if key not in _encoders:
+            _encoders[key] = Encoder(vocabulary, cached_words)
+        encode = _encoders[key]
         end = end_id.to_bytes(4, "little")
         first = TaskContext.get().partitionId() << 33
         made, rows = 0, []
@@ -137,11 +144,12 @@ def _pack(vocabulary: str, capacity: int, slack: float, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, slack: float = SLACK, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, slack: float = SLACK, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text gives a document of the end token alone; repeated rows are packed each; an empty table
     gives no sequences. Texts are encoded whole, one bounded slice of a batch at a time; other columns are not read.
-    sequence_id holds the partition in its upper bits, so a retried task numbers its sequences as before."""
+    sequence_id holds the partition in its upper bits, so a retried task numbers its sequences as before. A Python worker
+    remembers the ids of cached_words words (about 200 bytes each), which it keeps while it lives."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_pack(vocabulary, capacity, slack, end_id), PIECES)
+    return slim.mapInArrow(_pack(vocabulary, capacity, slack, end_id, cached_words), PIECES)
