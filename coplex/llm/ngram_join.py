@@ -32,7 +32,7 @@ TARGET_RECALL = 0.9999
 #: Members of a block: a sixteenth of its cluster, within these.
 BLOCK = (128, 2048)
 #: Words whose hashes a Python worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _rng = np.random.default_rng(20)
 FACTORS = (_rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)).reshape(TREES, DEPTH)
