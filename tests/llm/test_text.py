@@ -93,6 +93,26 @@ def test_lm_scores(make, edge_rows):
     assert lm_scoring.lm_scores(make([]), RANKS, tokenizers.PATTERN).collect() == []
 
 
+def test_lm_counts_do_not_depend_on_splits(spark, make):
+    # as a block read in several splits gives: runs of one block in more than one task
+    rows = [(1000 + i, f"the cat {i % 7} sat on mat {i * i} and the dog ran {'x' * (i % 50)}{i}") for i in range(3000)]
+    want = {tuple(r)[:6] for r in lm_scoring.lm_scores(make(rows), RANKS, tokenizers.PATTERN).collect()}
+    small = {"spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "1", "parquet.block.size": "4096", "parquet.page.size": "1024", "spark.sql.files.minPartitionNum": "64"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+            hadoop.set(k, v)
+        got = {tuple(r)[:6] for r in lm_scoring.lm_scores(make(rows).coalesce(1), RANKS, tokenizers.PATTERN).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+            hadoop.unset(k)
+    short = lambda found: {(*r[:5], round(r[5], 6)) for r in found}
+    assert short(got) == short(want)
+
+
 def test_windows_score_each_id_once():
     import numpy as np
 
