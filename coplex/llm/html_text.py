@@ -1,8 +1,9 @@
 """Main-text extraction with site template removal.
 
 Every element's subtree (tag, class and id, texts, children) is hashed; Spark counts on how many pages of a host each
-hash occurs. Subtrees that recur on a large share of a host's pages are its template and are deleted, along with
-what its element says is not the article (navigation, adverts, forms, comments and the like). Both passes parse pages
+hash occurs. Subtrees that recur on a large share of a host's pages, or outside articles on many of them, are its
+template and are deleted, along with what its element says is not the article (navigation, adverts, forms, comments
+and the like). Both passes parse pages
 inside tasks; between them only (host, hash, pages) is shuffled, counted before it leaves a task.
 """
 
@@ -12,6 +13,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -24,6 +26,8 @@ from .common import host_of, staged
 RATIO = 0.5
 #: ... and on this many pages at least.
 LEAST_PAGES = 10
+#: Share of a page's text that the rule for outside must leave; a page that recurs as a whole is not its template.
+LEAST_REST = 0.1
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -36,6 +40,11 @@ DROPPED_NAMES = set(
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "comment comments commentlist reply replies respond disqus widget pagination pager skip toolbar masthead".split()
 )
+#: Those among them that say so inside an article too, where other names need a recurring subtree as well.
+STRONG_NAMES = set("ad ads advert adverts advertisement advertising adsense sponsored comments commentlist disqus navbar breadcrumb breadcrumbs pagination pager".split())
+#: Words that may stand beside them in one name ("site-footer"); any other word makes it another name ("has-sidebar").
+NEUTRAL_NAMES = set("site page main global primary secondary top bottom left right area list box block bar container wrapper wrap section inner outer item items body links buttons".split())
+COMMENT_NAMES = set("comment comments reply".split())
 #: A new element of the first kind ends an open one of the second.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -52,12 +61,32 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 NAMES = re.compile(r"[a-z]+")
 
 
+def _is_named(names: str, marks: set[str]) -> bool:
+    """Whether one of the names in a class or an id consists of marks, with neutral words beside them at most."""
+    for name in names.split():
+        words = {x for x in NAMES.findall(name) if len(x) > 1}
+        if words & marks and words <= marks | NEUTRAL_NAMES:
+            return True
+    return False
+
+
+@lru_cache(maxsize=50_000)
+def _named(names: str, tag: str, in_main: bool) -> int:
+    """How surely names mark what is not the article: 0 not at all, 1 outside an article, 2 inside one too."""
+    if tag == "article":
+        return 2 * _is_named(names, COMMENT_NAMES)
+    if _is_named(names, STRONG_NAMES):
+        return 2
+    return int(_is_named(names, DROPPED_NAMES) or tag != "h1" and not in_main and _is_named(names, {"header"}))
+
+
 class Page:
     """A parsed page: nodes in document order, and blocks as lists of (node, text)."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.name = [-1], ["#"], [""]
-        self.gone, self.main = [False], [False]
+        self.gone, self.main, self.article = [False], [False], [False]
+        self.named = [0]
         self.hash: list[int] = [0]
         self.blocks: list[list[tuple[int, str]]] = []
         self._parts: list[list[str]] = [[]]
@@ -72,18 +101,18 @@ class Page:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
         name = f"{found.get('class', '')} {found.get('id', '')}".lower() if found else ""
         top, node = self._stack[-1], len(self.tag)
-        words = set(NAMES.findall(name)) if name else set()
         role = found.get("role", "").lower()
         gone = tag in DROPPED or role in DROPPED_ROLES or "hidden" in NAMES.findall(attributes) and re.search(r"(^|\s)hidden(\s|=|/|$)", attributes) is not None
         gone = gone or tag == "header" and not self.main[top]
-        if words and tag not in ("html", "body", "main"):
-            gone = gone or bool(words & (DROPPED_NAMES if tag != "article" else {"comment", "comments", "reply"}))
-            gone = gone or "header" in words and tag != "h1" and not self.main[top]
+        named = _named(name, tag, self.main[top]) if name.strip() and tag not in ("html", "body", "main") else 0
         self.parent.append(top)
         self.tag.append(tag)
         self.name.append(name)
         self.gone.append(self.gone[top] or gone)
-        self.main.append(self.main[top] or (tag in ("article", "main") or role in ("main", "article")) and not self.gone[-1])
+        self.named.append(named)
+        own = not self.gone[-1] and not (tag == "article" and named)
+        self.main.append(self.main[top] or own and (tag in ("article", "main") or role in ("main", "article")))
+        self.article.append(self.article[top] or own and (tag == "article" or role == "article"))
         self.hash.append(0)
         self._parts.append([])
         self._stack.append(node)
@@ -158,11 +187,48 @@ class Page:
     def subtrees(self) -> set[int]:
         return set(self.hash[1:])
 
-    def text(self, templates: set[int]) -> str:
-        gone, link = list(self.gone), [x == "a" for x in self.tag]
+    def _weights(self) -> tuple[list[int], bool]:
+        """Characters below each node, of articles and main parts only if the page has any, and whether it has."""
+        size = [0] * len(self.tag)
+        for block in self.blocks:
+            for node, text in block:
+                if not self.gone[node]:
+                    size[node] += len(text.strip())
+        core = [x if m else 0 for x, m in zip(size, self.main, strict=True)]
+        some = any(core)
+        weight = core if some else size
+        for node in range(len(weight) - 1, 0, -1):
+            weight[self.parent[node]] += weight[node]
+        return weight, some
+
+    def text(self, templates: set[int], common: set[int] = frozenset()) -> str:
+        """templates go everywhere, common ones outside articles and main parts, and inside where a name agrees.
+
+        An element with a telling name stays if it holds most of the article, or of a page without one."""
+        gone = list(self.gone)
+        weight, some = self._weights()
+        outer = False
         for node in range(1, len(gone)):
-            gone[node] = gone[node] or gone[self.parent[node]] or self.hash[node] in templates
-            link[node] = link[node] or link[self.parent[node]]
+            if gone[node] or gone[self.parent[node]] or self.hash[node] in templates:
+                gone[node] = True
+                continue
+            often = self.hash[node] in common
+            if named := self.named[node]:
+                if self.article[node]:
+                    gone[node] = named == 2 or often
+                else:
+                    gone[node] = 2 * weight[node] <= weight[0] or named == 2 and not some
+            outer = outer or often and not self.main[node]
+        text = self._text_of(gone)
+        if outer:
+            for node in range(1, len(gone)):
+                gone[node] = gone[node] or gone[self.parent[node]] or self.hash[node] in common and not self.main[node]
+            rest = self._text_of(gone)
+            if len(rest) > LEAST_REST * len(text):  # else the page itself recurs, not a part of it
+                return rest
+        return text
+
+    def _text_of(self, gone: list[bool]) -> str:
         articles = any(self.main[i] and self.tag[i] == "article" and not gone[i] for i in range(len(gone)))
         inside = [False] * len(gone)
         for node in range(1, len(gone)):
@@ -172,8 +238,6 @@ class Page:
         for block in self.blocks:
             parts = [(n, t) for n, t in block if not gone[n] and (whole or inside[n])]
             text = " ".join(html.unescape("".join(t for _, t in parts)).split())
-            if text and whole and 2 * sum(len(t.strip()) for n, t in parts if link[n]) > len(text):
-                continue  # without an article to go by, a list of links is taken for a menu
             if text:
                 kept.append(text)
         return "\n\n".join(kept)

@@ -198,3 +198,19 @@ def test_templates(spark):
     assert got[3].text == "Own words of page 3." and got[100].text == "" and got[101].text == "Same on all pages of this host."
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert extract_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='layout has-sidebar'><article><p>a b</p></article></div>", "a b"),
+        ("<div class='sidebar'><article><p>a b c d</p></article></div><p>x</p>", "a b c d"),
+        ("<article><p class=notice>n</p><section id=related-work><p>r</p></section><div class=share-text>s</div><p class=share>t</p></article>", "n\n\nr\n\ns\n\nt"),
+        ("<article><p>long text of it</p></article><div class=related><article><p>teaser</p></article></div>", "long text of it"),
+        ("<div class=widget><p>nearly the whole text of a page</p></div><p>x</p>", "nearly the whole text of a page\n\nx"),
+        ("<p>See <a href=x>the many things that are listed here</a></p><p>y</p>", "See the many things that are listed here\n\ny"),
+        ("<div class='site-footer'>f</div><p>one two</p><div class='ad-left'>a</div>", "one two"),
+    ],
+)
+def test_names_do_not_drop_the_article(html, text):
+    assert Page(html).text(set()) == text
