@@ -26,6 +26,10 @@ from .common import host_of, staged
 RATIO = 0.5
 #: ... and on this many pages at least.
 LEAST_PAGES = 10
+#: Outside articles and main parts this share is enough, on LEAST_PAGES pages; on a host with fewer pages than that,
+#: more than RATIO of them, and SMALL_LEAST at least.
+OUTER_RATIO = 0.05
+SMALL_LEAST = 3
 #: Share of a page's text that the rule for outside must leave; a page that recurs as a whole is not its template.
 LEAST_REST = 0.1
 
@@ -253,18 +257,24 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, templates array<long>): a host has at most (mean elements of a page) / ratio of them."""
+    """(host, templates array<long>, common array<long>): subtrees that go everywhere, and those that go outside articles.
+
+    A host has at most (mean elements of a page) / (the rule's ratio) of them."""
     slim = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     counted = slim.mapInArrow(_subtrees, "host string, subtree long, n_pages long").groupBy("host", "subtree").agg(F.sum("n_pages").alias("n_pages"))
     totals = slim.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    frequent = counted.filter(F.col("n_pages") >= least_pages).join(totals, "host").filter(F.col("n_pages") > ratio * F.col("host_pages"))
-    return frequent.groupBy("host").agg(F.collect_set("subtree").alias("templates"))
+    n, n_all = F.col("n_pages"), F.col("host_pages")
+    often = F.when(n_all < least_pages, (n >= SMALL_LEAST) & (n > ratio * n_all)).otherwise((n >= least_pages) & (n > min(ratio, OUTER_RATIO) * n_all))
+    strict = (n >= least_pages) & (n > ratio * n_all)
+    frequent = counted.filter(n >= min(SMALL_LEAST, least_pages)).join(totals, "host").filter(often | strict)
+    sets = [F.collect_set(F.when(rule, F.col("subtree"))).alias(name) for name, rule in (("templates", strict), ("common", often & ~strict))]
+    return frequent.groupBy("host").agg(*sets)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, urls, sources, known = batch.columns
-        texts = [Page(x.as_py() or "").text(set(k.as_py() or ())) for x, k in zip(sources, known, strict=True)]
+        ids, urls, sources, known, common = batch.columns
+        texts = [Page(x.as_py() or "").text(set(k.as_py() or ()), set(c.as_py() or ())) for x, k, c in zip(sources, known, common, strict=True)]
         yield pa.record_batch({"page_id": ids, "url": urls, "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
 
@@ -277,5 +287,5 @@ def extract_text(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAS
     result; other columns are not read."""
     known = staged(templates(pages, ratio, least_pages, url_col, html_col), "templates").withColumnRenamed("host", "_host")
     keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
-    joined = keyed.join(known, "_host", "left").select("page_id", "url", "html", "templates")
+    joined = keyed.join(known, "_host", "left").select("page_id", "url", "html", "templates", "common")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -214,3 +214,14 @@ def test_templates(spark):
 )
 def test_names_do_not_drop_the_article(html, text):
     assert Page(html).text(set()) == text
+
+
+def test_templates_of_small_hosts_and_layouts(spark):
+    # 9 pages with a sidebar on all; 90 pages with three layouts; 12 copies of one page among 30
+    side = "<div><p>Same on pages of this host, number {}.</p></div>"
+    page = lambda i, k: (i, f"http://h{k}.org/{i}", f"<body>{side.format(i % 3 if k == 2 else 0)}<p>Own words of page {i}.</p></body>")
+    pages = [page(i, 1) for i in range(9)] + [page(100 + i, 2) for i in range(90)]
+    pages += [(300 + i, f"http://h3.org/{i}", f"<body><p>A text that has {'copies' if i < 12 else i}.</p></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own words of page {i}." for i in [*range(9), *range(100, 190)])
+    assert got[300] == "A text that has copies." and got[320] == "A text that has 20."
