@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash banding, with exact verification.
 
 A text is the set of its runs of five words (lower-cased in A-Z). Documents with equal sets form one class, whatever
-their number, and one representative goes on. Its MinHash signature is cut into TREES labels of DEPTH values; sorted,
-each tree's labels form a prefix trie. The matched prefix is shortened from DEPTH until two sets at the threshold meet
-in some tree with the target recall; representatives that then share a trie node are candidates. Candidates are
+their number, and one representative goes on. Its MinHash signature is cut into TREES bands of DEPTH
+values, of which the first few are hashed to a label: as many as let two sets at the threshold meet in some band with
+the target recall, by formula. Representatives that share a band's label are candidates. Candidates are
 verified exactly, in blocks: every cluster of candidates is dealt out as pairs of blocks of bounded size, and a block
 pair's intersections are one matrix product over the shingles that two of its members share. Pairs never become rows:
 a block pair gives link counts per member and a forest of its links, from which components make the classes.
@@ -183,7 +183,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     signed = staged(slim.mapInArrow(_signed(depth), SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
     by_set = signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_docs"))
     sets = staged(by_set, "sets")
-    # trie nodes that several representatives share
+    # labels that several representatives share
     labelled = signed.join(sets.select(F.col("node").alias("row")), "row", "left_semi").select("row", F.posexplode("labels").alias("tree", "label"))
     nodes = staged(labelled, "trie")
     shared = nodes.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).filter("n > 1")
