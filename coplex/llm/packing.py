@@ -10,12 +10,14 @@ sequences whose lengths are the powers of two in what remains.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,12 @@ CAPACITY = 4096
 END_ID = 2
 #: Part of a bin's share that a piece may leave empty before it is cut.
 SLACK = 1 / 32
+#: Bytes of text that are encoded at a time, up to one text more.
+SLICE = 4_000_000
 #: Words whose ids a Python worker remembers.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 600_000
+#: How the names of ids that end a word end.
+WORD_END = "</w>"
 
 
 def cuts(n_tokens: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[int, int, int]]:
@@ -44,47 +50,99 @@ def cuts(n_tokens: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[
     return found
 
 
+def _ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of [begin, begin + length) of each pair, one after the other."""
+    end = np.cumsum(length)
+    return np.repeat(begin - end + length, length) + np.arange(end[-1] if len(end) else 0)
+
+
 class Encoder:
-    """Text to little-endian 32-bit ids, by a vocabulary whose words never cross white space: each distinct word
-    is encoded once and remembered."""
+    """Texts to 32-bit ids, by a vocabulary whose words never cross ASCII white space, whose letters end at punctuation,
+    and which lower-cases what is no special token.
+
+    Arrow splits a slice of texts and finds its distinct words; those are cut before a closing mark and lower-cased, and
+    what is then new is encoded, once, and remembered. At cached_words all are forgotten."""
 
     def __init__(self, vocabulary: str, cached_words: int = CACHED_WORDS):
-        self.cached_words = cached_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.cached_words = cached_words
         self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
-        self.known = {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        if len(self.known) > self.cached_words:  # those in use stay
-            self.known = {"": b""} | {x: self.known[x] for x in set().union(*split).intersection(self.known)}
-        known = self.known
-        missing: set[str] = set()
-        for words in split:
-            missing.update(filterfalse(known.__contains__, words))
-        if new := list(missing):
-            for word, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
-        return [b"".join(map(known.__getitem__, x)) for x in split]
+        names = self.model.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for x, i in names.items() if x.endswith(WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes new parts. Plain words go in many at once, told apart by the ids that end words."""
+        plain = pc.ascii_is_alpha(pa.array(parts, pa.string())).to_numpy(zero_copy_only=False)
+        joined, rest = [parts[i] for i in np.flatnonzero(plain)], [parts[i] for i in np.flatnonzero(~plain)]
+        encode = lambda x: [y.ids for y in self.model.encode_batch_fast(x, add_special_tokens=False)]
+        runs = encode([" ".join(x) for x in itertools.batched(joined, 2000)])
+        ids = np.fromiter(itertools.chain.from_iterable(runs), np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        size = np.diff(np.append(0, stops))
+        if len(size) != len(joined):  # then one by one
+            runs = encode(joined)
+            ids, size = np.fromiter(itertools.chain.from_iterable(runs), np.uint32), np.array([len(x) for x in runs], np.int64)
+        more = encode(rest)
+        size = np.concatenate([size, np.array([len(x) for x in more], np.int64)])
+        self.place.update(zip(joined + rest, range(len(self.place), len(self.place) + len(parts)), strict=True))
+        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.concatenate([self.ids, ids, np.fromiter(itertools.chain.from_iterable(more), np.uint32)])
+
+    def _places(self, parts: list[str]) -> np.ndarray:
+        if new := list(dict.fromkeys(itertools.filterfalse(self.place.__contains__, parts))):
+            self._learn(new)
+        return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+
+    def _parts(self, words: pa.Array) -> np.ndarray:
+        """Two places for each word: of the word, or of what stands before its closing marks, and of these."""
+        if len(self.place) > self.cached_words:
+            self._forget()
+        stem = pc.utf8_rtrim(words, ".,;:!?")
+        stem = pc.if_else(pc.match_substring_regex(stem, "[A-Za-z]$"), stem, words)
+        marks = pc.subtract(pc.binary_length(words), pc.binary_length(stem)).to_numpy()
+        coded = pc.if_else(pc.match_substring(stem, "<|"), stem, pc.ascii_lower(stem)).dictionary_encode()
+        first = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        second = np.full(len(words), self._places([""])[0])
+        at = np.flatnonzero(marks)
+        cut = words.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+        second[at] = self._places([x[-n:] for x, n in zip(cut, marks[at].tolist(), strict=True)])
+        return np.stack([first, second], 1)
+
+    def __call__(self, texts: pa.LargeStringArray) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        parts = self._parts(coded.dictionary)
+        both = self.size[parts]
+        ids, size = self.ids[_ranges(self.begin[parts].ravel(), both.ravel())], both.sum(1)
+        begin, word = np.cumsum(size) - size, coded.indices.to_numpy()
+        length = size[word]
+        made = ids[_ranges(begin[word], length)]
+        edges = np.append(0, np.cumsum(length))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [made[a:b] for a, b in itertools.pairwise(edges.tolist())]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _slices(texts: list[str], size: int = 2_000_000) -> Iterator[list[int]]:
-    """Indexes of texts, in runs of about `size` characters."""
-    run, held = [], 0
-    for i, x in enumerate(texts):
-        run.append(i)
-        held += len(x)
-        if held >= size:
-            yield run
-            run, held = [], 0
-    if run:
-        yield run
+def _slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.LargeStringArray]:
+    """Runs of texts of about `size` bytes."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    held = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        stop = int(np.searchsorted(held, (held[at - 1] if at else 0) + size)) + 1
+        yield texts[at:stop]
+        at = stop
 
 
 def _pack(vocabulary: str, capacity: int, slack: float, end_id: int, cached_words: int):
@@ -93,7 +151,7 @@ def _pack(vocabulary: str, capacity: int, slack: float, end_id: int, cached_word
         if key not in _encoders:
             _encoders[key] = Encoder(vocabulary, cached_words)
         encode = _encoders[key]
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         first = TaskContext.get().partitionId() << 33
         made, rows = 0, []
         open_pieces: dict[int, list[tuple]] = {}
@@ -102,8 +160,8 @@ def _pack(vocabulary: str, capacity: int, slack: float, end_id: int, cached_word
             nonlocal made
             at = 0
             for doc, start, data, total in pieces:
-                rows.append((doc, start, len(data) // 4, zlib.crc32(data), total, first + made, at))
-                at += len(data) // 4
+                rows.append((doc, start, len(data), zlib.crc32(data), total, first + made, at))
+                at += len(data)
             made += 1
 
         def flushed() -> pa.RecordBatch:
@@ -113,31 +171,31 @@ def _pack(vocabulary: str, capacity: int, slack: float, end_id: int, cached_word
             return out
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for part in _slices(texts):
-                for i, data in zip(part, encode([texts[i] for i in part]), strict=True):
-                    data += end
-                    total = len(data) // 4
+            docs = iter(batch.column(0).to_pylist())
+            for part in _slices(batch.column(1)):
+                for data in encode(part):
+                    doc, data = next(docs), np.append(data, end)
+                    total = len(data)
                     for start, length, k in cuts(total, capacity, slack):
                         held = open_pieces.setdefault(k, [])
-                        held.append((ids[i], start, data[4 * start : 4 * (start + length)], total))
+                        held.append((doc, start, data[start : start + length], total))
                         if len(held) == k:
                             close(open_pieces.pop(k))
                 if len(rows) > 50_000:
                     yield flushed()
         tail = [x for k in sorted(open_pieces) for x in open_pieces[k]]
-        left = sum(len(x[2]) // 4 for x in tail)
+        left = sum(len(x[2]) for x in tail)
         while left:
             room = capacity if left >= capacity else 1 << (left.bit_length() - 1)
             left -= room
             taken = []
             while room:
                 doc, start, data, total = tail.pop(0)
-                if len(data) // 4 > room:
-                    tail.insert(0, (doc, start + room, data[4 * room :], total))
-                    data = data[: 4 * room]
+                if len(data) > room:
+                    tail.insert(0, (doc, start + room, data[room:], total))
+                    data = data[:room]
                 taken.append((doc, start, data, total))
-                room -= len(data) // 4
+                room -= len(data)
             close(taken)
         yield flushed()
 
@@ -149,7 +207,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, slack: floa
 
     A null or empty text gives a document of the end token alone; repeated rows are packed each; an empty table
     gives no sequences. Texts are encoded whole, one bounded slice of a batch at a time; other columns are not read.
-    sequence_id holds the partition in its upper bits, so a retried task numbers its sequences as before. A Python worker
-    remembers the ids of cached_words words (about 200 bytes each), which it keeps while it lives."""
+    The strings of special tokens in a text give their single ids, as the tokenizer does. sequence_id holds the
+    partition in its upper bits, so a retried task numbers its sequences as before. A Python worker remembers the ids of
+    about cached_words words (some 200 bytes each), which changes its speed alone."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(_pack(vocabulary, capacity, slack, end_id, cached_words), PIECES)

@@ -37,8 +37,8 @@ def test_packing(make, edge_rows):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(WORDS)
-    model.encode_special_tokens = True
-    rows = edge_rows + [(100 + i, "alpha beta " * i) for i in range(60)]
+    odd = ["Hello, World! it's. x.'s <|endoftext|> foo<|endoftext|>bar, <|ENDOFTEXT|>! <|StartOfText|>.", "a\x0bb\x0cc\rd\te\nf  ", "\x1c a\x1db\x85c\u3000d\xa0e", "e\u0301, E\u0301. \u0301 a \u0301b ...!? 12.5, 3.", "\u0130! \u0130X, \u017f. \u212a, \u01c5."]
+    rows = edge_rows + [(100 + i, "alpha beta " * i) for i in range(60)] + [(200 + i, x) for i, x in enumerate(odd)]
     got = packing.pack(make(rows), WORDS).collect()
     sequences = defaultdict(list)
     for r in got:
