@@ -121,13 +121,13 @@ def test_lm_learns_from_every_document(spark, make):
     first = {r.id for r in spark.range(1000).filter(~F.col("id").isin(held)).orderBy(F.xxhash64("id", F.lit(1))).limit(400).collect()}
     line = "one red fox jumps over two lazy dogs near some old river bank".split()
     asked = held[0]
-    text = lambda i, turned: " ".join((line if i in first or i == asked or not turned else line[::-1]) * 3)
+    text = lambda i, turned: " ".join((line[::-1] if i == asked or turned and i not in first else line) * 3)
     scores = []
     for turned in (False, True):
         got = lm_scoring.lm_scores(make([(i, text(i, turned)) for i in range(1000)]), RANKS, tokenizers.PATTERN).collect()
         scores.append(next(r for r in got if r.doc_id == asked))
     assert scores[0].base_score == pytest.approx(scores[1].base_score)
-    assert scores[0].score > scores[1].score + 1
+    assert scores[1].score > scores[0].score + 1
 
 
 def test_windows_score_each_id_once():
