@@ -1,14 +1,17 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coplex.llm import suffix_dedup as sd
 from coplex.llm.components import components
 from coplex.llm.exact_dedup import exact_dedup, keep_one
 from coplex.llm.gsaca import repeated_starts, suffix_array
 from coplex.llm.line_dedup import drop_boilerplate_lines
-from coplex.llm.ngram_join import keep_one_of_class, ngram_classes, prefix_length, shingles
+from coplex.llm import ngram_join as nj
+from coplex.llm.ngram_join import keep_one_of_class, ngram_classes, paths, recall, shingles
 
 
 def test_exact_dedup(make, edge_rows):
@@ -42,7 +45,11 @@ def test_components(spark):
 
 
 def brute(rows):
-    sets = [frozenset(shingles(t).tolist()) for _, t in rows]
+    def runs(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [runs(t) for _, t in rows]
     links, part = [0] * len(rows), list(range(len(rows)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
@@ -72,10 +79,43 @@ def test_ngram_join(make, edge_rows):
     assert {r.doc_id for r in kept.collect()} >= {100, 300, 301, None, 3, 4} and not {r.doc_id for r in kept.collect()} & {101, 200, 302}
 
 
-def test_prefix_length():
-    assert prefix_length(0.8, 0.9999) == 7
-    assert prefix_length(0.8, 0.999999) < 7
-    assert prefix_length(0.1, 0.9999) == 1
+def test_keep_one_of_class_goes_by_row(spark):
+    w = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, w, "a"), (2, w, "b"), (2, "another text of more than five words", "c"), (1, w, "d"), (None, w, "e"), (None, None, "f"), (None, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row` string").withColumnRenamed("row", "a.row").withColumns({"row": F.lit(1), "class": F.lit("x"), "node": F.lit(None).cast("string")})
+    got = keep_one_of_class(docs)
+    assert got.columns == docs.columns
+    kept = sorted(r["a.row"] for r in got.collect())
+    assert kept in (["a", "c", "f", "g"], ["c", "d", "f", "g"])
+    assert keep_one_of_class(docs.limit(0)).collect() == []
+
+
+def test_ngram_blocks_and_levels(make, monkeypatch):
+    # many small blocks, size classes and levels give what brute force does
+    monkeypatch.setattr(nj, "BLOCK", (3, 5))
+    monkeypatch.setattr(nj, "STRIP", 2)
+    monkeypatch.setattr(nj, "COLUMNS", 16)
+    words = [f"w{i}" for i in range(160)]
+    rows = [(i, " ".join(words[i % 40 :])) for i in range(60)] + [(100 + i, " ".join(words[: 60 + 2 * i])) for i in range(50)] + [(200 + i, " ".join([*words[:80], f"x{i}", *words[81:]])) for i in range(20)]
+    got = ngram_classes(make(rows)).collect()
+    links, part = brute(rows)
+    assert {r.doc_id: r.n_links for r in got} == {i: n for (i, _), n in zip(rows, links)}
+    assert {r.doc_id: r.class_id for r in got} == {i: rows[p][0] for (i, _), p in zip(rows, part)}
+
+
+def test_recall_at_the_threshold():
+    rng, found = np.random.default_rng(5), []
+    for size in (300, 2000):
+        for shared in (0.8, 0.82, 0.85):
+            for _ in range(60):
+                both, total = round(shared * size), size
+                x = rng.integers(0, 2**63, total, dtype=np.uint64)
+                own = (total - both) // 2
+                a, b = np.unique(x[: both + own]), np.unique(np.concatenate([x[:both], x[both + own :]]))
+                p, q = (np.frombuffer(y, ">u2").reshape(nj.TREES, nj.DEPTH) for y in paths([a, b]))
+                found.append((p[:, :7] == q[:, :7]).all(1).any())
+    assert sum(found) >= len(found) - 1
+    assert recall(0.8, 7) >= nj.TARGET_RECALL > recall(0.8, 8)
 
 
 def test_suffix_array():
