@@ -1,7 +1,7 @@
 """Main-text extraction with site template removal.
 
-Every element's subtree (tag, class and id, texts, children) is hashed; Spark counts on how many pages of a host each
-hash occurs. Subtrees that recur on a large share of a host's pages, or outside articles on many of them, are its
+Every block element's subtree (tag, class and id, texts, children) is hashed; Spark counts on how many pages of a host
+each hash occurs. Elements inside a line of text are never deleted for recurring. Subtrees that recur on a large share of a host's pages, or outside articles on many of them, are its
 template and are deleted, along with what its element says is not the article (navigation, adverts, forms, comments
 and the like). Both passes parse pages
 inside tasks; between them only (host, hash, pages) is shuffled, counted before it leaves a task.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -61,7 +62,10 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+#: Character references whose numbers are beyond every code point, and zeros before a number.
+TOO_LARGE = re.compile(r"&#(?:[1-9][0-9]{7,}+|[xX][1-9a-fA-F][0-9a-fA-F]{7,}+);?")
+ZEROS = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])")
 NAMES = re.compile(r"[a-z]+")
 
 
@@ -74,6 +78,13 @@ def _is_named(names: str, marks: set[str]) -> bool:
     return False
 
 
+def _decoded(text: str) -> str:
+    """Character references as characters; Python reads no number of thousands of digits."""
+    if "&#" in text:
+        text = TOO_LARGE.sub("\ufffd", ZEROS.sub(r"&#\1", text))
+    return html.unescape(text)
+
+
 @lru_cache(maxsize=50_000)
 def _named(names: str, tag: str, in_main: bool) -> int:
     """How surely names mark what is not the article: 0 not at all, 1 outside an article, 2 inside one too."""
@@ -95,6 +106,10 @@ class Page:
         self.blocks: list[list[tuple[int, str]]] = []
         self._parts: list[list[str]] = [[]]
         self._stack, self._block = [0], []
+        # depths of the open elements of each tag, of those that end no others, and of blocks
+        self._places: dict[str, list[int]] = {}
+        self._scopes: list[int] = []
+        self._lines: list[int] = []
         self._parse(source)
 
     def _open(self, tag: str, attributes: str) -> None:
@@ -119,6 +134,12 @@ class Page:
         self.article.append(self.article[top] or own and (tag == "article" or role == "article"))
         self.hash.append(0)
         self._parts.append([])
+        depth = len(self._stack)
+        self._places.setdefault(tag, []).append(depth)
+        if tag in SCOPES:
+            self._scopes.append(depth)
+        if tag not in INLINE:
+            self._lines.append(depth)
         self._stack.append(node)
         if tag in VOID:
             if tag == "br":
@@ -126,32 +147,42 @@ class Page:
             self._close_top()
 
     def _imply(self, tag: str) -> None:
-        """Ends what the start of a block ends without saying so."""
-        for depth in range(len(self._stack) - 1, 0, -1):
-            open_tag = self.tag[self._stack[depth]]
-            if open_tag == "p" or open_tag in ENDS.get(tag, ()):
-                while len(self._stack) > depth:
-                    self._close_top()
-            elif open_tag in SCOPES:
-                return
+        """Ends what the start of a block ends without saying so: the lowest open one of those above the last scope."""
+        scope = self._scopes[-1] if self._scopes else 0
+        depth = len(self._stack)
+        for x in ("p", *ENDS.get(tag, ())):
+            if open_ones := self._places.get(x):
+                at = bisect_right(open_ones, scope)
+                if at < len(open_ones):
+                    depth = min(depth, open_ones[at])
+        while len(self._stack) > depth:
+            self._close_top()
 
     def _close_top(self) -> None:
         node = self._stack.pop()
-        parts = self._parts[node]
-        self.hash[node] = xxhash.xxh3_64_intdigest("\0".join([self.tag[node], self.name[node], *parts])) >> 1
-        self._parts[self.parent[node]].append(f"\1{self.hash[node]}")
+        tag, parts = self.tag[node], self._parts[node]
+        self._places[tag].pop()
+        for kind, open_ones in ((SCOPES, self._scopes), (None, self._lines)):
+            if open_ones and open_ones[-1] == len(self._stack) and (tag in kind if kind else tag not in INLINE):
+                open_ones.pop()
+        if tag in INLINE:  # counts as text of the block around it
+            own = "\0".join([tag, self.name[node], *parts])
+            self._parts[self.parent[node]].append(own if len(own) < 256 else f"\1{xxhash.xxh3_64_intdigest(own)}")
+        else:
+            self.hash[node] = xxhash.xxh3_64_intdigest("\0".join([tag, self.name[node], *parts])) >> 1
+            self._parts[self.parent[node]].append(f"\1{self.hash[node]}")
         parts.clear()
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self.tag[self._stack[depth]] == tag:
-                while len(self._stack) > depth:
-                    self._close_top()
-                return
-            if tag in INLINE and self.tag[self._stack[depth]] not in INLINE:
-                return
+        if not (open_ones := self._places.get(tag)):
+            return
+        depth = open_ones[-1]
+        if tag in INLINE and self._lines and self._lines[-1] > depth:
+            return
+        while len(self._stack) > depth:
+            self._close_top()
 
     def _text(self, text: str) -> None:
         self._block.append((self._stack[-1], text))
@@ -165,8 +196,10 @@ class Page:
 
     def _parse(self, source: str) -> None:
         at, end = 0, len(source)
+        # beyond the last ">" only an open comment can be markup
+        last = max(source.rfind(">"), source.rfind("<!--"), source.rfind("<![CDATA["))
         while at < end:
-            found = TOKEN.search(source, at)
+            found = TOKEN.search(source, at) if at <= last else None
             if not found:
                 self._text(source[at:])
                 break
@@ -189,7 +222,8 @@ class Page:
             self._close_top()
 
     def subtrees(self) -> set[int]:
-        return set(self.hash[1:])
+        """Hashes of the block elements; void ones are none."""
+        return {h for h, tag in zip(self.hash, self.tag, strict=True) if h and tag not in VOID}
 
     def _weights(self) -> tuple[list[int], bool]:
         """Characters below each node, of articles and main parts only if the page has any, and whether it has."""
@@ -241,7 +275,7 @@ class Page:
         kept = []
         for block in self.blocks:
             parts = [(n, t) for n, t in block if not gone[n] and (whole or inside[n])]
-            text = " ".join(html.unescape("".join(t for _, t in parts)).split())
+            text = " ".join(_decoded("".join(t for _, t in parts)).split())
             if text:
                 kept.append(text)
         return "\n\n".join(kept)
