@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, shuffle_partitions, staged
+from .common import NO_ID, packed, shuffle_partitions, staged
 
 RUN = "slot int, digest binary, n_bytes long, keep_id long, keep_row long, group_size long"
 RUN_SCHEMA = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), *((x, pa.int64()) for x in ("n_bytes", "keep_id", "keep_row", "group_size"))])
@@ -43,10 +43,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, digest, n_bytes) per row, written once: `row` tells repeated rows of one identifier apart."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return staged(slim.mapInArrow(_digest, "doc_id long, row long, digest binary, n_bytes long"), "digests")
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, digest, n_bytes) per row of docs (doc_id, row, text), written once."""
+    return staged(docs.select("doc_id", "row", "text").mapInArrow(_digest, "doc_id long, row long, digest binary, n_bytes long"), "digests")
 
 
 def _fold(largest: bool):
@@ -112,7 +111,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the row with the smallest (or largest) identifier stays; a null identifier is lower than any
     other. Rows that share text and identifier are copies too: exactly one of them stays. An empty table gives an
     empty result; other columns are never read, so their names don't matter."""
-    rows = digests(docs, id_col, text_col)
+    rows = digests(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")))
     best = merged_runs(rows, keep)
     return rows.join(best, ["digest", "n_bytes"]).select(
         "doc_id",
@@ -124,8 +123,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs without its copies, all columns kept. Rows are told apart by identifier and text."""
-    best = merged_runs(digests(docs, id_col, text_col), keep).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_id"))
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = docs.withColumns({"_digest": F.unhex(F.sha2(lower, 256)), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))})
-    return keyed.join(best, ["_digest", "_id"], "left_semi").dropDuplicates(["_digest", "_id"]).select(*docs.columns)
+    """docs without its copies, all columns as they are, whatever their names.
+
+    Texts are equal as for exact_dedup: null and empty ones form one group, of which one row stays. The row of the
+    smallest (or largest) identifier stays, a null identifier being lower than any other; of rows alike in that, repeated
+    rows among them, the first in the table's order stays. An empty table stays empty."""
+    stored = staged(docs.select(packed(docs), F.monotonically_increasing_id().alias("row")), "documents")
+    keyed = stored.select(F.col("doc").getField(id_col).cast("long").alias("doc_id"), "row", F.col("doc").getField(text_col).alias("text"))
+    best = merged_runs(digests(keyed), keep).select(F.col("keep_row").alias("row"))
+    return stored.join(staged(best, "kept"), "row", "left_semi").select("doc.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import packed, staged
 
 #: A line is boilerplate on more than this share of a host's pages ...
 RATIO = 0.05
@@ -26,10 +26,11 @@ def _trimmed(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, boilerplate array<long>): hashes of each host's boilerplate lines."""
-    pages = docs.select(F.coalesce(host_col, F.lit("")).alias("host"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"))
+    host, text = F.coalesce(F.col(f"`{host_col}`"), F.lit("")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    pages = docs.select(host.alias("host"), F.split(text, "\n").alias("lines"))
     distinct = F.array_distinct(F.transform(F.filter(F.transform("lines", _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x)))
     counted = pages.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= least_pages)
-    totals = docs.groupBy(F.coalesce(host_col, F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_pages"))
+    totals = docs.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("host_pages"))
     frequent = counted.join(totals, "host").filter(F.col("n_pages") > ratio * F.col("host_pages"))
     return frequent.groupBy("host").agg(F.collect_set("line").alias("boilerplate"))
 
@@ -40,15 +41,15 @@ def drop_boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col:
     Lines are compared without the white space around them, blank lines always stay. A null text counts as one
     blank line and comes back empty; null hosts count as ''. A line repeated within a page counts once for it, and
     every repetition is dropped. Repeated rows are pages of their own. An empty table gives an empty result."""
-    hosts = staged(boilerplate(docs, host_col, text_col, ratio, least_pages), "boilerplate").withColumnRenamed("host", "_host")
+    hosts = staged(boilerplate(docs, host_col, text_col, ratio, least_pages), "boilerplate")
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(host_col, F.lit("")).alias("_host"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("_lines"))
+    keyed = docs.select(packed(docs), F.coalesce(F.col(f"`{host_col}`"), F.lit("")).alias("host"), F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n").alias("lines"))
     stays = lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("boilerplate"), F.xxhash64(_trimmed(x)))
-    kept = F.when(F.col("boilerplate").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = keyed.join(hosts, "_host", "left").withColumn("_kept", kept)
+    kept = F.when(F.col("boilerplate").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    out = keyed.join(hosts, "host", "left").withColumn("kept", kept)
     return out.select(
-        *(F.col(f"`{c}`") for c in rest),
-        F.array_join("_kept", "\n").alias(text_col),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        *(F.col("doc").getField(c).alias(c) for c in rest),
+        F.array_join("kept", "\n").alias(text_col),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
     )

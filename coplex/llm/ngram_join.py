@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import packed, staged
 from .components import components
 
 WORDS = 5
@@ -290,7 +290,7 @@ def keep_one_of_class(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     first in the table's order stays. Rows whose text is null, empty or white space are linked with nothing and all
     stay. Rows are told apart by their place, so rows of one identifier with other texts are judged by themselves. An
     empty table stays empty."""
-    stored = staged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "documents")
+    stored = staged(docs.select(packed(docs), F.monotonically_increasing_id().alias("row")), "documents")
     keyed = stored.select("row", F.col("doc").getField(id_col).cast("long").alias("doc_id"), F.col("doc").getField(text_col).alias("text"))
     best = classes(keyed, threshold).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     return stored.join(staged(best.select("best.row"), "kept"), "row", "left_semi").select("doc.*")

@@ -18,11 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import packed
+
 PASSAGE = 480
 #: Most labelled documents that the model is fitted on.
 SAMPLE_DOCS = 4000
 HIDDEN, GATE = 16, 8
 EPOCHS, RATE, DECAY = 300, 0.02, 1e-3
+#: Bytes of text that are encoded at a time, up to one text more.
+SLICE = 1_000_000
 #: Buckets that a passage's four-byte strings fall into, to see how many differ.
 BUCKETS = 1024
 
@@ -138,12 +142,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(texts: list[bytes], labels: list[int]) -> pa.RecordBatch:
+        x, counts = encode_passages(texts)
+        packed_bags = [p.tobytes() for p in np.split(x, np.cumsum(counts)[:-1])]
+        return pa.record_batch({"quality": pa.array(labels, pa.int32()), "features": pa.array(packed_bags, pa.binary())})
+
     for batch in batches:
-        texts = [(x.as_py() or "").encode() for x in batch.column(0)]
+        texts, labels, size = [], [], 0
+        for x, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            texts.append((x.as_py() or "").encode())
+            labels.append(label)
+            size += len(texts[-1])
+            if size > SLICE:
+                yield made(texts, labels)
+                texts, labels, size = [], [], 0
         if texts:
-            x, counts = encode_passages(texts)
-            packed = np.split(x, np.cumsum(counts)[:-1])
-            yield pa.record_batch({"quality": batch.column(1), "features": pa.array([p.tobytes() for p in packed], pa.binary())})
+            yield made(texts, labels)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -160,29 +174,45 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
     return fit(x, np.array([len(b) for b in bags], np.int64), np.array([r.quality for r in rows], np.float32))
 
 
-def with_quality(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
-    """docs with a column of that name: the score of each whole text, 0 to 1. Null texts count as empty, which has a
-    score too; a column that has the name already is replaced; an empty table stays empty."""
-    kept = [c for c in docs.columns if c != name]
-    at = kept.index(text_col)
-
+def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, held, size = [], [], 0
-            for x in batch.column(at):
+            for x in batch.column(1):
                 held.append((x.as_py() or "").encode())
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > SLICE:
                     scores.append(model.score(held))
                     held, size = [], 0
             scores.append(model.score(held))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], names=["doc", "score"])
+
+    return run
+
 
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())])
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(doc, score) per row of docs: all its columns in one, and the score of the whole text, 0 to 1; null counts as empty."""
+    both = docs.select(packed(docs), F.col(f"`{text_col}`").alias("text"))
+    return both.mapInArrow(_scored(model), T.StructType([both.schema["doc"], T.StructField("score", T.DoubleType())]))
+
+
+def with_quality(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
+    """docs with a column of that name: the score of each whole text, 0 to 1. Null texts count as empty, which has a
+    score too; a column that has the name already is replaced; repeated rows are scored each; an empty table stays empty."""
+    rest = [c for c in docs.columns if c != name]
+    return scored(docs, model, text_col).select(*(F.col("doc").getField(c).alias(c) for c in rest), F.col("score").alias(name))
+
+
+def keep_quality(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose whole text scores `least` or more, all columns as they are, whatever their names. Null and
+    empty texts are judged by the score of an empty text, repeated rows alike; an empty table stays empty."""
+    return scored(docs, model, text_col).filter(F.col("score") >= least).select("doc.*")
 
 
 def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= 0.5)."""
+    """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= 0.5).
+
+    Null texts count as empty, which has a score too; repeated rows are scored each; an empty table gives an empty
+    result; labels, languages, sources and identifiers are no inputs of a score."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return with_quality(slim, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -5,9 +5,10 @@ one anchor: the K-byte string of least hash inside it, the leftmost of equals. E
 equal places, so a repeated string is found among the occurrences of one anchor, and anchors that occur once are
 dropped. An occurrence's context is all that the strings of its anchor cover. Contexts that occur twice or more are
 repeated whole. Different contexts of one anchor are cut to what some other of them shares, left and right of the
-anchor, and suffix-sorted together (gsaca.py); neighbours in that order tell which strings repeat. Anchors with more
-than MOST_CONTEXTS different contexts are not gathered: their strings are counted by hash, each string once per task
-before the shuffle. Equal texts are one text from the start.
+anchor, and suffix-sorted together (gsaca.py); neighbours in that order tell which strings repeat. A group of more than
+MOST_CONTEXTS contexts is split first: a string reaches at least half of what it has beside the anchor to the left, or
+half to the right, so contexts are grouped anew by that half on either side, until groups are small enough to sort or share
+a whole string. Equal texts are one text from the start.
 """
 
 from __future__ import annotations
@@ -19,16 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import staged
+from .common import packed, staged
 from .gsaca import repeated_starts
 
 LENGTH, K = 200, 80
-#: Different contexts of an anchor that are suffix-sorted in one task; beyond, strings are counted one by one.
+#: Contexts of a group that are suffix-sorted together; larger groups are split.
 MOST_CONTEXTS = 2000
 #: Starts of a text that are worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 BASE = 0x9E3779B97F4A7C15
 _table = np.random.default_rng(8).integers(0, 2**64, 256, dtype=np.uint64)
@@ -185,14 +185,17 @@ def repeated_spans(before: list[bytes], after: list[bytes], length: int = LENGTH
     return spans
 
 
+SPANS = "h long, context long, begin int, end int"
+
+
 def _sort_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; of an anchor there are MOST_CONTEXTS at most."""
-        anchor, held, out = None, [], []
+        """Rows (part, h, context, before, after) come sorted by part, of which each has MOST_CONTEXTS at most."""
+        group, held, out = None, [], []
 
         def finish() -> None:
-            spans = repeated_spans([x[1] for x in held], [x[2] for x in held], length)
-            out.extend((anchor, x[0], a, b) for x, own in zip(held, spans, strict=True) for a, b in own)
+            spans = repeated_spans([x[2] for x in held], [x[3] for x in held], length)
+            out.extend((x[0], x[1], a, b) for x, own in zip(held, spans, strict=True) for a, b in own)
             held.clear()
 
         def made() -> pa.RecordBatch:
@@ -201,11 +204,11 @@ def _sort_contexts(length: int):
             return pa.record_batch({"h": pa.array(h, pa.int64()), "context": pa.array(c, pa.int64()), "begin": pa.array(a, pa.int32()), "end": pa.array(b, pa.int32())})
 
         for batch in batches:
-            for h, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if h != anchor:
+            for part, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if part != group:
                     if held:
                         finish()
-                    anchor = h
+                    group = part
                 held.append(row)
             if out:
                 yield made()
@@ -216,16 +219,33 @@ def _sort_contexts(length: int):
     return run
 
 
-def _strings(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every string of a context: its start relative to the anchor and a 128-bit hash."""
-        for batch in batches:
-            for h, c, left, right in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                data = left + right
-                n = len(data) - length + 1
-                yield pa.record_batch({"h": np.full(n, h), "context": np.full(n, c), "start": np.arange(n, dtype=np.int32) - np.int32(len(left)), "string": pa.array([hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)], pa.binary())})
-
-    return run
+def _spans(cut: DataFrame, length: int, k: int) -> DataFrame:
+    """SPANS of the contexts (h, context, before, after) whose strings repeat in another context of their anchor."""
+    found, left = [], length - k
+    # of a group's contexts, `l` bytes before the anchor and `r` behind it are equal
+    groups = cut.select(F.col("h").cast("string").alias("part"), F.lit(0).alias("l"), F.lit(0).alias("r"), "h", "context", "before", "after")
+    while True:
+        sizes = staged(groups.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+        small, large = sizes.filter(F.col("n") <= MOST_CONTEXTS).select("part"), sizes.filter(F.col("n") > MOST_CONTEXTS).select("part")
+        together = groups.join(small, "part", "left_semi").select("part", "h", "context", "before", "after").repartition("part").sortWithinPartitions("part")
+        found.append(staged(together.mapInArrow(_sort_contexts(length), SPANS), "spans"))
+        if large.isEmpty():
+            break
+        rest = groups.join(large, "part", "left_semi")
+        if left == 0:  # they share a whole string
+            found.append(staged(rest.select("h", "context", (-F.col("l")).alias("begin"), (k + F.col("r")).alias("end")), "spans"))
+            break
+        half = -(-left // 2)
+        sides = []
+        for l, r in ((F.col("l") + half, F.col("r")), (F.col("l"), F.col("r") + half)):
+            reach = rest.withColumns({"l": l, "r": r}).filter((F.octet_length("before") >= F.col("l")) & (F.octet_length("after") >= k + F.col("r")))
+            near = F.concat(F.substring(F.col("before"), F.octet_length("before") - F.col("l") + 1, F.col("l")), F.substring(F.col("after"), F.lit(1), k + F.col("r")))
+            sides.append(reach.withColumn("part", F.concat_ws(" ", F.col("l").cast("string"), F.sha2(near, 256))))
+        groups, left = staged(sides[0].unionByName(sides[1]), "groups"), left - half
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,28 +274,21 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: i
     text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     single = text.filter(F.octet_length("text") >= length).mapInArrow(_keyed_texts, "key binary, text string").groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     texts = staged(single.withColumn("id", F.monotonically_increasing_id()), "texts")
-    found = texts.select("id", "text").mapInArrow(_anchors(length, k), ANCHORS)
-    # written, so that the join reads both sides by exchanges of its own, whose hot anchors Spark can split
+    found = staged(texts.select("id", "text").mapInArrow(_anchors(length, k), ANCHORS), "anchors")
+    # written, so that the joins read both sides by exchanges of their own, whose hot anchors Spark can split
     often = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "often")
-    several = staged(found.join(often, "h", "left_semi"), "anchors")
+    several = staged(found.join(often, "h", "left_semi"), "several")
     contexts = several.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "first", "stop")).alias("one"))
     contexts = staged(contexts, "contexts")
-    mixed = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n_contexts")).filter("n_contexts > 1")
-    asked = contexts.join(mixed, "h").select("h", "context", "n_contexts", "one.*")
+    mixed = staged(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n_contexts")).filter("n_contexts > 1").select("h"), "mixed")
+    asked = contexts.join(mixed, "h", "left_semi").select("h", "context", "one.*")
     by_text = asked.groupBy("id").agg(F.collect_list(F.struct("h", "context", "at", "first", "stop")).alias("asked"))
     cut = staged(texts.join(by_text, "id").select("text", "asked").mapInArrow(_slices, "h long, context long, before binary, after binary"), "slices")
-    # a hot anchor's contexts are cut into strings, and those are counted
-    few, many = mixed.filter(F.col("n_contexts") <= MOST_CONTEXTS).select("h"), mixed.filter(F.col("n_contexts") > MOST_CONTEXTS).select("h")
-    together = cut.join(few, "h", "left_semi").repartition("h").sortWithinPartitions("h")
-    sorted_spans = together.mapInArrow(_sort_contexts(length), "h long, context long, begin int, end int")
-    strings = cut.join(many, "h", "left_semi").mapInArrow(_strings(length), "h long, context long, start int, string binary")
-    twice = strings.groupBy("h", "start", "string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "start", "string")
-    counted = strings.join(twice, ["h", "start", "string"], "left_semi").select("h", "context", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
-    spans = staged(sorted_spans.union(counted), "spans")
+    spans = _spans(cut, length, k)
     whole = several.join(contexts.filter("n > 1").select("h", "context"), ["h", "context"], "left_semi").select("id", F.col("first").alias("begin"), F.col("stop").alias("end"))
-    # an occurrence of a context that is repeated whole has its span already
-    part = several.join(contexts.filter("n = 1").select("h", "context"), ["h", "context"], "left_semi").join(spans, ["h", "context"]).select("id", (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"))
-    of_text = whole.union(part).groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    # a context that occurs once is its one occurrence; of others the whole span is there already
+    part = contexts.filter("n = 1").select("h", "context", "one.id", "one.at").join(spans, ["h", "context"]).select("id", (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"))
+    of_text = staged(whole.union(part), "removed").groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return texts.filter("copies = 1").join(of_text, "id").select("key", "text", "spans").mapInArrow(_removals, "key binary, n_removed long, n_spans long, kept binary")
 
 
@@ -299,28 +312,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _with_key(schema: T.StructType, text_col: str):
-    at = schema.names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [hashlib.sha256((x.as_py() or "").encode()).digest() for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*schema.names, "_key"])
-
-    return run
-
-
 def drop_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs whose texts have lost what suffix_dedup removes; rows whose text goes whole stay, with an empty text.
-    What a removal leaves of a character that it cut is dropped too, so that texts stay UTF-8."""
+    """docs whose texts have lost what suffix_dedup removes; all other columns as they are, whatever their names.
+
+    Every row stays: those whose text goes whole have an empty one, a null text stays null. What a removal leaves of a
+    character that it cut is dropped too, so that texts stay UTF-8. Equal texts of `length` bytes or more, repeated rows
+    among them, are copies of each other and go whole. An empty table stays empty."""
     columns = docs.columns
-    keyed = docs.mapInArrow(_with_key(docs.schema, text_col), T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())]))
-    copied = keyed.filter(F.octet_length(text_col) >= length).groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key", F.lit("").alias("_kept"))
-    left = removals(docs, text_col, length).select(F.col("key").alias("_key"), F.col("kept").alias("_bytes")).mapInArrow(_decoded, "_key binary, _kept string")
-    changed = keyed.join(staged(left.union(copied), "changed"), "_key", "left")
-    return changed.withColumn(text_col, F.coalesce("_kept", text_col)).select(*(F.col(f"`{c}`") for c in columns))
+    text = F.col(f"`{text_col}`")
+    keyed = docs.select(packed(docs), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("key"))
+    copied = docs.filter(F.octet_length(text) >= length).groupBy(F.unhex(F.sha2(text, 256)).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit("").alias("kept"))
+    left = removals(docs.select(text.alias("text")), "text", length).select("key", "kept").mapInArrow(_decoded, "key binary, kept string")
+    changed = keyed.join(staged(left.union(copied), "changed"), "key", "left")
+    return changed.select(*(F.coalesce("kept", F.col("doc").getField(c)).alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch({"_key": batch.column(0), "_kept": pa.array([x.as_py().decode(errors="ignore") for x in batch.column(1)], pa.string())})
+        yield pa.record_batch({"key": batch.column(0), "kept": pa.array([x.as_py().decode(errors="ignore") for x in batch.column(1)], pa.string())})

@@ -15,34 +15,51 @@ from coplex.llm.common import staged, table
 from coplex.llm.exact_dedup import keep_one
 from coplex.llm.ngram_join import keep_one_of_class
 from coplex.llm.packing import pack
-from coplex.llm.quality_mil import fit_quality, with_quality
+from coplex.llm.quality_mil import fit_quality, keep_quality
 from coplex.llm.suffix_dedup import drop_repeats
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.5 go."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return with_quality(docs, model, "_quality").filter("_quality >= 0.5").drop("_quality")
+    """Documents that the classifier scores below 0.5 go.
+
+    It learns from the labelled rows of docs and of the labels table that are not held out, and scores every whole text,
+    null as empty. Repeated rows are judged alike; an empty table stays empty; columns are never renamed or read for
+    scores. Without a label of either kind every document gets the smoothed share of label 1, so all of them stay or go."""
+    return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document of the largest identifier stays."""
+    """Of equal texts (A-Z lower-cased), the row of the largest identifier stays.
+
+    Null and empty texts are equal, a null identifier is lower than any other, and of rows alike in that the first in the
+    table's order stays. An empty table stays empty; other columns, whatever their names, come through."""
     return keep_one(docs, keep="largest")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a class of near-duplicates, the document of the smallest identifier stays."""
+    """Of a class of near-duplicates (five words, similarity 0.8), the row of the smallest identifier stays.
+
+    Texts without a word are in no class and stay; a null identifier is higher than any other, and of rows alike in that
+    the first in the table's order stays. An empty table stays empty; other columns, whatever their names, come through."""
     return keep_one_of_class(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose what repeats elsewhere; n_chars follows."""
-    return drop_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts lose every byte covered by a 200-byte string that also starts elsewhere; n_chars follows.
+
+    Every row stays, with an empty text if all of it goes, as the texts of repeated rows do; a null text stays null, with
+    n_chars 0. An empty table stays empty; other columns, whatever their names, come through."""
+    kept = drop_repeats(docs)
+    count = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return kept.select(*(count.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in kept.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per packed piece of a document."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=300_000)  # workers hold other stages' words too
+    """One row per packed piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A null or empty text gives the end token alone; repeated rows are packed each; an empty table gives no pieces; other
+    columns are not read."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=200_000)  # other stages' workers need room too
 
 
 STAGES = [

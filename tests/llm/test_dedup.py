@@ -147,9 +147,9 @@ def passages():
     return rows + [(20, "ab" * 300), (21, "z" * 199), (22, run(5000, 5050) + "é" + run(5000, 5050)), (23, run(5000, 5040) + "è"), (24, "same " * 60), (25, "same " * 60)]
 
 
-@pytest.mark.parametrize("most", [2000, 0])
+@pytest.mark.parametrize("most", [2000, 3, 0])
 def test_suffix_dedup(make, edge_rows, passages, most, monkeypatch):
-    monkeypatch.setattr(sd, "MOST_CONTEXTS", most)  # 0 sends every anchor the way of hot ones
+    monkeypatch.setattr(sd, "MOST_CONTEXTS", most)  # few split every group as hot ones, 0 down to whole strings
     rows = edge_rows + passages
     got = sd.suffix_dedup(make(rows)).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, *x) for (i, _), x in zip(rows, removal(rows)))
