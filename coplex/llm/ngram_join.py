@@ -197,10 +197,11 @@ def _verified(cluster: DataFrame, sets: DataFrame, keyed: DataFrame, threshold:
     """Rows of VERIFIED for every block pair of the clusters (node, component)."""
     low, high = BLOCK
     member = cluster.join(sets.select("node", "n_docs", "size"), "node").withColumn("class", F.floor(F.log("size") / math.log(1 / threshold)).cast("int") if threshold < 1 else F.lit(0))
+    member = staged(member, "classed")  # written, as what follows, so that the joins can split a large component
     sized = member.groupBy("component", "class").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.col("m") / F.least(F.greatest(F.ceil(F.col("m") / 16), F.lit(low)), F.lit(high))).cast("int")
     # a component has some dozens of size classes at most
-    dealt = sized.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("class", blocks.alias("blocks")))).alias("blocks"))
+    dealt = staged(sized.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("class", blocks.alias("blocks")))).alias("blocks")), "blocks")
     member = member.join(dealt, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("class")]).cast("int"))
     own, block = F.col("class"), F.col("block")
 
