@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
 One projection over the texts gives a few counts per document, all inside the JVM; they are written once. Mergeable
-quantile sketches (Greenwald-Khanna summaries, built per partition and merged) then give the quartiles of four
-ratios per language and source, quartiles become fences, and a join brings each document its group's fences.
+quantile sketches (Greenwald-Khanna summaries, built per partition and merged) then give quantiles of four ratios per
+language and source, per language and over all. A small group's quantiles are drawn towards its parent's, as if it had
+PRIOR documents like them, and become fences; a join brings each document its group's fences.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,31 @@ from .common import SPACE, staged
 WINDOW = 5
 #: Accuracy of the sketches: ranks are right to 1 / ACCURACY of a group.
 ACCURACY = 10_000
-#: Ratio: (share of the interquartile range, least distance) that a document may lie beyond the median of its group.
-FENCES = {"symbol_ratio": (4.0, 0.2), "dup_line_ratio": (4.0, 0.3), "repeat_ratio": (4.0, 0.15), "mean_word": (5.0, 1.5)}
-#: Ratios with a lower fence too.
-TWO_SIDED = ("mean_word",)
+#: Documents of the parent that a group's quantiles count.
+PRIOR = 20
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A document may have `count` of at most (q + reach * (q - median)) * `per` + spare, where q is the quantile `tail` of
+    count / per in its group; two-sided rules have the mirrored lower fence too. spare is about one occurrence, which
+    says little about a short text."""
+
+    count: str
+    per: str
+    tail: float
+    reach: float
+    spare: float
+    two_sided: bool = False
+
+
+#: About a tenth of a corpus may be junk by symbols and lengths; repetition is common in small amounts.
+RULES = {
+    "symbol_ratio": Rule("n_symbols", "n_words", 0.9, 3.0, 1.0),
+    "dup_line_ratio": Rule("n_dup_lines", "n_lines", 0.98, 1.0, 1.0),
+    "repeat_ratio": Rule("n_repeat_words", "n_words", 0.98, 1.5, 5.0),
+    "mean_word": Rule("word_chars", "n_words", 0.9, 4.0, 10.0, two_sided=True),
+}
 
 
 def repeated_words(words: Column) -> Column:
@@ -77,26 +101,26 @@ def metrics(docs: DataFrame) -> DataFrame:
     )
 
 
-def ratio(name: str) -> Column:
-    n_words, n_lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    return {
-        "symbol_ratio": F.col("n_symbols") / n_words,
-        "dup_line_ratio": F.col("n_dup_lines") / n_lines,
-        "repeat_ratio": F.col("n_repeat_words") / n_words,
-        "mean_word": F.col("word_chars") / n_words,
-    }[name]
-
-
 def thresholds(measured: DataFrame) -> DataFrame:
     """Fences per (lang, source): <ratio>_max, and <ratio>_min where two-sided."""
-    sketches = [F.percentile_approx(ratio(x), [0.25, 0.5, 0.75], ACCURACY).alias(x) for x in FENCES]
-    found = measured.filter("NOT base_failed").groupBy("lang", "source").agg(*sketches)
-    reach = {x: F.greatest(F.lit(times) * (F.col(x)[2] - F.col(x)[0]), F.lit(least)) for x, (times, least) in FENCES.items()}
+    good = ~F.col("base_failed")
+    sketches = [F.percentile_approx(F.when(good, F.col(r.count) / F.greatest(r.per, F.lit(1))), [1 - r.tail, 0.5, r.tail], ACCURACY).alias(x) for x, r in RULES.items()]
+    levels = measured.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count_if(good).alias("n"), *sketches)
+    levels = staged(levels, "quantiles")  # as many rows as languages and sources have pairs
+    all_rows, languages, groups = (levels.filter(F.col("level") == x) for x in (3, 1, 0))
+
+    def drawn(own: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
+        p = parent.select(*keys, *(F.col(x).alias(f"parent_{x}") for x in RULES))
+        joined = own.join(p, keys) if keys else own.crossJoin(p)  # one row
+        towards = lambda x: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.col("n") * F.coalesce(F.get(x, i), F.lit(0.0)) + PRIOR * F.get(f"parent_{x}", i)) / (F.col("n") + PRIOR))
+        return joined.select("lang", "source", "n", *(towards(x).alias(x) for x in RULES))
+
+    found = drawn(groups, drawn(languages, all_rows, []), ["lang"])
     return found.select(
         "lang",
         "source",
-        *((F.col(x)[1] + reach[x]).alias(f"{x}_max") for x in FENCES),
-        *((F.col(x)[1] - reach[x]).alias(f"{x}_min") for x in TWO_SIDED),
+        *((F.col(x)[2] + r.reach * (F.col(x)[2] - F.col(x)[1])).alias(f"{x}_max") for x, r in RULES.items()),
+        *((F.col(x)[0] - r.reach * (F.col(x)[1] - F.col(x)[0])).alias(f"{x}_min") for x, r in RULES.items() if r.two_sided),
     )
 
 
@@ -105,14 +129,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Needs doc_id, text, lang and source; other columns are not read. A null text has no words and fails the base
     rule; null languages and sources count as ''. Repeated rows are judged each. A group none of whose documents
-    passes the base rule has no fences, and keeps nothing. An empty table gives an empty result."""
+    passes the base rule has its parent's fences. An empty table gives an empty result."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = staged(metrics(docs).withColumn("base_failed", base_failed), "quality-metrics")
     inside = F.lit(True)
-    for x in FENCES:
-        inside &= ratio(x) <= F.col(f"{x}_max")
-    for x in TWO_SIDED:
-        inside &= ratio(x) >= F.col(f"{x}_min")
+    for x, r in RULES.items():
+        per = F.greatest(r.per, F.lit(1))
+        inside &= F.col(r.count) <= F.col(f"{x}_max") * per + r.spare
+        if r.two_sided:
+            inside &= F.col(r.count) >= F.col(f"{x}_min") * per - r.spare
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    judged = measured.join(thresholds(measured), ["lang", "source"], "left")
+    # written, so that it is broadcast if its measured size allows, and a hot group's rows can be split if not
+    judged = measured.join(staged(thresholds(measured), "fences"), ["lang", "source"], "left")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -105,15 +105,29 @@ ORACLE_SQL: dict[str, str] = {
                    n_repeat_words / greatest(n_words, 1) AS a3, word_chars / greatest(n_words, 1) AS a4
             FROM m),
         q AS (
-            SELECT lang, source, quantile_disc(a1, [0.25, 0.5, 0.75]) AS q1, quantile_disc(a2, [0.25, 0.5, 0.75]) AS q2,
-                   quantile_disc(a3, [0.25, 0.5, 0.75]) AS q3, quantile_disc(a4, [0.25, 0.5, 0.75]) AS q4
-            FROM b WHERE NOT base_failed GROUP BY lang, source)
+            SELECT lang, source, grouping(lang, source) AS level, count(*) FILTER (NOT base_failed) AS n,
+                   quantile_disc(a1, [0.1, 0.5, 0.9]) FILTER (NOT base_failed) AS q1, quantile_disc(a2, [0.02, 0.5, 0.98]) FILTER (NOT base_failed) AS q2,
+                   quantile_disc(a3, [0.02, 0.5, 0.98]) FILTER (NOT base_failed) AS q3, quantile_disc(a4, [0.1, 0.5, 0.9]) FILTER (NOT base_failed) AS q4
+            FROM b GROUP BY ROLLUP (lang, source)),
+        v AS (
+            SELECT lang, source, level, n, k, i, CASE k WHEN 1 THEN q1[i] WHEN 2 THEN q2[i] WHEN 3 THEN q3[i] ELSE q4[i] END AS x
+            FROM q, range(1, 5) AS r(k), range(1, 4) AS s(i)),
+        y AS (
+            SELECT l.lang, l.k, l.i, (l.n * coalesce(l.x, 0) + 20 * a.x) / (l.n + 20) AS x
+            FROM v l JOIN v a ON a.level = 3 AND l.level = 1 AND a.k = l.k AND a.i = l.i),
+        z AS (
+            SELECT g.lang, g.source, g.k, list((g.n * coalesce(g.x, 0) + 20 * y.x) / (g.n + 20) ORDER BY g.i) AS x
+            FROM v g JOIN y ON g.level = 0 AND y.lang = g.lang AND y.k = g.k AND y.i = g.i GROUP BY g.lang, g.source, g.k),
+        f AS (
+            SELECT lang, source, max(x[3] + 3.0 * (x[3] - x[2])) FILTER (k = 1) AS f1, max(x[3] + 1.0 * (x[3] - x[2])) FILTER (k = 2) AS f2,
+                   max(x[3] + 1.5 * (x[3] - x[2])) FILTER (k = 3) AS f3, max(x[3] + 4.0 * (x[3] - x[2])) FILTER (k = 4) AS f4,
+                   max(x[1] - 4.0 * (x[2] - x[1])) FILTER (k = 4) AS f5
+            FROM z GROUP BY lang, source)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND coalesce(
-                   a1 <= q1[2] + greatest(4.0 * (q1[3] - q1[1]), 0.2) AND a2 <= q2[2] + greatest(4.0 * (q2[3] - q2[1]), 0.3)
-                   AND a3 <= q3[2] + greatest(4.0 * (q3[3] - q3[1]), 0.15) AND a4 <= q4[2] + greatest(5.0 * (q4[3] - q4[1]), 1.5)
-                   AND a4 >= q4[2] - greatest(5.0 * (q4[3] - q4[1]), 1.5), false) AS kept
-        FROM b LEFT JOIN q USING (lang, source)""",
+                   n_symbols <= f1 * greatest(n_words, 1) + 1 AND n_dup_lines <= f2 * greatest(n_lines, 1) + 1 AND n_repeat_words <= f3 * greatest(n_words, 1) + 5
+                   AND word_chars <= f4 * greatest(n_words, 1) + 10 AND word_chars >= f5 * greatest(n_words, 1) - 10, false) AS kept
+        FROM b LEFT JOIN f USING (lang, source)""",
     "op6_line_dedup": r"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id, source, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines
