@@ -14,7 +14,7 @@ a whole string. Equal texts are one text from the start.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,10 @@ from .common import packed, staged
 from .gsaca import repeated_starts
 
 LENGTH, K = 200, 80
-#: Contexts of a group that are suffix-sorted together; larger groups are split.
-MOST_CONTEXTS = 2000
+#: Contexts of a group that go to one task, of some 300 bytes each; larger groups are split before.
+MOST_CONTEXTS = 50_000
+#: Symbols that are suffix-sorted at a time.
+SYMBOLS = 500_000
 #: Starts of a text that are worked on at a time.
 CHUNK = 1 << 18
 
@@ -161,40 +163,63 @@ def _shared(strings: list[bytes]) -> list[int]:
     return best
 
 
-def repeated_spans(before: list[bytes], after: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Spans (relative to the anchor) of each context whose strings of `length` bytes repeat in another context."""
-    lefts, rights = _shared([x[::-1] for x in before]), _shared(after)
-    segments: dict[bytes, list[tuple[int, int]]] = {}
+def repeated_spans(before: list[bytes], after: list[bytes], length: int = LENGTH, k: int = K, symbols: int = SYMBOLS) -> list[list[tuple[int, int]]]:
+    """Spans (relative to the anchor) of each context whose strings of `length` bytes repeat in another context.
+
+    after begins with the k bytes of the anchor. What would be more than `symbols` to sort at a time is split by halves
+    as larger groups are."""
     spans: list[list[tuple[int, int]]] = [[] for _ in before]
-    for i, (a, b) in enumerate(zip(lefts, rights, strict=True)):
-        if a + b >= length:
-            segments.setdefault(before[i][len(before[i]) - a :] + after[i][:b], []).append((i, a))
-    parts = list(segments)
-    starts = repeated_starts(parts, length) if len(parts) > 1 else [[] for _ in parts]
-    for part, found in zip(parts, starts, strict=True):
-        if len(segments[part]) > 1:
-            found = range(len(part) - length + 1)  # several contexts share all of it
-        runs: list[list[int]] = []
-        for s in found:
-            if runs and s <= runs[-1][1]:
-                runs[-1][1] = s + length
-            else:
-                runs.append([s, s + length])
-        for i, a in segments[part]:
-            spans[i] += [(x - a, y - a) for x, y in runs]
+
+    def find(own: Sequence[int], l: int, r: int) -> None:
+        """Contexts that have l bytes before the anchor and r behind it in common."""
+        if l + r + k == length:  # a whole string
+            for i in own:
+                spans[i].append((-l, k + r))
+            return
+        lefts, rights = _shared([before[i][::-1] for i in own]), _shared([after[i] for i in own])
+        segments: dict[bytes, list[tuple[int, int]]] = {}
+        for i, a, b in zip(own, lefts, rights, strict=True):
+            if a + b >= length:
+                segments.setdefault(before[i][len(before[i]) - a :] + after[i][:b], []).append((i, a))
+        parts = list(segments)
+        if sum(map(len, parts)) > symbols:
+            half = -(-(length - k - l - r) // 2)
+            for x, y in ((l + half, r), (l, r + half)):
+                groups: dict[bytes, list[int]] = {}
+                for i in own:
+                    if len(before[i]) >= x and len(after[i]) >= k + y:
+                        groups.setdefault(before[i][len(before[i]) - x :] + after[i][: k + y], []).append(i)
+                for group in groups.values():
+                    if len(group) > 1:
+                        find(group, x, y)
+            return
+        starts = repeated_starts(parts, length) if len(parts) > 1 else [[] for _ in parts]
+        for part, found in zip(parts, starts, strict=True):
+            if len(segments[part]) > 1:
+                found = range(len(part) - length + 1)  # several contexts share all of it
+            runs: list[list[int]] = []
+            for s in found:
+                if runs and s <= runs[-1][1]:
+                    runs[-1][1] = s + length
+                else:
+                    runs.append([s, s + length])
+            for i, a in segments[part]:
+                spans[i] += [(x - a, y - a) for x, y in runs]
+
+    find(range(len(before)), 0, 0)
     return spans
 
 
 SPANS = "h long, context long, begin int, end int"
 
 
-def _sort_contexts(length: int):
+def _sort_contexts(length: int, k: int, symbols: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (part, h, context, before, after) come sorted by part, of which each has MOST_CONTEXTS at most."""
         group, held, out = None, [], []
 
         def finish() -> None:
-            spans = repeated_spans([x[2] for x in held], [x[3] for x in held], length)
+            spans = repeated_spans([x[2] for x in held], [x[3] for x in held], length, k, symbols)
             out.extend((x[0], x[1], a, b) for x, own in zip(held, spans, strict=True) for a, b in own)
             held.clear()
 
@@ -228,7 +253,7 @@ def _spans(cut: DataFrame, length: int, k: int) -> DataFrame:
         sizes = staged(groups.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
         small, large = sizes.filter(F.col("n") <= MOST_CONTEXTS).select("part"), sizes.filter(F.col("n") > MOST_CONTEXTS).select("part")
         together = groups.join(small, "part", "left_semi").select("part", "h", "context", "before", "after").repartition("part").sortWithinPartitions("part")
-        found.append(staged(together.mapInArrow(_sort_contexts(length), SPANS), "spans"))
+        found.append(staged(together.mapInArrow(_sort_contexts(length, k, SYMBOLS), SPANS), "spans"))
         if large.isEmpty():
             break
         rest = groups.join(large, "part", "left_semi")

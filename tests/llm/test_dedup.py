@@ -147,8 +147,9 @@ def passages():
     return rows + [(20, "ab" * 300), (21, "z" * 199), (22, run(5000, 5050) + "é" + run(5000, 5050)), (23, run(5000, 5040) + "è"), (24, "same " * 60), (25, "same " * 60)]
 
 
-@pytest.mark.parametrize("most", [2000, 3, 0])
-def test_suffix_dedup(make, edge_rows, passages, most, monkeypatch):
+@pytest.mark.parametrize(("most", "symbols"), [(50_000, 500_000), (50_000, 400), (3, 400), (0, 0)])
+def test_suffix_dedup(make, edge_rows, passages, most, symbols, monkeypatch):
+    monkeypatch.setattr(sd, "SYMBOLS", symbols)
     monkeypatch.setattr(sd, "MOST_CONTEXTS", most)  # few split every group as hot ones, 0 down to whole strings
     rows = edge_rows + passages
     got = sd.suffix_dedup(make(rows)).collect()
