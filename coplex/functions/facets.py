@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Most rules by suffix, prefix or pattern, which go to every task.
+MOST_RULES = 10_000
+
+
 def normalise(text: Column) -> Column:
     """Trimmed, lower-cased, spaces as underscores."""
     return F.translate(F.lower(F.trim(text)), " ", "_")
@@ -26,21 +30,37 @@ def prompt(tags: Column) -> Column:
 
 def memberships(tags: DataFrame, rules: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(tag, facet, ord): every facet that an item is in; `excluded` has (facet, tag) exceptions."""
-    t, p, kind = F.col("tag"), F.col("pattern"), F.col("kind")
+    names, t, p = tags.select("tag"), F.col("tag"), F.col("pattern")
+    of = lambda *kinds: rules.filter(F.col("kind").isin(*kinds))
     words = F.split(t, "_")
-    matches = (
-        F.when(kind == "exact", t == p)
-        .when(kind == "word", F.array_contains(words, p))
-        .when(kind == "last", F.element_at(words, -1) == p)
-        .when(kind == "suffix", t.endswith(p))
-        .when(kind == "prefix", t.startswith(p))
-        .when(kind == "regex", F.expr("regexp_like(tag, pattern)"))
-    )
-    # rules are a small configuration; each item meets each rule
-    found = tags.select("tag").join(F.broadcast(rules), matches).select("tag", "facet", "ord").distinct()
+    exact = names.join(of("exact"), t == p)
+    word = names.select("tag", F.explode(F.array_distinct(words)).alias("part")).join(of("word"), F.col("part") == p)
+    last = names.withColumn("part", F.element_at(words, -1)).join(of("last"), F.col("part") == p)
+    # each item meets each of these rules, which are a configuration of bounded size
+    loose = of("suffix", "prefix", "regex")
+    if loose.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules by suffix, prefix or pattern")
+    kind = F.col("kind")
+    matches = F.when(kind == "suffix", t.endswith(p)).when(kind == "prefix", t.startswith(p)).otherwise(F.expr("regexp_like(tag, pattern)"))
+    found = names.join(F.broadcast(loose), matches)
+    for part in (exact, word, last):
+        found = found.select("tag", "facet", "ord").union(part.select("tag", "facet", "ord"))
+    found = found.distinct()
     return found.join(excluded, ["facet", "tag"], "left_anti").select("tag", "facet", "ord") if excluded is not None else found
 
 
 def exclusive(members: DataFrame) -> DataFrame:
     """(tag, facet): the first facet in order of each item."""
     return members.groupBy("tag").agg(F.min_by("facet", "ord").alias("facet"))
+
+
+def anchors_in(anchors: DataFrame, pools: DataFrame) -> DataFrame:
+    """(facet, tag) for anchors (place, tag) and a module's pools (facet, ord, tag): an anchor goes to the first facet whose
+    pool has it, and each facet takes one, the first in place."""
+    owned = anchors.join(pools, "tag").groupBy("place", "tag").agg(F.min_by("facet", "ord").alias("facet"))
+    return owned.groupBy("facet").agg(F.min_by("tag", "place").alias("tag"))
+
+
+def owned_anywhere(anchors: DataFrame, pools: DataFrame) -> DataFrame:
+    """anchors with owned: whether any of the modules' pools (module, facet, tag) has it."""
+    return anchors.join(pools.select("tag", F.lit(True).alias("owned")).distinct(), "tag", "left").withColumn("owned", F.coalesce("owned", F.lit(False)))

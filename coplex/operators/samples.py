@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .predicates import any_bit, has_all, has_any, rating_filter
 
 SAMPLE_CAP, POSTING_CAP, ENTITY_CAP = 50_000, 400_000, 100
+#: Hexadecimal digits of the hash that rows are counted by.
+DIGITS = 3
 
 
 def order_key(key: str, seed: int) -> Column:
@@ -23,22 +25,39 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def take(df: DataFrame, n: int, seed: int, key: str = "pid") -> DataFrame:
-    """At most n rows, without replacement: a top-n by hash, of which every task keeps n at most."""
-    return df.orderBy(order_key(key, seed), key).limit(n)
+    """At most n rows, without replacement: those of least hash.
+
+    Rows are counted by the first DIGITS of the hash, which gives the range that the n-th falls into: whole ranges below
+    it are taken as they are, and only rows of that one range, a 16 ** DIGITS-th of all, are ordered to cut it."""
+    hashed = order_key(key, seed)
+    head = F.substring(hashed, 1, DIGITS)
+    sizes = sorted(tuple(r) for r in df.groupBy(head.alias("head")).count().collect())  # 16 ** DIGITS rows at most
+    before, last = 0, None
+    for name, size in sizes:
+        if before + size > n:
+            last = name
+            break
+        before += size
+    if last is None:
+        return df
+    edge = df.filter(head == last).orderBy(hashed, key).limit(n - before)
+    return df.filter(head < last).union(edge) if before else edge
 
 
 def cap_entities(baskets: DataFrame, cap: int, seed: int) -> DataFrame:
     """At most `cap` baskets per entity in hash order; entity 0 is uncapped, cap 0 is off."""
     if not cap:
         return baskets
-    ranked = baskets.withColumn("_rank", F.row_number().over(Window.partitionBy("entity").orderBy(order_key("pid", seed), "pid")))
-    # entity 0 may hold most rows and needs no rank
+    ranked = baskets.filter("entity <> 0").withColumn("_rank", F.row_number().over(Window.partitionBy("entity").orderBy(order_key("pid", seed), "pid")))
+    # entity 0 may hold most rows and needs no rank; Spark keeps `cap` rows of an entity per task before it shuffles
     free = baskets.filter("entity = 0")
-    return free.unionByName(ranked.filter((F.col("entity") != 0) & (F.col("_rank") <= cap)).drop("_rank"))
+    return free.unionByName(ranked.filter(F.col("_rank") <= cap).drop("_rank"))
 
 
-def posting(rows: DataFrame, tid: int, full: bool = False, seed: int = 1, cap: int = POSTING_CAP) -> DataFrame:
-    """(pid) of the baskets with an item, at most `cap` of them unless full."""
+def posting(rows: DataFrame, tid: int | None, full: bool = False, seed: int = 1, cap: int = POSTING_CAP) -> DataFrame:
+    """(pid) of the baskets with an item, at most `cap` of them unless full; an error for an item outside the index."""
+    if tid is None:
+        raise KeyError("this item is not in the index")
     found = rows.filter(F.col("tid") == tid).select("pid").distinct()
     return found if full else take(found, cap, seed)
 
@@ -61,3 +80,24 @@ def sub_sample(
 def code_sample(baskets: DataFrame, anchors: Sequence[int], code: int, seed: int = 1, cap: int = SAMPLE_CAP) -> DataFrame:
     """Sample of one rating code: posting and rating alone."""
     return take(baskets.filter(has_all(anchors) & (F.col("rating") == code)), cap, seed)
+
+
+def is_small(n: int, m: float = 300, stop: int = 10) -> bool:
+    """Whether a sample of n baskets needs a wide one to smooth with."""
+    return n < stop * m
+
+
+class SampleCache:
+    """Samples by their condition, without the seed, kept in the executors' memory; beyond `most`, the oldest is released."""
+
+    def __init__(self, most: int = 24):
+        self.most, self.kept = most, {}
+
+    def get(self, key: Hashable, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self.kept:
+            while len(self.kept) >= self.most:
+                self.kept.pop(next(iter(self.kept))).unpersist()
+            self.kept[key] = make()
+        if not self.kept[key].storageLevel.useMemory:  # new, or released by others
+            self.kept[key].cache()
+        return self.kept[key]

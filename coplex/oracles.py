@@ -98,6 +98,8 @@ lift AS (
     SELECT rate.tag, least(4.0, greatest(0.25, ((coalesce(c, 0) + 300 * pb) / ((SELECT count(*) FROM {sample}) + 300)) / pb)) AS lift
     FROM rate LEFT JOIN (SELECT tag, count(*) AS c FROM (SELECT unnest(tags) AS tag FROM {sample}) GROUP BY tag) USING (tag))"""
 
+RULES = "('brand', 0, '^brand:'), ('type', 1, '^type:'), ('adj', 2, '^adj:'), ('noun', 3, '^noun:'), ('flag', 4, '^flag:[A-Z]$'), ('ret', 5, '^ret:[OF]$'), ('hid', 6, 'id:y$'), ('line', 7, '^line:'), ('letter', 8, '^(flag|line|ret):[A-Z]$')"
+
 UNIFORM = "((('0x' || substr(md5({0}), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,9 +118,39 @@ ORACLE_SQL: dict[str, str] = {
         WITH l AS (SELECT p_partkey, list_filter(list_transform(string_split(' ' || upper(p_name) || ' , ' || p_brand || ',,' || p_type, ','), lambda x: replace(lower(trim(x)), ' ', '_')), lambda x: x <> '') AS t FROM part)
         SELECT p_partkey, array_to_string(t, '|') AS listed, array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[A-Za-z0-9]') THEN replace(x, '_', ' ') ELSE x END), ', ') AS prompt FROM l""",
     "a8_document_tokens": """
-        SELECT lang, tag, count(*) AS n FROM (
-            SELECT lang, unnest(list_distinct(list_filter(string_split_regex(coalesce(text, ''), '[ \\n]+'), lambda x: x <> ''))) AS tag FROM documents)
-        GROUP BY lang, tag HAVING count(*) >= 3""",
+        SELECT rating, entity, tag, count(*) AS n FROM (
+            SELECT lang AS rating, source AS entity, unnest(list_distinct(list_filter(string_split_regex(coalesce(text, ''), '[ \\n]+'), lambda x: x <> ''))) AS tag FROM documents)
+        GROUP BY rating, entity, tag""",
+    "s9_stored_rates": f"""WITH {INDEX}
+        SELECT 'all' AS rating, tag, count(*) AS n FROM inc GROUP BY tag UNION ALL SELECT 'gs', tag, count(*) FROM inc WHERE rating IN ('g', 's') GROUP BY tag
+        UNION ALL SELECT 'e', tag, count(*) FROM inc WHERE rating = 'e' GROUP BY tag""",
+    "s10_stored_layouts": f"""WITH {INDEX},
+        pool AS (SELECT pid, tid FROM red WHERE (starts_with(tag, 'brand:') OR starts_with(tag, 'type:') OR starts_with(tag, 'adj:')) AND pid NOT IN (SELECT pid FROM red WHERE tag = 'brand:Brand#11')),
+        pr AS (SELECT a.tid AS a, b.tid AS b, count(*) AS n FROM pool a JOIN pool b ON a.pid = b.pid AND a.tid < b.tid GROUP BY ALL)
+        SELECT 'rows' AS layout, count(*) AS n, sum(pid)::BIGINT AS s, sum(tid)::BIGINT AS t FROM red
+        UNION ALL SELECT 'baskets', count(*), sum(pid)::BIGINT, sum(n_items)::BIGINT FROM bask
+        UNION ALL SELECT 'pairs', count(*), sum(a + b)::BIGINT, sum(n)::BIGINT FROM pr""",
+    "p17_facet_present": f"""WITH {INDEX},
+        rule(facet, ord, p) AS (VALUES {RULES}),
+        own AS (SELECT tag, min_by(facet, ord) AS facet FROM dict JOIN rule ON regexp_matches(tag, p) WHERE NOT (facet = 'noun' AND tag = 'noun:ring') GROUP BY tag)
+        SELECT facet, count(DISTINCT pid) AS n FROM red JOIN own USING (tag) GROUP BY facet""",
+    "p22_removal": f"WITH {INDEX} SELECT tag, n FROM dict WHERE starts_with(tag, 'adj:') AND NOT starts_with(tag, 'adj:b') AND NOT contains(tag, 'ee')",
+    "u4_differences": f"""WITH {INDEX}
+        SELECT pid, array_to_string(list_sort(list_filter(list_distinct(list_transform(tags, lambda x: split_part(x, ':', 1))), lambda x: x NOT IN ('ret', 'flag', 'line'))), ',') AS facets,
+               len(list_filter(tags, lambda x: x NOT IN ('line:O', 'type:ECONOMY')))::INT AS n_left FROM bask""",
+    "t9_small_samples": f"WITH {INDEX} SELECT tag, count(*) AS n, count(*) < 3000 AS small FROM red WHERE starts_with(tag, 'type:') GROUP BY tag",
+    "f5_anchors": f"""WITH {INDEX},
+        rule(facet, ord, p) AS (VALUES {RULES}),
+        m AS (SELECT tag, tid, facet, ord FROM dict JOIN rule ON regexp_matches(tag, p) WHERE tid % 9 = 0 AND NOT (facet = 'noun' AND tag = 'noun:ring')),
+        o AS (SELECT tag, tid, min_by(facet, ord) AS facet FROM m GROUP BY tag, tid),
+        t AS (SELECT facet, min_by(tag, tid) AS tag FROM o GROUP BY facet)
+        SELECT dict.tag, dict.tag IN (SELECT tag FROM m) AS owned, t.facet FROM dict LEFT JOIN t USING (tag) WHERE dict.tid % 9 = 0""",
+    "f13_json": f"""WITH {POST}, tags AS (SELECT pid, count(*) AS n FROM inc GROUP BY pid)
+        SELECT id, '{{"rating":"' || rating || '","n":' || coalesce(n, 0) || '}}' AS written FROM post LEFT JOIN tags ON pid = id""",
+    "r_act_frequencies": f"WITH {INDEX} SELECT tag, count(*) AS n FROM inc WHERE rating = 'e' AND starts_with(tag, 'type:') GROUP BY tag",
+    "r6_catalogue": f"""WITH {INDEX},
+        rule(facet, ord, p) AS (VALUES {RULES})
+        SELECT facet, ord, count(*) AS n_items, min_by(tag, tid) AS example FROM dict JOIN rule ON regexp_matches(tag, p) WHERE NOT (facet = 'noun' AND tag = 'noun:ring') GROUP BY facet, ord""",
     "a3_base_rates": f"""WITH {INDEX}
         SELECT tag, tid, dict.n AS n_all, nullif(count(*) FILTER (rating IN ('g', 's')), 0) AS n_gs, nullif(count(*) FILTER (rating = 'e'), 0) AS n_e FROM dict JOIN inc USING (tag) GROUP BY ALL""",
     "a7_baskets": f"WITH {INDEX} SELECT pid, n_items::INT AS n_items, items, rating::INT AS rating, entity::INT AS entity, segment_bits::INT AS segment_bits, costume_bits::INT AS costume_bits FROM bask",
@@ -142,10 +174,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT pid FROM k WHERE entity = 0 OR rn <= 20 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 400""",
     "b4_code_sample": f"WITH {INDEX} SELECT pid, rating::INT AS rating FROM bask WHERE list_contains(tags, 'flag:R') AND rating = 3 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 300",
     "f1_facets": f"""WITH {INDEX},
-        rule(facet, ord, p) AS (VALUES ('brand', 0, '^brand:'), ('type', 1, '^type:'), ('adj', 2, '^adj:'), ('noun', 3, '^noun:'), ('flag', 4, '^flag:[A-Z]$'), ('ret', 5, '^ret:[OF]$'), ('hid', 6, 'id:y$'), ('line', 7, '^line:'), ('letter', 8, '^(flag|line|ret):[A-Z]$'))
+        rule(facet, ord, p) AS (VALUES {RULES})
         SELECT tag, facet, ord FROM dict JOIN rule ON regexp_matches(tag, p) WHERE NOT (facet = 'noun' AND tag = 'noun:ring')""",
     "f3_exclusive": f"""WITH {INDEX},
-        rule(facet, ord, p) AS (VALUES ('brand', 0, '^brand:'), ('type', 1, '^type:'), ('adj', 2, '^adj:'), ('noun', 3, '^noun:'), ('flag', 4, '^flag:[A-Z]$'), ('ret', 5, '^ret:[OF]$'), ('hid', 6, 'id:y$'), ('line', 7, '^line:'), ('letter', 8, '^(flag|line|ret):[A-Z]$'))
+        rule(facet, ord, p) AS (VALUES {RULES})
         SELECT tag, min_by(facet, ord) AS facet FROM dict JOIN rule ON regexp_matches(tag, p) WHERE NOT (facet = 'noun' AND tag = 'noun:ring') GROUP BY tag""",
     "t6_autocomplete": f"""WITH {INDEX}, h AS (SELECT * FROM dict WHERE contains(tag, 'r') ORDER BY n DESC, tid LIMIT 30)
         SELECT row_number() OVER (ORDER BY NOT starts_with(tag, 'r'), length(tag), n DESC, tid)::INT AS place, tag, n FROM h""",
@@ -154,6 +186,8 @@ ORACLE_SQL: dict[str, str] = {
     "m3_ladder": f"WITH {LADDER} SELECT tag, round(coalesce(k_top, 0), 6) AS k_top, round(coalesce(p, 0), 6) AS p FROM {BRANDS} LEFT JOIN lad USING (tag)",
     "m8_candidates": f"""WITH {LADDER}, r AS (SELECT tag, tid, p, p / (n / (SELECT count(*) FROM post)) AS lift, k_top FROM lad JOIN dict USING (tag) WHERE p > 0)
         SELECT tag, round(p, 6) AS conf, round(lift, 6) AS lift, round(k_top, 6) AS k FROM r ORDER BY p * pow(lift, 0.8) DESC, tid LIMIT 12""",
+    "f12_rounding": f"""WITH {LADDER}, r AS (SELECT tag, tid, p, p / (n / (SELECT count(*) FROM post)) AS lift, k_top FROM lad JOIN dict USING (tag) WHERE p > 0)
+        SELECT tag, round(p, 4) AS conf, round(lift, 2) AS lift, round(k_top)::INT AS k FROM r ORDER BY p * pow(lift, 0.8) DESC, tid LIMIT 12""",
     "m5_none": f"WITH {FLAGSHIP}{_ANY} " + " UNION ALL ".join(f"SELECT '{k}' AS facet, round({v}_well.p, 6) AS p_any, round(greatest(0.05, 1 - {v}_well.p), 6) AS p_none, round({v}_abs.p, 6) AS p_any_absent FROM {v}_well, {v}_abs" for k, v in _FACETS.items()),
     "m6_anchor_lift": f"WITH {WIDE}{LIFT.format(brands=BRANDS, sample='small')} SELECT tag, round(lift, 6) AS lift FROM lift",
     "m7_prior": f"""WITH {WIDE}{LIFT.format(brands=BRANDS, sample="(SELECT * FROM wide WHERE list_contains(tags, 'hid:y') AND rating = 0)")}
@@ -184,7 +218,11 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY -ln({UNIFORM.format("'7#' || facet || '#' || tid::VARCHAR")}) / weight, tid) AS place FROM d)
         SELECT facet, tag, place::INT AS place FROM r WHERE place <= 3""",
     "b6_random_anchor": f"""WITH {INDEX},
-        d AS (SELECT tag, tid, n, sqrt(n) AS weight FROM dict WHERE starts_with(tag, 'type:') AND n >= 300),
-        r AS (SELECT *, sum(weight) OVER (ORDER BY tid) AS run, {UNIFORM.format("'3#anchor'")} * sum(weight) OVER () AS goal FROM d)
-        SELECT tag, n FROM r WHERE run >= goal ORDER BY run LIMIT 1""",
+        d AS (SELECT tag, tid, n, sqrt(n) AS weight FROM dict WHERE starts_with(tag, 'adj:') AND n >= 300 AND tid <= 110),
+        r AS (SELECT *, sum(weight) OVER (ORDER BY tid) AS run, sum(weight) OVER () AS total FROM d),
+        t AS (SELECT t AS try, {UNIFORM.format("'3#anchor#' || t")} AS u FROM range(12) AS s(t)),
+        x AS (SELECT try, min_by(tag, run) AS tag, min_by(n, run) AS n FROM t JOIN r ON run >= u * total GROUP BY try),
+        m AS (SELECT tag, count(*) AS m FROM (SELECT unnest(tags) AS tag FROM bask WHERE segment_bits & 4 <> 0 AND NOT list_contains(tags, 'brand:Brand#11')) GROUP BY tag),
+        j AS (SELECT *, ends_with(tag, 'n') OR starts_with(tag, 'adj:b') OR coalesce(m, 0) < 300 AS bad FROM x LEFT JOIN m USING (tag))
+        SELECT tag, n, try FROM j ORDER BY bad, CASE WHEN bad THEN -try ELSE try END LIMIT 1""",
 }

@@ -3,8 +3,8 @@
 A query is a list of items that baskets should carry and of facets that should be empty. Baskets are scored by the
 idf of what they match; tiers are the baskets at or above a score. From the narrowest tier outwards, geometric steps
 give a few levels; each level's counts (with entities weighted down that are too frequent in it) are smoothed with
-the next wider one. Every step over baskets is a Spark aggregation; what comes to the driver is one row per query
-item, per distinct score and per level, of which there are at most 2 ** items and six.
+the next wider one. Every step over baskets is a Spark aggregation; what comes to the driver is one row per combination
+of matched items and per level, of which there are at most 2 ** items (or the sample's baskets) and six.
 """
 
 from __future__ import annotations
@@ -40,9 +40,13 @@ class Level:
 class Tiers:
     scored: DataFrame
     levels: list[Level]
-    n_tiers: int
+    sizes: list[int]
     m: float
 
+    @property
+    def n_tiers(self) -> int:
+        return len(self.sizes)
+
 
 def mask(item: Item) -> Column:
     kind, value = item
@@ -55,7 +59,7 @@ def idf(n: int, count: int) -> int:
 
 def step_sizes(sizes: Sequence[int], m: float) -> list[int]:
     """The first tier of 1, m/10, m/3, m, 3m and 10m baskets, each once; the widest where none is that large."""
-    picks = [next((s for s in sizes if s >= least), sizes[-1]) for least in (1, m / 10, m / 3, m, 3 * m, 10 * m)]
+    picks = [next((s for s in sizes if s >= least), sizes[-1]) for least in (1, m // 10, m // 3, m, 3 * m, 10 * m)]
     return list(dict.fromkeys(picks))
 
 
@@ -75,18 +79,26 @@ def weighted(t: Tiers) -> DataFrame:
 
 
 def tiers(sample: DataFrame, items: Sequence[Item], m: float = M) -> Tiers:
-    """Scores a sample (pid, items, entity, n_items) and picks the levels. Items of no positive idf drop out."""
-    found = sample.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(mask(x)).alias(f"c{i}") for i, x in enumerate(items))).first()
-    n = found["n"]
-    worth = [(mask(x), idf(n, found[f"c{i}"])) for i, x in enumerate(items)] if n else []
-    score = sum((F.when(hit, F.lit(v)).otherwise(0) for hit, v in worth if v > 0), F.lit(0))
-    scored = sample.withColumn("score", score.cast("int")).cache()  # read once per count below; of the sample's size
+    """Scores a sample (pid, items, entity, n_items) and picks the levels. Items of no positive idf drop out.
+
+    One aggregation counts the baskets of each combination of matched items, which gives counts, scores and tiers."""
+    if len(items) > 62:
+        raise ValueError("a query has at most 62 items")
+    matched = sum((F.when(mask(x), F.lit(1 << i).cast("long")).otherwise(0) for i, x in enumerate(items)), F.lit(0).cast("long"))
+    found = [(r["matched"], r["count"]) for r in sample.groupBy(matched.alias("matched")).count().collect()]
+    n = sum(c for _, c in found)
+    worth = [idf(n, sum(c for bits, c in found if bits >> i & 1)) for i in range(len(items))] if n else []
+    score = sum((F.when(mask(x), F.lit(v)).otherwise(0) for x, v in zip(items, worth, strict=False) if v > 0), F.lit(0))
+    by_score: dict[int, int] = {}
+    for bits, c in found:
+        key = sum(v for i, v in enumerate(worth) if v > 0 and bits >> i & 1)
+        by_score[key] = by_score.get(key, 0) + c
     sizes, total = [], 0
-    for r in sorted(scored.groupBy("score").count().collect(), key=lambda r: -r["score"]):
-        total += r["count"]
-        sizes.append((total, r["score"]))
+    for key in sorted(by_score, reverse=True):
+        total += by_score[key]
+        sizes.append((total, key))
     cut_of = dict(sizes)
-    made = Tiers(scored, [Level(cut_of[s], s) for s in step_sizes([s for s, _ in sizes], m)] if sizes else [], len(sizes), m)
+    made = Tiers(sample.withColumn("score", score.cast("int")), [Level(cut_of[s], s) for s in step_sizes([s for s, _ in sizes], m)] if sizes else [], [s for s, _ in sizes], m)
     if made.levels:
         for r in weighted(made).groupBy("level").agg(F.sum("w").alias("n")).collect():
             made.levels[r["level"]].n = r["n"]
@@ -125,19 +137,38 @@ def ladder(t: Tiers, pool: Sequence[int], base: DataFrame | None = None) -> Data
     return out.select("tid", F.lit(n[0]).alias("n_top"), F.coalesce("k_top", F.lit(0.0)).alias("k_top"), (F.coalesce("s", F.lit(0.0)) + F.lit(rest) * F.coalesce("base", F.lit(0.0))).alias("p"))
 
 
-def any_ladder(t: Tiers, pool: Sequence[int], well: int = 0, absent: Sequence[int] = (), base: float | None = None) -> float:
-    """P(any of the pool) by the same ladder. well: only baskets of that many items count. absent: only baskets with
-    the pool or with one of these count. It stops on its own counts."""
+@dataclass(frozen=True)
+class Ask:
+    """Any item of the pool, among baskets of `well` items or more; with absent items, among baskets that have an item of
+    the pool or one of these."""
+
+    pool: tuple[int, ...]
+    well: int = 0
+    absent: tuple[int, ...] = ()
+
+
+def any_ladders(t: Tiers, asks: Sequence[Ask], bases: Sequence[float | None] = ()) -> list[float]:
+    """P(any of the pool) of each ask by the same ladder, in one aggregation. Each stops on its own counts."""
+    bases = list(bases) or [None] * len(asks)
     if not t.levels:
-        return 0.0 if base is None else base
-    hit = has_any(list(pool))
-    counted = (hit | has_any(list(absent))) if absent else (F.col("n_items") >= well)
-    rows = weighted(t).groupBy("level").agg(F.sum(F.when(hit & counted, F.col("w")).otherwise(0.0)).alias("a"), F.sum(F.when(counted, F.col("w")).otherwise(0.0)).alias("n")).collect()
-    by_level = {r["level"]: (r["a"], r["n"]) for r in rows}
-    pairs = [by_level.get(i, (0.0, 0.0)) for i in range(len(t.levels))]
-    pairs = pairs[: kept_levels([n for _, n in pairs], t.m)]
-    c, rest = coefficients([n for _, n in pairs], t.m, base is not None)
-    return sum(x * a for x, (a, _) in zip(c, pairs, strict=True)) + rest * (base or 0.0)
+        return [b or 0.0 for b in bases]
+    sums = []
+    for i, x in enumerate(asks):
+        hit = has_any(list(x.pool))
+        counted = (hit | has_any(list(x.absent))) if x.absent else (F.col("n_items") >= x.well)
+        sums += [F.sum(F.when(hit & counted, F.col("w")).otherwise(0.0)).alias(f"a{i}"), F.sum(F.when(counted, F.col("w")).otherwise(0.0)).alias(f"n{i}")]
+    by_level = {r["level"]: r for r in weighted(t).groupBy("level").agg(*sums).collect()}
+    out = []
+    for i, base in enumerate(bases):
+        pairs = [(by_level[j][f"a{i}"], by_level[j][f"n{i}"]) if j in by_level else (0.0, 0.0) for j in range(len(t.levels))]
+        pairs = pairs[: kept_levels([n for _, n in pairs], t.m)]
+        c, rest = coefficients([n for _, n in pairs], t.m, base is not None)
+        out.append(sum(x * a for x, (a, _) in zip(c, pairs, strict=True)) + rest * (base or 0.0))
+    return out
+
+
+def any_ladder(t: Tiers, pool: Sequence[int], well: int = 0, absent: Sequence[int] = (), base: float | None = None) -> float:
+    return any_ladders(t, [Ask(tuple(pool), well, tuple(absent))], [base])[0]
 
 
 def none_prob(t: Tiers, pool: Sequence[int], well: int = WELL_TAGGED, absent: Sequence[int] = (), prior: Tiers | None = None) -> float:
@@ -164,15 +195,15 @@ def prior_for(prior: Tiers, pool: Sequence[int], lifts: DataFrame | None = None)
     return found.join(lifts, "tid", "left").select("tid", F.least(F.lit(1.0), F.col("p") * F.coalesce("lift", F.lit(1.0))).alias("base"))
 
 
-def candidates(found: DataFrame, rates: DataFrame, total: int, exclude: Sequence[int] = (), beta: float = BETA, lift_min: float = 0.0, top: int | None = 12) -> DataFrame:
-    """(tid, conf, lift, k), the best `top` by conf * lift ** beta; ties by tid. A top-k report."""
+def candidates(found: DataFrame, rates: DataFrame, total: int, exclude: Sequence[int] = (), beta: float | None = BETA, lift_min: float = 0.0, top: int | None = 12) -> DataFrame:
+    """(tid, conf, lift, k), the best `top` by conf * lift ** beta (by conf without beta); ties by tid. A top-k report."""
     pb = F.col("n") / F.lit(float(total))
     lift = F.when(pb > 0, F.col("p") / pb).otherwise(0.0)
     kept = found.join(rates.select(F.col("tid").cast("int").alias("tid"), "n"), "tid", "left").withColumn("lift", F.coalesce(lift, F.lit(0.0)))
     kept = kept.filter((F.col("p") > 0) & (F.col("lift") >= lift_min))
     if exclude:
         kept = kept.filter(~F.col("tid").isin([int(x) for x in exclude]))
-    ranked = kept.orderBy(F.desc(F.col("p") * F.pow("lift", F.lit(beta))), "tid")
+    ranked = kept.orderBy(F.desc(F.col("p") * F.pow("lift", F.lit(beta or 0.0))), "tid")
     return (ranked.limit(top) if top else ranked).select("tid", F.col("p").alias("conf"), "lift", F.col("k_top").alias("k"))
 
 

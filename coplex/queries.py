@@ -5,17 +5,19 @@ Orders stand for posts, attributes of their lines and parts for tags, customer g
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from coplex.functions import edge
 from coplex.functions import facets as fx
 from coplex.operators import counts as ct
 from coplex.operators import predicates as pr
 from coplex.operators import samples as sm
 from coplex.plans import ladder as L
 from coplex.plans import roll as R
+from coplex.sources import index as ix
 from coplex.sources import manifest as mf
 from coplex.sources import posts as ps
 
@@ -30,36 +32,48 @@ RULES = [
 ]
 
 
+TABLES = ["lineitem", "part", "orders", "customer", "nation", "region"]
+SETTINGS = ix.Settings(SINCE, BASE_TAG, TID_CUT, tuple(REGIONS), tuple(SEGMENTS), ("line:O",), ("brand:Brand#11",), ("brand:", "type:", "adj:"))
+#: Samples of all queries, by application, index and condition.
+SAMPLES = sm.SampleCache()
+
+
 class World:
-    """The index over one folder of tables; made anew for each query."""
+    """The stored index over one folder of tables, and samples of its baskets."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.posts = ps.posts_from_orders(spark, sf_dir).cache()
-        self.inc = ps.incidence(self.posts).cache()
-        self.tags = ps.dictionary(self.inc).cache()
-        self.first_id = ps.id_cut(self.posts, SINCE).first()["id_since"] or 0
-        self.rows = ps.reduced(self.inc, self.tags, self.first_id, BASE_TAG, TID_CUT)
-        bits = self.posts.select(
-            F.col("id").alias("pid"),
-            pr.packed_bits([F.col("segment") == x for x in SEGMENTS]).alias("costume_bits"),
-            pr.packed_bits([F.array_contains("copyright_tags", x) for x in REGIONS]).alias("segment_bits"),
-        )
-        self.baskets = ps.baskets(self.rows).join(ps.entity_ids(self.posts), "pid").join(bits, "pid").cache()
+        self.index = ix.opened(spark, sf_dir, ps.posts_from_orders(spark, sf_dir), TABLES, SETTINGS)
+        self.tags, self.rows, self.baskets = (self.index.table(x) for x in ("tags", "rows", "baskets"))
         self.names = {r["tid"]: r["tag"] for r in self.tags.filter(F.col("tid") <= TID_CUT).collect()}  # TID_CUT rows
         self.tid = {v: k for k, v in self.names.items()}
 
     def pool(self, prefix: str) -> list[int]:
         return sorted(k for k, v in self.names.items() if v.startswith(prefix))
 
+    def rated(self, rating: str = "all") -> DataFrame:
+        """(tag, n) of a rating."""
+        return self.index.table("rates").filter(F.col("rating") == rating).select("tag", "n")
+
     def rates(self, rating: str = "all") -> DataFrame:
-        return ct.base_rates(self.inc, rating).join(self.tags.select("tag", "tid"), "tag").select("tid", "n")
+        return self.rated(rating).join(self.tags.select("tag", "tid"), "tag").select("tid", "n")
+
+    def consts(self) -> dict[str, int]:
+        return self.index.table("consts").first().asDict()
 
     def total(self, rating: str = "all") -> int:
-        return ct.population_size(self.posts, rating).first()["n"]
+        return self.consts()[f"n_{rating}"]
+
+    def sample(self, *condition, **more) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.index.path, repr(condition), repr(sorted((k, v) for k, v in more.items() if k != "seed")))
+        return SAMPLES.get(key, lambda: sm.sub_sample(self.baskets, *condition, **more))
+
+    def coded(self, anchors: list[int], code: int) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.index.path, "code", repr(anchors), code)
+        return SAMPLES.get(key, lambda: sm.code_sample(self.baskets, anchors, code))
 
     def wide(self, **more) -> DataFrame:
-        return sm.sub_sample(self.baskets, excluded=[self.tid["brand:Brand#11"]] if "brand:Brand#11" in self.tid else [], **more).cache()
+        return self.sample(excluded=[self.tid["brand:Brand#11"]] if "brand:Brand#11" in self.tid else [], **more)
 
     def named(self, df: DataFrame) -> DataFrame:
         return df.join(self.tags.select(F.col("tid").cast("int").alias("tid"), "tag"), "tid").drop("tid")
@@ -82,14 +96,26 @@ def p10_segment_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", pr.packed_bits(conditions).alias("bits"), F.size(g).alias("n_tags"), F.try_element_at("character_tags", F.lit(1)).alias("entity_name"))
 
 
-def a2_id_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ps.posts_from_orders(spark, sf_dir)
-    sizes = p.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("rating").isin("g", "s")).alias("n_gs"), F.count_if(F.col("rating") == "e").alias("n_e"))
-    return ps.id_cut(p, SINCE).crossJoin(sizes)  # one row each
+def a2_id_cut(w: World) -> DataFrame:
+    return w.index.table("consts").select("id_since", "n_all", "n_gs", "n_e")
 
 
 def a3_base_rates(w: World) -> DataFrame:
-    return w.tags.select("tag", "tid", F.col("n").alias("n_all")).join(ct.base_rates(w.inc, "gs").withColumnRenamed("n", "n_gs"), "tag", "left").join(ct.base_rates(w.inc, "e").withColumnRenamed("n", "n_e"), "tag", "left")
+    all_rates = w.tags.select("tag", "tid", F.col("n").alias("n_all"))
+    return all_rates.join(w.rated("gs").withColumnRenamed("n", "n_gs"), "tag", "left").join(w.rated("e").withColumnRenamed("n", "n_e"), "tag", "left")
+
+
+def s9_stored_rates(w: World) -> DataFrame:
+    """Base rates as written, read through a view."""
+    w.index.views()
+    return w.spark.sql("SELECT rating, tag, n FROM coplex_rates WHERE n > 0")
+
+
+def s10_stored_layouts(w: World) -> DataFrame:
+    """Rows, distinct keys and sums of the stored layouts."""
+    rows, baskets, pairs = w.rows, w.baskets, w.index.table("pairs")
+    count = lambda name, df, *sums: df.agg(F.lit(name).alias("layout"), F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(y) for x, y in zip(sums, ("s", "t"), strict=True)))
+    return count("rows", rows, F.col("pid"), F.col("tid")).union(count("baskets", baskets, F.col("pid"), F.col("n_items"))).union(count("pairs", pairs, F.col("a") + F.col("b"), F.col("n_ab")))
 
 
 def w1_entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +229,10 @@ def m8_candidates(w: World) -> DataFrame:
 
 def m5_none(w: World) -> DataFrame:
     t, _ = _flagship(w)
-    rows = [(p, L.any_ladder(t, w.pool(p), WELL), L.none_prob(t, w.pool(p), WELL), L.any_ladder(t, w.pool(p), 0, w.pool("flag:A"))) for p in ("brand:Brand#1", "hid:", "adj:r")]
+    pools = {p: tuple(w.pool(p)) for p in ("brand:Brand#1", "hid:", "adj:r")}
+    asks = [x for p in pools.values() for x in (L.Ask(p, WELL), L.Ask(p, 0, tuple(w.pool("flag:A"))))]
+    found = L.any_ladders(t, asks)
+    rows = [(name, found[2 * i], max(L.NONE_LEAST, 1 - found[2 * i]), found[2 * i + 1]) for i, name in enumerate(pools)]
     df = w.spark.createDataFrame(rows, "facet string, p_any double, p_none double, p_any_absent double")
     return df.select("facet", *(F.round(x, 6).alias(x) for x in ("p_any", "p_none", "p_any_absent")))
 
@@ -227,22 +256,18 @@ def m9_pair_share(w: World) -> DataFrame:
     return w.spark.createDataFrame(rows, "kind string, p double").select("kind", F.round("p", 6).alias("p"))
 
 
-def _solo(w: World) -> DataFrame:
-    return pr.carrying_all(w.rows, [w.tid["line:O"]]).join(sm.posting(w.rows, w.tid["brand:Brand#11"], full=True), "pid", "left_anti")
-
-
 def a5_pairs(w: World) -> DataFrame:
     pool = w.pool("brand:") + w.pool("type:")
     one = w.tags.select(F.col("tid").alias("a"), F.col("tag").alias("tag_a"))
     two = w.tags.select(F.col("tid").alias("b"), F.col("tag").alias("tag_b"))
-    return ct.pair_table(w.rows, _solo(w), pool).join(one, "a").join(two, "b").select(F.least("tag_a", "tag_b").alias("tag_a"), F.greatest("tag_a", "tag_b").alias("tag_b"), "n_ab")
+    pairs = w.index.table("pairs").filter(F.col("a").isin(pool) & F.col("b").isin(pool))
+    return pairs.join(one, "a").join(two, "b").select(F.least("tag_a", "tag_b").alias("tag_a"), F.greatest("tag_a", "tag_b").alias("tag_b"), "n_ab")
 
 
 def m10_pair_lift(w: World) -> DataFrame:
     brands, types = w.pool("brand:"), w.pool("type:")
-    pairs, singles = ct.pair_table(w.rows, _solo(w), brands + types), ct.single_counts(w.rows, _solo(w), brands + types)
     asked = w.spark.createDataFrame([(a, b) for a in types for b in brands], "x int, y int")
-    found = ct.pair_lifts(asked, pairs, singles, _solo(w).count())
+    found = ct.pair_lifts(asked, w.index.table("pairs"), w.index.table("singles"), w.consts()["pair_total"])
     total = found.groupBy("x").agg(F.product("lift").alias("product"), F.count("lift").alias("n"))
     return total.join(w.tags.select(F.col("tid").alias("x"), "tag"), "x").select("tag", "n", F.round(F.least(F.lit(20.0), F.greatest(F.lit(0.02), "product")), 6).alias("product"))
 
@@ -257,32 +282,140 @@ def g2_draw_several(w: World) -> DataFrame:
     return R.draw_several(weighted, 3, 7).select("facet", "tag", "place")
 
 
-def r_roll(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five modules as facet lists of one generic roll."""
-    w = World(spark, sf_dir)
-    brand, kinds, hid, ret, adj = (tuple(w.pool(x)) for x in ("brand:", "type:", "hid:", "ret:", "adj:"))
-    anchor = w.tid["type:ECONOMY"]
-    sample = sm.sub_sample(w.baskets, [anchor]).cache()
-    wide = w.wide().cache()
-    solo = _solo(w).cache()
-    pool = [*brand, *kinds, *adj]
-    pairs = {"pairs": ct.pair_table(w.rows, solo, pool).cache(), "singles": ct.single_counts(w.rows, solo, pool).cache(), "pair_total": solo.count()} if kind in ("scene", "pose", "expression") else {}
-    facets = {
-        "design": [R.Facet("brand", brand, required=True), R.Facet("hid", hid, none_in_query=True), R.Facet("ret", ret, none_in_query=True)],
-        "adult": [R.Facet("brand", brand, draws=2, whole_pool_none=False), R.Facet("hid", hid, whole_pool_none=False)],
-        "scene": [R.Facet("adj", adj, draws=2, adjust=True, whole_pool_none=False, fallback=adj), R.Facet("brand", brand, wide=True)],
-        "pose": [R.Facet("brand", brand, adjust=True, whole_pool_none=False), R.Facet("adj", adj, adjust=True, whole_pool_none=False)],
-        "expression": [R.Facet("adj", adj, draws=2, adjust=True, whole_pool_none=False, top=None)],
-    }[kind]
-    if kind == "adult":
-        sample = sm.code_sample(w.baskets, [anchor], 3)
-    return R.roll(sample, facets, w.rates("e" if kind == "adult" else "all"), w.total("e" if kind == "adult" else "all"), w.names, 11, [("tag", anchor)], prior=wide, well=WELL, any_fixed=kind == "design", exclude=[anchor], **pairs)
+def _facets(w: World) -> dict[str, R.Facet]:
+    """Facets of the rolls over this world's items; an item's exclusive facet is the first that has it."""
+    pools = {x: tuple(w.pool(f"{x}:")) for x in ("brand", "type", "adj", "noun", "flag", "ret", "hid")}
+    pools["rough"] = tuple(w.tid[x] for x in w.tid if x.startswith("adj:") and x < "adj:m")
+    first: dict[int, str] = {}
+    for name, pool in pools.items():
+        for t in pool:
+            first.setdefault(t, name)
+    return {name: R.Facet(name, pool, tuple(t for t in pool if first[t] == name)) for name, pool in pools.items()}
+
+
+def _scope(w: World, anchor: int, rating: str = "all", code: int | None = None) -> R.Scope:
+    if code is not None:
+        sample, wide = w.coded([anchor], code), lambda: w.coded([], code)
+    else:
+        sample, wide = w.sample([anchor]), w.wide
+    consts = w.consts()
+    return R.Scope.of(sample, wide, w.rates(rating), consts[f"n_{rating}"], w.names, pairs=w.index.table("pairs"), singles=w.index.table("singles"), pair_total=consts["pair_total"], well=WELL)
+
+
+def r_design(w: World) -> DataFrame:
+    """Anchored on a type; hid and ret join the questions when they come out empty; the ret facet is off by default and a mode
+    takes the flags away."""
+    f = _facets(w)
+    facets = [f["brand"], f["type"], replace(f["hid"], none_in_query=True), f["flag"], replace(f["ret"], none_in_query=True), replace(f["adj"], absent=tuple(w.pool("flag:A"))), f["noun"]]
+    anchors = [w.tid["type:ECONOMY"], w.tid["line:O"]]
+    options = R.Options(seed=11, must={"brand"}, fixed={"noun": ""}, gone=[w.tid[x] for x in ("adj:red",) if x in w.tid])
+    return R.roll_design(_scope(w, anchors[0]), facets, anchors, options, "bare", ["ret"], {"bare": ["flag"]}, ["brand"], w.tid["hid:y"])
+
+
+def r_adult(w: World) -> DataFrame:
+    """Acts are types, drawn by their frequency among rating e."""
+    f = _facets(w)
+    acts = R.act_weights(w.rated("e"), w.tags.filter(F.startswith("tag", F.lit("type:")))).orderBy(F.desc("n"), "tag").collect()  # as many as types
+    facets = [replace(f["brand"], draws_by_level={1: 1, 2: 2, 3: 3}), replace(f["hid"], draws_by_level={1: 0, 2: 1, 3: 1}), replace(f["flag"], role="clothes")]
+    design = [("adj", t) for t in w.pool("adj:")[:1]] + [("noun", t) for t in w.pool("noun:")[:1]]
+    strips = {t: ("noun",) for t in w.pool("brand:")}
+    return R.roll_adult(lambda act: _scope(w, act, "e", 3), facets, [(w.tid[a["tag"]], a["n"]) for a in acts if a["tag"] in w.tid], R.Options(seed=11, temperature=0.8), design=design, level=2, strips=strips)
+
+
+def r_act_frequencies(w: World) -> DataFrame:
+    return R.act_weights(w.rated("e"), w.tags.filter(F.startswith("tag", F.lit("type:")))).select("tag", "n")
+
+
+def r_scene(w: World) -> DataFrame:
+    """The background is an adjective, of which some are solid and one is removed; nouns frame; flags are the place, whose
+    fallback are the lines."""
+    f = _facets(w)
+    adj = f["adj"].pool
+    facets = [replace(f["noun"], role="frame"), replace(f["adj"], role="background", solid=adj[::2], umbrella=w.tid["hid:y"]), replace(f["ret"], pool=(), fallback=tuple(w.pool("flag:"))), f["brand"]]
+    return R.roll_scene(_scope(w, w.tid["type:ECONOMY"]), facets, [w.tid["type:ECONOMY"]], R.Options(seed=11), design=w.pool("flag:R"), wide=w.wide, removed=adj[:1])
+
+
+def r_pose(w: World) -> DataFrame:
+    f = _facets(w)
+    return R.roll_pose(_scope(w, w.tid["type:ECONOMY"]), [f["brand"], f["adj"], f["hid"], f["type"]], [w.tid["type:ECONOMY"]], R.Options(seed=11, must={"adj"}), w.pool("flag:R"))
+
+
+def r_expression(w: World) -> DataFrame:
+    f = _facets(w)
+    return R.roll_expression(_scope(w, w.tid["type:ECONOMY"]), [replace(f["adj"], draws=2), replace(f["brand"], draws=2), f["hid"]], [w.tid["type:ECONOMY"]], R.Options(seed=11), w.pool("flag:R"))
+
+
+def r6_catalogue(w: World) -> DataFrame:
+    """What the facets are: order, number of items, the most frequent item."""
+    found = f1_facets(w).join(w.tags, "tag")
+    return found.groupBy("facet", "ord").agg(F.count(F.lit(1)).alias("n_items"), F.min_by("tag", "tid").alias("example"))
+
+
+SEGMENT_LEAST, TRIES = 300, 12
 
 
 def b6_random_anchor(w: World) -> DataFrame:
-    """A type drawn by the root of its frequency, among those frequent enough."""
-    pool = w.tags.filter(F.startswith("tag", F.lit("type:")) & (F.col("n") >= 300)).withColumns({"facet": F.lit("anchor"), "weight": F.sqrt("n")})
-    return R.draw(pool, 3).select("tag", "n")
+    """An item of the adj facet that is frequent enough, drawn by the root of its frequency: of TRIES draws the first that is
+    no excluded class (suffix, prefix) and has SEGMENT_LEAST baskets in the segment, else the last."""
+    pool = w.tags.filter(F.startswith("tag", F.lit("adj:")) & (F.col("n") >= 300) & (F.col("tid") <= TID_CUT))
+    run = F.sum(F.sqrt("n")).over(Window.orderBy("tid").rowsBetween(Window.unboundedPreceding, 0))  # TID_CUT rows at most
+    reach = pool.withColumn("run", run).withColumn("total", F.sum(F.sqrt("n")).over(Window.partitionBy(F.lit(1))))
+    tries = w.spark.range(TRIES).select(F.col("id").alias("try"), sm.uniform(F.lit(3), F.lit("anchor"), F.col("id")).alias("u"))
+    # TRIES rows, each with the first of the pool that its number reaches
+    drawn = tries.join(F.broadcast(reach), F.col("run") >= F.col("u") * F.col("total")).groupBy("try").agg(F.min_by(F.struct("tid", "tag", "n"), "run").alias("x")).select("try", "x.*")
+    inside = w.baskets.filter(pr.any_bit(F.col("segment_bits"), pr.mask_of(["ASIA"], REGIONS)) & ~pr.has_any([w.tid["brand:Brand#11"]])).select(F.explode("items").alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("m"))
+    judged = drawn.join(inside, "tid", "left").withColumn("bad", F.endswith("tag", F.lit("n")) | F.startswith("tag", F.lit("adj:b")) | (F.coalesce("m", F.lit(0)) < SEGMENT_LEAST))
+    return judged.orderBy("bad", F.when(F.col("bad"), -F.col("try")).otherwise(F.col("try"))).limit(1).select("tag", "n", "try")
+
+
+def t9_small_samples(w: World) -> DataFrame:
+    """Baskets of each type's sample, and whether it needs a wide sample to smooth with."""
+    n = w.baskets.select(F.explode("items").alias("tid")).filter(F.col("tid").isin(w.pool("type:"))).groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    return w.named(n.select(F.col("tid").cast("int").alias("tid"), "n", (F.col("n") < L.STOP * L.M).alias("small")))
+
+
+def p17_facet_present(w: World) -> DataFrame:
+    """Baskets with any item that is exclusively of a facet."""
+    own = f3_exclusive(w).join(w.tags, "tag").select("facet", "tid")
+    hits = w.rows.join(own, "tid").select("facet", "pid").distinct()
+    return hits.groupBy("facet").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p22_removal(w: World) -> DataFrame:
+    """The adj pool without a configured list of items, and without those that need several lines."""
+    config = w.tags.filter(F.startswith("tag", F.lit("adj:b"))).select("tag")
+    several = w.tags.filter(F.startswith("tag", F.lit("adj:")) & F.contains("tag", F.lit("ee"))).select("tag")
+    return w.tags.filter(F.startswith("tag", F.lit("adj:"))).join(config, "tag", "left_anti").join(several, "tag", "left_anti").select("tag", "n")
+
+
+def u4_differences(w: World) -> DataFrame:
+    """Facets of each basket, less those off by default and off in a mode, and how many items are left without one picked."""
+    of = F.array_distinct(F.transform(F.col("tags"), lambda x: F.split(x, ":")[0]))
+    names = F.create_map(*[x for k, v in w.names.items() for x in (F.lit(k), F.lit(v))])
+    tagged = w.baskets.select("pid", F.transform("items", lambda x: names[x.cast("int")]).alias("tags"))
+    left = F.array_except(F.array_except(of, F.array(F.lit("ret"))), F.array(F.lit("flag"), F.lit("line")))
+    return tagged.select("pid", F.array_join(F.array_sort(left), ",").alias("facets"), F.size(F.array_except("tags", F.array(F.lit("line:O"), F.lit("type:ECONOMY")))).alias("n_left"))
+
+
+def f5_anchors(w: World) -> DataFrame:
+    """Every ninth item as an anchor: the facet that takes it, one anchor for each, and whether any has it."""
+    pools = f1_facets(w)
+    anchors = w.tags.filter("tid % 9 = 0").select(F.col("tid").alias("place"), "tag")
+    taken = fx.anchors_in(anchors, pools)
+    return fx.owned_anywhere(anchors.select("tag"), pools).join(taken, "tag", "left").select("tag", "owned", "facet")
+
+
+def f13_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baskets as JSON, parsed and written again."""
+    posts = ps.posts_from_orders(spark, sf_dir).select(F.to_json(F.struct("id", "rating", F.col("general_tags").alias("tags"))).alias("line"))
+    parsed = edge.parsed(posts, "line", "id long, rating string, tags array<string>")
+    return parsed.select("id", F.to_json(F.struct("rating", F.size("tags").alias("n"))).alias("written"))
+
+
+def f12_rounding(w: World) -> DataFrame:
+    """Candidates as they are shown: conf with 4 digits, lift with 2, k whole."""
+    t, pool = _flagship(w)
+    return w.named(edge.shown(L.candidates(L.ladder(t, pool), w.rates(), w.total()))).select("tag", "conf", "lift", "k")
 
 
 def s15_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,22 +424,14 @@ def s15_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second corpus: of each language, the words found in 3 documents or more, and in how many.
-
-    The threshold is the registered SQL's; it leaves out 338,754 of 461,526 rows on sf0.1. Documents' entities and
-    baskets are not built."""
-    docs = ps.table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda x: x != ""))).alias("tag"))
-    return docs.groupBy("lang", "tag").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p10_segment_bits": p10_segment_bits,
-    "a2_id_cut": a2_id_cut,
-    "w1_entity_ids": w1_entity_ids,
-    "f7_normalise": f7_normalise,
-    "s15_manifest": s15_manifest,
-    "a8_document_tokens": a8_document_tokens,
-} | {f.__name__: _world(f) for f in (
-    a3_base_rates, a7_baskets, p11_mask_filter, p15_matches, j4_intersection, j5_exclusion, u_set_operations, t4_posting_sample, w2_entity_cap, b2_design_sample, b4_code_sample, f1_facets, f3_exclusive,
-    t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift, g1_draw, g2_draw_several, b6_random_anchor,
-)} | {f"r_{k}": partial(r_roll, k) for k in ("design", "adult", "scene", "pose", "expression")}
+    """Second corpus: documents as baskets of words. Of every language and source, the words and in how many documents."""
+    words = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda x: x != ""))
+    docs = ps.table(spark, sf_dir, "documents").select(F.col("lang").alias("rating"), F.col("source").alias("entity"), F.explode(words).alias("tag"))
+    return docs.groupBy("rating", "entity", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, s15_manifest, a8_document_tokens)} | {f.__name__: _world(f) for f in (
+    a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
+    b2_design_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
+    g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression,
+)}

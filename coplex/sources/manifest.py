@@ -13,7 +13,8 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """(name, size, sha256) per file."""
+    """(name, size, sha256) per file. A file is hashed in one piece in its task's memory, so it must be below 2 GB, as
+    the index's part files are."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 

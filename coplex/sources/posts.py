@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import ranked
+
+#: Most items that the dictionary may hand to every task of a join.
+MOST_TIDS = 100_000
+
 #: Letters of a rating and their codes.
 RATINGS = {"g": 0, "s": 1, "q": 2, "e": 3}
 
@@ -61,15 +66,17 @@ def id_cut(posts: DataFrame, since: str) -> DataFrame:
 
 
 def dictionary(inc: DataFrame) -> DataFrame:
-    """(tag, tid, n): tid is the rank by frequency, ties by name. Ranked over the counted tags, not over incidence."""
-    return inc.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).withColumn("tid", F.row_number().over(Window.orderBy(F.desc("n"), "tag"))).select("tag", "tid", "n")
+    """(tag, tid, n): tid is the rank by frequency, ties by name. Counted tags are ranked by ranges, not in one task."""
+    return ranked(inc.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "tid", F.desc("n"), F.col("tag")).select("tag", "tid", "n")
 
 
 def reduced(inc: DataFrame, tags: DataFrame, first_id: int, base_tag: str, tid_cut: int) -> DataFrame:
     """(pid, tid, rating) of baskets from first_id on that carry base_tag, for tags up to tid_cut."""
     population = inc.filter((F.col("tag") == base_tag) & (F.col("pid") >= first_id)).select("pid")
     kept = inc.filter(F.col("pid") >= first_id).join(population, "pid", "left_semi")
-    return kept.join(tags.filter(F.col("tid") <= tid_cut), "tag").select("pid", F.col("tid").cast("smallint").alias("tid"), "rating")
+    # at most tid_cut rows; joined by a shuffle, a tag in nearly every basket would be one hot key
+    cut = tags.filter(F.col("tid") <= tid_cut)
+    return kept.join(F.broadcast(cut) if tid_cut <= MOST_TIDS else cut, "tag").select("pid", F.col("tid").cast("smallint").alias("tid"), "rating")
 
 
 def write_item_major(rows: DataFrame, path: str) -> None:
@@ -85,8 +92,8 @@ def baskets(rows: DataFrame) -> DataFrame:
 
 
 def entity_ids(posts: DataFrame) -> DataFrame:
-    """(pid, entity): dense rank of a post's first character tag, 0 without one. Only distinct names are ranked."""
+    """(pid, entity): dense rank of a post's first character tag, 0 without one. Distinct names are ranked by ranges."""
     first = F.try_element_at("character_tags", F.lit(1))
     named = posts.select(F.col("id").alias("pid"), first.alias("name"))
-    ranks = named.filter("name IS NOT NULL").select("name").distinct().withColumn("entity", F.dense_rank().over(Window.orderBy("name")))
+    ranks = ranked(named.filter("name IS NOT NULL").select("name").distinct(), "entity", F.col("name"))
     return named.join(ranks, "name", "left").select("pid", F.coalesce("entity", F.lit(0)).alias("entity"))
