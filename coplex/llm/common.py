@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, as it lives on and other stages' workers need room too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def packed(docs: DataFrame) -> Column:
     """All columns of docs as one, so that no name of theirs can clash with one that an operator uses."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, staged
+from .common import give_back, packed, staged
 from .components import components
 
 WORDS = 5
@@ -39,10 +39,10 @@ VALUE = 2
 #: Recall that two sets at the threshold must have; at 0.9999 the last prefixes have seven values.
 TARGET_RECALL = 0.9999
 #: Members of a block: a sixteenth of its cluster's size class, within these.
-BLOCK = (128, 2048)
+BLOCK = (128, 1024)
 #: Rows of a block's matrix that are judged at a time, and columns of shingles that are multiplied at a time.
 STRIP, COLUMNS = 256, 2048
-#: Words whose hashes a Python worker remembers.
+#: Words whose hashes a task remembers.
 CACHED_WORDS = 200_000
 
 _rng = np.random.default_rng(20)
@@ -116,11 +116,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield made(at, held)
                 held, size, at = [], 0, at + len(held)
         yield made(at, held)
+    _hashes.clear()
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch({"node": batch.column(0), "shingles": pa.array([shingles(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())})
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            yield pa.record_batch({"node": part.column(0), "shingles": pa.array([shingles(x.as_py()).tobytes() for x in part.column(1)], pa.binary())})
+    _hashes.clear()
+    give_back()
 
 
 def overlaps(sets: list[np.ndarray], left: int, columns: int = COLUMNS) -> np.ndarray:
@@ -188,6 +194,9 @@ def _verify(threshold: float, depth: int):
             if (new == part).all():
                 break
             part = new
+        if n > BLOCK[0]:
+            del both, linked, sets
+            give_back()
         return pd.DataFrame({"node": node, "n_texts": texts, "n_links": docs, "expected": expected, "root": node[part]})
 
     return run

@@ -16,9 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .common import packed
 
 PASSAGE = 480
 #: Most labelled documents that the model is fitted on.
@@ -174,39 +171,34 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
     return fit(x, np.array([len(b) for b in bags], np.int64), np.array([r.quality for r in rows], np.float32))
 
 
-def _scored(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, held, size = [], [], 0
-            for x in batch.column(1):
-                held.append((x.as_py() or "").encode())
-                size += len(held[-1])
-                if size > SLICE:
-                    scores.append(model.score(held))
-                    held, size = [], 0
-            scores.append(model.score(held))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], names=["doc", "score"])
-
-    return run
+def score_of(model: Model, text: Column) -> Column:
+    """The score of each whole text, 0 to 1; null counts as empty. Only texts go to Python, and only scores come back."""
 
+    def run(texts):
+        scores, held, size = [], [], 0
+        for x in texts:
+            held.append((x.as_py() or "").encode())
+            size += len(held[-1])
+            if size > SLICE:
+                scores.append(model.score(held))
+                held, size = [], 0
+        scores.append(model.score(held))
+        return pa.array(np.concatenate(scores))
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(doc, score) per row of docs: all its columns in one, and the score of the whole text, 0 to 1; null counts as empty."""
-    both = docs.select(packed(docs), F.col(f"`{text_col}`").alias("text"))
-    return both.mapInArrow(_scored(model), T.StructType([both.schema["doc"], T.StructField("score", T.DoubleType())]))
+    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR)(text)
 
 
 def with_quality(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
     """docs with a column of that name: the score of each whole text, 0 to 1. Null texts count as empty, which has a
     score too; a column that has the name already is replaced; repeated rows are scored each; an empty table stays empty."""
     rest = [c for c in docs.columns if c != name]
-    return scored(docs, model, text_col).select(*(F.col("doc").getField(c).alias(c) for c in rest), F.col("score").alias(name))
+    return docs.select(*(F.col(f"`{c}`") for c in rest), score_of(model, F.col(f"`{text_col}`")).alias(name))
 
 
 def keep_quality(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs whose whole text scores `least` or more, all columns as they are, whatever their names. Null and
     empty texts are judged by the score of an empty text, repeated rows alike; an empty table stays empty."""
-    return scored(docs, model, text_col).filter(F.col("score") >= least).select("doc.*")
+    return docs.filter(score_of(model, F.col(f"`{text_col}`")) >= least)
 
 
 def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

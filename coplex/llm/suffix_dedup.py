@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, staged
+from .common import give_back, packed, staged
 from .gsaca import repeated_starts
 
 LENGTH, K = 200, 80
@@ -126,6 +126,7 @@ def _anchors(length: int, k: int):
                     held, rows = [], 0
         if held:
             yield made(held)
+        give_back()
 
     def made(held: list[tuple]) -> pa.RecordBatch:
         h, c, i, at, first, stop = map(np.concatenate, zip(*held, strict=True))
@@ -240,6 +241,7 @@ def _sort_contexts(length: int, k: int, symbols: int):
         if held:
             finish()
         yield made()
+        give_back()
 
     return run
 

@@ -19,12 +19,18 @@ from coplex.llm.quality_mil import fit_quality, keep_quality
 from coplex.llm.suffix_dedup import drop_repeats
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand at a time, so that batches stay small beside an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5 go.
 
     It learns from the labelled rows of docs and of the labels table that are not held out, and scores every whole text,
     null as empty. Repeated rows are judged alike; an empty table stays empty; columns are never renamed or read for
     scores. Without a label of either kind every document gets the smoothed share of label 1, so all of them stay or go."""
+    _small_batches(spark)
     return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -33,6 +39,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are equal, a null identifier is lower than any other, and of rows alike in that the first in the
     table's order stays. An empty table stays empty; other columns, whatever their names, come through."""
+    _small_batches(spark)
     return keep_one(docs, keep="largest")
 
 
@@ -41,6 +48,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Texts without a word are in no class and stay; a null identifier is higher than any other, and of rows alike in that
     the first in the table's order stays. An empty table stays empty; other columns, whatever their names, come through."""
+    _small_batches(spark)
     return keep_one_of_class(docs)
 
 
@@ -49,6 +57,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Every row stays, with an empty text if all of it goes, as the texts of repeated rows do; a null text stays null, with
     n_chars 0. An empty table stays empty; other columns, whatever their names, come through."""
+    _small_batches(spark)
     kept = drop_repeats(docs)
     count = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     return kept.select(*(count.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in kept.columns))
@@ -59,6 +68,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text gives the end token alone; repeated rows are packed each; an empty table gives no pieces; other
     columns are not read."""
+    _small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=200_000)  # other stages' workers need room too
 
 
