@@ -174,7 +174,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
 def score_of(model: Model, text: Column) -> Column:
     """The score of each whole text, 0 to 1; null counts as empty. Only texts go to Python, and only scores come back."""
 
-    def run(texts):
+    def run(texts: pa.Array) -> pa.Array:
         scores, held, size = [], [], 0
         for x in texts:
             held.append((x.as_py() or "").encode())
@@ -185,7 +185,7 @@ def score_of(model: Model, text: Column) -> Column:
         scores.append(model.score(held))
         return pa.array(np.concatenate(scores))
 
-    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR)(text)
+    return F.arrow_udf(run, "double")(text)
 
 
 def with_quality(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:

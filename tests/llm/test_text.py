@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers as tokenizers
+import numpy as np
 import pytest
 
 from coplex.llm import byte_bpe, lm_scoring, packing, quality_mil, quality_rules
@@ -225,3 +226,93 @@ def test_templates_of_small_hosts_and_layouts(spark):
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Own words of page {i}." for i in [*range(9), *range(100, 190)])
     assert got[300] == "A text that has copies." and got[320] == "A text that has 20."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<a " * 300_000, None),
+        ('<a"' * 300_000, None),
+        ("<i><h2>x" * 100_000, "\n\n".join(["x"] * 100_000)),
+        ("<i>" * 200_000 + "x", "x"),
+        ("<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, ""),
+        ("<a " + "a" * 1_000_000 + " b=c>x", "x"),
+        ("&#" + "9" * 10_000 + ";", "�"),
+        ("&#" + "0" * 10_000 + "65;&#x" + "0" * 9_000 + "42;", "AB"),
+    ],
+)
+def test_parsing_takes_linear_time(html, text):
+    import time
+
+    began = time.thread_time()
+    got = Page(html).text(set())
+    assert time.thread_time() - began < 10
+    assert got == (" ".join(html.split()) if text is None else text)
+
+
+def test_inline_elements_are_no_templates(spark):
+    page = lambda i: (i, "http://i.org/x", f"<article><p>First line {i}<br>second line {i}</p><p>Price: <b>free</b> for <span class=x>plan</span> {i}.</p></article><div>On <em>every</em> page</div>")
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame([page(i) for i in range(30)], "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"First line {i} second line {i}\n\nPrice: free for plan {i}." for i in range(30))
+
+
+def test_templates_against_brute_force(spark):
+    from coplex.llm import html_text as H
+
+    rng, pages = np.random.default_rng(3), []
+    for i in range(120):
+        host = f"h{i % 4}.org"
+        parts = [f"<div><p>part {k} of {host}</p></div>" for k in rng.choice(8, 3, replace=False)]
+        pages.append((i, f"http://{host}/{i}", f"<body>{''.join(parts)}<p>own {i}</p></body>"))
+    got = H.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    counts, sizes = defaultdict(Counter), Counter()
+    for _, url, source in pages:
+        host = url.split("/")[2]
+        sizes[host] += 1
+        counts[host].update(Page(source).subtrees())
+    for r in got:
+        often = {h for h, n in counts[r.host].items() if n >= H.LEAST_PAGES and n > H.OUTER_RATIO * sizes[r.host]}
+        strict = {h for h in often if counts[r.host][h] > H.RATIO * sizes[r.host]}
+        assert set(r.templates) == strict and set(r.common) == often - strict
+    assert {r.host for r in got} == set(sizes)
+
+
+def test_gated_attention_against_brute_force():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (0, 1, 479, 480, 481, 3000)]
+    x, counts = quality_mil.encode_passages(texts)
+    model = quality_mil.fit(np.concatenate([x, x]), np.concatenate([counts, counts]), np.array([0, 1] * len(texts), np.float32))
+    got, w, at = model.score(texts), model.weights, 0
+    for score, n in zip(got, counts):
+        rows = np.clip((x[at : at + n] - model.mean) / model.scale, -6, 6)
+        h = [np.tanh(r @ w["W"] + w["b"]) for r in rows]
+        logit = [float((np.tanh(v @ w["V"]) / (1 + np.exp(-(v @ w["U"])))) @ w["g"]) for v in h]
+        share = np.exp(np.array(logit) - max(logit))
+        z = sum(a * v for a, v in zip(share / share.sum(), h))
+        assert score == pytest.approx(1 / (1 + np.exp(-(z @ w["o"] + w["c"]))), abs=1e-4)
+        at += n
+
+
+def test_model_scores_against_brute_force():
+    # every position attends to what stands before it in its window, one at a time
+    rng = np.random.default_rng(2)
+
+    class Few:
+        size, end, pad = 42, 40, 41
+        start = np.ones(42, bool)
+
+    model = lm_scoring.new_model(rng.normal(size=(42, 3 * lm_scoring.CODE)).astype(np.float32), np.ones(42), Few)
+    model.share = lm_scoring.shares(rng.integers(0, 9, 42).astype(float), model.class_of, Few.end)
+    model.weights["bias"] = rng.normal(size=2 * lm_scoring.HALF).astype(np.float32)
+    sequences = [np.array([40, *rng.integers(0, 40, n), 40]) for n in (0, 1, 7, 8, 9, 30)]
+    got, want, d, half = model.log_probabilities(sequences, model.inner()), [], lm_scoring.DIM, lm_scoring.HALF
+    for s in sequences:
+        for i in range(len(s) - 1):
+            low = max(0, (i // half - 1) * half)
+            made = model.vectors[s[low : i + 1]] @ model.weights["W"]
+            q, k, v, r = made[-1, :d], made[:, d : 2 * d], made[:, 2 * d : 3 * d], made[-1, 3 * d :]
+            a = np.exp(np.minimum(k @ q + model.weights["bias"][np.arange(len(made))[::-1]], 60))
+            logits = np.tanh(np.concatenate([(a @ v) / a.sum(), r])) @ model.weights["O"] + model.weights["c"]
+            goal = s[i + 1]
+            want.append(logits[model.class_of[goal]] - np.log(np.exp(logits).sum()) + model.share[goal])
+    assert got == pytest.approx(np.array(want), abs=1e-3)
