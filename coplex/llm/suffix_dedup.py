@@ -330,7 +330,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     partly = removals(docs, text_col, length).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return keyed.join(copies.join(staged(partly, "removals"), "key", "left"), "key").select(
+    # written, so that the join can split a text with many copies
+    known = staged(copies.join(staged(partly, "removals"), "key", "left"), "known")
+    return keyed.join(known, "key").select(
         "doc_id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
