@@ -43,7 +43,7 @@ class World:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.index = ix.opened(spark, sf_dir, ps.posts_from_orders(spark, sf_dir), TABLES, SETTINGS)
+        self.index = ix.opened(spark, sf_dir, lambda: ps.posts_from_orders(spark, sf_dir), TABLES, SETTINGS)
         self.tags, self.rows, self.baskets = (self.index.table(x) for x in ("tags", "rows", "baskets"))
         self.names = {r["tid"]: r["tag"] for r in self.tags.filter(F.col("tid") <= TID_CUT).collect()}  # TID_CUT rows
         self.tid = {v: k for k, v in self.names.items()}

@@ -8,7 +8,7 @@ written last, so a build that broke off is done again."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,8 +105,8 @@ def build(spark: SparkSession, posts: DataFrame, path: str, settings: Settings)
     return index
 
 
-def opened(spark: SparkSession, sf_dir: str, posts: DataFrame, tables: Sequence[str], settings: Settings) -> Index:
+def opened(spark: SparkSession, sf_dir: str, posts: Callable[[], DataFrame], tables: Sequence[str], settings: Settings) -> Index:
     """The index over a folder's tables, built if it isn't there."""
     name = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in tables], settings)
     path = f"{shared_dir(spark)}/index-{name}"
-    return Index(spark, path) if exists(spark, f"{path}/consts") else build(spark, posts, path, settings)
+    return Index(spark, path) if exists(spark, f"{path}/consts") else build(spark, posts(), path, settings)
