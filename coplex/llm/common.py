@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,15 +39,47 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Where staged() notes its folders, if anybody asked for it.
+_noted: list[str] | None = None
+
+
+@contextlib.contextmanager
+def noting(folders: list[str]) -> Iterator[None]:
+    """Adds the folders that staged() writes meanwhile to the list."""
+    global _noted
+    before, _noted = _noted, folders
+    try:
+        yield
+    finally:
+        _noted = before
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
 
-    Each call takes a new folder, so a retried job never meets an older one's files. Folders stay until the
-    owner of spark.checkpoint.dir clears it, as results that are still to be computed read them."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    Each call takes a new folder, so a retried job never meets an older one's files. Folders stay, as results that are
+    still to be computed read them, until whoever noted them or the owner of spark.checkpoint.dir clears them."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _noted is not None:
+        _noted.append(path)
+    return written(df, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes the folder of a staged DataFrame that nothing reads any more."""
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if re.search("-[0-9a-f]{32}$", path):
+            delete(df.sparkSession, path)
 
 
 def give_back() -> None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, packed, staged
+from .common import give_back, packed, staged, unstage
 from .gsaca import repeated_starts
 
 LENGTH, K = 200, 80
@@ -305,6 +305,7 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: i
     # written, so that the joins read both sides by exchanges of their own, whose hot anchors Spark can split
     often = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "often")
     several = staged(found.join(often, "h", "left_semi"), "several")
+    unstage(found)
     contexts = several.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "first", "stop")).alias("one"))
     contexts = staged(contexts, "contexts")
     mixed = staged(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n_contexts")).filter("n_contexts > 1").select("h"), "mixed")

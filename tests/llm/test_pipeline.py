@@ -54,14 +54,16 @@ def test_pipeline(spark, tables):
     assert any(count[data[56][i : i + 200]] > 1 for i in range(len(data[56]) - 199))
 
 
-def test_every_stage_takes_edge_rows(clashing, edge_rows, tables):
+def test_every_stage_takes_edge_rows(clashing, edge_rows, tables, tmp_path):
     docs = clashing([*edge_rows, *edge_rows[:3]])
     path = tables(docs, [(1, 1, 0), (2, 1, 0), (5, 1, 0), (7, 1, 1), (9, 0, 0), (None, 1, 0)])
     spark = docs.sparkSession
     for rows in (docs, docs.limit(0)):
         now = rows
         for name, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, path)
+            out = str(tmp_path / f"{name}-{rows is docs}")
+            stage(spark, now, path).write.parquet(out)
+            now = spark.read.parquet(out)
             if name != "packing":
                 assert now.columns == docs.columns
         made = now.collect()
