@@ -119,3 +119,83 @@ def test_entry_without_llm():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['coplex.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'm8_candidates' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
+def test_entry_when_folders_are_gone(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "coplex", tmp_path / "coplex", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert 'm8_candidates' in e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True).returncode == 0
+
+
+def test_stored_index(spark, posts, tmp_path):
+    from coplex.sources import index as ix
+    from coplex.sources import store
+
+    settings = ix.Settings("2016-01-01", "base", 8, ("x",), ("one", "two"), ("base",), ("a_0",), ("a_", "b_"))
+    rows = posts.withColumns({"segment": F.when(F.col("id") % 2 == 0, "one").otherwise("two")})
+    index = ix.build(spark, rows, str(tmp_path / "index"), settings)
+    baskets = index.table("baskets")
+    assert baskets.count() == index.table("rows").select("pid").distinct().count()
+    assert baskets.filter("costume_bits NOT IN (1, 2) OR segment_bits <> 1").isEmpty()
+    tid = {r.tag: r.tid for r in index.table("tags").collect()}
+    assert {r.pid for r in baskets.filter("solo").collect()} == {r.pid for r in baskets.collect() if tid["base"] in r["items"] and tid["a_0"] not in r["items"]}
+    assert "PushedFilters: [IsNotNull(tid), EqualTo(tid,1)]" in index.table("rows").filter("tid = 1")._jdf.queryExecution().toString()
+    consts = index.table("consts").first()
+    assert consts.id_since == 6 and consts.n_all == 199 and consts.pair_total == baskets.filter("solo").count()
+    index.views("test_")
+    assert spark.sql("SELECT count(*) FROM test_pairs").first()[0] == index.table("pairs").count() > 0
+    assert index.warm().unpersist().count() == baskets.count()
+    assert store.exists(spark, f"{index.path}/consts") and not store.exists(spark, f"{index.path}/none")
+    empty = ix.build(spark, rows.limit(0), str(tmp_path / "empty"), settings)
+    assert empty.table("baskets").isEmpty() and empty.table("consts").first().n_all == 0
+    with pytest.raises(KeyError):
+        sm.posting(index.table("rows"), None)
+
+
+def test_ranked(spark):
+    from coplex.sources.store import ranked
+
+    df = spark.createDataFrame([(i * 37 % 101, str(i)) for i in range(101)], "n int, name string").repartition(5)
+    got = ranked(df, "place", F.desc("n"), F.col("name")).collect()
+    assert {r.place for r in got} == set(range(1, 102)) and all(r.place == 101 - r.n for r in got)
+    assert ranked(df.limit(0), "place", F.col("n")).isEmpty()
+
+
+def test_sample_cache(spark):
+    cache, made = sm.SampleCache(2), []
+    for key in "abca":
+        cache.get(key, lambda key=key: made.append(key) or spark.range(3))
+    assert made == ["a", "b", "c", "a"] and list(cache.kept) == ["c", "a"]
+    assert all(x.storageLevel.useMemory for x in cache.kept.values())
+    for x in cache.kept.values():
+        x.unpersist()
+
+
+def test_anchors(spark):
+    pools = spark.createDataFrame([("hair", 0, "bow"), ("deco", 1, "bow"), ("deco", 1, "ribbon")], "facet string, ord int, tag string")
+    anchors = spark.createDataFrame([(1, "ribbon"), (2, "bow"), (3, "other")], "place int, tag string")
+    assert {(r.facet, r.tag) for r in fx.anchors_in(anchors, pools).collect()} == {("deco", "ribbon"), ("hair", "bow")}
+    assert {r.tag: r.owned for r in fx.owned_anywhere(anchors, pools).collect()} == {"ribbon": True, "bow": True, "other": False}
+    with pytest.raises(ValueError):
+        fx.memberships(pools.select("tag"), spark.range(10_001).select(F.lit("f").alias("facet"), F.lit(0).alias("ord"), F.lit("prefix").alias("kind"), F.col("id").cast("string").alias("pattern")))
+
+
+def test_edge(spark):
+    from coplex.functions import edge
+
+    q = {"exclude": [" Red Hair, ,bow"], "people": ["7"], "on": ['["a", "b"]'], "must": ["0"], "req": ["x, y"], "cos": ["k,zz"], "design": ["a, b"], "charcap": ["0"], "temp": ["0"]}
+    assert edge.excluded(q) == {"red_hair", "bow"} and edge.people(q) == 3 and edge.people({"people": ["x"]}) == 1
+    assert edge.switched_on(q) == {"a", "b"} and edge.switched_on({}) is None and edge.switched_on({"on": ["{"]}) is None
+    assert edge.must(q) == {"x", "y"} and edge.must({"must": ["1"]}) is True and edge.costumes(q, ["k"]) == ("k",) and edge.design(q) == ["a", "b"]
+    assert edge.entity_cap(q) == 0 and edge.entity_cap({}) == 100 and edge.temperature(q) == 0.1
+    shown = edge.shown(spark.createDataFrame([(0.123456, 1.005, 2.6, 0.98765)], "conf double, lift double, k double, none_p double")).first()
+    assert (shown.conf, shown.k, shown.none_p) == (0.1235, 3, 0.988)
+    roll = edge.as_json(spark.createDataFrame([(1, "b"), (0, "a")], "ord int, tag string")).first().roll
+    assert json.loads(roll) == [{"ord": 0, "tag": "a"}, {"ord": 1, "tag": "b"}]
