@@ -67,10 +67,10 @@ lad AS (
     FROM (SELECT level, w, unnest(tags) AS tag FROM q_w) JOIN q_c USING (level) WHERE tag IN (SELECT tag FROM {BRANDS}) GROUP BY tag)"""
 
 
-def any_sql(name: str, hit: str, counted: str) -> str:
+def any_sql(name: str, hit: str, counted: str, query: str = "q") -> str:
     """One row p: the any-of ladder of a predicate, on its own counts."""
     return f""",
-{name}_n AS (SELECT level, sum(CASE WHEN ({hit}) AND ({counted}) THEN w ELSE 0 END) AS a, sum(CASE WHEN {counted} THEN w ELSE 0 END) AS n FROM q_w GROUP BY level),
+{name}_n AS (SELECT level, sum(CASE WHEN ({hit}) AND ({counted}) THEN w ELSE 0 END) AS a, sum(CASE WHEN {counted} THEN w ELSE 0 END) AS n FROM {query}_w GROUP BY level),
 {name}_k AS (SELECT * FROM (SELECT *, coalesce(max(n) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {name}_n) WHERE before < 3000),
 {name} AS (
     SELECT sum(a * passed / CASE WHEN last THEN n ELSE n + 300 END) AS p FROM (
@@ -102,6 +102,154 @@ RULES = "('brand', 0, '^brand:'), ('type', 1, '^type:'), ('adj', 2, '^adj:'), ('
 
 UNIFORM = "((('0x' || substr(md5({0}), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
 
+#: What rolls ask: the sample of an anchor, and pair lifts over brands, types and adjectives.
+ROLL = WIDE + """,
+anchored AS (
+    SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(pid::VARCHAR || '#1'), pid) AS rn FROM bask WHERE list_contains(tags, 'type:ECONOMY')),
+econ AS (SELECT * EXCLUDE rn FROM anchored WHERE entity = 0 OR rn <= 100 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
+solo AS (SELECT pid FROM red WHERE tag = 'line:O' EXCEPT SELECT pid FROM red WHERE tag = 'brand:Brand#11'),
+inside AS (SELECT pid, tag FROM red WHERE split_part(tag, ':', 1) IN ('brand', 'type', 'adj') AND pid IN (SELECT pid FROM solo)),
+single AS (SELECT tag, count(*) AS n FROM inside GROUP BY tag),
+pair AS (SELECT a.tag AS a, b.tag AS b, count(*) AS n FROM inside a JOIN inside b ON a.pid = b.pid AND a.tag <> b.tag GROUP BY ALL)"""
+
+
+class RollSql:
+    """The SQL of a roll whose sample needs no prior: one block of common tables per question, one row per draw."""
+
+    def __init__(self, seed: int):
+        self.seed, self.parts, self.rows = seed, [], []
+
+    def row(self, place: int, facet: str, status: str, tag: str = "NULL") -> None:
+        self.rows.append(f"SELECT {place} AS ord, '{facet}' AS facet, 0 AS draw, '{status}' AS status, {tag} AS tag, NULL::DOUBLE AS conf, NULL::DOUBLE AS lift, NULL::INT AS k, NULL::INT AS n, NULL::DOUBLE AS none_p, NULL::INT AS n_tiers")
+
+    def ask(self, name: str, hits: list[str], pool: str, gone: list[str], picked: list[str], top: int | None = 12, whole: bool = False, absent: str = "", adjust: bool = True, required: bool = False, sample: str = "econ", removed: str = "") -> None:
+        """pool, removed: conditions on tag. gone: items as literals. picked: tables with a tag, or literals."""
+        out = [f"(SELECT tag FROM {x})" if x.endswith("_pick") else x for x in picked]
+        outside = "".join(f" AND tag IS DISTINCT FROM {x}" for x in [*gone, *out]) + (f" AND NOT ({removed})" if removed else "")
+        known = f"list_has_any(tags, (SELECT list(tag) FROM {name}_pool))"
+        counted = f"({known} OR list_has_any(tags, {absent}))" if absent else "n_items >= 12"
+        self.parts.append(ladder_sql(name, sample, hits or ["false"]) + f""",
+{name}_lad AS (
+    SELECT tag, sum(CASE WHEN level = 0 THEN w ELSE 0 END) AS k_top, sum(w * passed / CASE WHEN last THEN n ELSE n + 300 END) AS p
+    FROM (SELECT level, w, unnest(tags) AS tag FROM {name}_w) JOIN {name}_c USING (level) GROUP BY tag),
+{name}_raw AS (
+    SELECT tag, tid, p AS conf, p / (n / (SELECT count(*) FROM post)) AS lift, k_top, row_number() OVER (ORDER BY p DESC, tid) AS rk
+    FROM {name}_lad JOIN dict USING (tag) WHERE ({pool}) AND tid <= 110 AND p > 0{outside} {f"QUALIFY rk <= {top}" if top else ""}),
+{name}_pool AS (SELECT tag FROM {f"dict WHERE ({pool}) AND tid <= 110" if whole else f"{name}_raw"})""" + any_sql(f"{name}_any", known, counted, name) + f""",
+{name}_none AS (SELECT CASE WHEN (SELECT count(*) FROM {name}_pool) = 0 THEN 1.0 ELSE greatest(0.05, 1 - coalesce(p, 0)) END AS p FROM {name}_any)""")
+        factor = "1.0"
+        if adjust and picked:
+            lifts = [f"coalesce((SELECT CASE WHEN x.n >= 100 THEN (coalesce((SELECT n FROM pair WHERE a = {x} AND b = r.tag), 0) / x.n) / (y.n / (SELECT count(*) FROM solo)) END FROM single x, single y WHERE x.tag = {x} AND y.tag = r.tag), 1)" for x in out]
+            factor = f"least(20.0, greatest(0.02, {' * '.join(lifts)}))"
+        none_p = "n.p" if required or not (adjust and picked) else "least(0.995, 1 - (1 - n.p) * least(1.0, s.after / s.before))"
+        self.parts.append(f""",
+{name}_cand AS (SELECT r.*, r.conf * {factor} AS adjusted FROM {name}_raw r),
+{name}_p AS (SELECT CASE WHEN s.before IS NULL THEN n.p ELSE {none_p} END AS none_p, s.after FROM {name}_none n, (SELECT sum(conf) AS before, sum(adjusted) AS after FROM {name}_cand) s),
+{name}_wt AS (
+    SELECT tag, rk, {"adjusted" if required else "adjusted * (1 - none_p) / greatest(after, 1e-9)"} AS wt FROM {name}_cand, {name}_p
+    {"" if required else f"UNION ALL SELECT NULL, 1000000, none_p FROM {name}_p"})""")
+
+    def draw(self, place: int, facet: str, name: str, number: int = 0, required: bool = False, status: str = "drawn", shown: str = "", none_p: str = "", only: str = "true") -> str:
+        """A draw of the question, without what earlier draws of it took; gives its table. shown: question whose figures the
+        row has."""
+        before = "".join(f" AND tag IS DISTINCT FROM (SELECT tag FROM {name}{i}_pick)" if i >= 0 else "" for i in range(number)) if number else ""
+        u = UNIFORM.format(f"'{self.seed}#{facet}#{number}'")
+        self.parts.append(f""",
+{name}{number}_pick AS (
+    SELECT tag FROM (SELECT tag, rk, wt, sum(wt) OVER (ORDER BY rk) AS run, sum(wt) OVER () AS total FROM {name}_wt WHERE (tag IS NULL OR true{before}) AND {only})
+    WHERE run >= {u} * total AND wt > 0 ORDER BY rk LIMIT 1)""")
+        self.show(place, facet, f"{name}{number}_pick", shown or name, number, status, none_p or ("NULL::DOUBLE" if required else f"(SELECT none_p FROM {shown or name}_p)"))
+        return f"{name}{number}_pick"
+
+    def show(self, place: int, facet: str, pick: str, name: str, number: int, status: str, none_p: str) -> None:
+        some = f" WHERE (SELECT tag FROM {pick}) IS NOT NULL" if number else ""
+        self.rows.append(f"""SELECT {place}, '{facet}', {number}, '{status}', t.tag, round(c.adjusted, 4), round(c.lift, 2), round(c.k_top)::INT, (SELECT round(n)::INT FROM {name}_n WHERE level = 0), round({none_p}, 3), (SELECT count(*)::INT FROM {name}_tier)
+            FROM (SELECT (SELECT tag FROM {pick}) AS tag) t LEFT JOIN {name}_cand c ON c.tag = t.tag{some}""")
+
+    def sql(self) -> str:
+        columns = "ord, facet, draw, status, tag, conf, lift, k, n, none_p, n_tiers"
+        return "WITH " + ROLL + "".join(self.parts) + f" SELECT * FROM ({' UNION ALL '.join(self.rows)}) AS rolled({columns})"
+
+
+def _carries(pick: str) -> str:
+    return f"coalesce(list_contains(tags, (SELECT tag FROM {pick})), false)"
+
+
+def _pose() -> str:
+    r, base, anchor = RollSql(11), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
+    r.ask("pb", base, "starts_with(tag, 'brand:')", anchor, [])
+    brand = r.draw(0, "brand", "pb")
+    r.ask("pa", [*base, _carries(brand)], "starts_with(tag, 'adj:')", anchor, [brand], required=True)
+    adj = r.draw(1, "adj", "pa", required=True)
+    r.ask("ph", [*base, _carries(brand), _carries(adj)], "starts_with(tag, 'hid:')", anchor, [brand, adj])
+    r.draw(2, "hid", "ph")
+    r.row(3, "type", "anchor", "'type:ECONOMY'")
+    return r.sql()
+
+
+def _expression() -> str:
+    r, base, anchor = RollSql(11), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
+    r.ask("xa", base, "starts_with(tag, 'adj:')", anchor, [], top=None)
+    adj = [r.draw(0, "adj", "xa")]
+    adj.append(r.draw(0, "adj", "xa", 1, only=f"(SELECT tag FROM {adj[0]}) IS NOT NULL"))
+    r.ask("xb", [*base, *map(_carries, adj)], "starts_with(tag, 'brand:')", anchor, adj, top=None)
+    brand = [r.draw(1, "brand", "xb")]
+    brand.append(r.draw(1, "brand", "xb", 1, only=f"(SELECT tag FROM {brand[0]}) IS NOT NULL"))
+    r.ask("xh", [*base, *map(_carries, adj + brand)], "starts_with(tag, 'hid:')", anchor, adj + brand, top=None)
+    r.draw(2, "hid", "xh")
+    return r.sql()
+
+
+def _design() -> str:
+    r, bare, anchors = RollSql(11), "list_contains(tags, 'hid:y')", ["'type:ECONOMY'", "'line:O'"]
+    whole = {"whole": True, "adjust": False}
+    r.row(-1, "anchor_extra", "anchor", "'line:O'")
+    r.ask("db", [bare], "starts_with(tag, 'brand:')", [*anchors, "'adj:red'"], [], required=True, **whole)
+    brand = r.draw(0, "brand", "db", required=True)
+    r.row(1, "type", "anchor", "'type:ECONOMY'")
+    r.ask("dh", [bare, _carries(brand)], "starts_with(tag, 'hid:')", anchors, [brand], **whole)
+    hid = r.draw(2, "hid", "dh")
+    r.row(3, "flag", "off")
+    r.row(4, "ret", "off")
+    hits = [bare, _carries(brand), _carries(hid), f"(SELECT tag FROM {hid}) IS NULL AND NOT list_contains(tags, 'hid:y')"]
+    r.ask("da", hits, "starts_with(tag, 'adj:')", [*anchors, "'adj:red'"], [brand, hid], absent="(SELECT list(tag) FROM dict WHERE starts_with(tag, 'flag:A'))", **whole)
+    adj = r.draw(5, "adj", "da")
+    r.ask("dn", [*hits, _carries(adj)], "starts_with(tag, 'noun:')", anchors, [brand, hid, adj], **whole)
+    r.parts.append(", dn9_pick AS (SELECT NULL::VARCHAR AS tag)")
+    r.show(6, "noun", "dn9_pick", "dn", 0, "fixed", "(SELECT none_p FROM dn_p)")
+    return r.sql()
+
+
+def _scene() -> str:
+    r, base, anchor = RollSql(11), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
+    r.ask("sf", [], "starts_with(tag, 'noun:')", [], [], whole=True, adjust=False, sample="wide")
+    frame = r.draw(0, "noun", "sf")
+    adj, least = "starts_with(tag, 'adj:')", "tag = (SELECT min_by(tag, tid) FROM dict WHERE starts_with(tag, 'adj:'))"
+    r.ask("s1", [*base, _carries(frame)], adj, anchor, [frame], whole=True, adjust=False, removed=least)
+    one = r.draw(1, "adj", "s1")
+    r.ask("s2", [*base, _carries(frame), _carries(one)], adj, anchor, [frame, one], whole=True, adjust=False, removed=least)
+    r.parts.append(f""",
+s2_rest AS (SELECT list(tag) AS t FROM dict WHERE starts_with(tag, 'adj:') AND tid <= 110 AND tag IS DISTINCT FROM (SELECT tag FROM {one})),
+s3_p AS (
+    SELECT CASE WHEN (SELECT count(*) FROM s2_cand) = 0 THEN 1.0 ELSE greatest(0.05, 1 - coalesce(avg(list_has_any(tags, (SELECT t FROM s2_rest))::INT), 0)) END AS none_p, (SELECT sum(adjusted) FROM s2_cand) AS after
+    FROM econ WHERE n_items >= 12 AND list_contains(tags, (SELECT tag FROM {one}))),
+s3_wt AS (SELECT tag, rk, adjusted * (1 - none_p) / greatest(after, 1e-9) AS wt FROM s2_cand, s3_p UNION ALL SELECT NULL, 1000000, none_p FROM s3_p),
+s30_pick AS (SELECT NULL::VARCHAR AS tag)""")
+    two = r.draw(1, "adj", "s3", 1, shown="s1", only=f"(SELECT tag FROM {one}) IS NOT NULL")
+    r.parts.append(f""",
+solid AS (SELECT tag FROM (SELECT tag, row_number() OVER (ORDER BY tid) AS i FROM dict WHERE starts_with(tag, 'adj:') AND tid <= 110) WHERE i % 2 = 1),
+s9_pick AS (SELECT CASE WHEN (SELECT tag FROM {one}) IN (SELECT tag FROM solid) OR (SELECT tag FROM {two}) IN (SELECT tag FROM solid) THEN 'hid:y' END AS tag)""")
+    r.row(1, "adj_umbrella", "added", "'hid:y'")
+    r.rows[-1] += " WHERE (SELECT tag FROM s9_pick) IS NOT NULL"
+    picked = [frame, "s9_pick", one, two]
+    r.ask("sp", [*base, *map(_carries, picked)], "starts_with(tag, 'flag:')", [], picked)
+    place = r.draw(2, "ret", "sp")
+    picked.append(place)
+    r.ask("sb", [*base, *map(_carries, picked)], "starts_with(tag, 'brand:')", anchor, picked)
+    r.draw(3, "brand", "sb")
+    return r.sql()
+
+
 ORACLE_SQL: dict[str, str] = {
     "p10_segment_bits": f"""WITH {POST},
         tags AS (SELECT pid, list(tag) AS t FROM inc GROUP BY pid)
@@ -225,4 +373,8 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT tag, count(*) AS m FROM (SELECT unnest(tags) AS tag FROM bask WHERE segment_bits & 4 <> 0 AND NOT list_contains(tags, 'brand:Brand#11')) GROUP BY tag),
         j AS (SELECT *, ends_with(tag, 'n') OR starts_with(tag, 'adj:b') OR coalesce(m, 0) < 300 AS bad FROM x LEFT JOIN m USING (tag))
         SELECT tag, n, try FROM j ORDER BY bad, CASE WHEN bad THEN -try ELSE try END LIMIT 1""",
+    "r_pose": _pose(),
+    "r_expression": _expression(),
+    "r_design": _design(),
+    "r_scene": _scene(),
 }
