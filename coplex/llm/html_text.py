@@ -25,7 +25,8 @@ from .common import host_of, staged
 
 #: A subtree is template on more than this share of a host's pages ...
 RATIO = 0.5
-#: ... and on this many pages at least.
+#: ... and on this many pages at least: a share of fewer pages says little, as copies of a page or common short blocks
+#: reach it by chance.
 LEAST_PAGES = 10
 #: Outside articles and main parts this share is enough, on LEAST_PAGES pages; on a host with fewer pages than that,
 #: more than RATIO of them, and SMALL_LEAST at least.

@@ -16,7 +16,7 @@ from .common import packed, staged
 
 #: A line is boilerplate on more than this share of a host's pages ...
 RATIO = 0.05
-#: ... and on this many pages at least.
+#: ... and on this many pages at least: on a host of a few pages, one page alone is more than that share.
 LEAST_PAGES = 5
 
 

@@ -106,16 +106,16 @@ def thresholds(measured: DataFrame) -> DataFrame:
     good = ~F.col("base_failed")
     sketches = [F.percentile_approx(F.when(good, F.col(r.count) / F.greatest(r.per, F.lit(1))), [1 - r.tail, 0.5, r.tail], ACCURACY).alias(x) for x, r in RULES.items()]
     levels = measured.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count_if(good).alias("n"), *sketches)
-    levels = staged(levels, "quantiles")  # as many rows as languages and sources have pairs
+    levels = staged(levels.withColumn("root", F.lit(0)), "quantiles")  # as many rows as languages and sources have pairs
     all_rows, languages, groups = (levels.filter(F.col("level") == x) for x in (3, 1, 0))
 
     def drawn(own: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
         p = parent.select(*keys, *(F.col(x).alias(f"parent_{x}") for x in RULES))
-        joined = own.join(p, keys) if keys else own.crossJoin(p)  # one row
+        joined = own.join(p, keys)
         towards = lambda x: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.col("n") * F.coalesce(F.get(x, i), F.lit(0.0)) + PRIOR * F.get(f"parent_{x}", i)) / (F.col("n") + PRIOR))
         return joined.select("lang", "source", "n", *(towards(x).alias(x) for x in RULES))
 
-    found = drawn(groups, drawn(languages, all_rows, []), ["lang"])
+    found = drawn(groups, drawn(languages, all_rows, ["root"]), ["lang"])
     return found.select(
         "lang",
         "source",
