@@ -114,10 +114,12 @@ pair AS (SELECT a.tag AS a, b.tag AS b, count(*) AS n FROM inside a JOIN inside
 
 
 class RollSql:
-    """The SQL of a roll whose sample needs no prior: one block of common tables per question, one row per draw."""
+    """The SQL of a roll: one block of common tables per question, one row per draw. prior: table of baskets to smooth with,
+    which the SQL of a roll always does or never. rates: table of base rates (tag, n)."""
 
-    def __init__(self, seed: int):
-        self.seed, self.parts, self.rows = seed, [], []
+    def __init__(self, seed: int, prior: str = "", rates: str = "dict", total: str = "(SELECT count(*) FROM post)", temperature: float = 1.0):
+        self.seed, self.prior, self.rates, self.total, self.temperature = seed, prior, rates, total, temperature
+        self.parts, self.rows = [], []
 
     def row(self, place: int, facet: str, status: str, tag: str = "NULL") -> None:
         self.rows.append(f"SELECT {place} AS ord, '{facet}' AS facet, 0 AS draw, '{status}' AS status, {tag} AS tag, NULL::DOUBLE AS conf, NULL::DOUBLE AS lift, NULL::INT AS k, NULL::INT AS n, NULL::DOUBLE AS none_p, NULL::INT AS n_tiers")
@@ -128,15 +130,32 @@ class RollSql:
         outside = "".join(f" AND tag IS DISTINCT FROM {x}" for x in [*gone, *out]) + (f" AND NOT ({removed})" if removed else "")
         known = f"list_has_any(tags, (SELECT list(tag) FROM {name}_pool))"
         counted = f"({known} OR list_has_any(tags, {absent}))" if absent else "n_items >= 12"
-        self.parts.append(ladder_sql(name, sample, hits or ["false"]) + f""",
-{name}_lad AS (
-    SELECT tag, sum(CASE WHEN level = 0 THEN w ELSE 0 END) AS k_top, sum(w * passed / CASE WHEN last THEN n ELSE n + 300 END) AS p
-    FROM (SELECT level, w, unnest(tags) AS tag FROM {name}_w) JOIN {name}_c USING (level) GROUP BY tag),
+        last = "n" if not self.prior else "n + 300"
+        own = f"""
+    SELECT tag, sum(CASE WHEN level = 0 THEN w ELSE 0 END) AS k_top, sum(w * passed / CASE WHEN last THEN {last} ELSE n + 300 END) AS p
+    FROM (SELECT level, w, unnest(tags) AS tag FROM {name}_w) JOIN {name}_c USING (level) GROUP BY tag"""
+        base = rest = ""
+        if self.prior:
+            base = ladder_sql(f"{name}z", self.prior, hits or ["false"]) + f""",
+{name}z_lad AS (
+    SELECT tag, sum(w * passed / CASE WHEN last THEN n ELSE n + 300 END) AS p
+    FROM (SELECT level, w, unnest(tags) AS tag FROM {name}z_w) JOIN {name}z_c USING (level) GROUP BY tag)"""
+            rest = f"(SELECT min(passed * 300 / (n + 300)) FROM {name}_c)"
+            own = f"SELECT tag, coalesce(k_top, 0) AS k_top, coalesce(o.p, 0) + coalesce(z.p, 0) * {rest} AS p FROM ({own}) o FULL JOIN {name}z_lad z USING (tag)"
+        smoothed = (any_sql(f"{name}z_any", known, counted, f"{name}z") if self.prior else "") + any_sql(f"{name}_any", known, counted, name)
+        chance = "coalesce(p, 0)"
+        if self.prior:
+            smoothed += f""",
+{name}_own AS (SELECT sum(a * passed / (n + 300)) AS a, min(passed * 300 / (n + 300)) AS rest FROM (
+    SELECT level, a, n, exp(coalesce(sum(ln(300 / (n + 300))) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS passed FROM {name}_any_k))"""
+            chance = f"(SELECT o.a + o.rest * coalesce(z.p, 0) FROM {name}_own o, {name}z_any z)"
+        self.parts.append(ladder_sql(name, sample, hits or ["false"]) + base + f""",
+{name}_lad AS ({own}),
 {name}_raw AS (
-    SELECT tag, tid, p AS conf, p / (n / (SELECT count(*) FROM post)) AS lift, k_top, row_number() OVER (ORDER BY p DESC, tid) AS rk
-    FROM {name}_lad JOIN dict USING (tag) WHERE ({pool}) AND tid <= 110 AND p > 0{outside} {f"QUALIFY rk <= {top}" if top else ""}),
-{name}_pool AS (SELECT tag FROM {f"dict WHERE ({pool}) AND tid <= 110" if whole else f"{name}_raw"})""" + any_sql(f"{name}_any", known, counted, name) + f""",
-{name}_none AS (SELECT CASE WHEN (SELECT count(*) FROM {name}_pool) = 0 THEN 1.0 ELSE greatest(0.05, 1 - coalesce(p, 0)) END AS p FROM {name}_any)""")
+    SELECT tag, tid, p AS conf, p / ({self.rates}.n / {self.total}) AS lift, k_top, row_number() OVER (ORDER BY p DESC, tid) AS rk
+    FROM {name}_lad JOIN {"dict" if self.rates == "dict" else f"dict USING (tag) JOIN {self.rates}"} USING (tag) WHERE ({pool}) AND tid <= 110 AND p > 0{outside} {f"QUALIFY rk <= {top}" if top else ""}),
+{name}_pool AS (SELECT tag FROM {f"dict WHERE ({pool}) AND tid <= 110" if whole else f"{name}_raw"})""" + smoothed + f""",
+{name}_none AS (SELECT CASE WHEN (SELECT count(*) FROM {name}_pool) = 0 THEN 1.0 ELSE greatest(0.05, 1 - {chance}) END AS p FROM {name}_any)""")
         factor = "1.0"
         if adjust and picked:
             lifts = [f"coalesce((SELECT CASE WHEN x.n >= 100 THEN (coalesce((SELECT n FROM pair WHERE a = {x} AND b = r.tag), 0) / x.n) / (y.n / (SELECT count(*) FROM solo)) END FROM single x, single y WHERE x.tag = {x} AND y.tag = r.tag), 1)" for x in out]
@@ -146,8 +165,8 @@ class RollSql:
 {name}_cand AS (SELECT r.*, r.conf * {factor} AS adjusted FROM {name}_raw r),
 {name}_p AS (SELECT CASE WHEN s.before IS NULL THEN n.p ELSE {none_p} END AS none_p, s.after FROM {name}_none n, (SELECT sum(conf) AS before, sum(adjusted) AS after FROM {name}_cand) s),
 {name}_wt AS (
-    SELECT tag, rk, {"adjusted" if required else "adjusted * (1 - none_p) / greatest(after, 1e-9)"} AS wt FROM {name}_cand, {name}_p
-    {"" if required else f"UNION ALL SELECT NULL, 1000000, none_p FROM {name}_p"})""")
+    SELECT tag, rk, pow({"adjusted" if required else "adjusted * (1 - none_p) / greatest(after, 1e-9)"}, {1 / self.temperature}::DOUBLE) AS wt FROM {name}_cand, {name}_p
+    {"" if required else f"UNION ALL SELECT NULL, 1000000, pow(none_p, {1 / self.temperature}::DOUBLE) FROM {name}_p"})""")
 
     def draw(self, place: int, facet: str, name: str, number: int = 0, required: bool = False, status: str = "drawn", shown: str = "", none_p: str = "", only: str = "true") -> str:
         """A draw of the question, without what earlier draws of it took; gives its table. shown: question whose figures the
@@ -250,6 +269,33 @@ s9_pick AS (SELECT CASE WHEN (SELECT tag FROM {one}) IN (SELECT tag FROM solid)
     return r.sql()
 
 
+def _adult() -> str:
+    """The sample of an act is small on small tables, so every question has a prior."""
+    r = RollSql(11, "every", "rate_e", "(SELECT count(*) FROM post WHERE rating = 'e')", 0.8)
+    r.parts.append(f""",
+rate_e AS (SELECT tag, count(*) AS n FROM inc WHERE rating = 'e' GROUP BY tag),
+acts AS (SELECT tag, n, row_number() OVER (ORDER BY n DESC, tag) AS rk FROM rate_e WHERE starts_with(tag, 'type:')),
+act_pick AS (
+    SELECT tag FROM (SELECT tag, rk, sum(pow(n::DOUBLE, 1.25::DOUBLE)) OVER (ORDER BY rk) AS run, sum(pow(n::DOUBLE, 1.25::DOUBLE)) OVER () AS total FROM acts)
+    WHERE run >= {UNIFORM.format("'11#act#0'")} * total ORDER BY rk LIMIT 1),
+every AS (SELECT * FROM bask WHERE rating = 3 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
+acted AS (SELECT * FROM bask WHERE rating = 3 AND list_contains(tags, (SELECT tag FROM act_pick)) ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
+hat AS (SELECT min_by(tag, tid) AS tag FROM dict WHERE starts_with(tag, 'adj:')),
+shoe AS (SELECT min_by(tag, tid) AS tag FROM dict WHERE starts_with(tag, 'noun:'))""")
+    r.row(0, "act", "drawn", "(SELECT tag FROM act_pick)")
+    base, gone = [_carries("hat"), _carries("shoe")], ["(SELECT tag FROM act_pick)"]
+    r.ask("ab", base, "starts_with(tag, 'brand:')", gone, [], adjust=False, sample="acted")
+    one = r.draw(1, "brand", "ab")
+    two = r.draw(1, "brand", "ab", 1, only=f"tag IS NOT NULL AND (SELECT tag FROM {one}) IS NOT NULL")
+    r.ask("ah", [*base, _carries(one), _carries(two)], "starts_with(tag, 'hid:')", gone, [one, two], adjust=False, sample="acted")
+    hid = r.draw(2, "hid", "ah")
+    r.ask("af", [*base, _carries(one), _carries(two), _carries(hid)], "starts_with(tag, 'flag:')", gone, [one, two, hid], adjust=False, sample="acted")
+    r.draw(3, "flag", "af")
+    r.row(4, "adj", "kept", "(SELECT tag FROM hat)")
+    r.rows.append(f"SELECT 4, 'noun', 0, CASE WHEN (SELECT tag FROM {one}) IS NULL THEN 'kept' ELSE 'stripped' END, (SELECT tag FROM shoe), NULL::DOUBLE, NULL::DOUBLE, NULL::INT, NULL::INT, NULL::DOUBLE, NULL::INT")
+    return r.sql()
+
+
 ORACLE_SQL: dict[str, str] = {
     "p10_segment_bits": f"""WITH {POST},
         tags AS (SELECT pid, list(tag) AS t FROM inc GROUP BY pid)
@@ -377,4 +423,5 @@ ORACLE_SQL: dict[str, str] = {
     "r_expression": _expression(),
     "r_design": _design(),
     "r_scene": _scene(),
+    "r_adult": _adult(),
 }

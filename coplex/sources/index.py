@@ -75,6 +75,7 @@ class Index:
 
 def build(spark: SparkSession, posts: DataFrame, path: str, settings: Settings) -> Index:
     index, s = Index(spark, path), settings
+    posts = stored(posts, f"{path}/posts")
     inc = stored(ps.incidence(posts), f"{path}/incidence")
     tags = stored(ps.dictionary(inc).select("tag", "n", "tid"), f"{path}/tags")
     rates = None
