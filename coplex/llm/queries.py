@@ -128,6 +128,20 @@ ORACLE_SQL: dict[str, str] = {
                    n_symbols <= f1 * greatest(n_words, 1) + 1 AND n_dup_lines <= f2 * greatest(n_lines, 1) + 1 AND n_repeat_words <= f3 * greatest(n_words, 1) + 5
                    AND word_chars <= f4 * greatest(n_words, 1) + 10 AND word_chars >= f5 * greatest(n_words, 1) - 10, false) AS kept
         FROM b LEFT JOIN f USING (lang, source)""",
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        n AS (SELECT *, octet_length(b) AS n FROM d),
+        s AS (SELECT rid, i, md5(b[i:i + 199]) AS h FROM (SELECT rid, b, unnest(range(1, n - 198)) AS i FROM n WHERE n >= 200)),
+        r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1),
+        g AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM r),
+        p AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS z FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM g) GROUP BY rid, run),
+        q AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY run), 1) AS k FROM p),
+        t AS (
+            SELECT rid, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(CASE WHEN a > k THEN hex(b[k:a - 1]) ELSE '' END, '' ORDER BY run) AS kept
+            FROM q JOIN n USING (rid) GROUP BY rid)
+        SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(kept || CASE WHEN last <= n THEN hex(b[last:n]) ELSE '' END) END) AS kept_sha256
+        FROM n LEFT JOIN t USING (rid)""",
     "op6_line_dedup": r"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id, source, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines
