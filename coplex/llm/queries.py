@@ -142,6 +142,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
                sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(kept || CASE WHEN last <= n THEN hex(b[last:n]) ELSE '' END) END) AS kept_sha256
         FROM n LEFT JOIN t USING (rid)""",
+    "op9_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        g AS (
+            SELECT rid, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+            UNION ALL SELECT rid, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+        k AS (SELECT rid, md5(string_agg(g, chr(10) ORDER BY g)) AS s FROM (SELECT DISTINCT rid, g FROM g) GROUP BY rid),
+        t AS (SELECT s, min(doc_id) AS least, count(*) AS n_docs, min(rid) AS rid FROM k JOIN d USING (rid) GROUP BY s),
+        x AS (SELECT DISTINCT s, g FROM t JOIN g USING (rid)),
+        z AS (SELECT s, count(*) AS n FROM x GROUP BY s),
+        e AS (
+            SELECT p.a, p.b FROM (SELECT l.s AS a, r.s AS b, count(*) AS inter FROM x l JOIN x r ON l.g = r.g AND l.s <> r.s GROUP BY ALL) p
+            JOIN z u ON u.s = p.a JOIN z v ON v.s = p.b WHERE inter / (u.n + v.n - inter) >= 0.8),
+        c AS (SELECT s AS a, s AS b FROM t UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+        m AS (SELECT c.a AS s, min(least) AS class_id FROM c JOIN t ON t.s = c.b GROUP BY c.a),
+        l AS (SELECT e.a AS s, count(*) AS n_texts, sum(n_docs) AS n FROM e JOIN t ON t.s = e.b GROUP BY e.a)
+        SELECT d.doc_id, CASE WHEN k.s IS NULL THEN d.doc_id ELSE class_id END AS class_id,
+               coalesce(n_docs - 1 + coalesce(l.n, 0), 0)::BIGINT AS n_links, coalesce(n_texts, 0)::BIGINT AS n_text_links
+        FROM d LEFT JOIN k USING (rid) LEFT JOIN t ON t.s = k.s LEFT JOIN m ON m.s = k.s LEFT JOIN l ON l.s = k.s""",
     "op6_line_dedup": r"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id, source, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines
