@@ -131,4 +131,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     stored = staged(docs.select(packed(docs), F.monotonically_increasing_id().alias("row")), "documents")
     keyed = stored.select(F.col("doc").getField(id_col).cast("long").alias("doc_id"), "row", F.col("doc").getField(text_col).alias("text"))
     best = merged_runs(digests(keyed), keep).select(F.col("keep_row").alias("row"))
-    return stored.join(staged(best, "kept"), "row", "left_semi").select("doc.*")
+    # what stays grows with the table, so it is joined in the same way at every size
+    return stored.join(staged(best, "kept").hint("merge"), "row", "left_semi").select("doc.*")

@@ -224,7 +224,7 @@ def _verified(cluster: DataFrame, sets: DataFrame, keyed: DataFrame, threshold:
     same = along(own, lambda k: pair(own, own, F.least(k, block), F.greatest(k, block), F.when(block <= k, 0).otherwise(1), k == block))
     above = along(own + 1, lambda k: pair(own, own + 1, block, k, F.lit(0), F.lit(False)))
     below = along(own - 1, lambda k: pair(own - 1, own, k, block, F.lit(1), F.lit(False)))
-    texts = keyed.join(member.select(F.col("node").alias("row")), "row", "left_semi").select("row", "text").mapInArrow(_sets, "node long, shingles binary")
+    texts = keyed.join(member.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi").select("row", "text").mapInArrow(_sets, "node long, shingles binary")
     rows = staged(member, "members").join(texts, "node").select("component", "node", "n_docs", "shingles", F.explode(F.concat(same, above, below)).alias("p")).select("component", "node", "n_docs", "shingles", "p.*")
     return rows.groupBy("component", "lo", "hi", "i", "j").applyInPandas(_verify(threshold, depth), VERIFIED)
 
@@ -303,4 +303,5 @@ def keep_one_of_class(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     stored = staged(docs.select(packed(docs), F.monotonically_increasing_id().alias("row")), "documents")
     keyed = stored.select("row", F.col("doc").getField(id_col).cast("long").alias("doc_id"), F.col("doc").getField(text_col).alias("text"))
     best = classes(keyed, threshold).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    return stored.join(staged(best.select("best.row"), "kept"), "row", "left_semi").select("doc.*")
+    # what stays grows with the table, so it is joined in the same way at every size
+    return stored.join(staged(best.select("best.row"), "kept").hint("merge"), "row", "left_semi").select("doc.*")

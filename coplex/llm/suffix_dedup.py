@@ -353,7 +353,7 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH)
     keyed = docs.select(packed(docs), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("key"))
     copied = docs.filter(F.octet_length(text) >= length).groupBy(F.unhex(F.sha2(text, 256)).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit("").alias("kept"))
     left = removals(docs.select(text.alias("text")), "text", length).select("key", "kept").mapInArrow(_decoded, "key binary, kept string")
-    changed = keyed.join(staged(left.union(copied), "changed"), "key", "left")
+    changed = keyed.join(staged(left.union(copied), "changed").hint("merge"), "key", "left")
     return changed.select(*(F.coalesce("kept", F.col("doc").getField(c)).alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in columns))
 
 
