@@ -36,6 +36,8 @@ TABLES = ["lineitem", "part", "orders", "customer", "nation", "region"]
 SETTINGS = ix.Settings(SINCE, BASE_TAG, TID_CUT, tuple(REGIONS), tuple(SEGMENTS), ("line:O",), ("brand:Brand#11",), ("brand:", "type:", "adj:"))
 #: Samples of all queries, by application, index and condition.
 SAMPLES = sm.SampleCache()
+#: Names of the index's items (TID_CUT of them) and its constants, by application and index.
+SMALL: dict[tuple[str, str], tuple[dict[int, str], dict[str, int]]] = {}
 
 
 class World:
@@ -45,7 +47,11 @@ class World:
         self.spark = spark
         self.index = ix.opened(spark, sf_dir, lambda: ps.posts_from_orders(spark, sf_dir), TABLES, SETTINGS)
         self.tags, self.rows, self.baskets = (self.index.table(x) for x in ("tags", "rows", "baskets"))
-        self.names = {r["tid"]: r["tag"] for r in self.tags.filter(F.col("tid") <= TID_CUT).collect()}  # TID_CUT rows
+        key = (spark.sparkContext.applicationId, self.index.path)
+        if key not in SMALL:
+            names = {r["tid"]: r["tag"] for r in self.tags.filter(F.col("tid") <= TID_CUT).collect()}
+            SMALL[key] = (names, self.index.table("consts").first().asDict())
+        self.names, self.constants = SMALL[key]
         self.tid = {v: k for k, v in self.names.items()}
 
     def pool(self, prefix: str) -> list[int]:
@@ -58,11 +64,8 @@ class World:
     def rates(self, rating: str = "all") -> DataFrame:
         return self.rated(rating).join(self.tags.select("tag", "tid"), "tag").select("tid", "n")
 
-    def consts(self) -> dict[str, int]:
-        return self.index.table("consts").first().asDict()
-
     def total(self, rating: str = "all") -> int:
-        return self.consts()[f"n_{rating}"]
+        return self.constants[f"n_{rating}"]
 
     def sample(self, *condition, **more) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.index.path, repr(condition), repr(sorted((k, v) for k, v in more.items() if k != "seed")))
@@ -267,7 +270,7 @@ def a5_pairs(w: World) -> DataFrame:
 def m10_pair_lift(w: World) -> DataFrame:
     brands, types = w.pool("brand:"), w.pool("type:")
     asked = w.spark.createDataFrame([(a, b) for a in types for b in brands], "x int, y int")
-    found = ct.pair_lifts(asked, w.index.table("pairs"), w.index.table("singles"), w.consts()["pair_total"])
+    found = ct.pair_lifts(asked, w.index.table("pairs"), w.index.table("singles"), w.constants["pair_total"])
     total = found.groupBy("x").agg(F.product("lift").alias("product"), F.count("lift").alias("n"))
     return total.join(w.tags.select(F.col("tid").alias("x"), "tag"), "x").select("tag", "n", F.round(F.least(F.lit(20.0), F.greatest(F.lit(0.02), "product")), 6).alias("product"))
 
@@ -298,7 +301,7 @@ def _scope(w: World, anchor: int, rating: str = "all", code: int | None = None)
         sample, wide = w.coded([anchor], code), lambda: w.coded([], code)
     else:
         sample, wide = w.sample([anchor]), w.wide
-    consts = w.consts()
+    consts = w.constants
     return R.Scope.of(sample, wide, w.rates(rating), consts[f"n_{rating}"], w.names, pairs=w.index.table("pairs"), singles=w.index.table("singles"), pair_total=consts["pair_total"], well=WELL)
 
 

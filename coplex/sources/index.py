@@ -53,6 +53,10 @@ def fingerprint(spark: SparkSession, paths: Sequence[str], settings: Settings) -
     return hashlib.sha256(repr((sorted(map(tuple, files)), asdict(settings), SCHEMAS)).encode()).hexdigest()[:24]
 
 
+#: Indexes that this process has found whole, by application and path.
+_whole: set[tuple[str, str]] = set()
+
+
 @dataclass
 class Index:
     spark: SparkSession
@@ -110,4 +114,9 @@ def opened(spark: SparkSession, sf_dir: str, posts: Callable[[], DataFrame], tab
     """The index over a folder's tables, built if it isn't there."""
     name = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in tables], settings)
     path = f"{shared_dir(spark)}/index-{name}"
-    return Index(spark, path) if exists(spark, f"{path}/consts") else build(spark, posts(), path, settings)
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _whole:
+        if not exists(spark, f"{path}/consts"):
+            build(spark, posts(), path, settings)
+        _whole.add(key)
+    return Index(spark, path)
