@@ -49,7 +49,7 @@ def above(q: np.ndarray, x: np.ndarray, least: np.ndarray) -> tuple[np.ndarray,
     indexed = [int((depth > c).sum()) for c in range(len(strips))] or [0]
     m = indexed[0] if strips else len(x)
     scores = np.zeros((len(q), m))
-    rows = np.arange(m)
+    rows, alive = np.arange(m), np.ones(scores.shape, bool)
     c = 0
     while c < len(strips):
         scores[:, : indexed[c]] += q[:, strips[c]] @ x[: indexed[c], strips[c]].T
@@ -57,10 +57,8 @@ def above(q: np.ndarray, x: np.ndarray, least: np.ndarray) -> tuple[np.ndarray,
         met = np.minimum(c, depth[:m])  # strips of the row that the score holds
         if 2 * c >= len(strips):
             alive = scores + qn[met].T * xn[met, rows] >= slack * bound[:, None]
-            if alive.mean() < SPARSE if alive.size else True:
+            if not alive.size or alive.mean() < SPARSE:
                 break
-    else:
-        alive = scores >= least[:, None]
     a, r = np.nonzero(alive)
     s, met = scores[a, r], np.minimum(c, depth[r])
     for k in range(int(met.min(initial=len(strips))), len(strips)):

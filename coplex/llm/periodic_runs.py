@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import SPACE, WORD, give_back
 from .recompression import Grammar
@@ -24,7 +25,6 @@ LEAST = 12
 BATCH = 250_000
 #: Candidates that are judged at a time.
 CANDIDATES = 1_000_000
-RUNS = "runs array<struct<start: long, length: long, period: long>>, text string"
 
 
 def find_runs(words: np.ndarray, sizes: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +104,9 @@ def collapse_runs(docs: DataFrame, text_col: str = "text", least: int = LEAST) -
                     at, n, held = i + 1, 0, []
         give_back()
 
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_")).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = packed.mapInArrow(judge, f"doc {packed.schema['doc'].dataType.simpleString()}, {RUNS}")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest or [text_col])).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = StructType([packed.schema["doc"], StructField("runs", ArrayType(StructType([StructField(x, LongType()) for x in ("start", "length", "period")]))), StructField("text", StringType())])
+    out = packed.mapInArrow(judge, schema)
     return out.select(*(F.col("doc").getField(c).alias(c) for c in rest), "runs", F.col("text").alias(text_col))
 
 

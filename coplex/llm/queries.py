@@ -20,7 +20,7 @@ from .packing import pack
 from .periodic_runs import run_digests
 from .quality_mil import fit_quality, quality_scores
 from .quality_rules import quality_rules
-from .secret_scan import scan_secrets, secret_digests
+from .secret_scan import BREAK, KINDS, REACH, scan_secrets, secret_digests
 from .suffix_dedup import suffix_dedup
 
 
@@ -95,7 +95,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
+
+
+def _secret_sql() -> str:
+    """Matches with places from running lengths, blank lines before each, and weak parts by EXISTS."""
+    literal = lambda x: "'" + x.replace("'", "''") + "'"
+    every = [(i, k.pattern, k.group, k.least, k.has) for i, k in enumerate(KINDS)] + [(-1, BREAK, 0, 1, ())]
+    lists = ", ".join(f"regexp_extract_all(t, {literal(p)}) AS f{i + 1}, regexp_extract_all(t, {literal(p)}, {g}) AS j{i + 1}, string_split_regex(t, {literal(p)}) AS x{i + 1}" for i, p, g, _, _ in every)
+    rows = " UNION ALL ".join(
+        f"SELECT rid, {i} AS ord, unnest(range(len(f{i + 1}))) AS i, unnest(f{i + 1}) AS m, unnest(list_transform(j{i + 1}, lambda v: {' AND '.join([f'length(v) >= {least}', *(f'regexp_matches(v, {literal(h)})' for h in has)])})) AS ok, unnest(x{i + 1}[1:len(f{i + 1})]) AS gap FROM l"
+        for i, _, _, least, has in every
+    )
+    name = " ".join(f"WHEN {i} THEN '{k.name}'" for i, k in enumerate(KINDS))
+    role = " ".join(f"WHEN {i} THEN '{k.role}'" for i, k in enumerate(KINDS))
+    strong = ", ".join(str(i) for i, k in enumerate(KINDS) if k.strong)
+    near = f"q.rid = p.rid AND q.scope = p.scope AND q.a <= p.z + {REACH} AND p.a <= q.z + {REACH} AND (q.a >= p.z OR p.a >= q.z)"
+    counts = ", ".join(f"coalesce(count(*) FILTER (ord = {i}), 0) AS n_{k.name}" for i, k in enumerate(KINDS) if k.strong)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+        l AS (SELECT rid, {lists} FROM d),
+        e AS (SELECT rid, ord, ok, length(m) AS n, sum(length(gap) + length(m)) OVER (PARTITION BY rid, ord ORDER BY i) AS z FROM ({rows})),
+        s AS (SELECT *, z - n AS a, sum((ord < 0)::INT) OVER (PARTITION BY rid ORDER BY z - n, ord) AS scope FROM e WHERE ok),
+        c AS (SELECT rid, ord, a, z, scope, CASE ord {name} END AS name, CASE ord {role} END AS role, ord IN ({strong}) AS strong FROM s WHERE ord >= 0),
+        o AS (
+            SELECT * FROM c p WHERE strong OR role <> 'endpoint' AND EXISTS (
+                SELECT 1 FROM c q WHERE q.role = CASE p.role WHEN 'identifier' THEN 'secret' ELSE 'identifier' END AND {near})),
+        k AS (SELECT * FROM o UNION ALL SELECT * FROM c p WHERE role = 'endpoint' AND EXISTS (SELECT 1 FROM o q WHERE {near})),
+        g AS (
+            SELECT rid, {counts}, string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, ord) FILTER (strong) AS base,
+                   string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, ord) AS spans, count(*) FILTER (NOT strong) AS n_linked
+            FROM k GROUP BY rid)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in KINDS if k.strong)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+        FROM d LEFT JOIN g USING (rid)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_secret_scan": _secret_sql(),
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+        n AS (
+            SELECT p.a, p.b, p.s, s.b AS nb, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank
+            FROM p JOIN s ON p.a = s.a AND NOT same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+        SELECT a AS anchor_id, b AS positive_id, rank::INT AS rank, nb AS negative_id, s AS positive_score, ns AS negative_score FROM n WHERE rank <= 3""",
     "op10_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
