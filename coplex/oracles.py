@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 POST = """
 post AS (
     SELECT o_orderkey AS id, o_orderdate AS created_at, c_mktsegment AS segment, r_name AS region,
@@ -152,7 +154,7 @@ class RollSql:
         self.parts.append(ladder_sql(name, sample, hits or ["false"]) + base + f""",
 {name}_lad AS ({own}),
 {name}_raw AS (
-    SELECT tag, tid, p AS conf, p / ({self.rates}.n / {self.total}) AS lift, k_top, row_number() OVER (ORDER BY p DESC, tid) AS rk
+    SELECT tag, tid, p AS conf, p / ({self.rates}.n / {self.total}) AS lift, k_top, row_number() OVER (ORDER BY round(p, 12) DESC, tid) AS rk
     FROM {name}_lad JOIN {"dict" if self.rates == "dict" else f"dict USING (tag) JOIN {self.rates}"} USING (tag) WHERE ({pool}) AND tid <= 110 AND p > 0{outside} {f"QUALIFY rk <= {top}" if top else ""}),
 {name}_pool AS (SELECT tag FROM {f"dict WHERE ({pool}) AND tid <= 110" if whole else f"{name}_raw"})""" + smoothed + f""",
 {name}_none AS (SELECT CASE WHEN (SELECT count(*) FROM {name}_pool) = 0 THEN 1.0 ELSE greatest(0.05, 1 - {chance}) END AS p FROM {name}_any)""")
@@ -194,8 +196,8 @@ def _carries(pick: str) -> str:
     return f"coalesce(list_contains(tags, (SELECT tag FROM {pick})), false)"
 
 
-def _pose() -> str:
-    r, base, anchor = RollSql(11), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
+def _pose(seed: int = 11) -> str:
+    r, base, anchor = RollSql(seed), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
     r.ask("pb", base, "starts_with(tag, 'brand:')", anchor, [])
     brand = r.draw(0, "brand", "pb")
     r.ask("pa", [*base, _carries(brand)], "starts_with(tag, 'adj:')", anchor, [brand], required=True)
@@ -206,8 +208,8 @@ def _pose() -> str:
     return r.sql()
 
 
-def _expression() -> str:
-    r, base, anchor = RollSql(11), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
+def _expression(seed: int = 11) -> str:
+    r, base, anchor = RollSql(seed), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
     r.ask("xa", base, "starts_with(tag, 'adj:')", anchor, [], top=None)
     adj = [r.draw(0, "adj", "xa")]
     adj.append(r.draw(0, "adj", "xa", 1, only=f"(SELECT tag FROM {adj[0]}) IS NOT NULL"))
@@ -219,8 +221,8 @@ def _expression() -> str:
     return r.sql()
 
 
-def _design() -> str:
-    r, bare, anchors = RollSql(11), "list_contains(tags, 'hid:y')", ["'type:ECONOMY'", "'line:O'"]
+def _design(seed: int = 11) -> str:
+    r, bare, anchors = RollSql(seed), "list_contains(tags, 'hid:y')", ["'type:ECONOMY'", "'line:O'"]
     whole = {"whole": True, "adjust": False}
     r.row(-1, "anchor_extra", "anchor", "'line:O'")
     r.ask("db", [bare], "starts_with(tag, 'brand:')", [*anchors, "'adj:red'"], [], required=True, **whole)
@@ -269,15 +271,15 @@ s9_pick AS (SELECT CASE WHEN (SELECT tag FROM {one}) IN (SELECT tag FROM solid)
     return r.sql()
 
 
-def _adult() -> str:
+def _adult(seed: int = 11) -> str:
     """The sample of an act is small on small tables, so every question has a prior."""
-    r = RollSql(11, "every", "rate_e", "(SELECT count(*) FROM post WHERE rating = 'e')", 0.8)
+    r = RollSql(seed, "every", "rate_e", "(SELECT count(*) FROM post WHERE rating = 'e')", 0.8)
     r.parts.append(f""",
 rate_e AS (SELECT tag, count(*) AS n FROM inc WHERE rating = 'e' GROUP BY tag),
 acts AS (SELECT tag, n, row_number() OVER (ORDER BY n DESC, tag) AS rk FROM rate_e WHERE starts_with(tag, 'type:')),
 act_pick AS (
     SELECT tag FROM (SELECT tag, rk, sum(pow(n::DOUBLE, 1.25::DOUBLE)) OVER (ORDER BY rk) AS run, sum(pow(n::DOUBLE, 1.25::DOUBLE)) OVER () AS total FROM acts)
-    WHERE run >= {UNIFORM.format("'11#act#0'")} * total ORDER BY rk LIMIT 1),
+    WHERE run >= {UNIFORM.format(f"'{seed}#act#0'")} * total ORDER BY rk LIMIT 1),
 every AS (SELECT * FROM bask WHERE rating = 3 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
 acted AS (SELECT * FROM bask WHERE rating = 3 AND list_contains(tags, (SELECT tag FROM act_pick)) ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
 hat AS (SELECT min_by(tag, tid) AS tag FROM dict WHERE starts_with(tag, 'adj:')),
@@ -296,7 +298,47 @@ shoe AS (SELECT min_by(tag, tid) AS tag FROM dict WHERE starts_with(tag, 'noun:'
     return r.sql()
 
 
+def _seeds(roll: Callable[[int], str]) -> str:
+    return " UNION ALL ".join(f"SELECT {s}::BIGINT AS seed, * FROM ({roll(s)})" for s in (11, 12, 13))
+
+
+#: The ladder of every type over the wide sample: what ladder_sql() makes, by type.
+BATCH = WIDE + """,
+given AS (SELECT tag AS g FROM dict WHERE starts_with(tag, 'type:') AND tid <= 110),
+hit AS (
+    SELECT g, wide.*, list_contains(tags, g)::INT AS h0, list_contains(tags, 'flag:R')::INT AS h1, (NOT list_has_any(tags, ['ret:O', 'ret:F', 'hid:y']))::INT AS h2 FROM wide, given),
+idf AS (SELECT g, """ + ", ".join(f"greatest(0, CAST(round(1000 * ln(count(*) / greatest(sum(h{i}), 0.5))) AS INT)) AS i{i}" for i in range(3)) + """ FROM hit GROUP BY g),
+scored AS (SELECT hit.*, h0 * i0 + h1 * i1 + h2 * i2 AS score FROM hit JOIN idf USING (g)),
+tier AS (SELECT g, score, CAST(sum(count(*)) OVER (PARTITION BY g ORDER BY score DESC) AS BIGINT) AS size FROM scored GROUP BY g, score),
+sz AS (
+    SELECT DISTINCT g, coalesce(min(CASE WHEN size >= least_size THEN size END), max(size)) AS size
+    FROM tier, (VALUES (1), (30), (100), (300), (900), (3000)) v(least_size) GROUP BY g, least_size),
+lev AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY size) - 1 AS level, score AS cut, size FROM sz JOIN tier USING (g, size)),
+ex AS (SELECT s.*, level, size, count(*) OVER (PARTITION BY s.g, level, entity) AS c FROM scored s JOIN lev ON s.g = lev.g AND score >= cut),
+w AS (SELECT *, CASE WHEN entity = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(6.0::DOUBLE, 0.02::DOUBLE * size) / c) END AS w FROM ex),
+sums AS (
+    SELECT g, level, 'n' AS what, sum(w) AS a, sum(w) AS n FROM w GROUP BY g, level
+    UNION ALL SELECT g, level, 'adj', sum(CASE WHEN n_items >= 12 AND len(list_filter(tags, lambda x: starts_with(x, 'adj:r'))) > 0 THEN w ELSE 0 END), sum(CASE WHEN n_items >= 12 THEN w ELSE 0 END) FROM w GROUP BY g, level
+    UNION ALL SELECT g, level, 'noun', sum(CASE WHEN len(list_filter(tags, lambda x: starts_with(x, 'noun:'))) > 0 THEN w ELSE 0 END), sum(CASE WHEN len(list_filter(tags, lambda x: starts_with(x, 'noun:') OR x = 'flag:A')) > 0 THEN w ELSE 0 END) FROM w GROUP BY g, level),
+kept AS (SELECT * FROM (SELECT *, coalesce(max(n) OVER (PARTITION BY g, what ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sums) WHERE before < 3000),
+co AS (
+    SELECT g, what, level, a, n, exp(coalesce(sum(ln(300 / (n + 300))) OVER (PARTITION BY g, what ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS passed, level = max(level) OVER (PARTITION BY g, what) AS last FROM kept),
+share AS (SELECT g, what, sum(a * passed / CASE WHEN last THEN n ELSE n + 300 END) AS p FROM co GROUP BY g, what),
+lad AS (
+    SELECT g, tag, sum(CASE WHEN level = 0 THEN w ELSE 0 END) AS k, sum(w * passed / CASE WHEN last THEN n ELSE n + 300 END) AS p
+    FROM (SELECT g, level, w, unnest(tags) AS tag FROM w) JOIN (SELECT g, level, n, passed, last FROM co WHERE what = 'n') USING (g, level) WHERE starts_with(tag, 'brand:') GROUP BY g, tag),
+best AS (
+    SELECT g, tag, k, p, p / (n / (SELECT count(*) FROM post)) AS lift FROM lad JOIN dict USING (tag) WHERE p > 0 AND tid <= 110
+    QUALIFY row_number() OVER (PARTITION BY g ORDER BY p * pow(p / (n / (SELECT count(*) FROM post)), 0.8) DESC, tid) <= 12)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "m8_batch": f"""WITH {BATCH}
+        SELECT b.g AS given, b.tag, t.n_tiers::INT AS n_tiers, round(x.p, 6) AS p_adj, round(y.p, 6) AS p_noun, round(b.p, 6) AS conf, round(lift, 6) AS lift, round(k, 6) AS k
+        FROM best b JOIN (SELECT g, count(*) AS n_tiers FROM tier GROUP BY g) t USING (g) JOIN share x ON x.g = b.g AND x.what = 'adj' JOIN share y ON y.g = b.g AND y.what = 'noun'""",
+    "r_design_seeds": _seeds(_design),
+    "r_adult_seeds": _seeds(_adult),
+    "r_pose_seeds": _seeds(_pose),
+    "r_expression_seeds": _seeds(_expression),
     "p10_segment_bits": f"""WITH {POST},
         tags AS (SELECT pid, list(tag) AS t FROM inc GROUP BY pid)
         SELECT id, (CASE WHEN list_contains(t, 'flag:R') THEN 1 ELSE 0 END + CASE WHEN region IN ('ASIA', 'EUROPE') THEN 2 ELSE 0 END

@@ -15,11 +15,14 @@ from coplex.functions import facets as fx
 from coplex.operators import counts as ct
 from coplex.operators import predicates as pr
 from coplex.operators import samples as sm
+from coplex.plans import batch as B
 from coplex.plans import ladder as L
 from coplex.plans import roll as R
+from coplex.plans import rolls as M
 from coplex.sources import index as ix
 from coplex.sources import manifest as mf
 from coplex.sources import posts as ps
+from coplex.sources import store
 
 SINCE, BASE_TAG, TID_CUT = "1996-01-01", "line:O", 110
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -75,6 +78,14 @@ class World:
         key = (self.spark.sparkContext.applicationId, self.index.path, "code", repr(anchors), code)
         return SAMPLES.get(key, lambda: sm.code_sample(self.baskets, anchors, code))
 
+    def sampled(self, **samples: DataFrame) -> DataFrame:
+        """(sample, items, entity, n_items) of the named samples."""
+        out = None
+        for name, df in samples.items():
+            one = df.select(F.lit(name).alias("sample"), "items", "entity", "n_items")
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def wide(self, **more) -> DataFrame:
         return self.sample(excluded=[self.tid["brand:Brand#11"]] if "brand:Brand#11" in self.tid else [], **more)
 
@@ -305,24 +316,32 @@ def _scope(w: World, anchor: int, rating: str = "all", code: int | None = None)
     return R.Scope.of(sample, wide, w.rates(rating), consts[f"n_{rating}"], w.names, pairs=w.index.table("pairs"), singles=w.index.table("singles"), pair_total=consts["pair_total"], well=WELL)
 
 
+def _design_rules(w: World) -> tuple:
+    f = _facets(w)
+    facets = [f["brand"], f["type"], replace(f["hid"], none_in_query=True), f["flag"], replace(f["ret"], none_in_query=True), replace(f["adj"], absent=tuple(w.pool("flag:A"))), f["noun"]]
+    options = R.Options(seed=11, must={"brand"}, fixed={"noun": ""}, gone=[w.tid[x] for x in ("adj:red",) if x in w.tid])
+    return facets, [w.tid["type:ECONOMY"], w.tid["line:O"]], options, "bare", ["ret"], {"bare": ["flag"]}, ["brand"], w.tid["hid:y"]
+
+
 def r_design(w: World) -> DataFrame:
     """Anchored on a type; hid and ret join the questions when they come out empty; the ret facet is off by default and a mode
     takes the flags away."""
+    facets, anchors, *rest = _design_rules(w)
+    return R.roll_design(_scope(w, anchors[0]), facets, anchors, *rest)
+
+
+def _adult_rules(w: World) -> tuple:
     f = _facets(w)
-    facets = [f["brand"], f["type"], replace(f["hid"], none_in_query=True), f["flag"], replace(f["ret"], none_in_query=True), replace(f["adj"], absent=tuple(w.pool("flag:A"))), f["noun"]]
-    anchors = [w.tid["type:ECONOMY"], w.tid["line:O"]]
-    options = R.Options(seed=11, must={"brand"}, fixed={"noun": ""}, gone=[w.tid[x] for x in ("adj:red",) if x in w.tid])
-    return R.roll_design(_scope(w, anchors[0]), facets, anchors, options, "bare", ["ret"], {"bare": ["flag"]}, ["brand"], w.tid["hid:y"])
+    facets = [replace(f["brand"], draws_by_level={1: 1, 2: 2, 3: 3}), replace(f["hid"], draws_by_level={1: 0, 2: 1, 3: 1}), replace(f["flag"], role="clothes")]
+    design = [("adj", t) for t in w.pool("adj:")[:1]] + [("noun", t) for t in w.pool("noun:")[:1]]
+    return facets, R.Options(seed=11, temperature=0.8), design, {t: ("noun",) for t in w.pool("brand:")}
 
 
 def r_adult(w: World) -> DataFrame:
     """Acts are types, drawn by their frequency among rating e."""
-    f = _facets(w)
     acts = R.act_weights(w.rated("e"), w.tags.filter(F.startswith("tag", F.lit("type:")))).orderBy(F.desc("n"), "tag").collect()  # as many as types
-    facets = [replace(f["brand"], draws_by_level={1: 1, 2: 2, 3: 3}), replace(f["hid"], draws_by_level={1: 0, 2: 1, 3: 1}), replace(f["flag"], role="clothes")]
-    design = [("adj", t) for t in w.pool("adj:")[:1]] + [("noun", t) for t in w.pool("noun:")[:1]]
-    strips = {t: ("noun",) for t in w.pool("brand:")}
-    return R.roll_adult(lambda act: _scope(w, act, "e", 3), facets, [(w.tid[a["tag"]], a["n"]) for a in acts if a["tag"] in w.tid], R.Options(seed=11, temperature=0.8), design=design, level=2, strips=strips)
+    facets, options, design, strips = _adult_rules(w)
+    return R.roll_adult(lambda act: _scope(w, act, "e", 3), facets, [(w.tid[a["tag"]], a["n"]) for a in acts if a["tag"] in w.tid], options, design=design, level=2, strips=strips)
 
 
 def r_act_frequencies(w: World) -> DataFrame:
@@ -348,6 +367,68 @@ def r_expression(w: World) -> DataFrame:
     return R.roll_expression(_scope(w, w.tid["type:ECONOMY"]), [replace(f["adj"], draws=2), replace(f["brand"], draws=2), f["hid"]], [w.tid["type:ECONOMY"]], R.Options(seed=11), w.pool("flag:R"))
 
 
+def m8_batch(w: World) -> DataFrame:
+    """Brands given a type and a flag, with two facets empty, for every type at once; and how likely two other facets are empty."""
+    types = w.tags.filter(F.startswith("tag", F.lit("type:")) & (F.col("tid") <= TID_CUT)).select("tag", "tid")
+    none, empty = f"CAST(array() AS array<smallint>)", sorted(w.pool("ret:") + w.pool("hid:"))
+    shorts = lambda x: f"CAST(array({', '.join(map(str, x))}) AS array<smallint>)"
+    items = f"CAST(array(struct(true, array(tid)), struct(true, {shorts(w.pool('flag:R'))}), struct(false, {shorts(empty)})) AS {B.ITEMS})"
+    asks = f"CAST(array(struct({shorts(w.pool('adj:r'))}, {WELL}, {none}), struct({shorts(w.pool('noun:'))}, 0, {shorts(w.pool('flag:A'))})) AS {B.ASKS})"
+    questions = types.selectExpr("tag AS qid", "'wide' AS sample", "CAST(NULL AS string) AS prior", f"{items} AS items", f"{shorts(w.pool('brand:'))} AS pool", f"{none} AS gone", f"{asks} AS asks")
+    found = B.answered(questions, w.sampled(wide=w.wide()), w.rates(), w.total(), beta=L.BETA)
+    rows = found.select(F.col("qid").alias("given"), "n_tiers", *(F.round(F.col("asks")[i], 6).alias(x) for i, x in enumerate(("p_adj", "p_noun"))), F.inline("cands"))
+    return w.named(rows).select("given", "tag", "n_tiers", "p_adj", "p_noun", F.round("conf", 6).alias("conf"), F.round("lift", 6).alias("lift"), F.round("k", 6).alias("k"))
+
+
+#: Seeds of the rolls of many seeds.
+SEEDS = (11, 12, 13)
+
+
+def _many(w: World, own: DataFrame, rating: str = "all") -> tuple[M.World, DataFrame, str | None]:
+    """The world of many rolls over a sample and the wide one, their seeds, and the sample to smooth with, if it is small."""
+    baskets = w.sampled(own=own, wide=w.wide())
+    consts = w.constants
+    made = M.World(baskets, w.rates(rating), consts[f"n_{rating}"], w.tags.select("tid", "tag"), w.index.table("pairs"), w.index.table("singles"), consts["pair_total"], well=WELL)
+    return made, w.spark.createDataFrame([(s,) for s in SEEDS], "seed long"), "wide" if sm.is_small(own.count(), L.M, L.STOP) else None
+
+
+def r_design_seeds(w: World) -> DataFrame:
+    """r_design for many seeds at once."""
+    world, seeds, prior = _many(w, w.sample([w.tid["type:ECONOMY"]]))
+    facets, anchors, options, *rest = _design_rules(w)
+    return M.roll_designs(world, M.begun(seeds, "own", prior), facets, anchors, options, *rest)
+
+
+def r_pose_seeds(w: World) -> DataFrame:
+    f = _facets(w)
+    world, seeds, prior = _many(w, w.sample([w.tid["type:ECONOMY"]]))
+    return M.roll_conditioned(world, M.begun(seeds, "own", prior, w.pool("flag:R")), [f["brand"], f["adj"], f["hid"], f["type"]], [w.tid["type:ECONOMY"]], R.Options(must={"adj"}))
+
+
+def r_expression_seeds(w: World) -> DataFrame:
+    f = _facets(w)
+    world, seeds, prior = _many(w, w.sample([w.tid["type:ECONOMY"]]))
+    return M.roll_conditioned(world, M.begun(seeds, "own", prior, w.pool("flag:R")), [replace(f["adj"], draws=2), replace(f["brand"], draws=2), f["hid"]], [w.tid["type:ECONOMY"]], R.Options(), top=None)
+
+
+def r_adult_seeds(w: World) -> DataFrame:
+    """r_adult for many seeds: each draws its act, which names its sample; an act's sample is ranked once for all of its seeds."""
+    facets, options, design, strips = _adult_rules(w)
+    acts = w.rates("e").join(w.tags.filter(F.startswith("tag", F.lit("type:"))).select("tid"), "tid").filter((F.col("n") > 0) & (F.col("tid") <= TID_CUT))
+    seeds = w.spark.createDataFrame([(s,) for s in SEEDS], "seed long")
+    drawn = store.staged(M.with_acts(seeds, acts, options.temperature), "acts")
+    coded = w.baskets.filter(F.col("rating") == 3)
+    per_act = coded.withColumn("act", F.explode("items")).join(drawn.select(F.col("act").cast("smallint").alias("act")).distinct(), "act")
+    place = F.row_number().over(Window.partitionBy("act").orderBy(sm.order_key("pid", 1), "pid"))
+    own = per_act.withColumn("place", place).filter(F.col("place") <= sm.SAMPLE_CAP).withColumn("sample", F.concat(F.lit("act:"), "act"))
+    baskets = store.staged(own.select("sample", "items", "entity", "n_items").unionByName(w.sampled(wide=w.coded([], 3))), "act-samples")
+    sizes = baskets.groupBy("sample").agg(F.count(F.lit(1)).alias("size"))
+    begun = M.begun(drawn, "", None).drop("sample", "prior").join(drawn, "seed").withColumn("sample", F.concat(F.lit("act:"), "act"))
+    begun = begun.join(sizes, "sample", "left").withColumn("prior", F.when(F.coalesce("size", F.lit(0)) < L.STOP * L.M, "wide")).drop("size")
+    world = M.World(baskets, w.rates("e"), w.total("e"), w.tags.select("tid", "tag"), well=WELL)
+    return M.roll_adults(world, begun, facets, options, design, level=2, strips=strips)
+
+
 def r6_catalogue(w: World) -> DataFrame:
     """What the facets are: order, number of items, the most frequent item."""
     found = f1_facets(w).join(w.tags, "tag")
@@ -435,6 +516,6 @@ def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, s15_manifest, a8_document_tokens)} | {f.__name__: _world(f) for f in (
     a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
-    b2_design_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
-    g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression,
+    b2_design_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
+    g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,
 )}

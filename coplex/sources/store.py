@@ -35,6 +35,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stored(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
+def delete(df: DataFrame) -> None:
+    """Deletes the folder of a staged DataFrame that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.parquet(path).isEmpty()
