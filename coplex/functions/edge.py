@@ -2,68 +2,73 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .facets import normalise
+
 #: Digits that results are shown with.
 DIGITS = {"conf": 4, "lift": 2, "none_p": 3}
-ENTITY_CAP = 100
-
-Parameters = Mapping[str, Sequence[str]]
-
-
-def _one(q: Parameters, name: str, default: str = "") -> str:
-    return (q.get(name) or [default])[0]
-
-
-def _listed(q: Parameters, name: str) -> list[str]:
-    return [x.strip() for x in _one(q, name).split(",") if x.strip()]
-
-
-def excluded(q: Parameters) -> set[str]:
-    return {x.lower().replace(" ", "_") for x in _listed(q, "exclude")}
-
-
-def people(q: Parameters) -> int:
-    """1 to 3; 1 if it is no number."""
-    try:
-        return max(1, min(3, int(_one(q, "people") or 1)))
-    except ValueError:
-        return 1
-
-
-def switched_on(q: Parameters) -> set[str] | None:
-    """Names of a JSON list, None (all) for anything else."""
-    try:
-        found = json.loads(_one(q, "on", "null"))
-    except ValueError:
-        return None
-    return set(found) if isinstance(found, list) else None
-
-
-def must(q: Parameters) -> bool | set[str]:
-    return True if _one(q, "must", "0") == "1" else set(_listed(q, "req"))
-
-
-def costumes(q: Parameters, known: Sequence[str]) -> tuple[str, ...]:
-    return tuple(x for x in _listed(q, "cos") if x in known)
-
-
-def design(q: Parameters) -> list[str]:
-    return _listed(q, "design")
-
-
-def entity_cap(q: Parameters) -> int:
-    """Baskets of an entity; 0 is no cap."""
-    given = _one(q, "charcap").strip()
-    return ENTITY_CAP if not given else max(0, int(float(given)))
 
 
-def temperature(q: Parameters) -> float:
-    return max(0.1, float(_one(q, "temp", "1.0")))
+@dataclass(frozen=True)
+class Parameter:
+    """A parameter of a request. Kinds: number (within least and most), flag (1 or not), list (comma-separated; cut to the known
+    values, if there are any), names (a list, normalised), json (a list of strings in JSON; null for anything else)."""
+
+    name: str
+    kind: str
+    column: str
+    default: float | None = None
+    least: float | None = None
+    most: float | None = None
+    whole: bool = True
+    known: Sequence[str] | None = None
+
+
+PARAMETERS = (
+    Parameter("exclude", "names", "excluded"),
+    Parameter("people", "number", "people", 1, 1, 3),
+    Parameter("on", "json", "switched_on"),
+    Parameter("must", "flag", "must_all"),
+    Parameter("req", "list", "must"),
+    Parameter("cos", "list", "costumes", known=()),
+    Parameter("design", "list", "design"),
+    Parameter("charcap", "number", "entity_cap", 100, 0),
+    Parameter("temp", "number", "temperature", 1, 0.1, whole=False),
+)
+
+
+def _value(query: Column, name: str) -> Column:
+    """The first value of that name, decoded; null if there is none or it can't be decoded."""
+    pairs = F.filter(F.split(query, "&"), lambda x: F.startswith(x, F.lit(f"{name}=")))
+    return F.try_url_decode(F.substr(F.get(pairs, F.lit(0)), F.lit(len(name) + 2)))
+
+
+def read(query: Column, p: Parameter) -> Column:
+    """A parameter of a query string as its declaration says; what is absent or can't be read has the default, or is empty."""
+    text = _value(query, p.name)
+    if p.kind == "flag":
+        return F.coalesce(text == "1", F.lit(False))
+    if p.kind == "json":
+        return F.from_json(text, "array<string>")
+    if p.kind == "number":
+        number = F.coalesce(F.btrim(text).try_cast("double"), F.lit(float(p.default)))
+        number = F.when(F.isnan(number), float(p.default)).otherwise(number)
+        number = F.greatest(number, F.lit(float(p.least))) if p.least is not None else number
+        number = F.least(number, F.lit(float(p.most))) if p.most is not None else number
+        return F.floor(number).cast("int") if p.whole else number
+    one = normalise if p.kind == "names" else lambda x: F.btrim(x)
+    values = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), one), lambda x: x != "")
+    return F.filter(values, lambda x: x.isin(list(p.known))) if p.known is not None else values
+
+
+def requests(df: DataFrame, column: str, parameters: Sequence[Parameter] = PARAMETERS) -> DataFrame:
+    """df with a column for each parameter of its query strings. A null query has all defaults."""
+    return df.select("*", *(read(F.coalesce(F.col(column), F.lit("")), p).alias(p.column) for p in parameters))
 
 
 def parsed(df: DataFrame, column: str, schema: str) -> DataFrame:

@@ -353,6 +353,17 @@ ORACLE_SQL: dict[str, str] = {
     "f7_normalise": """
         WITH l AS (SELECT p_partkey, list_filter(list_transform(string_split(' ' || upper(p_name) || ' , ' || p_brand || ',,' || p_type, ','), lambda x: replace(lower(trim(x)), ' ', '_')), lambda x: x <> '') AS t FROM part)
         SELECT p_partkey, array_to_string(t, '|') AS listed, array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[A-Za-z0-9]') THEN replace(x, '_', ' ') ELSE x END), ', ') AS prompt FROM l""",
+    "f14_requests": """
+        WITH q AS (
+            SELECT *, 'exclude=+' || upper(replace(p_name, ' ', '+')) || ',+,' || replace(p_brand, '#', '_') || '&people=' || CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE (p_partkey % 9 - 2)::VARCHAR END
+                   || CASE p_partkey % 3 WHEN 0 THEN '&on=%5B%22' || split_part(p_name, ' ', 1) || '%22,%22z%22%5D' WHEN 1 THEN '&on=%7Bno' ELSE '' END || '&must=' || p_partkey % 2
+                   || '&req=,' || replace(p_type, ' ', '+') || '&cos=' || split_part(p_name, ' ', 1) || ',red&charcap=' || (p_partkey % 300 - 20) || '.7&temp=0.' || p_partkey % 40 AS query
+            FROM part)
+        SELECT p_partkey, query, replace(lower(p_name), ' ', '_') || '|' || replace(lower(p_brand), '#', '_') AS excluded, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE least(3, greatest(1, p_partkey % 9 - 2)) END::INT AS people,
+               CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) || '|z' END AS switched_on, p_partkey % 2 = 1 AS must_all, p_type AS must,
+               array_to_string(list_filter([split_part(p_name, ' ', 1), 'red'], lambda x: x IN ('red', 'hot', 'blue')), '|') AS costumes, '' AS design,
+               floor(greatest(0, regexp_extract(query, 'charcap=([-0-9.]+)', 1)::DOUBLE))::INT AS entity_cap, greatest(0.1, ('0.' || p_partkey % 40)::DOUBLE) AS temperature
+        FROM q""",
     "a8_document_tokens": """
         SELECT rating, entity, tag, count(*) AS n FROM (
             SELECT lang AS rating, source AS entity, unnest(list_distinct(list_filter(string_split_regex(coalesce(text, ''), '[ \\n]+'), lambda x: x <> ''))) AS tag FROM documents)

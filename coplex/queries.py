@@ -496,6 +496,20 @@ def f13_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("id", F.to_json(F.struct("rating", F.size("tags").alias("n"))).alias("written"))
 
 
+def f14_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of every part, read by the declared parameters; lists are joined again."""
+    k, part = F.col("p_partkey"), ps.table(spark, sf_dir, "part")
+    people = F.when(k % 5 == 0, "x").otherwise((k % 9 - 2).cast("string"))
+    pieces = [
+        F.concat(F.lit("exclude=+"), F.upper(F.translate("p_name", " ", "+")), F.lit(",+,"), F.translate("p_brand", "#", "_")), F.concat(F.lit("people="), people),
+        F.when(k % 3 == 0, F.concat(F.lit("on=%5B%22"), F.split("p_name", " ")[0], F.lit("%22,%22z%22%5D"))).when(k % 3 == 1, "on=%7Bno"), F.concat(F.lit("must="), (k % 2).cast("string")),
+        F.concat(F.lit("req=,"), F.translate("p_type", " ", "+")), F.concat(F.lit("cos="), F.split("p_name", " ")[0], F.lit(",red")), F.concat(F.lit("charcap="), (k % 300 - 20).cast("string"), F.lit(".7")), F.concat(F.lit("temp=0."), (k % 40).cast("string")),
+    ]
+    rules = [replace(p, known=("red", "hot", "blue")) if p.name == "cos" else p for p in edge.PARAMETERS]
+    read = edge.requests(part.select("p_partkey", F.concat_ws("&", *pieces).alias("query")), "query", rules)
+    return read.select("p_partkey", "query", *(F.array_join(p.column, "|").alias(p.column) if p.kind in ("list", "names", "json") else F.col(p.column) for p in rules))
+
+
 def f12_rounding(w: World) -> DataFrame:
     """Candidates as they are shown: conf with 4 digits, lift with 2, k whole."""
     t, pool = _flagship(w)
@@ -514,7 +528,7 @@ def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("rating", "entity", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, s15_manifest, a8_document_tokens)} | {f.__name__: _world(f) for f in (
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, f14_requests, s15_manifest, a8_document_tokens)} | {f.__name__: _world(f) for f in (
     a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
     b2_design_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
     g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from dataclasses import replace
 
 import pytest
 
@@ -190,11 +191,16 @@ def test_anchors(spark):
 def test_edge(spark):
     from coplex.functions import edge
 
-    q = {"exclude": [" Red Hair, ,bow"], "people": ["7"], "on": ['["a", "b"]'], "must": ["0"], "req": ["x, y"], "cos": ["k,zz"], "design": ["a, b"], "charcap": ["0"], "temp": ["0"]}
-    assert edge.excluded(q) == {"red_hair", "bow"} and edge.people(q) == 3 and edge.people({"people": ["x"]}) == 1
-    assert edge.switched_on(q) == {"a", "b"} and edge.switched_on({}) is None and edge.switched_on({"on": ["{"]}) is None
-    assert edge.must(q) == {"x", "y"} and edge.must({"must": ["1"]}) is True and edge.costumes(q, ["k"]) == ("k",) and edge.design(q) == ["a", "b"]
-    assert edge.entity_cap(q) == 0 and edge.entity_cap({}) == 100 and edge.temperature(q) == 0.1
+    rules = [replace(p, known=("k",)) if p.name == "cos" else p for p in edge.PARAMETERS]
+    queries = ["exclude=+Red%20Hair,+,bow&people=7&on=[%22a%22,%22b%22]&must=0&req=x,+y&cos=k,zz&design=a,+b&charcap=0&temp=0", "people=x&on=%7B&must=1&charcap=2.9&temp=1e400&people=2", "", None, "on=3&exclude=%zz&people=&charcap=nan"]
+    rows = edge.requests(spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "i int, query string"), "query", rules).orderBy("i").collect()
+    assert [list(r)[2:] for r in rows] == [
+        [["red_hair", "bow"], 3, ["a", "b"], False, ["x", "y"], ["k"], ["a", "b"], 0, 0.1],
+        [[], 1, None, True, [], [], [], 2, float("inf")],
+        [[], 1, None, False, [], [], [], 100, 1.0],
+        [[], 1, None, False, [], [], [], 100, 1.0],
+        [[], 1, None, False, [], [], [], 100, 1.0],
+    ]
     shown = edge.shown(spark.createDataFrame([(0.123456, 1.005, 2.6, 0.98765)], "conf double, lift double, k double, none_p double")).first()
     assert (shown.conf, shown.k, shown.none_p) == (0.1235, 3, 0.988)
     roll = edge.as_json(spark.createDataFrame([(1, "b"), (0, "a")], "ord int, tag string")).first().roll
