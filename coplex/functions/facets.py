@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Most rules by suffix, prefix or pattern, which go to every task.
+#: Most rules by pattern, which every item meets.
 MOST_RULES = 10_000
 
 
@@ -28,23 +28,34 @@ def prompt(tags: Column) -> Column:
     return F.concat_ws(", ", F.transform(tags, lambda t: F.when(t.rlike("[A-Za-z0-9]"), F.translate(t, "_", " ")).otherwise(t)))
 
 
+def _affixes(names: DataFrame, rules: DataFrame, kind: str) -> DataFrame:
+    """Matches of the rules of a kind, prefix or suffix: items meet a rule by the affix of its length, so by equality. There are as
+    many lengths as rules have, and none is longer than a name."""
+    of = rules.filter(F.col("kind") == kind)
+    lengths = [r["n"] for r in of.select(F.length("pattern").alias("n")).distinct().collect()]
+    cut = (lambda n: F.left("tag", F.lit(n))) if kind == "prefix" else (lambda n: F.right("tag", F.lit(n)))
+    affixes = F.array(*(F.when(F.length("tag") >= n, cut(n)) for n in lengths)) if lengths else F.array().cast("array<string>")
+    return names.select("tag", F.explode(affixes).alias("part")).join(of, F.col("part") == F.col("pattern")).select("tag", "facet", "ord")
+
+
 def memberships(tags: DataFrame, rules: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(tag, facet, ord): every facet that an item is in; `excluded` has (facet, tag) exceptions."""
-    names, t, p = tags.select("tag"), F.col("tag"), F.col("pattern")
-    of = lambda *kinds: rules.filter(F.col("kind").isin(*kinds))
-    words = F.split(t, "_")
-    exact = names.join(of("exact"), t == p)
+    """(tag, facet, ord): every facet that an item is in; `excluded` has (facet, tag) exceptions.
+
+    All kinds are joins by equality but patterns, a configuration of bounded size, which are matched where the items are."""
+    names, p = tags.select("tag"), F.col("pattern")
+    of = lambda kind: rules.filter(F.col("kind") == kind)
+    words = F.split(F.col("tag"), "_")
+    exact = names.join(of("exact"), F.col("tag") == p)
     word = names.select("tag", F.explode(F.array_distinct(words)).alias("part")).join(of("word"), F.col("part") == p)
     last = names.withColumn("part", F.element_at(words, -1)).join(of("last"), F.col("part") == p)
-    # each item meets each of these rules, which are a configuration of bounded size
-    loose = of("suffix", "prefix", "regex")
-    if loose.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules by suffix, prefix or pattern")
-    kind = F.col("kind")
-    matches = F.when(kind == "suffix", t.endswith(p)).when(kind == "prefix", t.startswith(p)).otherwise(F.expr("regexp_like(tag, pattern)"))
-    found = names.join(F.broadcast(loose), matches)
-    for part in (exact, word, last):
-        found = found.select("tag", "facet", "ord").union(part.select("tag", "facet", "ord"))
+    patterns = of("regex").select("facet", "ord", "pattern").take(MOST_RULES + 1)
+    if len(patterns) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules by pattern")
+    hits = [F.when(F.col("tag").rlike(r["pattern"]), F.struct(F.lit(r["facet"]).alias("facet"), F.lit(r["ord"]).alias("ord"))) for r in patterns]
+    found = names.select("tag", F.explode(F.array_compact(F.array(*hits))).alias("x")).select("tag", "x.facet", "x.ord") if hits else None
+    for part in (exact, word, last, _affixes(names, rules, "prefix"), _affixes(names, rules, "suffix")):
+        part = part.select("tag", "facet", "ord")
+        found = part if found is None else found.union(part)
     found = found.distinct()
     return found.join(excluded, ["facet", "tag"], "left_anti").select("tag", "facet", "ord") if excluded is not None else found
 

@@ -100,7 +100,7 @@ lift AS (
     SELECT rate.tag, least(4.0, greatest(0.25, ((coalesce(c, 0) + 300 * pb) / ((SELECT count(*) FROM {sample}) + 300)) / pb)) AS lift
     FROM rate LEFT JOIN (SELECT tag, count(*) AS c FROM (SELECT unnest(tags) AS tag FROM {sample}) GROUP BY tag) USING (tag))"""
 
-RULES = "('brand', 0, '^brand:'), ('type', 1, '^type:'), ('adj', 2, '^adj:'), ('noun', 3, '^noun:'), ('flag', 4, '^flag:[A-Z]$'), ('ret', 5, '^ret:[OF]$'), ('hid', 6, 'id:y$'), ('line', 7, '^line:'), ('letter', 8, '^(flag|line|ret):[A-Z]$')"
+RULES = "('brand', 0, '^brand:'), ('type', 1, '^type:'), ('adj', 2, '^adj:'), ('noun', 3, '^noun:'), ('flag', 4, '^flag:[A-Z]$'), ('ret', 5, '^ret:[OF]$'), ('hid', 6, 'id:y$'), ('line', 7, '^line:'), ('letter', 8, '^(flag|line|ret):[A-Z]$'), ('hidden', 9, '(^|_)hid:y(_|$)'), ('returned', 10, '(^|_)flag:R$')"
 
 UNIFORM = "((('0x' || substr(md5({0}), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
 
@@ -119,7 +119,8 @@ class RollSql:
     """The SQL of a roll: one block of common tables per question, one row per draw. prior: table of baskets to smooth with,
     which the SQL of a roll always does or never. rates: table of base rates (tag, n)."""
 
-    def __init__(self, seed: int, prior: str = "", rates: str = "dict", total: str = "(SELECT count(*) FROM post)", temperature: float = 1.0):
+    def __init__(self, seed: int, prior: str = "", rates: str = "dict", total: str = "(SELECT count(*) FROM post)", temperature: float = 1.0, lift: str = ""):
+        self.lift = lift
         self.seed, self.prior, self.rates, self.total, self.temperature = seed, prior, rates, total, temperature
         self.parts, self.rows = [], []
 
@@ -143,7 +144,8 @@ class RollSql:
     SELECT tag, sum(w * passed / CASE WHEN last THEN n ELSE n + 300 END) AS p
     FROM (SELECT level, w, unnest(tags) AS tag FROM {name}z_w) JOIN {name}z_c USING (level) GROUP BY tag)"""
             rest = f"(SELECT min(passed * 300 / (n + 300)) FROM {name}_c)"
-            own = f"SELECT tag, coalesce(k_top, 0) AS k_top, coalesce(o.p, 0) + coalesce(z.p, 0) * {rest} AS p FROM ({own}) o FULL JOIN {name}z_lad z USING (tag)"
+            wide, lifts = ("least(1.0, coalesce(z.p, 0) * coalesce(lift, 1))", f" LEFT JOIN {self.lift} USING (tag)") if self.lift else ("coalesce(z.p, 0)", "")
+            own = f"SELECT tag, coalesce(k_top, 0) AS k_top, coalesce(o.p, 0) + {wide} * {rest} AS p FROM ({own}) o FULL JOIN {name}z_lad z USING (tag){lifts}"
         smoothed = (any_sql(f"{name}z_any", known, counted, f"{name}z") if self.prior else "") + any_sql(f"{name}_any", known, counted, name)
         chance = "coalesce(p, 0)"
         if self.prior:
@@ -196,34 +198,39 @@ def _carries(pick: str) -> str:
     return f"coalesce(list_contains(tags, (SELECT tag FROM {pick})), false)"
 
 
-def _pose(seed: int = 11) -> str:
-    r, base, anchor = RollSql(seed), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
-    r.ask("pb", base, "starts_with(tag, 'brand:')", anchor, [])
+def _pose(seed: int = 11, act: bool = False) -> str:
+    r, base, anchor = RollSql(seed, **(_given_act() if act else {})), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
+    r.parts += [ACTED] * act
+    sample = "acted" if act else "econ"
+    r.ask("pb", base, "starts_with(tag, 'brand:')", anchor, [], sample=sample)
     brand = r.draw(0, "brand", "pb")
-    r.ask("pa", [*base, _carries(brand)], "starts_with(tag, 'adj:')", anchor, [brand], required=True)
+    r.ask("pa", [*base, _carries(brand)], "starts_with(tag, 'adj:')", anchor, [brand], required=True, sample=sample)
     adj = r.draw(1, "adj", "pa", required=True)
-    r.ask("ph", [*base, _carries(brand), _carries(adj)], "starts_with(tag, 'hid:')", anchor, [brand, adj])
+    r.ask("ph", [*base, _carries(brand), _carries(adj)], "starts_with(tag, 'hid:')", anchor, [brand, adj], sample=sample)
     r.draw(2, "hid", "ph")
     r.row(3, "type", "anchor", "'type:ECONOMY'")
     return r.sql()
 
 
-def _expression(seed: int = 11) -> str:
-    r, base, anchor = RollSql(seed), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
-    r.ask("xa", base, "starts_with(tag, 'adj:')", anchor, [], top=None)
+def _expression(seed: int = 11, act: bool = False) -> str:
+    r, base, anchor = RollSql(seed, **(_given_act() if act else {})), ["list_contains(tags, 'flag:R')"], ["'type:ECONOMY'"]
+    r.parts += [ACTED] * act
+    sample = "acted" if act else "econ"
+    r.ask("xa", base, "starts_with(tag, 'adj:')", anchor, [], top=None, sample=sample)
     adj = [r.draw(0, "adj", "xa")]
     adj.append(r.draw(0, "adj", "xa", 1, only=f"(SELECT tag FROM {adj[0]}) IS NOT NULL"))
-    r.ask("xb", [*base, *map(_carries, adj)], "starts_with(tag, 'brand:')", anchor, adj, top=None)
+    r.ask("xb", [*base, *map(_carries, adj)], "starts_with(tag, 'brand:')", anchor, adj, top=None, sample=sample)
     brand = [r.draw(1, "brand", "xb")]
     brand.append(r.draw(1, "brand", "xb", 1, only=f"(SELECT tag FROM {brand[0]}) IS NOT NULL"))
-    r.ask("xh", [*base, *map(_carries, adj + brand)], "starts_with(tag, 'hid:')", anchor, adj + brand, top=None)
+    r.ask("xh", [*base, *map(_carries, adj + brand)], "starts_with(tag, 'hid:')", anchor, adj + brand, top=None, sample=sample)
     r.draw(2, "hid", "xh")
     return r.sql()
 
 
-def _design(seed: int = 11) -> str:
-    r, bare, anchors = RollSql(seed), "list_contains(tags, 'hid:y')", ["'type:ECONOMY'", "'line:O'"]
-    whole = {"whole": True, "adjust": False}
+def _design(seed: int = 11, segment: bool = False) -> str:
+    r, bare, anchors = RollSql(seed, "aswide" if segment else "", lift="alift" if segment else ""), "list_contains(tags, 'hid:y')", ["'type:ECONOMY'", "'line:O'"]
+    whole = {"whole": True, "adjust": False, "sample": "asecon" if segment else "econ"}
+    r.parts += [SEGMENTED] * segment
     r.row(-1, "anchor_extra", "anchor", "'line:O'")
     r.ask("db", [bare], "starts_with(tag, 'brand:')", [*anchors, "'adj:red'"], [], required=True, **whole)
     brand = r.draw(0, "brand", "db", required=True)
@@ -298,6 +305,27 @@ shoe AS (SELECT min_by(tag, tid) AS tag FROM dict WHERE starts_with(tag, 'noun:'
     return r.sql()
 
 
+ACTED = """,
+rate_e AS (SELECT tag, count(*) AS n FROM inc WHERE rating = 'e' GROUP BY tag),
+every AS (SELECT * FROM bask WHERE rating = 3 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
+acted AS (SELECT * FROM bask WHERE rating = 3 AND list_contains(tags, 'type:ECONOMY') ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000)"""
+
+
+#: The same samples within one region, and the lifts of the anchor's sample.
+SEGMENTED = """,
+ascap AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(pid::VARCHAR || '#1'), pid) AS rn FROM bask WHERE segment_bits & 4 <> 0 AND NOT list_contains(tags, 'brand:Brand#11')),
+aswide AS (SELECT * EXCLUDE rn FROM ascap WHERE entity = 0 OR rn <= 100 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
+aecap AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(pid::VARCHAR || '#1'), pid) AS rn FROM bask WHERE segment_bits & 4 <> 0 AND list_contains(tags, 'type:ECONOMY')),
+asecon AS (SELECT * EXCLUDE rn FROM aecap WHERE entity = 0 OR rn <= 100 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
+alift AS (
+    SELECT tag, least(4.0, greatest(0.25, ((coalesce(c, 0) + 300 * pb) / ((SELECT count(*) FROM econ) + 300)) / pb)) AS lift
+    FROM (SELECT tag, n / (SELECT count(*) FROM post) AS pb FROM dict) LEFT JOIN (SELECT tag, count(*) AS c FROM (SELECT unnest(tags) AS tag FROM econ) GROUP BY tag) USING (tag))"""
+
+
+def _given_act() -> dict:
+    return {"prior": "every", "rates": "rate_e", "total": "(SELECT count(*) FROM post WHERE rating = 'e')"}
+
+
 def _seeds(roll: Callable[[int], str]) -> str:
     return " UNION ALL ".join(f"SELECT {s}::BIGINT AS seed, * FROM ({roll(s)})" for s in (11, 12, 13))
 
@@ -335,6 +363,14 @@ ORACLE_SQL: dict[str, str] = {
     "m8_batch": f"""WITH {BATCH}
         SELECT b.g AS given, b.tag, t.n_tiers::INT AS n_tiers, round(x.p, 6) AS p_adj, round(y.p, 6) AS p_noun, round(b.p, 6) AS conf, round(lift, 6) AS lift, round(k, 6) AS k
         FROM best b JOIN (SELECT g, count(*) AS n_tiers FROM tier GROUP BY g) t USING (g) JOIN share x ON x.g = b.g AND x.what = 'adj' JOIN share y ON y.g = b.g AND y.what = 'noun'""",
+    "a14_exact_counts": f"""WITH {WIDE}{ladder_sql("q", "wide", ITEMS[:2])},
+        b AS (SELECT tag, w FROM (SELECT level, w, unnest(tags) AS tag FROM q_w) WHERE level = 0 AND starts_with(tag, 'brand:')),
+        a AS (SELECT unnest(tags) AS tag FROM wide)
+        SELECT 'both' AS condition, tag, (SELECT round(n) FROM q_n WHERE level = 0) AS n, round(sum(w), 6) AS c FROM b GROUP BY tag
+        UNION ALL SELECT 'all', tag, (SELECT count(*)::DOUBLE FROM wide), count(*)::DOUBLE FROM a WHERE starts_with(tag, 'brand:') GROUP BY tag""",
+    "r_design_segment": _design(segment=True),
+    "r_pose_act": _pose(act=True),
+    "r_expression_act": _expression(act=True),
     "r_design_seeds": _seeds(_design),
     "r_adult_seeds": _seeds(_adult),
     "r_pose_seeds": _seeds(_pose),
@@ -419,6 +455,13 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(pid::VARCHAR || '#1'), pid) AS rn FROM bask
               WHERE list_contains(tags, 'type:ECONOMY') AND list_contains(tags, 'line:O') AND NOT list_has_any(tags, ['brand:Brand#11', 'brand:Brand#12']) AND rating <= 1 AND segment_bits & 12 <> 0)
         SELECT pid FROM k WHERE entity = 0 OR rn <= 20 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 400""",
+    "b2_basket_sample": f"""WITH {INDEX},
+        k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(pid::VARCHAR || '#1'), pid) AS rn FROM bask
+              WHERE list_contains(tags, 'flag:R') AND list_contains(tags, 'line:O') AND NOT list_has_any(tags, ['brand:Brand#11', 'hid:y']) AND rating <= 1 AND segment_bits & 1 <> 0 AND costume_bits & 1 <> 0)
+        SELECT pid FROM k WHERE entity = 0 OR rn <= 5 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 300""",
+    "j4_rows": f"""WITH {INDEX}
+        SELECT 'all' AS kind, pid FROM red WHERE tag IN ('type:ECONOMY', 'flag:R', 'hid:y') GROUP BY pid HAVING count(*) = 3
+        UNION ALL SELECT 'none', pid FROM red WHERE tag = 'flag:A' AND pid NOT IN (SELECT pid FROM red WHERE tag IN ('ret:O', 'hid:y'))""",
     "b4_code_sample": f"WITH {INDEX} SELECT pid, rating::INT AS rating FROM bask WHERE list_contains(tags, 'flag:R') AND rating = 3 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 300",
     "f1_facets": f"""WITH {INDEX},
         rule(facet, ord, p) AS (VALUES {RULES})
@@ -465,7 +508,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY -ln({UNIFORM.format("'7#' || facet || '#' || tid::VARCHAR")}) / weight, tid) AS place FROM d)
         SELECT facet, tag, place::INT AS place FROM r WHERE place <= 3""",
     "b6_random_anchor": f"""WITH {INDEX},
-        d AS (SELECT tag, tid, n, sqrt(n) AS weight FROM dict WHERE starts_with(tag, 'adj:') AND n >= 300 AND tid <= 110),
+        d AS (SELECT tag, tid, n, sqrt(n) AS weight FROM dict WHERE starts_with(tag, 'adj:') AND n >= 3000 AND tid <= 110),
         r AS (SELECT *, sum(weight) OVER (ORDER BY tid) AS run, sum(weight) OVER () AS total FROM d),
         t AS (SELECT t AS try, {UNIFORM.format("'3#anchor#' || t")} AS u FROM range(12) AS s(t)),
         x AS (SELECT try, min_by(tag, run) AS tag, min_by(n, run) AS n FROM t JOIN r ON run >= u * total GROUP BY try),

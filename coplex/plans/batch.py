@@ -200,6 +200,19 @@ def answered(questions: DataFrame, baskets: DataFrame, rates: DataFrame, total:
     return out.join(later.select("qid", "asks"), "qid")
 
 
+def exact_counts(questions: DataFrame, baskets: DataFrame) -> DataFrame:
+    """(qid, n, tid, c): weighted counts of the best tier and of the pool's items in it; of a question without items the counts of the
+    whole sample, without weights."""
+    sides = sided(questions.withColumn("prior", F.lit(None).cast("string")))
+    found = _kept(matches(sides, baskets))
+    best = weighted(found, levels(tiers(found))).selectExpr("qid", "measure", "get(k, 0) AS c")
+    plain = found.groupBy("qid", "measure").agg(F.sum("n").cast("double").alias("plain"))
+    every = plain.join(questions.selectExpr("qid", "size(items) = 0 AS free"), "qid").join(best, ["qid", "measure"], "left")
+    counts = every.selectExpr("qid", "measure", "IF(free, plain, coalesce(c, 0D)) AS c").filter("c > 0")
+    n = counts.filter(F.col("measure") == BASKET).selectExpr("qid", "round(c) AS n")
+    return counts.filter("measure >= 0").join(n, "qid").selectExpr("qid", "n", "measure AS tid", "c")
+
+
 def anchor_lifts(sample: DataFrame, rates: DataFrame, total: int, m: float = M) -> DataFrame:
     """(sample, tid, lift) of every item: its smoothed share of a sample over its base rate, within [0.25, 4]; unweighted."""
     return sample.sparkSession.sql(

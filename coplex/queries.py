@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from coplex.functions import edge
 from coplex.functions import facets as fx
+from coplex.operators import bitmaps as bm
 from coplex.operators import counts as ct
 from coplex.operators import predicates as pr
 from coplex.operators import samples as sm
@@ -32,6 +33,7 @@ WELL = 12
 RULES = [
     ("brand", 0, "prefix", "brand:"), ("type", 1, "prefix", "type:"), ("adj", 2, "prefix", "adj:"), ("noun", 3, "prefix", "noun:"), ("flag", 4, "regex", "^flag:[A-Z]$"),
     ("ret", 5, "exact", "ret:O"), ("ret", 5, "exact", "ret:F"), ("hid", 6, "suffix", "id:y"), ("line", 7, "prefix", "line:"), ("letter", 8, "regex", "^(flag|line|ret):[A-Z]$"),
+    ("hidden", 9, "word", "hid:y"), ("returned", 10, "last", "flag:R"),
 ]
 
 
@@ -49,7 +51,7 @@ class World:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.index = ix.opened(spark, sf_dir, lambda: ps.posts_from_orders(spark, sf_dir), TABLES, SETTINGS)
-        self.tags, self.rows, self.baskets = (self.index.table(x) for x in ("tags", "rows", "baskets"))
+        self.tags, self.rows, self.words, self.baskets = (self.index.table(x) for x in ("tags", "rows", "words", "baskets"))
         key = (spark.sparkContext.applicationId, self.index.path)
         if key not in SMALL:
             names = {r["tid"]: r["tag"] for r in self.tags.filter(F.col("tid") <= TID_CUT).collect()}
@@ -156,21 +158,31 @@ def p15_matches(w: World) -> DataFrame:
 
 
 def j4_intersection(w: World) -> DataFrame:
-    return pr.carrying_all(w.rows, [w.tid["type:ECONOMY"], w.tid["flag:R"], w.tid["hid:y"]])
+    return bm.pids(bm.among(w.words, [[w.tid[x]] for x in ("type:ECONOMY", "flag:R", "hid:y")]))
 
 
 def j5_exclusion(w: World) -> DataFrame:
-    both = w.baskets.join(pr.carrying_all(w.rows, [w.tid["flag:A"]]), "pid", "left_semi")
-    return pr.without_any(both, w.rows, [w.tid["ret:O"], w.tid["hid:y"]]).select("pid")
+    return bm.pids(bm.among(w.words, [[w.tid["flag:A"]]], [w.tid["ret:O"], w.tid["hid:y"]]))
 
 
 def u_set_operations(w: World) -> DataFrame:
-    a, b = sm.posting(w.rows, w.tid["flag:R"], full=True), sm.posting(w.rows, w.tid["hid:y"], full=True)
-    parts = {"except": a.subtract(b), "intersect": a.intersect(b), "union": a.union(b).distinct()}
-    counted = [df.agg(F.lit(k).alias("op"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("pid"), F.lit(0)).alias("s")) for k, df in parts.items()]
+    a, b = w.tid["flag:R"], w.tid["hid:y"]
+    parts = {"except": ([[a]], [b]), "intersect": ([[a], [b]], ()), "union": ([[a, b]], ())}
+    counted = []
+    for name, condition in parts.items():
+        found = bm.among(w.words, *condition)
+        counted.append(bm.size(found).join(bm.pids(found).agg(F.coalesce(F.sum("pid"), F.lit(0)).alias("s"))).select(F.lit(name).alias("op"), "n", "s"))  # one row each
     return counted[0].union(counted[1]).union(counted[2])
 
 
+def j4_rows(w: World) -> DataFrame:
+    """j4_intersection and j5_exclusion by joins of item-major rows."""
+    one = pr.carrying_all(w.rows, [w.tid["type:ECONOMY"], w.tid["flag:R"], w.tid["hid:y"]])
+    both = w.baskets.join(pr.carrying_all(w.rows, [w.tid["flag:A"]]), "pid", "left_semi")
+    two = pr.without_any(both, w.rows, [w.tid["ret:O"], w.tid["hid:y"]])
+    return one.select(F.lit("all").alias("kind"), "pid").unionByName(two.select(F.lit("none").alias("kind"), "pid"))
+
+
 def t4_posting_sample(w: World) -> DataFrame:
     return sm.posting(w.rows, w.tid["type:ECONOMY"], cap=500)
 
@@ -180,8 +192,16 @@ def w2_entity_cap(w: World) -> DataFrame:
 
 
 def b2_design_sample(w: World) -> DataFrame:
-    mask = pr.mask_of(["ASIA", "EUROPE"], REGIONS)
-    return sm.sub_sample(w.baskets, [w.tid["type:ECONOMY"]], "gs", mask, 0, [w.tid["brand:Brand#11"]], [w.tid["line:O"]], [w.tid["brand:Brand#12"]], 20, 1, 400).select("pid")
+    """The condition by bitmaps; entities of what it leaves are looked up to cap them."""
+    every = [[w.tid["type:ECONOMY"]], [w.tid["line:O"]], [bm.RATING - x for x in (0, 1)], bm.bits_of(pr.mask_of(["ASIA", "EUROPE"], REGIONS), bm.SEGMENT)]
+    found = bm.pids(bm.among(w.words, every, [w.tid["brand:Brand#11"], w.tid["brand:Brand#12"]]))
+    return sm.take(sm.cap_entities(w.baskets.select("pid", "entity").join(found, "pid"), 20, 1), 400, 1).select("pid")
+
+
+def b2_basket_sample(w: World) -> DataFrame:
+    """A sample by predicates over baskets, of another condition."""
+    mask = pr.mask_of(["AFRICA"], REGIONS)
+    return sm.sub_sample(w.baskets, [w.tid["flag:R"]], "gs", mask, 1, [w.tid["brand:Brand#11"]], [w.tid["line:O"]], [w.tid["hid:y"]], 5, 1, 300).select("pid")
 
 
 def b4_code_sample(w: World) -> DataFrame:
@@ -307,13 +327,16 @@ def _facets(w: World) -> dict[str, R.Facet]:
     return {name: R.Facet(name, pool, tuple(t for t in pool if first[t] == name)) for name, pool in pools.items()}
 
 
-def _scope(w: World, anchor: int, rating: str = "all", code: int | None = None) -> R.Scope:
-    if code is not None:
+def _scope(w: World, anchor: int, rating: str = "all", code: int | None = None, segments: int = 0) -> R.Scope:
+    lift_of = None
+    if segments:
+        sample, wide, lift_of = w.sample([anchor], segment_mask=segments), lambda: w.wide(segment_mask=segments), lambda: w.sample([anchor])
+    elif code is not None:
         sample, wide = w.coded([anchor], code), lambda: w.coded([], code)
     else:
         sample, wide = w.sample([anchor]), w.wide
     consts = w.constants
-    return R.Scope.of(sample, wide, w.rates(rating), consts[f"n_{rating}"], w.names, pairs=w.index.table("pairs"), singles=w.index.table("singles"), pair_total=consts["pair_total"], well=WELL)
+    return R.Scope.of(sample, wide, w.rates(rating), consts[f"n_{rating}"], w.names, pairs=w.index.table("pairs"), singles=w.index.table("singles"), pair_total=consts["pair_total"], well=WELL, lift_of=lift_of)
 
 
 def _design_rules(w: World) -> tuple:
@@ -330,6 +353,13 @@ def r_design(w: World) -> DataFrame:
     return R.roll_design(_scope(w, anchors[0]), facets, anchors, *rest)
 
 
+def r_design_segment(w: World) -> DataFrame:
+    """r_design within one region: the sample is small, so it is smoothed with the region's wide sample times the lift of the anchor's
+    sample of all regions."""
+    facets, anchors, *rest = _design_rules(w)
+    return R.roll_design(_scope(w, anchors[0], segments=pr.mask_of(["ASIA"], REGIONS)), facets, anchors, *rest)
+
+
 def _adult_rules(w: World) -> tuple:
     f = _facets(w)
     facets = [replace(f["brand"], draws_by_level={1: 1, 2: 2, 3: 3}), replace(f["hid"], draws_by_level={1: 0, 2: 1, 3: 1}), replace(f["flag"], role="clothes")]
@@ -362,6 +392,17 @@ def r_pose(w: World) -> DataFrame:
     return R.roll_pose(_scope(w, w.tid["type:ECONOMY"]), [f["brand"], f["adj"], f["hid"], f["type"]], [w.tid["type:ECONOMY"]], R.Options(seed=11, must={"adj"}), w.pool("flag:R"))
 
 
+def r_pose_act(w: World) -> DataFrame:
+    """r_pose given an act: the sample is the act's baskets of rating e, lifts are over that rating."""
+    f = _facets(w)
+    return R.roll_pose(_scope(w, w.tid["type:ECONOMY"], "e", 3), [f["brand"], f["adj"], f["hid"], f["type"]], [w.tid["type:ECONOMY"]], R.Options(seed=11, must={"adj"}), w.pool("flag:R"))
+
+
+def r_expression_act(w: World) -> DataFrame:
+    f = _facets(w)
+    return R.roll_expression(_scope(w, w.tid["type:ECONOMY"], "e", 3), [replace(f["adj"], draws=2), replace(f["brand"], draws=2), f["hid"]], [w.tid["type:ECONOMY"]], R.Options(seed=11), w.pool("flag:R"))
+
+
 def r_expression(w: World) -> DataFrame:
     f = _facets(w)
     return R.roll_expression(_scope(w, w.tid["type:ECONOMY"]), [replace(f["adj"], draws=2), replace(f["brand"], draws=2), f["hid"]], [w.tid["type:ECONOMY"]], R.Options(seed=11), w.pool("flag:R"))
@@ -380,6 +421,19 @@ def m8_batch(w: World) -> DataFrame:
     return w.named(rows).select("given", "tag", "n_tiers", "p_adj", "p_noun", F.round("conf", 6).alias("conf"), F.round("lift", 6).alias("lift"), F.round("k", 6).alias("k"))
 
 
+def a14_exact_counts(w: World) -> DataFrame:
+    """Brands among the wide sample's baskets that match a condition best, and among all of them; the sample is read from memory."""
+    kept = w.index.warm()
+    try:
+        wide = store.staged(w.sampled(wide=sm.sub_sample(kept, excluded=[w.tid["brand:Brand#11"]])), "wide")
+    finally:
+        kept.unpersist()
+    condition = [(True, [w.tid[x]]) for x in QUERY]
+    rows = [(name, "wide", None, items, w.pool("brand:"), [], []) for name, items in (("both", condition), ("all", []))]
+    found = B.exact_counts(w.spark.createDataFrame(rows, B.QUESTIONS), wide)
+    return w.named(found).select(F.col("qid").alias("condition"), "tag", "n", F.round("c", 6).alias("c"))
+
+
 #: Seeds of the rolls of many seeds.
 SEEDS = (11, 12, 13)
 
@@ -435,13 +489,13 @@ def r6_catalogue(w: World) -> DataFrame:
     return found.groupBy("facet", "ord").agg(F.count(F.lit(1)).alias("n_items"), F.min_by("tag", "tid").alias("example"))
 
 
-SEGMENT_LEAST, TRIES = 300, 12
+SEGMENT_LEAST, TRIES, FREQUENT = 300, 12, 3000
 
 
 def b6_random_anchor(w: World) -> DataFrame:
     """An item of the adj facet that is frequent enough, drawn by the root of its frequency: of TRIES draws the first that is
     no excluded class (suffix, prefix) and has SEGMENT_LEAST baskets in the segment, else the last."""
-    pool = w.tags.filter(F.startswith("tag", F.lit("adj:")) & (F.col("n") >= 300) & (F.col("tid") <= TID_CUT))
+    pool = w.tags.filter(F.startswith("tag", F.lit("adj:")) & (F.col("n") >= FREQUENT) & (F.col("tid") <= TID_CUT))
     run = F.sum(F.sqrt("n")).over(Window.orderBy("tid").rowsBetween(Window.unboundedPreceding, 0))  # TID_CUT rows at most
     reach = pool.withColumn("run", run).withColumn("total", F.sum(F.sqrt("n")).over(Window.partitionBy(F.lit(1))))
     tries = w.spark.range(TRIES).select(F.col("id").alias("try"), sm.uniform(F.lit(3), F.lit("anchor"), F.col("id")).alias("u"))
@@ -529,7 +583,7 @@ def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, f14_requests, s15_manifest, a8_document_tokens)} | {f.__name__: _world(f) for f in (
-    a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
-    b2_design_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
-    g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,
+    a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j4_rows, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
+    b2_design_sample, b2_basket_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, a14_exact_counts, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
+    g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_segment, r_pose_act, r_expression_act, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,
 )}

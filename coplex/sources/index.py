@@ -1,30 +1,33 @@
 """The stored index: everything that queries need from posts, written once and read back.
 
-Item-major rows sorted by (tid, pid) answer posting lists by row-group statistics; basket-major rows hold a basket's
-items, rating, entity and bits in one row. Small tables are the dictionary, base rates per rating, single counts, pair
-counts and constants. A build goes into a folder named by its inputs' files and sizes and its settings; the constants are
-written last, so a build that broke off is done again."""
+Item-major rows sorted by (tid, pid) answer posting lists by row-group statistics, and so do bitmaps of the same; basket-major
+rows hold a basket's items, rating, entity and bits in one row. Small tables are the dictionary, base rates per rating, single counts, pair
+counts and constants. A build goes into a version's folder below one that is named by its inputs' files and sizes and its
+settings; the constants are written last, so a build that broke off is no version."""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coplex.operators import bitmaps as bm
 from coplex.operators import counts as ct
 from coplex.operators import predicates as pr
 
 from . import posts as ps
-from .store import exists, shared_dir, stored
+from .store import shared_dir, stored
 
 BASKETS = "pid long, items array<smallint>, rating tinyint, n_items int, entity int, costume_bits int, segment_bits int, solo boolean"
 SCHEMAS = {
     "tags": "tag string, n long, tid int",
     "rates": "tag string, n long, rating string",
     "rows": "pid long, tid smallint, rating string",
+    "words": "tid smallint, word long, bits long",
     "baskets": BASKETS,
     "singles": "tid smallint, n long",
     "pairs": "a smallint, b smallint, n_ab long",
@@ -53,8 +56,8 @@ def fingerprint(spark: SparkSession, paths: Sequence[str], settings: Settings) -
     return hashlib.sha256(repr((sorted(map(tuple, files)), asdict(settings), SCHEMAS)).encode()).hexdigest()[:24]
 
 
-#: Indexes that this process has found whole, by application and path.
-_whole: set[tuple[str, str]] = set()
+#: The version that each application reads, by root.
+_pinned: dict[tuple[str, str], str] = {}
 
 
 @dataclass
@@ -103,6 +106,8 @@ def build(spark: SparkSession, posts: DataFrame, path: str, settings: Settings)
     made = ps.baskets(rows).join(ps.entity_ids(posts), "pid", "left").join(bits, "pid", "left")
     made = made.select("pid", "items", "rating", "n_items", F.coalesce("entity", F.lit(0)).alias("entity"), F.coalesce("costume_bits", F.lit(0)).alias("costume_bits"), F.coalesce("segment_bits", F.lit(0)).alias("segment_bits"), solo.alias("solo"))
     baskets = stored(made, f"{path}/baskets")
+    words = bm.words(rows.select("pid", "tid").unionByName(bm.marks(baskets)))
+    stored(words.repartitionByRange("tid", "word").sortWithinPartitions("tid", "word"), f"{path}/words")
     pool, population = sorted(v for k, v in tid.items() if k.startswith(s.pair_pools)), baskets.filter("solo")
     stored(ct.single_counts(rows, population.select("pid"), pool), f"{path}/singles")
     stored(ct.pair_table(rows, population.select("pid"), pool), f"{path}/pairs")
@@ -110,13 +115,23 @@ def build(spark: SparkSession, posts: DataFrame, path: str, settings: Settings)
     return index
 
 
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Whole versions below a root: those whose constants, which are written last, have been committed."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/consts/_SUCCESS")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    return sorted(f"{root}/{x.getPath().getParent().getParent().getName()}" for x in found)
+
+
 def opened(spark: SparkSession, sf_dir: str, posts: Callable[[], DataFrame], tables: Sequence[str], settings: Settings) -> Index:
-    """The index over a folder's tables, built if it isn't there."""
-    name = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in tables], settings)
-    path = f"{shared_dir(spark)}/index-{name}"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _whole:
-        if not exists(spark, f"{path}/consts"):
-            build(spark, posts(), path, settings)
-        _whole.add(key)
-    return Index(spark, path)
+    """The index over a folder's tables, built if it isn't there.
+
+    Each build has a folder of its own, so builders never meet and a broken build is never read. Of several whole versions
+    readers take the first by name; an application stays with the version it has begun with, for as long as that is there."""
+    root = f"{shared_dir(spark)}/index-{fingerprint(spark, [f'{sf_dir}/{t}.parquet' for t in tables], settings)}"
+    key, there = (spark.sparkContext.applicationId, root), versions(spark, root)
+    if not there:
+        build(spark, posts(), f"{root}/{uuid.uuid4().hex}", settings)
+        there = versions(spark, root)
+    if _pinned.get(key) not in there:
+        _pinned[key] = there[0]
+    return Index(spark, _pinned[key])

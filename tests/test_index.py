@@ -185,7 +185,7 @@ def test_anchors(spark):
     assert {(r.facet, r.tag) for r in fx.anchors_in(anchors, pools).collect()} == {("deco", "ribbon"), ("hair", "bow")}
     assert {r.tag: r.owned for r in fx.owned_anywhere(anchors, pools).collect()} == {"ribbon": True, "bow": True, "other": False}
     with pytest.raises(ValueError):
-        fx.memberships(pools.select("tag"), spark.range(10_001).select(F.lit("f").alias("facet"), F.lit(0).alias("ord"), F.lit("prefix").alias("kind"), F.col("id").cast("string").alias("pattern")))
+        fx.memberships(pools.select("tag"), spark.range(10_001).select(F.lit("f").alias("facet"), F.lit(0).alias("ord"), F.lit("regex").alias("kind"), F.col("id").cast("string").alias("pattern")))
 
 
 def test_edge(spark):
