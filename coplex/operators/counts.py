@@ -20,15 +20,22 @@ def population_size(posts: DataFrame, rating: str = "all") -> DataFrame:
     return posts.agg(F.count_if(rated).alias("n"))
 
 
-def pair_table(rows: DataFrame, population: DataFrame, pool: list[int]) -> DataFrame:
-    """(a, b, n_ab) with a < b over the population. Items are cut to the pool before the self-join."""
-    inside = rows.filter(F.col("tid").isin(pool)).join(population, "pid", "left_semi").select("pid", "tid").distinct()
-    a, b = inside.withColumnRenamed("tid", "a"), inside.withColumnRenamed("tid", "b")
-    return a.join(b, "pid").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+def within(words: DataFrame, population: DataFrame, pool: list[int]) -> DataFrame:
+    """(tid, word, bits) of the pool's items, cut to the population's bitmap (word, bits)."""
+    p = population.withColumnRenamed("bits", "p")
+    return words.filter(F.col("tid").isin(pool)).join(p, "word").select("tid", "word", F.col("bits").bitwiseAND(F.col("p")).alias("bits")).filter("bits <> 0")
 
 
-def single_counts(rows: DataFrame, population: DataFrame, pool: list[int]) -> DataFrame:
-    return rows.filter(F.col("tid").isin(pool)).join(population, "pid", "left_semi").select("pid", "tid").distinct().groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+def pair_table(inside: DataFrame) -> DataFrame:
+    """(a, b, n_ab) with a < b of a pool's bitmaps: a product of bit matrices, word by word. A word of 64 baskets gives at most pool ** 2 / 2
+    rows, where each of its baskets would, and none is counted by itself."""
+    a, b = inside.withColumnsRenamed({"tid": "a", "bits": "x"}), inside.withColumnsRenamed({"tid": "b", "bits": "y"})
+    both = a.join(b, "word").filter("a < b").select("a", "b", F.bit_count(F.col("x").bitwiseAND(F.col("y"))).alias("n")).filter("n > 0")
+    return both.groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
+
+
+def single_counts(inside: DataFrame) -> DataFrame:
+    return inside.groupBy("tid").agg(F.sum(F.bit_count("bits")).cast("long").alias("n"))
 
 
 def lift(n_ab: Column, n_a: Column, n_b: Column, total: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .predicates import any_bit, has_all, has_any, rating_filter
 
 SAMPLE_CAP, POSTING_CAP, ENTITY_CAP = 50_000, 400_000, 100
+#: Baskets of an item's stored sketch: a prefix of its order by hash. Answers don't depend on it, only where they come from.
+SKETCH = 20_000
 #: Hexadecimal digits of the hash that rows are counted by.
 DIGITS = 3
 
@@ -77,6 +79,29 @@ def sub_sample(
     return take(cap_entities(kept, entity_cap, seed), cap, seed)
 
 
+def sketches(baskets: DataFrame, k: int = SKETCH, seed: int = 1) -> DataFrame:
+    """The first k baskets by hash of each item, as rows (tid, place, hash, basket...) sorted by item: sketches that merge by taking the
+    first k of both. Spark keeps k rows of an item per task before it shuffles, so an item in most baskets is no hot key."""
+    each = baskets.withColumns({"tid": F.explode("items"), "hash": order_key("pid", seed)})
+    place = F.row_number().over(Window.partitionBy("tid").orderBy("hash", "pid"))
+    kept = each.withColumn("place", place).filter(F.col("place") <= k)
+    return kept.select("tid", "place", "hash", *baskets.columns).repartitionByRange("tid", "place").sortWithinPartitions("tid", "place")
+
+
+def from_sketch(sketch: DataFrame, item: int, size: int, condition: Column, entity_cap: int, cap: int, exact: Callable[[], DataFrame], k: int = SKETCH) -> tuple[DataFrame, bool]:
+    """The sample of the item's baskets that meet a condition, with capped entities, and whether the sketch gave it. An item's first k baskets
+    by hash are a prefix of the order that entities are capped and samples are taken in, so what is left of them is a prefix of the answer:
+    if that is `cap` baskets, or if the item has no more than k (size), it is the answer. Otherwise exact() is."""
+    left = sketch.filter((F.col("tid") == item) & condition)
+    if entity_cap:
+        rank = F.row_number().over(Window.partitionBy("entity").orderBy("hash", "pid"))
+        left = left.withColumn("rank", rank).filter((F.col("entity") == 0) | (F.col("rank") <= entity_cap)).drop("rank")
+    taken = left.orderBy("hash", "pid").limit(cap)
+    if size <= k or taken.count() >= cap:
+        return taken.drop("tid", "place", "hash"), True
+    return exact(), False
+
+
 def code_sample(baskets: DataFrame, anchors: Sequence[int], code: int, seed: int = 1, cap: int = SAMPLE_CAP) -> DataFrame:
     """Sample of one rating code: posting and rating alone."""
     return take(baskets.filter(has_all(anchors) & (F.col("rating") == code)), cap, seed)

@@ -455,6 +455,11 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(pid::VARCHAR || '#1'), pid) AS rn FROM bask
               WHERE list_contains(tags, 'type:ECONOMY') AND list_contains(tags, 'line:O') AND NOT list_has_any(tags, ['brand:Brand#11', 'brand:Brand#12']) AND rating <= 1 AND segment_bits & 12 <> 0)
         SELECT pid FROM k WHERE entity = 0 OR rn <= 20 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 400""",
+    "b2_sketch_sample": f"""WITH {INDEX},
+        k AS (
+            SELECT dict.tag, pid, entity, row_number() OVER (PARTITION BY dict.tag, entity ORDER BY md5(pid::VARCHAR || '#1'), pid) AS rn
+            FROM bask JOIN dict ON list_contains(tags, dict.tag) WHERE starts_with(dict.tag, 'brand:Brand#1') AND rating <= 1 AND segment_bits & 12 <> 0)
+        SELECT tag, pid FROM k WHERE entity = 0 OR rn <= 20 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY md5(pid::VARCHAR || '#1'), pid) <= 60""",
     "b2_basket_sample": f"""WITH {INDEX},
         k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY md5(pid::VARCHAR || '#1'), pid) AS rn FROM bask
               WHERE list_contains(tags, 'flag:R') AND list_contains(tags, 'line:O') AND NOT list_has_any(tags, ['brand:Brand#11', 'hid:y']) AND rating <= 1 AND segment_bits & 1 <> 0 AND costume_bits & 1 <> 0)

@@ -184,7 +184,9 @@ def j4_rows(w: World) -> DataFrame:
 
 
 def t4_posting_sample(w: World) -> DataFrame:
-    return sm.posting(w.rows, w.tid["type:ECONOMY"], cap=500)
+    """From the item's sketch, whose places are the sample's."""
+    found = w.index.table("sketches").filter((F.col("tid") == w.tid["type:ECONOMY"]) & (F.col("place") <= 500))
+    return found.select("pid")
 
 
 def w2_entity_cap(w: World) -> DataFrame:
@@ -198,6 +200,19 @@ def b2_design_sample(w: World) -> DataFrame:
     return sm.take(sm.cap_entities(w.baskets.select("pid", "entity").join(found, "pid"), 20, 1), 400, 1).select("pid")
 
 
+def b2_sketch_sample(w: World) -> DataFrame:
+    """Samples of every brand's baskets in two regions, each from the brand's stored sketch, or by predicates if that gives too few."""
+    mask, out = pr.mask_of(["ASIA", "EUROPE"], REGIONS), None
+    sizes = {r["tid"]: r["n"] for r in w.tags.filter(F.col("tid").isin(w.pool("brand:"))).collect()}  # a facet's items; n is no less than the baskets
+    for t in w.pool("brand:Brand#1"):
+        condition = pr.any_bit(F.col("segment_bits"), mask) & pr.rating_filter("gs")
+        exact = lambda t=t: sm.sub_sample(w.baskets, [t], "gs", mask, entity_cap=20, cap=60)
+        found, _ = sm.from_sketch(w.index.table("sketches"), t, sizes[t], condition, 20, 60, exact)
+        one = found.select(F.lit(t).alias("tid"), "pid")
+        out = one if out is None else out.unionByName(one)
+    return w.named(out).select("tag", "pid")
+
+
 def b2_basket_sample(w: World) -> DataFrame:
     """A sample by predicates over baskets, of another condition."""
     mask = pr.mask_of(["AFRICA"], REGIONS)
@@ -584,6 +599,6 @@ def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, f14_requests, s15_manifest, a8_document_tokens)} | {f.__name__: _world(f) for f in (
     a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j4_rows, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
-    b2_design_sample, b2_basket_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, a14_exact_counts, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
+    b2_design_sample, b2_basket_sample, b2_sketch_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, a14_exact_counts, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
     g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_segment, r_pose_act, r_expression_act, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,
 )}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from coplex.operators import bitmaps as bm
 from coplex.operators import counts as ct
 from coplex.operators import predicates as pr
+from coplex.operators import samples as sm
 
 from . import posts as ps
 from .store import shared_dir, stored
@@ -28,6 +29,7 @@ SCHEMAS = {
     "rates": "tag string, n long, rating string",
     "rows": "pid long, tid smallint, rating string",
     "words": "tid smallint, word long, bits long",
+    "sketches": f"tid smallint, place int, hash string, {BASKETS}",
     "baskets": BASKETS,
     "singles": "tid smallint, n long",
     "pairs": "a smallint, b smallint, n_ab long",
@@ -107,10 +109,12 @@ def build(spark: SparkSession, posts: DataFrame, path: str, settings: Settings)
     made = made.select("pid", "items", "rating", "n_items", F.coalesce("entity", F.lit(0)).alias("entity"), F.coalesce("costume_bits", F.lit(0)).alias("costume_bits"), F.coalesce("segment_bits", F.lit(0)).alias("segment_bits"), solo.alias("solo"))
     baskets = stored(made, f"{path}/baskets")
     words = bm.words(rows.select("pid", "tid").unionByName(bm.marks(baskets)))
-    stored(words.repartitionByRange("tid", "word").sortWithinPartitions("tid", "word"), f"{path}/words")
+    words = stored(words.repartitionByRange("tid", "word").sortWithinPartitions("tid", "word"), f"{path}/words")
+    stored(sm.sketches(baskets), f"{path}/sketches")
     pool, population = sorted(v for k, v in tid.items() if k.startswith(s.pair_pools)), baskets.filter("solo")
-    stored(ct.single_counts(rows, population.select("pid"), pool), f"{path}/singles")
-    stored(ct.pair_table(rows, population.select("pid"), pool), f"{path}/pairs")
+    inside = stored(ct.within(words, bm.words(population.select("pid", F.lit(0).alias("tid"))).select("word", "bits"), pool), f"{path}/inside")
+    stored(ct.single_counts(inside), f"{path}/singles")
+    stored(ct.pair_table(inside), f"{path}/pairs")
     stored(consts.withColumn("pair_total", F.lit(population.count()).cast("long")), f"{path}/consts")
     return index
 

@@ -7,6 +7,7 @@ from dataclasses import replace
 import pytest
 
 from coplex.functions import facets as fx
+from coplex.operators import bitmaps as bm
 from coplex.operators import counts as ct
 from coplex.operators import predicates as pr
 from coplex.operators import samples as sm
@@ -84,8 +85,9 @@ def test_draws(spark):
 
 def test_pair_lift(spark):
     rows = spark.createDataFrame([(p, t) for p in range(300) for t in ((1, 2) if p < 150 else (1,) if p < 200 else (3,))], "pid int, tid int")
-    everyone = rows.select("pid").distinct()
-    pairs, singles = ct.pair_table(rows, everyone, [1, 2, 3]), ct.single_counts(rows, everyone, [1, 2, 3])
+    inside = ct.within(bm.words(rows), bm.words(rows.select("pid", F.lit(0).alias("tid"))).select("word", "bits"), [1, 2, 3])
+    pairs, singles = ct.pair_table(inside), ct.single_counts(inside)
+    assert {(r.a, r.b): r.n_ab for r in pairs.collect()} == {(1, 2): 150}
     asked = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (9, 1)], "x int, y int")
     got = {(r.x, r.y): r.lift for r in ct.pair_lifts(asked, pairs, singles, 300).collect()}
     assert got[(1, 2)] == pytest.approx((150 / 200) / (150 / 300)) and got[(2, 1)] == pytest.approx(1.5) and got[(3, 1)] == 0 and got[(9, 1)] is None
@@ -179,6 +181,49 @@ def test_sample_cache(spark):
         x.unpersist()
 
 
+def test_bitmaps(spark):
+    has = {p: {t for t in range(1, 6) if (p * 7 + t * t) % (t + 1) == 0} for p in (*range(0, 300), 64 * 10**9 + 63)}
+    rows = spark.createDataFrame([(p, t) for p, ts in has.items() for t in ts] + [(5, 1), (5, 1)], "pid long, tid int")
+    has[5].add(1)
+    table = bm.words(rows).cache()
+    for groups, excluded in (([[1]], ()), ([[1], [2, 3]], [4]), ([[1, 2, 3, 4, 5]], [5]), ([[1], [2], [3]], ()), ([[1], []], ()), ([[9]], [1])):
+        found = bm.among(table, groups, excluded)
+        want = {p for p, ts in has.items() if all(ts & set(g) for g in groups) and not ts & set(excluded)}
+        assert sorted(r.pid for r in bm.pids(found).collect()) == sorted(want) and bm.size(found).first().n == len(want)
+    with pytest.raises(ValueError):
+        bm.among(table, [])
+    baskets = spark.createDataFrame([(1, 2, 5, 0), (2, 0, 0, 2)], "pid long, rating tinyint, segment_bits int, costume_bits int")
+    assert {(r.pid, r.tid) for r in bm.marks(baskets).collect()} == {(1, -3), (1, -10), (1, -12), (2, -1), (2, -51)} and bm.bits_of(5, bm.SEGMENT) == [-10, -12]
+
+
+def test_sketches(spark, posts):
+    df = posts.select(F.col("id").alias("pid"), F.array(F.lit(1), (F.col("id") % 3 + 2)).cast("array<smallint>").alias("items"), (F.col("id") % 4).cast("int").alias("entity"), (F.col("id") % 4).alias("rating"))
+    for k in (5, 60, 500):
+        table = sm.sketches(df, k).cache()
+        assert table.groupBy("tid").count().filter(f"count > {k}").isEmpty()
+        for cap, entity_cap in ((3, 0), (20, 2), (200, 10)):
+            exact = lambda c=cap, e=entity_cap: sm.take(sm.cap_entities(df.filter("array_contains(items, 1) AND rating < 3"), e, 1), c, 1)
+            found, kept = sm.from_sketch(table, 1, 199, F.col("rating") < 3, entity_cap, cap, exact, k)
+            assert sorted(r.pid for r in found.select("pid").collect()) == sorted(r.pid for r in exact().collect())
+            assert kept if k == 500 or cap == 3 and k == 60 else True
+    merged = sm.sketches(df.filter("pid < 90"), 7).unionByName(sm.sketches(df.filter("pid >= 90"), 7))
+    place = F.row_number().over(sm.Window.partitionBy("tid").orderBy("hash", "pid"))
+    again = merged.withColumn("place", place).filter("place <= 7").select("tid", "place", "pid")
+    assert again.exceptAll(sm.sketches(df, 7).select("tid", "place", "pid")).isEmpty() and again.count() == 28
+
+
+def test_versions(spark, posts, tmp_path):
+    from coplex.sources import index as ix
+
+    settings = ix.Settings("2016-01-01", "base", 8, ("x",), ("one", "two"), ("base",), ("a_0",), ("a_", "b_"))
+    rows, root = posts.withColumn("segment", F.lit("one")), str(tmp_path / "index")
+    assert ix.versions(spark, root) == []
+    rows.limit(3).write.parquet(f"{root}/0broken/rows")  # a build that broke off before its constants
+    for name in ("b", "a"):
+        ix.build(spark, rows, f"{root}/{name}", settings)
+    assert ix.versions(spark, root) == [f"{root}/a", f"{root}/b"]
+
+
 def test_anchors(spark):
     pools = spark.createDataFrame([("hair", 0, "bow"), ("deco", 1, "bow"), ("deco", 1, "ribbon")], "facet string, ord int, tag string")
     anchors = spark.createDataFrame([(1, "ribbon"), (2, "bow"), (3, "other")], "place int, tag string")
