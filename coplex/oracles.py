@@ -400,6 +400,12 @@ ORACLE_SQL: dict[str, str] = {
                array_to_string(list_filter([split_part(p_name, ' ', 1), 'red'], lambda x: x IN ('red', 'hot', 'blue')), '|') AS costumes, '' AS design,
                floor(greatest(0, regexp_extract(query, 'charcap=([-0-9.]+)', 1)::DOUBLE))::INT AS entity_cap, greatest(0.1, ('0.' || p_partkey % 40)::DOUBLE) AS temperature
         FROM q""",
+    "x_increments": f"""WITH {INDEX},
+        pool AS (
+            SELECT pid, tag FROM inc WHERE (starts_with(tag, 'brand:') OR starts_with(tag, 'type:')) AND pid IN (SELECT pid FROM inc WHERE tag = 'line:O') AND pid NOT IN (SELECT pid FROM inc WHERE tag = 'brand:Brand#11'))
+        SELECT 'rate' AS kind, rating AS a, tag AS b, count(*) AS n FROM inc GROUP BY rating, tag
+        UNION ALL SELECT 'pair', a.tag, b.tag, count(*) FROM pool a JOIN pool b ON a.pid = b.pid AND a.tag < b.tag GROUP BY a.tag, b.tag
+        UNION ALL SELECT 'rank', '', tag, tid FROM dict""",
     "a8_document_tokens": """
         SELECT rating, entity, tag, count(*) AS n FROM (
             SELECT lang AS rating, source AS entity, unnest(list_distinct(list_filter(string_split_regex(coalesce(text, ''), '[ \\n]+'), lambda x: x <> ''))) AS tag FROM documents)

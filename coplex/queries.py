@@ -4,6 +4,7 @@ Orders stand for posts, attributes of their lines and parts for tags, customer g
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -24,6 +25,7 @@ from coplex.sources import index as ix
 from coplex.sources import manifest as mf
 from coplex.sources import posts as ps
 from coplex.sources import store
+from coplex.streaming import increments as inc
 
 SINCE, BASE_TAG, TID_CUT = "1996-01-01", "line:O", 110
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -590,6 +592,23 @@ def s15_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(mf.missing(found, mf.listing(spark, sf_dir)).select("name", F.lit(True).alias("absent")), "name", "left").withColumn("absent", F.coalesce("absent", F.lit(False)))
 
 
+def x_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a stream of changes in several batches: every tenth order comes with a wrong rating and fewer tags first, and is taken
+    back by a later file."""
+    path, posts = f"{store.shared_dir(spark)}/changes-{uuid.uuid4().hex}", ps.posts_from_orders(spark, sf_dir).select("id", "rating", "general_tags")
+    right = store.staged(posts, "posts")
+    wrong = right.filter("id % 10 = 0").withColumns({"rating": F.lit("g"), "general_tags": F.slice("general_tags", 1, 3)})
+    coming = right.filter("id % 10 <> 0").unionByName(wrong).withColumn("op", F.lit(1))
+    coming.repartition(3, "id").write.parquet(f"{path}/in")
+    wrong.withColumn("op", F.lit(-1)).unionByName(right.filter("id % 10 = 0").withColumn("op", F.lit(1))).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    changes = spark.readStream.schema("id long, rating string, general_tags array<string>, op int").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    inc.refresh(changes, f"{path}/out", f"{path}/state", ["line:O"], ["brand:Brand#11"], ["brand:", "type:"]).awaitTermination()
+    rates = inc.current(spark, f"{path}/out", "rates").select(F.lit("rate").alias("kind"), F.col("rating").alias("a"), F.col("tag").alias("b"), "n")
+    pairs = inc.current(spark, f"{path}/out", "pairs").select(F.lit("pair").alias("kind"), "a", "b", "n")
+    ranks = inc.dictionary(spark, f"{path}/out").select(F.lit("rank").alias("kind"), F.lit("").alias("a"), F.col("tag").alias("b"), F.col("tid").cast("long").alias("n"))
+    return rates.unionByName(pairs).unionByName(ranks)
+
+
 def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second corpus: documents as baskets of words. Of every language and source, the words and in how many documents."""
     words = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda x: x != ""))
@@ -597,7 +616,7 @@ def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("rating", "entity", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, f14_requests, s15_manifest, a8_document_tokens)} | {f.__name__: _world(f) for f in (
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, f14_requests, s15_manifest, x_increments, a8_document_tokens)} | {f.__name__: _world(f) for f in (
     a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j4_rows, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
     b2_design_sample, b2_basket_sample, b2_sketch_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, a14_exact_counts, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
     g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_segment, r_pose_act, r_expression_act, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,

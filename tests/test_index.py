@@ -113,6 +113,26 @@ def test_streaming_refresh(spark, tmp_path):
     assert {r.tag: r.n for r in got.collect()} == {"a": 2, "b": 1}
 
 
+def test_increments(spark, posts, tmp_path):
+    from coplex.streaming import increments as inc
+
+    rules = (["base"], ["a_0"], ["a_", "b_"])
+    rows = posts.select("id", "rating", "general_tags", F.lit(1).alias("op")).cache()
+    gone = rows.filter("id % 3 = 0").withColumn("op", F.lit(-1))
+    parts = [rows.filter("id % 2 = 0"), gone, rows.filter("id % 2 = 1"), rows.limit(0)]
+    want = {k: sorted(map(tuple, df.collect())) for k, df in inc.deltas(rows.filter("id % 3 <> 0"), *rules).items()}
+    for name, order in (("one", [0, 1, 2, 3]), ("two", [1, 3, 2, 0])):  # a retraction may come first
+        path = str(tmp_path / name)
+        for n, i in enumerate(order):
+            parts[i].coalesce(1).write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema("id long, rating string, general_tags array<string>, op int").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            inc.refresh(stream, f"{path}/out", f"{path}/state", *rules).awaitTermination()
+        assert {k: sorted(map(tuple, inc.current(spark, f"{path}/out", k).collect())) for k in inc.TABLES} == want
+        inc.compacted(spark, f"{path}/out", f"{path}/less")
+        assert {k: sorted(map(tuple, inc.current(spark, f"{path}/less", k).collect())) for k in inc.TABLES} == want
+    assert inc.dictionary(spark, f"{path}/out").orderBy("tid").first().tag == "base"
+
+
 def test_entry_without_llm():
     """The entry module imports and lists the core queries when the optional parts are gone."""
     import subprocess
