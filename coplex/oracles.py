@@ -480,8 +480,10 @@ ORACLE_SQL: dict[str, str] = {
     "f3_exclusive": f"""WITH {INDEX},
         rule(facet, ord, p) AS (VALUES {RULES})
         SELECT tag, min_by(facet, ord) AS facet FROM dict JOIN rule ON regexp_matches(tag, p) WHERE NOT (facet = 'noun' AND tag = 'noun:ring') GROUP BY tag""",
-    "t6_autocomplete": f"""WITH {INDEX}, h AS (SELECT * FROM dict WHERE contains(tag, 'r') ORDER BY n DESC, tid LIMIT 30)
-        SELECT row_number() OVER (ORDER BY NOT starts_with(tag, 'r'), length(tag), n DESC, tid)::INT AS place, tag, n FROM h""",
+    "t6_autocomplete": f"""WITH {INDEX},
+        needle AS (SELECT unnest(['r', 'ed', 'Brand#2', 'd:B', 'nowhere']) AS needle),
+        h AS (SELECT needle, dict.* FROM dict JOIN needle ON contains(tag, needle) QUALIFY row_number() OVER (PARTITION BY needle ORDER BY n DESC, tid) <= 30)
+        SELECT needle, row_number() OVER (PARTITION BY needle ORDER BY NOT starts_with(tag, needle), length(tag), n DESC, tid)::INT AS place, tag, n FROM h""",
     "m1_tiers": f"WITH {FLAGSHIP} SELECT score::INT AS score, n, size FROM q_tier",
     "m2_levels": f"WITH {FLAGSHIP} SELECT level::INT AS level, cut::INT AS cut, l.size, round(n, 6) AS n FROM q_n JOIN q_level l USING (level)",
     "m3_ladder": f"WITH {LADDER} SELECT tag, round(coalesce(k_top, 0), 6) AS k_top, round(coalesce(p, 0), 6) AS p FROM {BRANDS} LEFT JOIN lad USING (tag)",

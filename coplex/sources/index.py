@@ -19,6 +19,7 @@ from coplex.operators import bitmaps as bm
 from coplex.operators import counts as ct
 from coplex.operators import predicates as pr
 from coplex.operators import samples as sm
+from coplex.operators import substrings as ss
 
 from . import posts as ps
 from .store import shared_dir, stored
@@ -27,6 +28,7 @@ BASKETS = "pid long, items array<smallint>, rating tinyint, n_items int, entity
 SCHEMAS = {
     "tags": "tag string, n long, tid int",
     "rates": "tag string, n long, rating string",
+    "grams": "gram string, tid int, tag string, n long, bucket int",
     "rows": "pid long, tid smallint, rating string",
     "words": "tid smallint, word long, bits long",
     "sketches": f"tid smallint, place int, hash string, {BASKETS}",
@@ -87,6 +89,7 @@ def build(spark: SparkSession, posts: DataFrame, path: str, settings: Settings)
     posts = stored(posts, f"{path}/posts")
     inc = stored(ps.incidence(posts), f"{path}/incidence")
     tags = stored(ps.dictionary(inc).select("tag", "n", "tid"), f"{path}/tags")
+    stored(ss.grams(tags), f"{path}/grams", "bucket")
     rates = None
     for rating in ("all", "gs", "e"):
         own = ct.base_rates(inc, rating).select("tag", "n", F.lit(rating).alias("rating"))

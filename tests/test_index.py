@@ -232,6 +232,18 @@ def test_sketches(spark, posts):
     assert again.exceptAll(sm.sketches(df, 7).select("tid", "place", "pid")).isEmpty() and again.count() == 28
 
 
+def test_substrings(spark, tmp_path):
+    from coplex.operators import substrings as ss
+
+    names = ["abcabc", "bca", "a", "", "xéy日本", "aaaa", "cab", "ab_ab", "bcabca"]
+    ss.grams(spark.createDataFrame([(t, i, 9) for i, t in enumerate(names)], "tag string, tid int, n long")).write.partitionBy("bucket").parquet(str(tmp_path / "g"))
+    table = spark.read.parquet(str(tmp_path / "g"))
+    for needle in ("a", "ab", "abc", "abca", "bcabc", "éy日本", "aaa", "aaaaa", "zz", "_"):
+        assert sorted(r.tag for r in ss.containing(table, needle).collect()) == sorted(t for t in names if needle in t)
+    plan = ss.containing(table, "abca")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
 def test_versions(spark, posts, tmp_path):
     from coplex.sources import index as ix
 
