@@ -305,6 +305,23 @@ shoe AS (SELECT min_by(tag, tid) AS tag FROM dict WHERE starts_with(tag, 'noun:'
     return r.sql()
 
 
+def _chain() -> str:
+    r, anchor, whole = RollSql(11), ["'type:ECONOMY'"], {"whole": True, "adjust": False}
+    r.row(-1, "anchor_extra", "anchor", "'type:ECONOMY'")
+    r.ask("cb", [], "starts_with(tag, 'brand:')", anchor, [], **whole)
+    brand = r.draw(0, "brand", "cb")
+    r.ask("ca", [_carries(brand)], "starts_with(tag, 'adj:')", anchor, [brand], **whole)
+    design = [brand, r.draw(1, "adj", "ca")]
+    r.ask("cn", [*map(_carries, design)], "starts_with(tag, 'noun:')", anchor, [])
+    noun = r.draw(100, "noun", "cn")
+    r.ask("ch", [*map(_carries, [*design, noun])], "starts_with(tag, 'hid:')", anchor, [noun])
+    pose = [noun, r.draw(101, "hid", "ch")]
+    r.ask("cf", [*map(_carries, design + pose)], "starts_with(tag, 'flag:')", anchor, [], top=None)
+    flag = r.draw(200, "flag", "cf")
+    r.draw(200, "flag", "cf", 1, only=f"(SELECT tag FROM {flag}) IS NOT NULL")
+    return f"SELECT ord // 100 AS number, CASE ord // 100 WHEN 0 THEN 'design' WHEN 1 THEN 'pose' ELSE 'expression' END AS module, * REPLACE (ord % 100 AS ord) FROM ({r.sql()})"
+
+
 ACTED = """,
 rate_e AS (SELECT tag, count(*) AS n FROM inc WHERE rating = 'e' GROUP BY tag),
 every AS (SELECT * FROM bask WHERE rating = 3 ORDER BY md5(pid::VARCHAR || '#1'), pid LIMIT 50000),
@@ -369,6 +386,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'both' AS condition, tag, (SELECT round(n) FROM q_n WHERE level = 0) AS n, round(sum(w), 6) AS c FROM b GROUP BY tag
         UNION ALL SELECT 'all', tag, (SELECT count(*)::DOUBLE FROM wide), count(*)::DOUBLE FROM a WHERE starts_with(tag, 'brand:') GROUP BY tag""",
     "r_design_segment": _design(segment=True),
+    "r_chain": _chain(),
     "r_pose_act": _pose(act=True),
     "r_expression_act": _expression(act=True),
     "r_design_seeds": _seeds(_design),

@@ -388,3 +388,17 @@ def roll_scene(scope: Scope, facets: Sequence[Facet], anchors: Sequence[int], op
         return True
 
     return _conditioned(scope, facets, anchors, options, design, 12, special)
+
+
+def roll_chain(modules: Sequence[tuple[str, Callable[[list[int]], DataFrame]]], tid: Mapping[str, int]) -> DataFrame:
+    """Modules one after the other: each is given the picks of those before it, and its own come after them. Rows have their module
+    and its number; anchors and what is added are no picks."""
+    picks: list[int] = []
+    out = None
+    for number, (name, roll) in enumerate(modules):
+        rolled = roll(list(picks))
+        own = rolled.filter(F.col("status").isin("drawn", "fixed") & F.col("tag").isNotNull()).orderBy("ord", "draw").collect()  # a module's facets
+        picks += [tid[r["tag"]] for r in own if tid[r["tag"]] not in picks]
+        one = rolled.select(F.lit(number).alias("number"), F.lit(name).alias("module"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

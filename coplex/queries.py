@@ -415,6 +415,17 @@ def r_pose(w: World) -> DataFrame:
     return R.roll_pose(_scope(w, w.tid["type:ECONOMY"]), [f["brand"], f["adj"], f["hid"], f["type"]], [w.tid["type:ECONOMY"]], R.Options(seed=11, must={"adj"}), w.pool("flag:R"))
 
 
+def r_chain(w: World) -> DataFrame:
+    """A design, then a pose and an expression, each conditioned on what the ones before picked."""
+    f, scope, anchors, options = _facets(w), _scope(w, w.tid["type:ECONOMY"]), [w.tid["type:ECONOMY"]], R.Options(seed=11)
+    modules = [
+        ("design", lambda _: R.roll_design(scope, [f["brand"], f["adj"]], anchors, options)),
+        ("pose", lambda before: R.roll_pose(scope, [f["noun"], f["hid"]], anchors, options, before)),
+        ("expression", lambda before: R.roll_expression(scope, [replace(f["flag"], draws=2)], anchors, options, before)),
+    ]
+    return R.roll_chain(modules, w.tid)
+
+
 def r_pose_act(w: World) -> DataFrame:
     """r_pose given an act: the sample is the act's baskets of rating e, lifts are over that rating."""
     f = _facets(w)
@@ -625,5 +636,5 @@ def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, f14_requests, s15_manifest, x_increments, a8_document_tokens)} | {f.__name__: _world(f) for f in (
     a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j4_rows, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
     b2_design_sample, b2_basket_sample, b2_sketch_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, a14_exact_counts, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
-    g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_segment, r_pose_act, r_expression_act, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,
+    g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_segment, r_pose_act, r_expression_act, r_chain, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,
 )}

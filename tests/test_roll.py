@@ -85,3 +85,18 @@ def test_pose_and_expression(scope):
     assert tags(R.roll_expression(scope, [Y], [0], R.Options(fixed={"y": [99]}))) == [("fixed", None)]
     drawn = R.roll_pose(scope, [Y], [0], R.Options(fixed={"y": 99}, must=True)).first()
     assert drawn.tag in {NAMES[i] for i in Y.pool}  # an unknown fixed item falls through to a draw
+
+
+def test_chain(scope):
+    seen = []
+
+    def module(facet):
+        def roll(before):
+            seen.append(before)
+            return R.roll_pose(scope, [facet], [0], R.Options(seed=4, must=True), before)
+
+        return roll
+
+    found = R.roll_chain([("one", module(X)), ("two", module(Y)), ("three", module(R.Facet("z", (20,))))], {v: k for k, v in NAMES.items()})
+    drawn = [r.tag for r in found.orderBy("number").collect()]
+    assert seen[0] == [] and [NAMES[x] for x in seen[2]] == drawn[:2] and found.columns[:2] == ["number", "module"]
