@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .store import ranked
 
-#: Most items that the dictionary may hand to every task of a join.
-MOST_TIDS = 100_000
+#: Most items of an index: ids are small integers, and the dictionary goes to every task of a join.
+MOST_TIDS = 32_767
 
 #: Letters of a rating and their codes.
 RATINGS = {"g": 0, "s": 1, "q": 2, "e": 3}
@@ -72,11 +72,13 @@ def dictionary(inc: DataFrame) -> DataFrame:
 
 def reduced(inc: DataFrame, tags: DataFrame, first_id: int, base_tag: str, tid_cut: int) -> DataFrame:
     """(pid, tid, rating) of baskets from first_id on that carry base_tag, for tags up to tid_cut."""
+    if tid_cut > MOST_TIDS:
+        raise ValueError(f"an index has at most {MOST_TIDS} items")
     population = inc.filter((F.col("tag") == base_tag) & (F.col("pid") >= first_id)).select("pid")
     kept = inc.filter(F.col("pid") >= first_id).join(population, "pid", "left_semi")
     # at most tid_cut rows; joined by a shuffle, a tag in nearly every basket would be one hot key
     cut = tags.filter(F.col("tid") <= tid_cut)
-    return kept.join(F.broadcast(cut) if tid_cut <= MOST_TIDS else cut, "tag").select("pid", F.col("tid").cast("smallint").alias("tid"), "rating")
+    return kept.join(F.broadcast(cut), "tag").select("pid", F.col("tid").cast("smallint").alias("tid"), "rating")
 
 
 def write_item_major(rows: DataFrame, path: str) -> None:
