@@ -131,6 +131,27 @@ def _secret_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op11_secret_scan": _secret_sql(),
+    "op13_periodic_runs": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h
+            FROM documents),
+        g AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+        a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g),
+        m AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+        t AS (SELECT rid, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM m),
+        e AS (SELECT rid, n, unnest(w) AS word, unnest(range(n)) AS i FROM t),
+        q AS (SELECT x.rid, y.i - x.i AS p, x.i FROM e x JOIN e y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+        k AS (SELECT *, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS k FROM q),
+        f AS (SELECT rid, p, min(i) AS s, count(*) + p AS n FROM k GROUP BY rid, p, k HAVING count(*) + p >= greatest(12, 2 * p)),
+        r AS (SELECT rid, s, n, min(p) AS p FROM f GROUP BY rid, s, n),
+        o AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = e.rid AND e.i >= s + p AND e.i < s + r.n) GROUP BY rid),
+        z AS (
+            SELECT rid, count(*) AS n_runs, string_agg(s || ',' || n || ',' || p || chr(10), '' ORDER BY s, p) AS said, first(s ORDER BY n DESC, s, p) AS s, first(n ORDER BY n DESC, s, p) AS n, first(p ORDER BY n DESC, s, p) AS p
+            FROM r GROUP BY rid)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, z.s AS start, z.n AS length, z.p AS period, 1000 * z.n // z.p AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM d LEFT JOIN z USING (rid) LEFT JOIN o USING (rid)""",
     "op12_hard_negatives": """
         WITH e AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
