@@ -445,7 +445,7 @@ def r_expression(w: World) -> DataFrame:
 def m8_batch(w: World) -> DataFrame:
     """Brands given a type and a flag, with two facets empty, for every type at once; and how likely two other facets are empty."""
     types = w.tags.filter(F.startswith("tag", F.lit("type:")) & (F.col("tid") <= TID_CUT)).select("tag", "tid")
-    none, empty = f"CAST(array() AS array<smallint>)", sorted(w.pool("ret:") + w.pool("hid:"))
+    none, empty = "CAST(array() AS array<smallint>)", sorted(w.pool("ret:") + w.pool("hid:"))
     shorts = lambda x: f"CAST(array({', '.join(map(str, x))}) AS array<smallint>)"
     items = f"CAST(array(struct(true, array(tid)), struct(true, {shorts(w.pool('flag:R'))}), struct(false, {shorts(empty)})) AS {B.ITEMS})"
     asks = f"CAST(array(struct({shorts(w.pool('adj:r'))}, {WELL}, {none}), struct({shorts(w.pool('noun:'))}, 0, {shorts(w.pool('flag:A'))})) AS {B.ASKS})"
