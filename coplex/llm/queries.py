@@ -258,7 +258,7 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT rid, host, i, line, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS key FROM e),
         p AS (SELECT host, key, count(DISTINCT rid) AS n FROM k WHERE key <> '' GROUP BY host, key),
         h AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
-        f AS (SELECT host, key FROM p JOIN h USING (host) WHERE n >= 5 AND n > 0.05 * pages),
+        f AS (SELECT host, key FROM p JOIN h USING (host) WHERE n >= 2 AND n > 0.05 * pages),
         x AS (
             SELECT rid, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
             FROM k ANTI JOIN f USING (host, key) GROUP BY rid)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from coplex.llm import exact_dedup as ed
 from coplex.llm import suffix_dedup as sd
 from coplex.llm.components import components
 from coplex.llm.exact_dedup import exact_dedup, keep_one
@@ -30,6 +31,26 @@ def test_exact_dedup(make, edge_rows):
     assert {(r.doc_id, r.keep_id, r.kept) for r in first} == {(1, 1, True), (2, 1, False)}
 
 
+def test_merge_of_runs(monkeypatch, make):
+    monkeypatch.setattr(ed, "CHUNK", 3)
+    rng = np.random.default_rng(3)
+    runs = [sorted((hashlib.sha256(bytes([x])).digest(), 1, int(rng.integers(-5, 5)), int(rng.integers(99)), 1) for x in rng.integers(0, 40, n)) for n in (0, 1, 7, 50, 200)]
+    chunks = sorted((x[0][0], np.array(x, ed.ENTRY).tobytes()) for run in runs for x in (run[i : i + 3] for i in range(0, len(run), 3)))
+    assert list(ed._merge(chunks)) == sorted(x for run in runs for x in run)
+    for largest in (False, True):
+        groups = defaultdict(list)
+        for e in (e for run in runs for e in run):
+            groups[e[0]].append(e)
+        want = [(d, 1, *min(((e[2], e[3]) for e in own), key=lambda x: (-x[0] if largest else x[0], x[1])), len(own)) for d, own in sorted(groups.items())]
+        assert list(ed._fold(ed._merge(chunks), largest)) == want
+    # many runs, one text with most rows: every row is told, whatever the partitions
+    rows = [(i, "hot" if i % 3 else f"text {i % 60}") for i in range(900)]
+    for n in (1, 40):
+        got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(make(rows).repartition(n), keep="largest").collect()}
+        last, size = {t: i for i, t in rows}, Counter(t for _, t in rows)
+        assert got == {(i, last[t], size[t], i == last[t]) for i, t in rows}
+
+
 def test_keep_one(make, edge_rows):
     docs = make(edge_rows)
     got = keep_one(docs, keep="largest")
@@ -171,3 +192,23 @@ def test_line_dedup(make, edge_rows):
     assert len(got) <= len(rows) and got[(1, "body 1\n")] == (4, 2)
     assert (3, "") in got and got[(3, "")] == (1, 0)
     assert drop_boilerplate_lines(make([]), "source").collect() == []
+
+
+def by_hand(rows, ratio, least):
+    host = lambda i: "s1" if (i or 0) % 3 else ""
+    split = [(host(i), i, (t or "").split("\n")) for i, t in rows]
+    pages = Counter(h for h, _, _ in split)
+    counts = Counter((h, x) for h, _, lines in split for x in {y.strip(" \t\v\f\r") for y in lines} if x)
+    gone = {k for k, n in counts.items() if n >= least and n > ratio * pages[k[0]]}
+    out = []
+    for h, i, lines in split:
+        kept = [x for x in lines if (h, x.strip(" \t\v\f\r")) not in gone]
+        out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def test_line_dedup_by_hand(make, edge_rows):
+    rows = edge_rows + [(i, "\n".join(f" line {i * j % 23}\t" if j % 4 else "" for j in range(12))) for i in range(10, 50)] + [(1, "a\na\n b"), (4, "a\nb\nc")]
+    for rows, ratio, least in ((rows, 0.05, 2), (rows, 0.2, 2), (rows, 0.05, 5), ([(1, "x\ny"), (2, "x\nz")], 0.05, 2), ([(1, "x\ny")], 0.05, 2)):
+        got = drop_boilerplate_lines(make(rows), "source", ratio=ratio, least_pages=least)
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == Counter(by_hand(rows, ratio, least))
