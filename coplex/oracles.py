@@ -80,6 +80,12 @@ def any_sql(name: str, hit: str, counted: str, query: str = "q") -> str:
         FROM {name}_k))"""
 
 
+def _blocks(text: str, where: str) -> str:
+    """Blocks of 512 bytes of documents' texts with their digests."""
+    return f"""SELECT name, octet_length(data) AS size, block, block * 512 AS start, least(512, octet_length(data) - block * 512) AS length, sha256(array_slice(data, block * 512 + 1, block * 512 + 512)) AS sha256
+            FROM (SELECT name, data, unnest(range(greatest(1, (octet_length(data) + 511) // 512))) AS block FROM (SELECT doc_id::VARCHAR AS name, encode(coalesce({text}, '')) AS data FROM documents {where}))"""
+
+
 _FACETS = {"brand:Brand#1": "b", "hid:": "h", "adj:r": "r"}
 _ANY = "".join(
     any_sql(f"{v}_well", f"len(list_filter(tags, lambda x: starts_with(x, '{k}'))) > 0", "n_items >= 12")
@@ -424,6 +430,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'rate' AS kind, rating AS a, tag AS b, count(*) AS n FROM inc GROUP BY rating, tag
         UNION ALL SELECT 'pair', a.tag, b.tag, count(*) FROM pool a JOIN pool b ON a.pid = b.pid AND a.tag < b.tag GROUP BY a.tag, b.tag
         UNION ALL SELECT 'rank', '', tag, tid FROM dict""",
+    "s15_tree": f"""
+        SELECT name, size, count(*) AS n_blocks, sha256(string_agg(sha256, '' ORDER BY block, sha256)) AS root FROM ({_blocks("text", "")}) GROUP BY name, size""",
+    "s16_status": """
+        WITH d AS (SELECT doc_id::VARCHAR AS name, octet_length(encode(coalesce(text, ''))) AS size, doc_id % 5 AS k FROM documents)
+        SELECT name, size, CASE WHEN k IN (1, 2) THEN size WHEN k = 3 THEN size // 3 ELSE 0 END AS have, CASE WHEN k IN (1, 2) THEN 'complete' WHEN k = 3 THEN 'partial' ELSE 'missing' END AS state FROM d""",
+    "s14_ranges": f"""
+        WITH w AS ({_blocks("text", "")}),
+        g AS (
+            {_blocks("left(coalesce(text, ''), floor(length(coalesce(text, '')) * 2 / 3)::INT)", "WHERE doc_id % 4 = 1")}
+            UNION ALL {_blocks("replace(coalesce(text, ''), 'qu', 'uq')", "WHERE doc_id % 4 = 2")}
+            UNION ALL {_blocks("text", "WHERE doc_id % 4 = 3")}),
+        l AS (SELECT *, block - row_number() OVER (PARTITION BY name ORDER BY block) AS run FROM w ANTI JOIN g USING (name, block, length, sha256))
+        SELECT name, min(start) AS start, sum(length)::BIGINT AS length FROM l GROUP BY name, run""",
     "a8_document_tokens": """
         SELECT rating, entity, tag, count(*) AS n FROM (
             SELECT lang AS rating, source AS entity, unnest(list_distinct(list_filter(string_split_regex(coalesce(text, ''), '[ \\n]+'), lambda x: x <> ''))) AS tag FROM documents)

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coplex.functions import edge
@@ -609,6 +609,36 @@ def s15_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(mf.missing(found, mf.listing(spark, sf_dir)).select("name", F.lit(True).alias("absent")), "name", "left").withColumn("absent", F.coalesce("absent", F.lit(False)))
 
 
+#: Bytes of a block where the objects hashed are texts of documents.
+TEXT_BLOCK = 512
+
+
+def _document_blocks(docs: DataFrame, text: Column, ending: str = "") -> DataFrame:
+    return mf.text_blocks(docs, F.concat(F.col("doc_id").cast("string"), F.lit(ending)), text, TEXT_BLOCK)
+
+
+def s15_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksum trees of documents' texts."""
+    return mf.tree(_document_blocks(ps.table(spark, sf_dir, "documents"), F.col("text")))
+
+
+def s16_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy of documents' texts of which a fifth has another size, a fifth a third of its bytes and a fifth none, by names and sizes."""
+    docs = ps.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), (F.col("doc_id") % 5).alias("k"))
+    whole = docs.filter("k < 3").select("name", (F.col("size") + F.when(F.col("k") == 0, 1).otherwise(0)).alias("size"))
+    part = docs.filter("k = 3").select(F.concat("name", F.lit(mf.PARTIAL)).alias("name"), F.floor(F.col("size") / 3).alias("size"))
+    return mf.status(docs, whole.unionByName(part))
+
+
+def s14_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to fetch again of documents' texts, of which a quarter breaks off, a quarter has other bytes in places and a quarter is lost."""
+    docs = ps.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    wanted = _document_blocks(docs, F.col("text"))
+    broken = _document_blocks(docs.filter("doc_id % 4 = 1"), F.expr("left(text, cast(length(text) * 2 / 3 as int))"), mf.PARTIAL)
+    other = _document_blocks(docs.filter("doc_id % 4 = 2"), F.replace("text", F.lit("qu"), F.lit("uq")))
+    return mf.to_fetch(wanted, broken.unionByName(other).unionByName(_document_blocks(docs.filter("doc_id % 4 = 3"), F.col("text"))))
+
+
 def x_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a stream of changes in several batches: every tenth order comes with a wrong rating and fewer tags first, and is taken
     back by a later file."""
@@ -633,7 +663,7 @@ def a8_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("rating", "entity", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, f14_requests, s15_manifest, x_increments, a8_document_tokens)} | {f.__name__: _world(f) for f in (
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p10_segment_bits, w1_entity_ids, f7_normalise, f13_json, f14_requests, s15_manifest, s15_tree, s16_status, s14_ranges, x_increments, a8_document_tokens)} | {f.__name__: _world(f) for f in (
     a2_id_cut, a3_base_rates, s9_stored_rates, s10_stored_layouts, a7_baskets, p11_mask_filter, p15_matches, p17_facet_present, p22_removal, j4_intersection, j4_rows, j5_exclusion, u_set_operations, u4_differences, t4_posting_sample, t9_small_samples, w2_entity_cap,
     b2_design_sample, b2_basket_sample, b2_sketch_sample, b4_code_sample, f1_facets, f3_exclusive, f5_anchors, f12_rounding, t6_autocomplete, m1_tiers, m2_levels, m3_ladder, m8_candidates, m8_batch, a14_exact_counts, m5_none, m6_anchor_lift, m7_prior, m9_pair_share, a5_pairs, m10_pair_lift,
     g1_draw, g2_draw_several, b6_random_anchor, r_act_frequencies, r6_catalogue, r_design, r_adult, r_scene, r_pose, r_expression, r_design_segment, r_pose_act, r_expression_act, r_chain, r_design_seeds, r_adult_seeds, r_pose_seeds, r_expression_seeds,

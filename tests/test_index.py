@@ -105,6 +105,36 @@ def test_manifest(spark, tmp_path):
         mf.need(wanted.limit(0), "the dictionary")
 
 
+def test_checksum_tree(spark, tmp_path):
+    """Blocks of a folder by hand, a copy that broke off and one of other bytes; empty files, none at all."""
+    data = {"a": bytes(range(256)) * 10, "b": b"", "c": b"x" * 100, "d e": b"y" * 1001}
+    (tmp_path / "in").mkdir(), (tmp_path / "copy").mkdir(), (tmp_path / "none").mkdir()
+    for name, content in data.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    del data["b"]  # Spark's readers skip empty files
+    hashed = mf.blocks(spark, str(tmp_path / "in"), block=100).cache()
+    got = {(r.name, r.block): (r.size, r.start, r.length, r.sha256) for r in hashed.collect()}
+    want = {(n, i): (len(x), i * 100, len(x[i * 100 : i * 100 + 100]), hashlib.sha256(x[i * 100 : i * 100 + 100]).hexdigest()) for n, x in data.items() for i in range(max(1, -(-len(x) // 100)))}
+    assert got == want
+    roots = {r.name: (r.size, r.n_blocks, r.root) for r in mf.tree(hashed).collect()}
+    for name, content in data.items():
+        own = [v[3] for k, v in sorted(want.items()) if k[0] == name]
+        assert roots[name] == (len(content), len(own), hashlib.sha256("".join(own).encode()).hexdigest())
+    (tmp_path / "copy" / "a.part").write_bytes(data["a"][:1050])
+    (tmp_path / "copy" / "d e").write_bytes(data["d e"][:350] + b"!" + data["d e"][351:720] + b"!" + data["d e"][721:])
+    (tmp_path / "copy" / "b").write_bytes(b"longer")
+    copied = mf.blocks(spark, str(tmp_path / "copy"), block=100)
+    lacking = {(r.name, r.start, r.length) for r in mf.to_fetch(hashed, copied).collect()}
+    assert lacking == {("a", 1000, 1560), ("c", 0, 100), ("d e", 300, 100), ("d e", 700, 100)}
+    state = {r.name: (r.have, r.state) for r in mf.status(mf.tree(hashed), mf.listing(spark, str(tmp_path / "copy"))).collect()}
+    assert state == {"a": (1050, "partial"), "c": (0, "missing"), "d e": (1001, "complete")}
+    texts = spark.createDataFrame([(n, x.decode("latin-1")) for n, x in data.items() if n != "a"] + [("null", None), ("wide", "é日" * 90)], "n string, t string")
+    found = {(r.name, r.block): r.sha256 for r in mf.text_blocks(texts, F.col("n"), F.col("t"), 100).collect()}
+    wide = ("é日" * 90).encode()
+    assert found == {k: v[3] for k, v in want.items() if k[0] != "a"} | {("null", 0): hashlib.sha256(b"").hexdigest()} | {("wide", i): hashlib.sha256(wide[i * 100 : i * 100 + 100]).hexdigest() for i in range(5)}
+    assert mf.tree(mf.blocks(spark, str(tmp_path / "none"))).collect() == []
+
+
 def test_streaming_refresh(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "pid long, tag string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("pid long, tag string").parquet(str(tmp_path / "in"))
