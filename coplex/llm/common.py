@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,19 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-#: Where staged() notes its folders, if anybody asked for it.
-_noted: list[str] | None = None
+#: Where staged() notes its folders, if anybody asked for it; every thread has its own.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 @contextlib.contextmanager
 def noting(folders: list[str]) -> Iterator[None]:
     """Adds the folders that staged() writes meanwhile to the list."""
-    global _noted
-    before, _noted = _noted, folders
+    token = _noted.set(folders)
     try:
         yield
     finally:
-        _noted = before
+        _noted.reset(token)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -60,8 +60,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Each call takes a new folder, so a retried job never meets an older one's files. Folders stay, as results that are
     still to be computed read them, until whoever noted them or the owner of spark.checkpoint.dir clears them."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if _noted is not None:
-        _noted.append(path)
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     return written(df, path)
 
 

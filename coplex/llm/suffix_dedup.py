@@ -3,8 +3,8 @@
 Spark narrows the corpus down to what suffix sorting has to decide. Every start of a LENGTH-byte string belongs to
 one anchor: the K-byte string of least hash inside it, the leftmost of equals. Equal strings have equal anchors at
 equal places, so a repeated string is found among the occurrences of one anchor, and anchors that occur once are
-dropped. An occurrence's context is all that the strings of its anchor cover. Contexts that occur twice or more are
-repeated whole. Different contexts of one anchor are cut to what some other of them shares, left and right of the
+dropped. An occurrence's context is all that the strings of its anchor cover. Contexts that occur twice or more, told
+apart by 128-bit digests of their bytes, are repeated whole. Different contexts of one anchor are cut to what some other of them shares, left and right of the
 anchor, and suffix-sorted together (gsaca.py); neighbours in that order tell which strings repeat. A group of more than
 MOST_CONTEXTS contexts is split first: a string reaches at least half of what it has beside the anchor to the left, or
 half to the right, so contexts are grouped anew by that half on either side, until groups are small enough to sort or share
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,8 @@ def _power(base: int) -> np.ndarray:
     return _powers[base]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
 class Rolling:
-    """Hashes of any slices of a byte string of at most CHUNK + 2 * LENGTH bytes."""
+    """Hashes of the slices of a byte string of at most CHUNK + 2 * LENGTH bytes."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -68,9 +63,6 @@ class Rolling:
         out *= np.uint64(0x94D049BB133111EB)
         return out
 
-    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[begin]) * self.inverse[begin])
-
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` neighbours."""
@@ -83,7 +75,9 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor hash, context hash, anchor, first start, end of the last string) of each run of starts with one anchor."""
+    """(anchor hash, context digest, anchor, first start, end of the last string) of each run of starts with one anchor.
+
+    Hashes of anchors only bring contexts together, whose bytes are compared; equal digests make contexts equal."""
     low = np.uint64((1 << 22) - 1)
     for offset in range(0, len(text) - length + 1, CHUNK):
         data = np.frombuffer(text, np.uint8, min(CHUNK + length - 1, len(text) - offset), offset)
@@ -95,8 +89,9 @@ def anchors(text: bytes, length: int = LENGTH, k: int = K) -> Iterator[tuple[np.
         first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
         end = np.append(first[1:], len(chosen)) - 1 + length
         anchor = chosen[first]
-        context = _mix(rolling(first, end) + (anchor - first).astype(np.uint64) * np.uint64(BASE))
-        yield hashed[anchor].view(np.int64), context.view(np.int64), anchor + offset, first + offset, end + offset
+        first, end = first + offset, end + offset
+        context = [hashlib.blake2b(text[x:y], digest_size=16).digest() for x, y in zip(first.tolist(), end.tolist(), strict=True)]
+        yield hashed[anchor].view(np.int64), context, anchor + offset, first, end
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +105,7 @@ def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": pa.array([hashlib.sha256((x.as_py() or "").encode()).digest() for x in batch.column(0)], pa.binary()), "text": batch.column(0)})
 
 
-ANCHORS = "h long, context long, id long, at int, first int, stop int"
+ANCHORS = "h long, context binary, id long, at int, first int, stop int"
 
 
 def _anchors(length: int, k: int):
@@ -129,8 +124,8 @@ def _anchors(length: int, k: int):
         give_back()
 
     def made(held: list[tuple]) -> pa.RecordBatch:
-        h, c, i, at, first, stop = map(np.concatenate, zip(*held, strict=True))
-        return pa.record_batch({"h": h, "context": c, "id": i, "at": at.astype(np.int32), "first": first.astype(np.int32), "stop": stop.astype(np.int32)})
+        h, c, i, at, first, stop = (chain.from_iterable(x) if isinstance(x[0], list) else np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.record_batch({"h": h, "context": pa.array(list(c), pa.binary()), "id": i, "at": at.astype(np.int32), "first": first.astype(np.int32), "stop": stop.astype(np.int32)})
 
     return run
 
@@ -143,7 +138,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.as_py().encode()
             rows += [(x["h"], x["context"], data[x["first"] : x["at"]], data[x["at"] : x["stop"]]) for x in asked]
         h, c, left, right = zip(*rows) if rows else ((), (), (), ())
-        yield pa.record_batch({"h": pa.array(h, pa.int64()), "context": pa.array(c, pa.int64()), "before": pa.array(left, pa.binary()), "after": pa.array(right, pa.binary())})
+        yield pa.record_batch({"h": pa.array(h, pa.int64()), "context": pa.array(c, pa.binary()), "before": pa.array(left, pa.binary()), "after": pa.array(right, pa.binary())})
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -211,7 +206,7 @@ def repeated_spans(before: list[bytes], after: list[bytes], length: int = LENGTH
     return spans
 
 
-SPANS = "h long, context long, begin int, end int"
+SPANS = "h long, context binary, begin int, end int"
 
 
 def _sort_contexts(length: int, k: int, symbols: int):
@@ -227,7 +222,7 @@ def _sort_contexts(length: int, k: int, symbols: int):
         def made() -> pa.RecordBatch:
             h, c, a, b = zip(*out) if out else ((), (), (), ())
             out.clear()
-            return pa.record_batch({"h": pa.array(h, pa.int64()), "context": pa.array(c, pa.int64()), "begin": pa.array(a, pa.int32()), "end": pa.array(b, pa.int32())})
+            return pa.record_batch({"h": pa.array(h, pa.int64()), "context": pa.array(c, pa.binary()), "begin": pa.array(a, pa.int32()), "end": pa.array(b, pa.int32())})
 
         for batch in batches:
             for part, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -311,7 +306,7 @@ def removals(docs: DataFrame, text_col: str = "text", length: int = LENGTH, k: i
     mixed = staged(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n_contexts")).filter("n_contexts > 1").select("h"), "mixed")
     asked = contexts.join(mixed, "h", "left_semi").select("h", "context", "one.*")
     by_text = asked.groupBy("id").agg(F.collect_list(F.struct("h", "context", "at", "first", "stop")).alias("asked"))
-    cut = staged(texts.join(by_text, "id").select("text", "asked").mapInArrow(_slices, "h long, context long, before binary, after binary"), "slices")
+    cut = staged(texts.join(by_text, "id").select("text", "asked").mapInArrow(_slices, "h long, context binary, before binary, after binary"), "slices")
     spans = _spans(cut, length, k)
     whole = several.join(contexts.filter("n > 1").select("h", "context"), ["h", "context"], "left_semi").select("id", F.col("first").alias("begin"), F.col("stop").alias("end"))
     # a context that occurs once is its one occurrence; of others the whole span is there already
