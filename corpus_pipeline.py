@@ -8,6 +8,7 @@ the stages against brute force."""
 
 from __future__ import annotations
 
+import threading
 import uuid
 from functools import wraps
 
@@ -23,20 +24,23 @@ from coplex.llm.quality_mil import fit_quality, keep_quality
 from coplex.llm.suffix_dedup import drop_repeats
 
 
-#: Folders that the stage run last keeps for its result.
-_folders: list[str] = []
+#: Folders that the stage run last in a thread keeps for its result, so that pipelines in several threads keep apart.
+_last = threading.local()
+#: Whole texts go to Python by so many, so that batches stay small beside an executor's memory.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def _stage(make):
     """make as a stage: it begins by deleting what the stage before kept on disk for its result, which has been written.
-    Whole texts go to Python a thousand at a time, so that batches stay small beside an executor's memory."""
+    It leaves the session with BATCH, which its result needs until written; run() puts the setting back."""
 
     @wraps(make)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _folders:
-            delete(spark, _folders.pop())
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        with noting(_folders):
+        for path in getattr(_last, "folders", ()):
+            delete(spark, path)
+        _last.folders = []
+        spark.conf.set(*BATCH)
+        with noting(_last.folders):
             return make(spark, docs, sf_dir)
 
     return run
@@ -102,7 +106,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"{folder}/{i}-{name.replace(' ', '-')}")
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", spark.conf.get(BATCH[0])
+    _last.folders = []
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/{i}-{name.replace(' ', '-')}")
+    finally:
+        spark.conf.set(BATCH[0], before)
+        for path in _last.folders:
+            delete(spark, path)
+        _last.folders = []
     return docs
