@@ -8,11 +8,11 @@ probability mixes the product over its subword ids with its smoothed frequency i
 All of it is gathered in Spark. Documents are dealt into blocks of bounded bytes and written once. Arrow counts a block's
 distinct words, a shuffle by word adds them up over the corpus, and a join brings back to each block the totals of those
 of its words that other blocks have too; a block knows the others' counts itself. The totals give N, V and the id counts.
-Every training document gives a run of SHARE of its characters to the attention model: one pass sums each id's neighbours,
-which give its vector and class; two passes of Adam, over shares of the documents that make up the whole, start every task
-from the same weights and average what the tasks end with. What comes to the driver has the vocabulary's size. Scoring is
-one pass over the blocks; it sums each text for every weight of MIXES, and takes the weight that makes training documents,
-with their own words left out of the counts, likeliest.
+The attention model learns from every training document, whole: one pass writes the documents' ids and sums each id's
+neighbours, which give its vector and class; two passes of Adam over these ids, on shares of the documents that make up the
+whole, start every task from the same weights and average what the tasks end with. What comes to the driver has the
+vocabulary's size. Scoring is one pass over the blocks; it sums each text for every weight of MIXES, and takes the weight that
+makes all training documents, with their own words and end left out of the counts, likeliest.
 """
 
 from __future__ import annotations
@@ -28,19 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import read_ranks
-from .common import shuffle_partitions, staged
+from .common import shuffle_partitions, staged, unstage
 
 #: Bytes of text in a block, up to one text more.
 BLOCK_BYTES = 32 << 20
 HALF, DIM, CLASSES, VECTOR = 8, 8, 64, 24
-#: Part of each training document that the attention model learns from, and characters at least.
-SHARE, LEAST_CHARS = 1 / 16, 240
 #: Steps of a task at least (it repeats its last chunk if it has fewer batches), windows of a step, rate.
 STEPS, BATCH, RATE = 500, 128, 0.01
-#: Bytes of text in a chunk that is learned from at a time, up to one text more.
-CHUNK_BYTES = 1 << 22
-#: Ids whose neighbours are summed at a time.
-NEAR_IDS = 50_000
+#: Bytes of text that are encoded at a time, and ids that are learned from at a time, up to one text more.
+CHUNK_BYTES, CHUNK_IDS = 1 << 23, 1 << 20
+#: Places on either side that count as around an id, and ids whose surroundings are summed at a time.
+AROUND, NEAR_IDS = 20, 50_000
 #: The first round of gradients takes one of this many training documents, the second all others.
 ROUND_SHARE = 8
 #: Random code of an id.
@@ -49,9 +47,8 @@ CODE = 24
 WINDOWS, SLICE_WORDS = 512, 80_000
 #: Most partitions that blocks are dealt to, beyond the session's own number.
 MOST_PARTITIONS = 10_000
-#: Weights of the word counts that are tried, on one of TRIED training documents.
+#: Weights of the word counts that are tried, on all training documents.
 MIXES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98)
-TRIED = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -154,23 +151,29 @@ class Model:
         and on."""
         w, n = self.weights, len(inputs) - 1
         made = inner.reshape(n + 1, HALF, 4 * DIM)
-        q, k, v, r = (made[..., i * DIM : (i + 1) * DIM] for i in range(4))
-        keys, values = (np.concatenate([y[:-1], y[1:]], 1) for y in (k, v))
-        scores = q[1:] @ keys.transpose(0, 2, 1)
+        pairs = made[..., DIM : 3 * DIM]
+        both = np.concatenate([pairs[:-1], pairs[1:]], 1)
+        q, keys, values = made[1:, :, :DIM], both[..., :DIM], both[..., DIM:]
+        scores = q @ np.ascontiguousarray(keys.transpose(0, 2, 1))
         scores += w["bias"][AGE] + FUTURE
-        hidden = np.concatenate([inputs[:-1], inputs[1:]], 1) == self.pad
-        some = np.flatnonzero(hidden.any(1))
-        hidden[:, HALF:] &= ~(inputs[1:] == self.pad).all(1)[:, None]
-        scores[some] += np.where(hidden[some], np.float32(-1e9), np.float32(0))[:, None, :]
+        blank = inputs == self.pad
+        full, some = blank.all(1), blank.any(1)
+        some = np.flatnonzero(some[:-1] | some[1:])
+        hidden = np.concatenate([blank[some], blank[some + 1] & ~full[some + 1, None]], 1)
+        scores[some] += np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
         np.minimum(scores, np.float32(60), out=scores)
         a = np.exp(scores, out=scores)
         total = (a.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, np.float32)).reshape(n, HALF, 1) + np.float32(1e-20)
-        h = np.concatenate([(a @ values) / total, r[1:]], -1)
-        np.tanh(h, out=h)
-        logits = h.reshape(-1, 2 * DIM) @ w["O"] + w["c"]
+        a /= total
+        h = np.empty((n, HALF, 2 * DIM + 1), np.float32)  # its last column takes c
+        seen = a @ values
+        np.tanh(seen, out=h[..., :DIM])
+        np.tanh(made[1:, :, 3 * DIM :], out=h[..., DIM:-1])
+        h[..., -1] = 1
+        logits = h.reshape(-1, 2 * DIM + 1) @ np.concatenate([w["O"], w["c"][None]])
         # |h| < 1, so logits are bounded by the weights
-        norm = np.log(np.exp(logits) @ np.ones(CLASSES, np.float32))
-        return {"q": q, "keys": keys, "values": values, "a": a, "total": total, "h": h, "logits": logits, "norm": norm}
+        mass = np.exp(logits)
+        return {"q": q, "keys": keys, "values": values, "a": a, "seen": seen, "h": h, "logits": logits, "mass": mass, "total": mass @ np.ones(CLASSES, np.float32)}
 
     def log_probabilities(self, sequences: list[np.ndarray], inner: np.ndarray) -> np.ndarray:
         """Natural log-probability of every id after the first of each sequence, one after the other."""
@@ -180,7 +183,7 @@ class Model:
             goal = targets[at : at + WINDOWS]
             rows = inputs[at - 1 : at + WINDOWS]
             found = self.forward(rows, inner.take(rows.ravel(), 0))
-            logs = found["logits"][np.arange(goal.size), self.class_of[goal].ravel()] - found["norm"] + self.share[goal].ravel()
+            logs = found["logits"][np.arange(goal.size), self.class_of[goal].ravel()] - np.log(found["total"]) + self.share[goal].ravel()
             real = scored[at : at + WINDOWS].repeat(HALF) & (goal.ravel() != self.pad)
             out.append(logs[real])
         return np.concatenate(out).astype(np.float64)
@@ -191,12 +194,27 @@ AGE = np.maximum(HALF + np.arange(HALF)[:, None] - np.arange(2 * HALF)[None, :],
 FUTURE = np.where(HALF + np.arange(HALF)[:, None] < np.arange(2 * HALF)[None, :], np.float32(-1e9), np.float32(0))
 
 
+WEIGHTS = ("W", "bias", "O", "c")
+
+
+def flattened(weights: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([weights[k].ravel() for k in WEIGHTS])
+
+
+def shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of flat as weights, of shapes as in like."""
+    ends = np.cumsum([like[k].size for k in WEIGHTS])
+    return {k: x.reshape(like[k].shape) for k, x in zip(WEIGHTS, np.split(flat, ends[:-1]), strict=True)}
+
+
 class Trainer:
     """Adam on batches of neighbouring windows."""
 
     def __init__(self, model: Model, rate: float):
         self.model, self.rate, self.steps = model, rate, 0
-        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
+        self.flat = flattened(model.weights)
+        model.weights = shaped(self.flat, model.weights)
+        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def learn(self, sequences: list[np.ndarray], rng: np.random.Generator) -> None:
         """One step for each batch of the sequences' windows, in random order."""
@@ -207,56 +225,75 @@ class Trainer:
     def _step(self, rows: np.ndarray, goal: np.ndarray, scored: np.ndarray) -> None:
         model, w = self.model, self.model.weights
         self.steps += 1
-        x = model.vectors[rows].reshape(-1, VECTOR)
+        x = model.vectors.take(rows.ravel(), 0)
         f = model.forward(rows, x @ w["W"])
         real = (scored.repeat(HALF) & (goal.ravel() != model.pad)).astype(np.float32)
-        d = np.exp(f["logits"] - f["norm"][:, None])
-        d[np.arange(len(d)), model.class_of[goal].ravel()] -= 1
-        d *= (real / max(1, real.sum()))[:, None]
-        h, n = f["h"], len(goal)
-        dh = (d @ w["O"].T).reshape(h.shape) * (1 - h**2)
-        da_v, dr = dh[..., :DIM], dh[..., DIM:]
-        a = f["a"] / f["total"]
-        da = da_v @ f["values"].transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        dq, dk, dv = ds @ f["keys"], ds.transpose(0, 2, 1) @ f["q"][1:], a.transpose(0, 2, 1) @ da_v
-        made = np.zeros((n + 1, HALF, 4 * DIM), np.float32)
-        made[1:, :, :DIM] = dq
-        made[1:, :, 3 * DIM :] = dr
-        for i, y in ((1, dk), (2, dv)):
-            made[:-1, :, i * DIM : (i + 1) * DIM] += y[:, :HALF]
-            made[1:, :, i * DIM : (i + 1) * DIM] += y[:, HALF:]
-        slopes = {"W": x.T @ made.reshape(-1, 4 * DIM), "bias": np.bincount(AGE.ravel(), ds.sum(0).ravel(), 2 * HALF).astype(np.float32), "O": h.reshape(-1, 2 * DIM).T @ d, "c": d.sum(0)}
-        for k, slope in slopes.items():
-            m, s = self.moments[k]
-            m[...] = 0.9 * m + 0.1 * slope
-            s[...] = 0.99 * s + 0.01 * slope**2
-            rate = self.rate / np.sqrt(1 + self.steps / STEPS)
-            w[k] -= np.float32(rate) * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)
+        real /= max(1, real.sum())
+        d = f["mass"]
+        d *= (real / f["total"])[:, None]
+        d[np.arange(len(d)), model.class_of[goal].ravel()] -= real
+        h, n, a = f["h"], len(goal), f["a"]
+        dh = (d @ w["O"].T).reshape(n, HALF, 2 * DIM)
+        dh *= 1 - h[..., :-1] ** 2
+        da_v = dh[..., :DIM]
+        ds = da_v @ np.ascontiguousarray(f["values"].transpose(0, 2, 1))
+        ds -= np.einsum("ijk,ijk->ij", da_v, f["seen"])[..., None]
+        ds *= a
+        both = np.empty((n, 2 * HALF, 2 * DIM), np.float32)
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=both[..., :DIM])
+        np.matmul(a.transpose(0, 2, 1), da_v, out=both[..., DIM:])
+        made = np.empty((n + 1, HALF, 4 * DIM), np.float32)
+        made[0] = 0
+        np.matmul(ds, f["keys"], out=made[1:, :, :DIM])
+        made[1:, :, DIM : 3 * DIM] = both[:, HALF:]
+        made[1:, :, 3 * DIM :] = dh[..., DIM:]
+        made[:-1, :, DIM : 3 * DIM] += both[:, :HALF]
+        last = h.reshape(-1, 2 * DIM + 1).T @ d
+        slope = np.concatenate([(x.T @ made.reshape(-1, 4 * DIM)).ravel(), np.bincount(AGE.ravel(), ds.sum(0).ravel(), 2 * HALF), last.ravel()], dtype=np.float32)
+        self.mean *= np.float32(0.9)
+        self.mean += np.float32(0.1) * slope
+        self.square *= np.float32(0.99)
+        self.square += np.float32(0.01) * slope**2
+        rate = self.rate / np.sqrt(1 + self.steps / STEPS) / (1 - 0.9**self.steps)
+        self.flat -= np.float32(rate) * self.mean / (np.sqrt(self.square / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
 
 
 def _add_neighbours(sequences: list[np.ndarray], code: np.ndarray, total: np.ndarray, count: np.ndarray) -> None:
-    """Adds, for every id, the codes of the ids around it, before it and after it to total, its places to count."""
-    length = np.array([len(x) for x in sequences])
-    end = np.cumsum(length)
-    if end[-1] > NEAR_IDS and len(sequences) > 1:
-        cuts = np.unique(np.searchsorted(end, np.arange(0, end[-1], NEAR_IDS))).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(sequences)], strict=True):
-            if a < b:
-                _add_neighbours(sequences[a:b], code, total, count)
-        return
-    s = np.concatenate(sequences)
-    at = np.arange(len(s))
-    low, high = np.maximum(at - 20, np.repeat(end - length, length)), np.minimum(at + 21, np.repeat(end, length))
-    c = code[s]
-    sums = np.cumsum(np.concatenate([np.zeros((1, CODE), np.float32), c]), 0)
-    near = (3 / (high - low)).astype(np.float32)[:, None] * (sums[high] - sums[low])
-    order = np.argsort(s.astype(np.uint16) if len(count) <= 1 << 16 else s, kind="stable")  # short numbers sort by digits
-    ids, first = np.unique(s[order], return_index=True)
+    """Adds, for every id, the codes of the ids around it, before it and after it to total (a row for each of these
+    numbers), its places to count."""
+    size = len(count)
+    flat = np.concatenate(sequences)
+    places = np.bincount(flat, minlength=size)
+    seen = np.flatnonzero(places)
+    n, slot = len(seen), np.zeros(size, np.int64)
+    slot[seen] = np.arange(n)
+    own, sums, code = slot[flat], np.zeros((3 * CODE, n)), np.append(code[seen], np.zeros((1, CODE)), 0).T.copy()
     # sequences begin and end with the end id, so what lies beyond a sequence is that too
-    for i, found in enumerate((near, np.roll(c, 1, 0), np.roll(c, -1, 0))):
-        total[ids, i * CODE : (i + 1) * CODE] += np.add.reduceat(found[order], first)
-    count[ids] += np.diff(np.append(first, len(s)))
+    pairs, times = np.unique(own * n + np.roll(own, -1), return_counts=True)
+    before, after = np.divmod(pairs, n)
+    for i in range(CODE):
+        sums[CODE + i] = np.bincount(after, times * code[i].take(before), n)
+        sums[2 * CODE + i] = np.bincount(before, times * code[i].take(after), n)
+    held = np.cumsum([len(x) for x in sequences])
+    at = 0
+    while at < len(sequences):
+        stop = int(np.searchsorted(held, (held[at - 1] if at else 0) + NEAR_IDS)) + 1
+        apart = np.full(AROUND, n)
+        padded = np.concatenate([apart, *(y for x in sequences[at:stop] for y in (slot[x], apart))])
+        middle = padded[AROUND:-AROUND]
+        share = 3 / np.maximum(_around(padded < n), 1)
+        for i in range(CODE):
+            sums[i] += np.bincount(middle, share * _around(code[i].take(padded)), n + 1)[:n]
+        at = stop
+    total[:, seen] += sums
+    count += places
+
+
+def _around(x: np.ndarray) -> np.ndarray:
+    """Sums of x from AROUND places before each place to AROUND after it, where there are as many."""
+    held = np.zeros(len(x) + 1)
+    np.cumsum(x, out=held[1:])
+    return held[2 * AROUND + 1 :] - held[: -2 * AROUND - 1]
 
 
 def _vectors(total: np.ndarray, count: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -367,34 +404,46 @@ def _id_counts(tokens, pattern: str):
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], subwords: Subwords) -> Iterator[list[np.ndarray]]:
-    """The texts' sequences of ids, some CHUNK_BYTES of text at a time."""
-    for batch in batches:
-        texts = batch.column(0)
-        held = np.cumsum(pc.binary_length(texts).to_numpy())
-        at = 0
-        while at < len(texts):
-            stop = int(np.searchsorted(held, (held[at - 1] if at else 0) + CHUNK_BYTES)) + 1
-            yield subwords.sequences(coded(texts[at:stop]))
-            at = stop
+def _slices(texts: pa.Array, most_bytes: int) -> Iterator[slice]:
+    """Neighbouring rows of most_bytes, up to one row more."""
+    held = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        stop = int(np.searchsorted(held, (held[at - 1] if at else 0) + most_bytes)) + 1
+        yield slice(at, stop)
+        at = stop
+
+
+#: Ids holds a text's sequence; id, n and sums, of further rows, what stands around an id in a task's texts.
+ENCODED = "first boolean, ids binary, id long, n long, sums binary"
+SUMS = "id long, n long, sums binary"
 
 
 def _sums(total: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     ids = np.flatnonzero(count)
-    return pa.record_batch({"id": pa.array(ids, pa.int64()), "n": pa.array(count[ids], pa.int64()), "sums": pa.array([x.tobytes() for x in total[ids].astype(np.float32)], pa.binary())})
+    return pa.record_batch({"id": pa.array(ids, pa.int64()), "n": pa.array(count[ids], pa.int64()), "sums": pa.array([x.tobytes() for x in total.T[ids].astype(np.float32)], pa.binary())})
 
 
-SUMS = "id long, n long, sums binary"
+def _id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
 
+def _encode(tokens, pattern: str):
+    """The sequences of whole texts, and what stands around each of their ids."""
 
-def _neighbour_sums(tokens, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = _subwords(tokens, pattern)
         code = np.random.default_rng(1).normal(size=(subwords.size, CODE)).astype(np.float32)
-        total, count = np.zeros((subwords.size, 3 * CODE)), np.zeros(subwords.size, np.int64)
-        for sequences in _chunks(batches, subwords):
-            _add_neighbours(sequences, code, total, count)
-        yield _sums(total, count)
+        total, count = np.zeros((3 * CODE, subwords.size)), np.zeros(subwords.size, np.int64)
+        for batch in batches:
+            for some in _slices(batch.column(0), CHUNK_BYTES):
+                sequences = subwords.sequences(coded(batch.column(0)[some]))
+                _add_neighbours(sequences, code, total, count)
+                ids = pa.array([x.astype(_id_type(subwords.size)).tobytes() for x in sequences], pa.binary())
+                empty = [pa.nulls(len(ids), x) for x in (pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(1)[some], ids, *empty], names=["first", "ids", "id", "n", "sums"])
+        sums = _sums(total, count)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(sums), pa.bool_()), pa.nulls(len(sums), pa.binary()), *sums.columns], names=["first", "ids", "id", "n", "sums"])
 
     return run
 
@@ -406,28 +455,27 @@ def _add_sums(size: int):
             ids = batch.column(0).to_numpy()
             np.add.at(count, ids, batch.column(1).to_numpy())
             np.add.at(total, ids, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, 3 * CODE))
-        yield _sums(total, count)
+        yield _sums(total.T, count)
 
     return run
 
 
-WEIGHTS = ("W", "bias", "O", "c")
-
-
-def _learn(model_sent, tokens, pattern: str, rate: float):
-    """A task's weights after its documents, times their batches, and the batches."""
+def _learn(model_sent, rate: float):
+    """A task's weights after its sequences, times their batches, and the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = model_sent.value
-        model = Model(sent.vectors, sent.class_of, sent.share, {k: v.copy() for k, v in sent.weights.items()}, sent.pad)
+        model = Model(sent.vectors, sent.class_of, sent.share, sent.weights, sent.pad)
         trainer, rng, sequences = Trainer(model, rate), np.random.default_rng(0), []
-        for sequences in _chunks(batches, _subwords(tokens, pattern)):
-            trainer.learn(sequences, rng)
+        kind = _id_type(len(model.share))
+        for batch in batches:
+            for some in _slices(batch.column(0), CHUNK_IDS * kind().itemsize):
+                sequences = [np.frombuffer(x.as_buffer(), kind) for x in batch.column(0)[some]]
+                trainer.learn(sequences, rng)
         if n := trainer.steps:
             while trainer.steps < STEPS:
                 trainer.learn(sequences, rng)
-            flat = np.concatenate([model.weights[k].ravel() for k in WEIGHTS]).astype(np.float64)
-            yield pa.record_batch({"n": pa.array([n], pa.int64()), "weights": pa.array([(n * flat).tobytes()], pa.binary())})
+            yield pa.record_batch({"n": pa.array([n], pa.int64()), "weights": pa.array([(n * trainer.flat.astype(np.float64)).tobytes()], pa.binary())})
 
     return run
 
@@ -443,9 +491,10 @@ def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_model(train: DataFrame, words: DataFrame, n_ends: int, tokens, pattern: str, subwords: Subwords) -> Model:
-    """The attention model of the texts of train (text, first) and of all training words (word, c)."""
+    """The attention model of the whole texts of train (text, first) and of all training words (word, c)."""
     spark = train.sparkSession
-    found = train.select("text").mapInArrow(_neighbour_sums(tokens, pattern), SUMS)
+    encoded = staged(train.select("text", "first").mapInArrow(_encode(tokens, pattern), ENCODED), "encoded")
+    found = encoded.filter("id IS NOT NULL").select("id", "n", "sums")
     found = found.repartition("id").mapInArrow(_add_sums(subwords.size), SUMS).toArrow()  # of the vocabulary's size
     total, seen, count = np.zeros((subwords.size, 3 * CODE), np.float32), np.zeros(subwords.size), np.zeros(subwords.size)
     ids = found["id"].to_numpy()
@@ -457,13 +506,10 @@ def learn_model(train: DataFrame, words: DataFrame, n_ends: int, tokens, pattern
     model = new_model(total, seen, subwords)
     model.share = shares(count, model.class_of, subwords.end)
     for rate, rows in ((RATE, F.col("first")), (RATE / 2, ~F.col("first"))):
-        learned = train.filter(rows).select("text").mapInArrow(_learn(spark.sparkContext.broadcast(model), tokens, pattern, rate), "n long, weights binary")
+        learned = encoded.filter("ids IS NOT NULL").filter(rows).select("ids").mapInArrow(_learn(spark.sparkContext.broadcast(model), rate), "n long, weights binary")
         for r in learned.repartition(1).mapInArrow(_add_weights, "n long, weights binary").collect():  # one row
-            flat, at = np.frombuffer(bytes(r["weights"])) / r["n"], 0
-            for k in WEIGHTS:
-                w = model.weights[k]
-                model.weights[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
-                at += w.size
+            model.weights = shaped((np.frombuffer(bytes(r["weights"])) / r["n"]).astype(np.float32), model.weights)
+    unstage(encoded)
     return model
 
 
@@ -491,6 +537,16 @@ def _mixed(by_ids: np.ndarray, by_words: np.ndarray, starts: np.ndarray) -> np.n
     return base[:, None] + np.stack(sums, 1)
 
 
+def _repeats(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each number occurs in its own text; texts are runs of sizes."""
+    order = np.argsort(key := numbers + (int(numbers.max(initial=0)) + 1) * np.repeat(np.arange(len(sizes)), sizes))
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    times = np.diff(np.append(first, len(key)))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(times, times)
+    return out
+
+
 def _score(model_sent, tokens, pattern: str, n_total: int, n_distinct: int, n_ends: int):
     def run(texts: pa.Table, elsewhere: pa.Table) -> pa.Table:
         subwords, model = _subwords(tokens, pattern), model_sent.value
@@ -506,7 +562,6 @@ def _score(model_sent, tokens, pattern: str, n_total: int, n_distinct: int, n_en
         if elsewhere.num_rows:
             count = np.where(at >= 0, elsewhere["c"].to_numpy()[at], count)
         scale = np.log(n_total + n_distinct + 1.0)
-        tried = train & (texts["tried"].to_numpy()) & (n_words > 0)
         gains = np.zeros(len(MIXES))
         edge, made = np.array([subwords.end]), []
         held = np.cumsum(n_words + 1)
@@ -530,11 +585,11 @@ def _score(model_sent, tokens, pattern: str, n_total: int, n_distinct: int, n_en
             by_words = np.log(c + 1) - scale
             starts = ends - sizes
             base, known, mixed = np.add.reduceat(by_words, starts), np.add.reduceat((c > 0).astype(np.int64), starts), _mixed(by_ids, by_words, starts)
-            for i in np.flatnonzero(tried[low:high]):  # each text's own words are taken off the counts
-                a, b = starts[i], ends[i]
-                _, place, mine = np.unique(own[a - i : b - i], return_inverse=True, return_counts=True)
-                left = np.log(c[a:b] - mine[place] + 1) - scale
-                gains += _mixed(by_ids[a:b], left, np.zeros(1, np.int64))[0]
+            if train[low:high].any():  # each training text's own words and end are taken off the counts
+                mine = np.ones(len(word))
+                mine[word] = _repeats(own, sizes)
+                left = np.log(np.maximum(c - mine, 0) + 1) - scale
+                gains += _mixed(by_ids, left, starts)[train[low:high]].sum(0)
             size = len(sizes)
             made.append(pa.table([doc.slice(low, size), pa.array(~train[low:high]), pa.array(sizes + 1), pa.array(known), pa.array(base / np.log(10)), pa.array(list(mixed / np.log(10)), pa.list_(pa.float64())), pa.nulls(size, pa.list_(pa.float64()))], schema=SUMMED_SCHEMA))
             low = high
@@ -555,7 +610,6 @@ def lm_scores(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int =
     subwords, sent = Subwords(tokens, pattern), spark.sparkContext.broadcast(tokens)  # of the vocabulary's size
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held_out(F.col(id_col))).alias("train"))
     dealt = staged(slim.mapInArrow(_deal(block_bytes), "doc_id long, text string, train boolean, block long"), "blocks")
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     # written, so that the join reads both sides by exchanges of its own, whose hot words Spark can split
     runs = staged(dealt.select("text", "train", "block").mapInArrow(_count, "word string, block long, n long"), "runs")
     words = staged(runs.groupBy("word").agg(F.sum("n").alias("c")), "words")
@@ -563,16 +617,12 @@ def lm_scores(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int =
     totals = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_ends = dealt.filter("train").count()
     n_total, n_distinct = totals["n"] + n_ends, totals["v"] + (n_ends > 0)
-    size = F.length("text")
-    run = F.greatest(F.lit(LEAST_CHARS), F.ceil(size * SHARE)).cast("int")
-    # what a cut leaves of a word at either end goes
-    cut = F.regexp_replace(F.substring(F.col("text"), 1 + F.pmod(hashed, F.greatest(size - run, F.lit(1))).cast("int"), run), r"^[^\x20\x09-\x0D]*|[^\x20\x09-\x0D]*$", "")
-    train = staged(dealt.filter("train").select(F.when(size > run, cut).otherwise(F.col("text")).alias("text"), (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUND_SHARE)) == 0).alias("first")), "training-runs")
+    train = dealt.filter("train").withColumn("first", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUND_SHARE)) == 0)
     model = learn_model(train, words.filter("c > 0"), n_ends, sent, pattern, subwords)
     score = _score(spark.sparkContext.broadcast(model), sent, pattern, n_total, n_distinct, n_ends)
     # a few partitions for each block, as several blocks that meet in one make a long task
     n_parts = max(shuffle_partitions(spark), min(MOST_PARTITIONS, 4 * dealt.select("block").distinct().count()))
-    texts, elsewhere = dealt.withColumn("tried", hashed % TRIED == 0).repartition(n_parts, "block"), elsewhere.repartition(n_parts, "block")
+    texts, elsewhere = dealt.repartition(n_parts, "block"), elsewhere.repartition(n_parts, "block")
     summed = staged(texts.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(score, SUMMED), "summed")
     gains = summed.filter("gains IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("gains")[i]), F.lit(0.0)) for i in range(len(MIXES)))).first()
     best = max(range(len(MIXES)), key=lambda i: (gains[i], -abs(MIXES[i] - 0.5)))

@@ -131,6 +131,45 @@ def test_lm_learns_from_every_document(spark, make):
     assert scores[1].score > scores[0].score + 1
 
 
+def test_lm_learns_from_whole_texts(make, monkeypatch):
+    # every id of every training text, of long ones and those beside them too, is among what vectors and classes are made of
+    long = " ".join(f"word{i % 977} item{i * i % 7919}" for i in range(20_000))
+    rows = [(i, long[i:] if i % 9 == 0 else f"{i} " * (i % 40) + "Zebra crossings near old river banks " * (i % 30)) for i in range(60)] + [(None, None), (60, "")]
+    found, new_model = [], lm_scoring.new_model
+    monkeypatch.setattr(lm_scoring, "new_model", lambda total, count, subwords: (found.append((total, count, subwords)), new_model(total, count, subwords))[1])
+    lm_scoring.lm_scores(make(rows), RANKS, tokenizers.PATTERN).collect()
+    (total, count, subwords), want = found[0], Counter()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            ids = subwords.model.encode_ordinary("".join(f" {x}" for x in (t or "").lower().split()))
+            assert t is not long or len(ids) > lm_scoring.NEAR_IDS
+            want += Counter([subwords.end, *ids, subwords.end])
+    assert {i: n for i, n in enumerate(count.tolist()) if n} == want
+    assert set(np.flatnonzero(total.any(1)).tolist()) == set(want)
+
+
+def test_neighbours_against_brute_force():
+    rng = np.random.default_rng(4)
+    code = rng.normal(size=(12, lm_scoring.CODE)).astype(np.float32)
+    sequences = [np.array([10, *rng.integers(0, 9, n), 10]) for n in (0, 1, 70, 3, 200)]
+    total, count, want = np.zeros((3 * lm_scoring.CODE, 12)), np.zeros(12, np.int64), np.zeros((3, 12, lm_scoring.CODE))
+    lm_scoring._add_neighbours(sequences, code, total, count)
+    for s in sequences:
+        for i, x in enumerate(s):
+            around = s[max(0, i - 20) : i + 21]
+            want[0, x] += 3 * code[around].sum(0) / len(around)
+            want[1, x] += code[s[i - 1] if i else 10]
+            want[2, x] += code[s[i + 1] if i + 1 < len(s) else 10]
+    assert total == pytest.approx(np.concatenate([x.T for x in want]), abs=1e-3)
+    assert count.tolist() == np.bincount(np.concatenate(sequences), minlength=12).tolist()
+
+
+def test_own_words_of_each_text():
+    texts = [[4, 4, 1], [], [1], [4, 1, 1, 1, 2]]
+    got = lm_scoring._repeats(np.array(sum(texts, [])), np.array([len(x) for x in texts]))
+    assert got.tolist() == [x.count(i) for x in texts for i in x]
+
+
 def test_windows_score_each_id_once():
     import numpy as np
 
