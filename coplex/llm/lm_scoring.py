@@ -5,12 +5,13 @@ windows: a window holds 2 * HALF positions and scores its second half, so every
 2 * HALF - 1 ids before it. An id's share of its class comes from the id counts of all training documents. A word's
 probability mixes the product over its subword ids with its smoothed frequency in all training documents.
 
-All of it is gathered in Spark. Documents are dealt into blocks of bounded bytes and written once. Arrow counts a block's
-distinct words, a shuffle by word adds them up over the corpus, and a join brings back to each block the totals of those
-of its words that other blocks have too; a block knows the others' counts itself. The totals give N, V and the id counts.
-The attention model learns from every training document, whole: one pass writes the documents' ids and sums each id's
-neighbours, which give its vector and class; two passes of Adam over these ids, on shares of the documents that make up the
-whole, start every task from the same weights and average what the tasks end with. What comes to the driver has the
+All of it is gathered in Spark. Each text is split into words once: documents are dealt into blocks of bounded bytes, whose
+texts are written as numbers of the block's distinct words, with these words, their counts and subword ids. A shuffle by word
+adds the counts up over the corpus, and a join brings back to each block the totals of those of its words that other blocks
+have too; a block knows the others' counts itself. The totals give N and V.
+The attention model learns from every training document, whole: their ids are written too, and what stands around each id is
+summed, which gives its count, vector and class; two passes of Adam over these ids, on shares of the documents that make up
+the whole, start every task from the same weights and average what the tasks end with. What comes to the driver has the
 vocabulary's size. Scoring is one pass over the blocks; it sums each text for every weight of MIXES, and takes the weight that
 makes all training documents, with their own words and end left out of the counts, likeliest.
 """
@@ -28,15 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import read_ranks
-from .common import shuffle_partitions, staged, unstage
+from .common import shuffle_partitions, staged
 
 #: Bytes of text in a block, up to one text more.
 BLOCK_BYTES = 32 << 20
 HALF, DIM, CLASSES, VECTOR = 8, 8, 64, 24
 #: Steps of a task at least (it repeats its last chunk if it has fewer batches), windows of a step, rate.
 STEPS, BATCH, RATE = 500, 128, 0.01
-#: Bytes of text that are encoded at a time, and ids that are learned from at a time, up to one text more.
-CHUNK_BYTES, CHUNK_IDS = 1 << 23, 1 << 20
+#: Distinct words that are encoded together.
+TOGETHER = 4096
+#: Ids that are made or learned from at a time, up to one text more.
+CHUNK_IDS = 1 << 20
 #: Places on either side that count as around an id, and ids whose surroundings are summed at a time.
 AROUND, NEAR_IDS = 20, 50_000
 #: The first round of gradients takes one of this many training documents, the second all others.
@@ -96,24 +99,19 @@ class Subwords:
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids, one word after the other, and the number of each word's ids."""
-        listed = words.to_numpy(zero_copy_only=False).tolist()
-        if not listed:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids = np.array(self.model.encode_ordinary(" " + " ".join(listed)), np.int64)
-        first = np.flatnonzero(self.start[ids])
-        if len(first) == len(listed) and first[0] == 0:
-            return ids, np.diff(np.append(first, len(ids)))
-        apart = [self.model.encode_ordinary(" " + x) if x else [] for x in listed]
-        return np.concatenate([np.array(x, np.int64) for x in apart]), np.array([len(x) for x in apart], np.int64)
-
-    def sequences(self, texts: Coded) -> list[np.ndarray]:
-        """Each text's ids, with the end id on both sides."""
-        ids, length = self(texts.words)
-        size = length[texts.numbers]
-        flat = ids[ranges((np.cumsum(length) - length)[texts.numbers], size)]
-        edges = np.append(0, np.cumsum(size))[texts.edges]
-        edge = np.array([self.end])
-        return [np.concatenate([edge, flat[a:b], edge]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        ids, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), TOGETHER):
+            listed = words[at : at + TOGETHER].to_numpy(zero_copy_only=False).tolist()
+            found = self.model.encode_to_numpy(" " + " ".join(listed), disallowed_special=()).astype(np.int64)
+            first = np.flatnonzero(self.start[found])
+            if len(first) == len(listed) and first[0] == 0 and "" not in listed:
+                ids.append(found)
+                lengths.append(np.diff(np.append(first, len(found))))
+            else:
+                apart = [self.model.encode_ordinary(" " + x) if x else [] for x in listed]
+                ids += [np.array(x, np.int64) for x in apart]
+                lengths.append(np.array([len(x) for x in apart], np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
 
 
 def windows(sequences: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,20 +217,21 @@ class Trainer:
     def learn(self, sequences: list[np.ndarray], rng: np.random.Generator) -> None:
         """One step for each batch of the sequences' windows, in random order."""
         inputs, targets, scored = windows(sequences, self.model.pad)
+        goal, real = self.model.class_of[targets], (scored[:, None] & (targets != self.model.pad)).astype(np.float32)
         for at in rng.permutation(np.arange(1, len(inputs), BATCH)):
-            self._step(inputs[at - 1 : at + BATCH], targets[at : at + BATCH], scored[at : at + BATCH])
+            self._step(inputs[at - 1 : at + BATCH], goal[at : at + BATCH].ravel(), real[at : at + BATCH].ravel())
 
-    def _step(self, rows: np.ndarray, goal: np.ndarray, scored: np.ndarray) -> None:
+    def _step(self, rows: np.ndarray, goal: np.ndarray, real: np.ndarray) -> None:
+        """rows: ids; goal, real: class of each target of rows 1 and on, and whether it counts."""
         model, w = self.model, self.model.weights
         self.steps += 1
         x = model.vectors.take(rows.ravel(), 0)
         f = model.forward(rows, x @ w["W"])
-        real = (scored.repeat(HALF) & (goal.ravel() != model.pad)).astype(np.float32)
-        real /= max(1, real.sum())
+        real = real / max(1, real.sum())
         d = f["mass"]
         d *= (real / f["total"])[:, None]
-        d[np.arange(len(d)), model.class_of[goal].ravel()] -= real
-        h, n, a = f["h"], len(goal), f["a"]
+        d[np.arange(len(d)), goal] -= real
+        h, n, a = f["h"], len(rows) - 1, f["a"]
         dh = (d @ w["O"].T).reshape(n, HALF, 2 * DIM)
         dh *= 1 - h[..., :-1] ** 2
         da_v = dh[..., :DIM]
@@ -267,7 +266,7 @@ def _add_neighbours(sequences: list[np.ndarray], code: np.ndarray, total: np.nda
     seen = np.flatnonzero(places)
     n, slot = len(seen), np.zeros(size, np.int64)
     slot[seen] = np.arange(n)
-    own, sums, code = slot[flat], np.zeros((3 * CODE, n)), np.append(code[seen], np.zeros((1, CODE)), 0).T.copy()
+    own, sums, code = slot[flat], np.zeros((3 * CODE, n)), np.append(code[seen], np.zeros((1, CODE), np.float32), 0).T.copy()
     # sequences begin and end with the end id, so what lies beyond a sequence is that too
     pairs, times = np.unique(own * n + np.roll(own, -1), return_counts=True)
     before, after = np.divmod(pairs, n)
@@ -281,7 +280,7 @@ def _add_neighbours(sequences: list[np.ndarray], code: np.ndarray, total: np.nda
         apart = np.full(AROUND, n)
         padded = np.concatenate([apart, *(y for x in sequences[at:stop] for y in (slot[x], apart))])
         middle = padded[AROUND:-AROUND]
-        share = 3 / np.maximum(_around(padded < n), 1)
+        share = 3 / np.maximum(_around((padded < n).astype(np.float32)), 1)
         for i in range(CODE):
             sums[i] += np.bincount(middle, share * _around(code[i].take(padded)), n + 1)[:n]
         at = stop
@@ -290,10 +289,16 @@ def _add_neighbours(sequences: list[np.ndarray], code: np.ndarray, total: np.nda
 
 
 def _around(x: np.ndarray) -> np.ndarray:
-    """Sums of x from AROUND places before each place to AROUND after it, where there are as many."""
-    held = np.zeros(len(x) + 1)
-    np.cumsum(x, out=held[1:])
-    return held[2 * AROUND + 1 :] - held[: -2 * AROUND - 1]
+    """Sums of x from AROUND places before each place to AROUND after it, where there are as many; by runs of doubled length."""
+    width = 2 * AROUND + 1
+    n, at, run, held, out = len(x) - width + 1, 0, 1, x, 0
+    while run <= width:
+        if width & run:
+            out = out + held[at : at + n]
+            at += run
+        held = held[:-run] + held[run:]
+        run *= 2
+    return out
 
 
 def _vectors(total: np.ndarray, count: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -346,60 +351,81 @@ def shares(counts: np.ndarray, class_of: np.ndarray, end: int) -> np.ndarray:
     return smooth.astype(np.float32)
 
 
-def _deal(block_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            numbers = []
-            for size in pc.binary_length(batch.column(1)).to_pylist():
-                numbers.append(block)
-                held += size
-                if held >= block_bytes:
-                    block, held = block + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["doc_id", "text", "train", "block"])
+#: Rows are of four kinds. Of a text: numbers of its words and, to learn from, its sequence of ids. Of a block: ids, lengths
+#: (ids of each word) and counts (in training texts) of its distinct words, in the order of their numbers. Of each of these
+#: words: word, number, n. Of a task: sums of what stands around an id in its training texts, its places n.
+CODED = "doc_id long, train boolean, block long, numbers binary, first boolean, sequence binary, ids binary, lengths binary, counts binary, word string, number long, n long, id long, sums binary"
+CODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("block", pa.int64()), ("numbers", pa.binary()), ("first", pa.bool_()), ("sequence", pa.binary()), ("ids", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary()), ("word", pa.string()), ("number", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("sums", pa.binary())])
 
-    return run
 
+def _rows(**columns) -> Iterator[pa.RecordBatch]:
+    """Rows of CODED, null where no column is given."""
+    made = {k: pa.array(v, CODED_SCHEMA.field(k).type) if not isinstance(v, pa.Array) else v.cast(CODED_SCHEMA.field(k).type) for k, v in columns.items()}
+    n = len(next(iter(made.values())))
+    batch = pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in CODED_SCHEMA], schema=CODED_SCHEMA)
+    for at in range(0, n, 100_000):
+        yield batch.slice(at, 100_000)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of each run of a block's rows, with their counts in training rows."""
-    block, held = None, []
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        if held:
-            summed = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
-            held.clear()
-            made = pa.table({"word": summed["word"].cast(pa.string()), "block": pa.array(np.full(summed.num_rows, block)), "n": summed["n_sum"]})
-            yield from made.combine_chunks().to_batches(max_chunksize=100_000)
+def _id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
 
-    for batch in batches:
-        numbers = batch.column(2).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if numbers[a] != block:
-                yield from rows()
-                block = int(numbers[a])
-            texts = coded(batch.column(0).slice(a, b - a))
-            train = np.repeat(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), np.diff(texts.edges))
-            counts = np.bincount(texts.numbers[train], minlength=len(texts.words))
-            own = pa.table({"word": texts.words, "n": pa.array(counts, pa.int64())})
-            held.append(own.filter(pc.not_equal(own["word"], "")))
-    yield from rows()
-
-
-def _id_counts(tokens, pattern: str):
-    """Counts of ids, from words and their counts."""
+
+def _code(tokens, pattern: str, block_bytes: int):
+    """Deals texts to blocks and gives the blocks' rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = _subwords(tokens, pattern)
-        total = np.zeros(subwords.size)
+        kind, edge = _id_type(subwords.size), np.array([subwords.end])
+        code = np.random.default_rng(1).normal(size=(subwords.size, CODE)).astype(np.float32)
+        total, seen = np.zeros((3 * CODE, subwords.size)), np.zeros(subwords.size, np.int64)
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            texts = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            doc, train, first = (texts[k].chunk(0) for k in ("doc_id", "train", "first"))
+            found, learned = coded(texts["text"].chunk(0)), train.to_numpy(zero_copy_only=False)
+            numbers, edges = found.numbers.astype(np.int32), found.edges
+            ids, length = subwords(found.words)
+            counts = np.bincount(numbers[np.repeat(learned, np.diff(edges))], minlength=len(length))
+            yield from _rows(block=[block], ids=[ids.astype(kind).tobytes()], lengths=[length.astype(np.int32).tobytes()], counts=[counts.tobytes()])
+            own = np.flatnonzero(length)  # all but the empty word, which white space at a text's ends gives
+            yield from _rows(block=np.full(len(own), block), word=found.words.take(pa.array(own)), number=own, n=counts[own])
+            begins = np.cumsum(length) - length
+            ends = np.append(0, np.cumsum(length[numbers]))[edges]
+            low = 0
+            while low < len(learned):
+                high = min(int(np.searchsorted(ends[1:], ends[low] + CHUNK_IDS)) + 1, len(learned))
+                some, sizes = numbers[edges[low] : edges[high]], np.diff(edges[low : high + 1])
+                flat = ids[ranges(begins[some], length[some])]
+                sequences = [np.concatenate([edge, x, edge]) if t else None for x, t in zip(np.split(flat, ends[low + 1 : high] - ends[low]), learned[low:high].tolist())]
+                if any(learned[low:high]):
+                    _add_neighbours([x for x in sequences if x is not None], code, total, seen)
+                yield from _rows(
+                    doc_id=doc[low:high],
+                    train=train[low:high],
+                    block=np.full(len(sizes), block),
+                    numbers=[x.tobytes() for x in np.split(some, np.cumsum(sizes)[:-1])],
+                    first=first[low:high],
+                    sequence=[None if x is None else x.astype(kind).tobytes() for x in sequences],
+                )
+                low = high
+
         for batch in batches:
-            ids, length = subwords(batch.column(0))
-            total += np.bincount(ids, np.repeat(batch.column(1).to_numpy(), length), subwords.size)
-        seen = np.flatnonzero(total)
-        yield pa.record_batch({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.float64())})
+            sums = size + np.cumsum(pc.binary_length(batch["text"]).to_numpy())
+            at = 0
+            while at < len(batch):
+                stop = int(np.searchsorted(sums, block_bytes)) + 1
+                held.append(batch.slice(at, stop - at))
+                if stop <= len(batch):
+                    yield from rows()
+                    block, sums = block + 1, sums - sums[stop - 1]
+                size, at = int(sums[-1]), stop
+        if held:
+            yield from rows()
+        some = np.flatnonzero(seen)
+        yield from _rows(id=some, n=seen[some], sums=[x.tobytes() for x in total.T[some].astype(np.float32)])
 
     return run
 
@@ -414,38 +440,12 @@ def _slices(texts: pa.Array, most_bytes: int) -> Iterator[slice]:
         at = stop
 
 
-#: Ids holds a text's sequence; id, n and sums, of further rows, what stands around an id in a task's texts.
-ENCODED = "first boolean, ids binary, id long, n long, sums binary"
 SUMS = "id long, n long, sums binary"
 
 
 def _sums(total: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     ids = np.flatnonzero(count)
-    return pa.record_batch({"id": pa.array(ids, pa.int64()), "n": pa.array(count[ids], pa.int64()), "sums": pa.array([x.tobytes() for x in total.T[ids].astype(np.float32)], pa.binary())})
-
-
-def _id_type(size: int) -> type:
-    return np.uint16 if size <= 1 << 16 else np.uint32
-
-
-def _encode(tokens, pattern: str):
-    """The sequences of whole texts, and what stands around each of their ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = _subwords(tokens, pattern)
-        code = np.random.default_rng(1).normal(size=(subwords.size, CODE)).astype(np.float32)
-        total, count = np.zeros((3 * CODE, subwords.size)), np.zeros(subwords.size, np.int64)
-        for batch in batches:
-            for some in _slices(batch.column(0), CHUNK_BYTES):
-                sequences = subwords.sequences(coded(batch.column(0)[some]))
-                _add_neighbours(sequences, code, total, count)
-                ids = pa.array([x.astype(_id_type(subwords.size)).tobytes() for x in sequences], pa.binary())
-                empty = [pa.nulls(len(ids), x) for x in (pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[some], ids, *empty], names=["first", "ids", "id", "n", "sums"])
-        sums = _sums(total, count)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(sums), pa.bool_()), pa.nulls(len(sums), pa.binary()), *sums.columns], names=["first", "ids", "id", "n", "sums"])
-
-    return run
+    return pa.record_batch({"id": pa.array(ids, pa.int64()), "n": pa.array(count[ids], pa.int64()), "sums": pa.array([x.tobytes() for x in total[ids].astype(np.float32)], pa.binary())})
 
 
 def _add_sums(size: int):
@@ -455,7 +455,7 @@ def _add_sums(size: int):
             ids = batch.column(0).to_numpy()
             np.add.at(count, ids, batch.column(1).to_numpy())
             np.add.at(total, ids, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, 3 * CODE))
-        yield _sums(total.T, count)
+        yield _sums(total, count)
 
     return run
 
@@ -490,26 +490,22 @@ def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"n": pa.array([n], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
-def learn_model(train: DataFrame, words: DataFrame, n_ends: int, tokens, pattern: str, subwords: Subwords) -> Model:
-    """The attention model of the whole texts of train (text, first) and of all training words (word, c)."""
-    spark = train.sparkSession
-    encoded = staged(train.select("text", "first").mapInArrow(_encode(tokens, pattern), ENCODED), "encoded")
-    found = encoded.filter("id IS NOT NULL").select("id", "n", "sums")
+def learn_model(texts: DataFrame, n_ends: int, subwords: Subwords) -> Model:
+    """The attention model of the sequences of all training texts, and of the sums of what stands around their ids."""
+    spark = texts.sparkSession
+    found = texts.filter("sums IS NOT NULL").select("id", "n", "sums")
     found = found.repartition("id").mapInArrow(_add_sums(subwords.size), SUMS).toArrow()  # of the vocabulary's size
-    total, seen, count = np.zeros((subwords.size, 3 * CODE), np.float32), np.zeros(subwords.size), np.zeros(subwords.size)
+    total, count = np.zeros((subwords.size, 3 * CODE), np.float32), np.zeros(subwords.size)
     ids = found["id"].to_numpy()
-    seen[ids] = found["n"].to_numpy()
+    count[ids] = found["n"].to_numpy()
     total[ids] = np.frombuffer(b"".join(found["sums"].to_pylist()), np.float32).reshape(-1, 3 * CODE)
-    counted = words.mapInArrow(_id_counts(tokens, pattern), "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # of that size too
-    count[counted["id"].to_numpy()] = counted["n"].to_numpy()
-    count[subwords.end] = n_ends
-    model = new_model(total, seen, subwords)
-    model.share = shares(count, model.class_of, subwords.end)
+    model = new_model(total, count, subwords)
+    once = np.where(np.arange(subwords.size) == subwords.end, n_ends, count)  # the end id stands on both sides of a sequence
+    model.share = shares(once, model.class_of, subwords.end)
     for rate, rows in ((RATE, F.col("first")), (RATE / 2, ~F.col("first"))):
-        learned = encoded.filter("ids IS NOT NULL").filter(rows).select("ids").mapInArrow(_learn(spark.sparkContext.broadcast(model), rate), "n long, weights binary")
+        learned = texts.filter("sequence IS NOT NULL").filter(rows).select("sequence").mapInArrow(_learn(spark.sparkContext.broadcast(model), rate), "n long, weights binary")
         for r in learned.repartition(1).mapInArrow(_add_weights, "n long, weights binary").collect():  # one row
             model.weights = shaped((np.frombuffer(bytes(r["weights"])) / r["n"]).astype(np.float32), model.weights)
-    unstage(encoded)
     return model
 
 
@@ -551,16 +547,16 @@ def _score(model_sent, tokens, pattern: str, n_total: int, n_distinct: int, n_en
     def run(texts: pa.Table, elsewhere: pa.Table) -> pa.Table:
         subwords, model = _subwords(tokens, pattern), model_sent.value
         inner = model.inner()
+        distinct = texts.filter(pc.is_valid(texts["lengths"])).select(["ids", "lengths", "counts"]).to_pylist()[0]
+        ids, length = np.frombuffer(distinct["ids"], _id_type(subwords.size)).astype(np.int64), np.frombuffer(distinct["lengths"], np.int32).astype(np.int64)
+        count = np.frombuffer(distinct["counts"], np.int64).astype(np.float64)
+        count[elsewhere["number"].to_numpy()] = elsewhere["c"].to_numpy()  # words that other blocks have too
+        texts = texts.filter(pc.is_valid(texts["numbers"]))
         doc, train = texts["doc_id"].combine_chunks(), texts["train"].to_numpy()
-        block = coded(texts["text"].combine_chunks())
-        n_words = np.diff(block.edges)
-        # each distinct word of the block is split into ids once; words that no other block has are counted here
-        ids, length = subwords(block.words)
+        numbers = texts["numbers"].to_pylist()
+        n_words = np.array([len(x) // 4 for x in numbers])
+        numbers, edges = np.frombuffer(b"".join(numbers), np.int32), np.append(0, np.cumsum(n_words))
         first = np.cumsum(length) - length
-        count = np.bincount(block.numbers[np.repeat(train, n_words)], minlength=len(block.words)).astype(np.float64)
-        at = pc.index_in(block.words, elsewhere["word"].combine_chunks().cast(pa.large_string())).fill_null(-1).to_numpy()
-        if elsewhere.num_rows:
-            count = np.where(at >= 0, elsewhere["c"].to_numpy()[at], count)
         scale = np.log(n_total + n_distinct + 1.0)
         gains = np.zeros(len(MIXES))
         edge, made = np.array([subwords.end]), []
@@ -568,7 +564,7 @@ def _score(model_sent, tokens, pattern: str, n_total: int, n_distinct: int, n_en
         low = 0
         while low < len(n_words):
             high = int(np.searchsorted(held, (held[low - 1] if low else 0) + SLICE_WORDS)) + 1
-            own, sizes = block.numbers[block.edges[low] : block.edges[min(high, len(n_words))]], n_words[low:high]
+            own, sizes = numbers[edges[low] : edges[min(high, len(n_words))]], n_words[low:high]
             ends = np.cumsum(sizes + 1) - 1  # where each text's end stands among its words
             word = np.ones(len(own) + len(sizes), bool)
             word[ends] = False
@@ -609,21 +605,22 @@ def lm_scores(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int =
     tokens = read_ranks(ranks_path)
     subwords, sent = Subwords(tokens, pattern), spark.sparkContext.broadcast(tokens)  # of the vocabulary's size
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held_out(F.col(id_col))).alias("train"))
-    dealt = staged(slim.mapInArrow(_deal(block_bytes), "doc_id long, text string, train boolean, block long"), "blocks")
-    # written, so that the join reads both sides by exchanges of its own, whose hot words Spark can split
-    runs = staged(dealt.select("text", "train", "block").mapInArrow(_count, "word string, block long, n long"), "runs")
+    slim = slim.withColumn("first", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUND_SHARE)) == 0)
+    # written, so that each text is read once and the join reads both sides by exchanges of its own, whose hot words Spark can split
+    texts = staged(slim.mapInArrow(_code(sent, pattern, block_bytes), CODED), "coded")
+    runs = texts.filter("word IS NOT NULL").select("word", "block", "number", "n")
     words = staged(runs.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    elsewhere = runs.join(words, "word").filter("c > n").select("block", "word", "c")
+    elsewhere = runs.join(words, "word").filter("c > n").select(F.col("block").alias("home"), "number", "c")
     totals = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_ends = dealt.filter("train").count()
+    n_ends = texts.filter("sequence IS NOT NULL").count()
     n_total, n_distinct = totals["n"] + n_ends, totals["v"] + (n_ends > 0)
-    train = dealt.filter("train").withColumn("first", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUND_SHARE)) == 0)
-    model = learn_model(train, words.filter("c > 0"), n_ends, sent, pattern, subwords)
+    model = learn_model(texts, n_ends, subwords)
     score = _score(spark.sparkContext.broadcast(model), sent, pattern, n_total, n_distinct, n_ends)
     # a few partitions for each block, as several blocks that meet in one make a long task
-    n_parts = max(shuffle_partitions(spark), min(MOST_PARTITIONS, 4 * dealt.select("block").distinct().count()))
-    texts, elsewhere = dealt.repartition(n_parts, "block"), elsewhere.repartition(n_parts, "block")
-    summed = staged(texts.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(score, SUMMED), "summed")
+    n_parts = max(shuffle_partitions(spark), min(MOST_PARTITIONS, 4 * texts.filter("lengths IS NOT NULL").count()))
+    needed = texts.filter("numbers IS NOT NULL OR lengths IS NOT NULL").select("doc_id", "train", "block", "numbers", "ids", "lengths", "counts")
+    needed, elsewhere = needed.repartition(n_parts, "block"), elsewhere.repartition(n_parts, "home")
+    summed = staged(needed.groupBy("block").cogroup(elsewhere.groupBy("home")).applyInArrow(score, SUMMED), "summed")
     gains = summed.filter("gains IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("gains")[i]), F.lit(0.0)) for i in range(len(MIXES)))).first()
     best = max(range(len(MIXES)), key=lambda i: (gains[i], -abs(MIXES[i] - 0.5)))
     return summed.filter("gains IS NULL").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_total).cast("long").alias("train_tokens"), "base_score", F.col("mixed")[best].alias("score"))
