@@ -7,8 +7,8 @@ probability mixes the product over its subword ids with its smoothed frequency i
 
 All of it is gathered in Spark. Each text is split into words once: documents are dealt into blocks of bounded bytes, whose
 texts are written as numbers of the block's distinct words, with these words, their counts and subword ids. A shuffle by word
-adds the counts up over the corpus, and a join brings back to each block the totals of those of its words that other blocks
-have too; a block knows the others' counts itself. The totals give N and V.
+adds the counts up over the corpus, and one by block brings back the totals of those of its words that other blocks have too;
+a block knows the others' counts itself. The totals give N and V.
 The attention model learns from every training document, whole: their ids are written too, and what stands around each id is
 summed, which gives its count, vector and class; two passes of Adam over these ids, on shares of the documents that make up
 the whole, start every task from the same weights and average what the tasks end with. What comes to the driver has the
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import read_ranks
@@ -144,21 +144,26 @@ class Model:
         """Query, key, value and direct part of every id."""
         return self.vectors @ self.weights["W"]
 
-    def forward(self, inputs: np.ndarray, inner: np.ndarray) -> dict[str, np.ndarray]:
-        """inputs: rows of ids, inner: their parts; gives log-probabilities of the classes after each position of rows 1
-        and on."""
-        w, n = self.weights, len(inputs) - 1
+    def hidden(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of rows of ids that hold padding, and what hides it."""
+        blank = inputs == self.pad
+        full, some = blank.all(1), blank.any(1)
+        some = np.flatnonzero(some[:-1] | some[1:])
+        found = np.concatenate([blank[some], blank[some + 1] & ~full[some + 1, None]], 1)
+        return some, np.where(found, np.float32(-1e9), np.float32(0))[:, None, :]
+
+    def forward(self, inner: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], low: int) -> dict[str, np.ndarray]:
+        """inner: parts of rows of ids, of which the first window is window low of hidden; gives the classes' logits, and
+        the sum of their exponentials, after each position of rows 1 and on."""
+        w, n = self.weights, len(inner) // HALF - 1
         made = inner.reshape(n + 1, HALF, 4 * DIM)
         pairs = made[..., DIM : 3 * DIM]
         both = np.concatenate([pairs[:-1], pairs[1:]], 1)
         q, keys, values = made[1:, :, :DIM], both[..., :DIM], both[..., DIM:]
         scores = q @ np.ascontiguousarray(keys.transpose(0, 2, 1))
         scores += w["bias"][AGE] + FUTURE
-        blank = inputs == self.pad
-        full, some = blank.all(1), blank.any(1)
-        some = np.flatnonzero(some[:-1] | some[1:])
-        hidden = np.concatenate([blank[some], blank[some + 1] & ~full[some + 1, None]], 1)
-        scores[some] += np.where(hidden, np.float32(-1e9), np.float32(0))[:, None, :]
+        begin, end = np.searchsorted(hidden[0], (low, low + n))
+        scores[hidden[0][begin:end] - low] += hidden[1][begin:end]
         np.minimum(scores, np.float32(60), out=scores)
         a = np.exp(scores, out=scores)
         total = (a.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, np.float32)).reshape(n, HALF, 1) + np.float32(1e-20)
@@ -176,11 +181,11 @@ class Model:
     def log_probabilities(self, sequences: list[np.ndarray], inner: np.ndarray) -> np.ndarray:
         """Natural log-probability of every id after the first of each sequence, one after the other."""
         inputs, targets, scored = windows(sequences, self.pad)
-        out = []
+        hidden, out = self.hidden(inputs), []
         for at in range(1, len(inputs), WINDOWS):
             goal = targets[at : at + WINDOWS]
             rows = inputs[at - 1 : at + WINDOWS]
-            found = self.forward(rows, inner.take(rows.ravel(), 0))
+            found = self.forward(inner.take(rows.ravel(), 0), hidden, at - 1)
             logs = found["logits"][np.arange(goal.size), self.class_of[goal].ravel()] - np.log(found["total"]) + self.share[goal].ravel()
             real = scored[at : at + WINDOWS].repeat(HALF) & (goal.ravel() != self.pad)
             out.append(logs[real])
@@ -217,16 +222,16 @@ class Trainer:
     def learn(self, sequences: list[np.ndarray], rng: np.random.Generator) -> None:
         """One step for each batch of the sequences' windows, in random order."""
         inputs, targets, scored = windows(sequences, self.model.pad)
-        goal, real = self.model.class_of[targets], (scored[:, None] & (targets != self.model.pad)).astype(np.float32)
+        hidden, goal, real = self.model.hidden(inputs), self.model.class_of[targets], (scored[:, None] & (targets != self.model.pad)).astype(np.float32)
         for at in rng.permutation(np.arange(1, len(inputs), BATCH)):
-            self._step(inputs[at - 1 : at + BATCH], goal[at : at + BATCH].ravel(), real[at : at + BATCH].ravel())
+            self._step(inputs[at - 1 : at + BATCH], hidden, at - 1, goal[at : at + BATCH].ravel(), real[at : at + BATCH].ravel())
 
-    def _step(self, rows: np.ndarray, goal: np.ndarray, real: np.ndarray) -> None:
-        """rows: ids; goal, real: class of each target of rows 1 and on, and whether it counts."""
+    def _step(self, rows: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], low: int, goal: np.ndarray, real: np.ndarray) -> None:
+        """rows: ids; hidden, low: as in forward; goal, real: class of each target of rows 1 and on, and whether it counts."""
         model, w = self.model, self.model.weights
         self.steps += 1
         x = model.vectors.take(rows.ravel(), 0)
-        f = model.forward(rows, x @ w["W"])
+        f = model.forward(x @ w["W"], hidden, low)
         real = real / max(1, real.sum())
         d = f["mass"]
         d *= (real / f["total"])[:, None]
@@ -248,7 +253,7 @@ class Trainer:
         made[1:, :, 3 * DIM :] = dh[..., DIM:]
         made[:-1, :, DIM : 3 * DIM] += both[:, :HALF]
         last = h.reshape(-1, 2 * DIM + 1).T @ d
-        slope = np.concatenate([(x.T @ made.reshape(-1, 4 * DIM)).ravel(), np.bincount(AGE.ravel(), ds.sum(0).ravel(), 2 * HALF), last.ravel()], dtype=np.float32)
+        slope = np.concatenate([(x.T @ made.reshape(-1, 4 * DIM)).ravel(), np.bincount(AGE.ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1), 2 * HALF), last.ravel()], dtype=np.float32)
         self.mean *= np.float32(0.9)
         self.mean += np.float32(0.1) * slope
         self.square *= np.float32(0.99)
@@ -606,12 +611,13 @@ def lm_scores(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int =
     subwords, sent = Subwords(tokens, pattern), spark.sparkContext.broadcast(tokens)  # of the vocabulary's size
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held_out(F.col(id_col))).alias("train"))
     slim = slim.withColumn("first", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUND_SHARE)) == 0)
-    # written, so that each text is read once and the join reads both sides by exchanges of its own, whose hot words Spark can split
-    texts = staged(slim.mapInArrow(_code(sent, pattern, block_bytes), CODED), "coded")
-    runs = texts.filter("word IS NOT NULL").select("word", "block", "number", "n")
-    words = staged(runs.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    elsewhere = runs.join(words, "word").filter("c > n").select(F.col("block").alias("home"), "number", "c")
-    totals = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    texts = staged(slim.mapInArrow(_code(sent, pattern, block_bytes), CODED), "coded")  # so each text is read once
+    # a word has a row for each block that holds it
+    same = Window.partitionBy("word")
+    found = texts.filter("word IS NOT NULL").select(F.col("block").alias("home"), "number", "n", F.sum("n").over(same).alias("c"), F.min("block").over(same).alias("lead"))
+    words = staged(found.select("home", "number", "c", (F.col("c") > F.col("n")).alias("elsewhere"), (F.col("home") == F.col("lead")).alias("lead")), "words")
+    elsewhere = words.filter("elsewhere").select("home", "number", "c")
+    totals = words.filter("lead AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_ends = texts.filter("sequence IS NOT NULL").count()
     n_total, n_distinct = totals["n"] + n_ends, totals["v"] + (n_ends > 0)
     model = learn_model(texts, n_ends, subwords)
