@@ -6,9 +6,10 @@ windows: a window holds 2 * HALF positions and scores its second half, so every
 probability mixes the product over its subword ids with its smoothed frequency in all training documents.
 
 All of it is gathered in Spark. Each text is split into words once: documents are dealt into blocks of bounded bytes, whose
-texts are written as numbers of the block's distinct words, with these words, their counts and subword ids. A shuffle by word
-adds the counts up over the corpus, and one by block brings back the totals of those of its words that other blocks have too;
-a block knows the others' counts itself. The totals give N and V.
+texts are written as numbers of the block's distinct words, with these words, their counts and subword ids. A block's words
+go into BUCKETS by a hash of their bytes, a row for each bucket. A shuffle by bucket adds the counts up over the corpus, and one
+by block brings back the totals of those of its words that other blocks have too; a block knows the others' counts itself. The
+totals give N and V.
 The attention model learns from every training document, whole: their ids are written too, and what stands around each id is
 summed, which gives its count, vector and class; two passes of Adam over these ids, on shares of the documents that make up
 the whole, start every task from the same weights and average what the tasks end with. What comes to the driver has the
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import read_ranks
@@ -36,6 +37,9 @@ BLOCK_BYTES = 32 << 20
 HALF, DIM, CLASSES, VECTOR = 8, 8, 64, 24
 #: Steps of a task at least (it repeats its last chunk if it has fewer batches), windows of a step, rate.
 STEPS, BATCH, RATE = 500, 128, 0.01
+#: What distinct words are dealt into, by their bytes, to add their counts up; a power of two. 30 GB have a million words of
+#: blocks in each.
+BUCKETS = 1024
 #: Distinct words that are encoded together.
 TOGETHER = 4096
 #: Ids that are made or learned from at a time, up to one text more.
@@ -81,6 +85,19 @@ def coded(texts: pa.Array) -> Coded:
     return Coded(found.dictionary, numbers, edges)
 
 
+def buckets(words: pa.LargeStringArray) -> np.ndarray:
+    """The bucket of each word, none empty: by its length, its first, middle and last four bytes."""
+    _, edges, data = words.buffers()
+    edges = np.frombuffer(edges, np.int64)[words.offset : words.offset + len(words) + 1]
+    data, begin, end = np.frombuffer(data, np.uint8), edges[:-1], edges[1:]
+    key = (end - begin).astype(np.uint64)
+    for at in (begin, (begin + end) >> 1, *(np.maximum(end - k, begin) for k in (1, 2, 3, 4))):
+        key *= np.uint64(1099511628211)
+        key ^= data.take(at)
+    key *= np.uint64(0x9E3779B97F4A7C15)
+    return (key >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+
+
 def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers of [begin, begin + length) of each pair, one after the other."""
     end = np.cumsum(length)
@@ -118,16 +135,26 @@ def windows(sequences: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarr
     """(rows of HALF inputs, rows of HALF targets, which rows are scored): row r attends to rows r - 1 and r.
 
     A sequence is its ids with the end id on both sides; a row of padding stands before each one."""
-    inputs, targets, scored = [], [], []
-    for s in sequences:
-        n = len(s) - 1
-        rows = -(-n // HALF)
-        block = np.full((2, (rows + 1) * HALF), pad)
-        block[0, HALF : HALF + n], block[1, HALF : HALF + n] = s[:-1], s[1:]
-        inputs.append(block[0])
-        targets.append(block[1])
-        scored.append(np.append(False, np.ones(rows, bool)))
-    return np.concatenate(inputs).reshape(-1, HALF), np.concatenate(targets).reshape(-1, HALF), np.concatenate(scored)
+    length = np.array([len(s) - 1 for s in sequences])
+    rows = 1 + -(-length // HALF)
+    begin = np.cumsum(rows) - rows
+    inputs, targets = np.full((2, rows.sum() * HALF), pad, sequences[0].dtype)
+    for s, at, n in zip(sequences, ((begin + 1) * HALF).tolist(), length.tolist(), strict=True):
+        inputs[at : at + n], targets[at : at + n] = s[:-1], s[1:]
+    scored = np.ones(rows.sum(), bool)
+    scored[begin] = False
+    return inputs.reshape(-1, HALF), targets.reshape(-1, HALF), scored
+
+
+def paired(rows: np.ndarray) -> np.ndarray:
+    """(windows, 2 * HALF, columns): each two neighbours of what is given by rows of HALF positions, in place."""
+    step, column = rows.strides
+    return np.ndarray((len(rows) // HALF - 1, 2 * HALF, rows.shape[1]), rows.dtype, rows, strides=(HALF * step, step, column))
+
+
+def stacked(rows: np.ndarray) -> np.ndarray:
+    """Rows of positions as HALF pieces: products of a million multiplications and more take longer a row than smaller ones."""
+    return rows.reshape(HALF, -1, rows.shape[1])
 
 
 @dataclass
@@ -144,51 +171,54 @@ class Model:
         """Query, key, value and direct part of every id."""
         return self.vectors @ self.weights["W"]
 
-    def hidden(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows of rows of ids that hold padding, and what hides it."""
+    def hidden(self, inputs: np.ndarray, starts: range) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The windows of rows of ids that hold padding, counted from each start, and what hides it."""
         blank = inputs == self.pad
         full, some = blank.all(1), blank.any(1)
         some = np.flatnonzero(some[:-1] | some[1:])
         found = np.concatenate([blank[some], blank[some + 1] & ~full[some + 1, None]], 1)
-        return some, np.where(found, np.float32(-1e9), np.float32(0))[:, None, :]
-
-    def forward(self, inner: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], low: int) -> dict[str, np.ndarray]:
-        """inner: parts of rows of ids, of which the first window is window low of hidden; gives the classes' logits, and
-        the sum of their exponentials, after each position of rows 1 and on."""
+        found = np.where(found, np.float32(-1e9), np.float32(0))[:, None, :]
+        edges = np.searchsorted(some, np.append(starts, len(inputs)) - 1)
+        return [(some[b:e] - at + 1, found[b:e]) for at, b, e in zip(starts, edges[:-1], edges[1:], strict=True)]
+
+    def forward(self, inner: np.ndarray, keys: np.ndarray, hidden: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """inner: parts of rows of ids; keys: the windows' keys, a column for each; hidden: windows with padding, and what
+        hides it; gives the attention, what the classes are read from, and their logits less c, after each position of rows
+        1 and on."""
         w, n = self.weights, len(inner) // HALF - 1
-        made = inner.reshape(n + 1, HALF, 4 * DIM)
-        pairs = made[..., DIM : 3 * DIM]
-        both = np.concatenate([pairs[:-1], pairs[1:]], 1)
-        q, keys, values = made[1:, :, :DIM], both[..., :DIM], both[..., DIM:]
-        scores = q @ np.ascontiguousarray(keys.transpose(0, 2, 1))
-        scores += w["bias"][AGE] + FUTURE
-        begin, end = np.searchsorted(hidden[0], (low, low + n))
-        scores[hidden[0][begin:end] - low] += hidden[1][begin:end]
-        np.minimum(scores, np.float32(60), out=scores)
-        a = np.exp(scores, out=scores)
-        total = (a.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, np.float32)).reshape(n, HALF, 1) + np.float32(1e-20)
-        a /= total
-        h = np.empty((n, HALF, 2 * DIM + 1), np.float32)  # its last column takes c
-        seen = a @ values
-        np.tanh(seen, out=h[..., :DIM])
-        np.tanh(made[1:, :, 3 * DIM :], out=h[..., DIM:-1])
-        h[..., -1] = 1
-        logits = h.reshape(-1, 2 * DIM + 1) @ np.concatenate([w["O"], w["c"][None]])
+        made = inner.reshape(n + 1, HALF, 4 * DIM)[1:]
+        a = made[..., :DIM] @ keys
+        a += w["bias"][AGE] + FUTURE
+        if len(hidden[0]):
+            a[hidden[0]] += hidden[1]
+        if a.max(initial=0) > 60:
+            np.minimum(a, np.float32(60), out=a)
+        np.exp(a, out=a)
+        total = a.reshape(-1, 2 * HALF) @ SPREAD
+        total += np.float32(1e-20)
+        a /= total.reshape(a.shape)
+        h = np.empty((n, HALF, 2 * DIM), np.float32)
+        np.matmul(a, paired(inner)[..., 2 * DIM : 3 * DIM], out=h[..., :DIM])
+        h[..., DIM:] = made[..., 3 * DIM :]
+        np.tanh(h, out=h)
         # |h| < 1, so logits are bounded by the weights
-        mass = np.exp(logits)
-        return {"q": q, "keys": keys, "values": values, "a": a, "seen": seen, "h": h, "logits": logits, "mass": mass, "total": mass @ np.ones(CLASSES, np.float32)}
+        return a, h, (stacked(h.reshape(-1, 2 * DIM)) @ w["O"]).reshape(-1, CLASSES)
 
     def log_probabilities(self, sequences: list[np.ndarray], inner: np.ndarray) -> np.ndarray:
         """Natural log-probability of every id after the first of each sequence, one after the other."""
-        inputs, targets, scored = windows(sequences, self.pad)
-        hidden, out = self.hidden(inputs), []
-        for at in range(1, len(inputs), WINDOWS):
-            goal = targets[at : at + WINDOWS]
-            rows = inputs[at - 1 : at + WINDOWS]
-            found = self.forward(inner.take(rows.ravel(), 0), hidden, at - 1)
-            logs = found["logits"][np.arange(goal.size), self.class_of[goal].ravel()] - np.log(found["total"]) + self.share[goal].ravel()
-            real = scored[at : at + WINDOWS].repeat(HALF) & (goal.ravel() != self.pad)
-            out.append(logs[real])
+        inputs, targets, _ = windows(sequences, self.pad)
+        starts = range(1, len(inputs), WINDOWS)
+        hidden, out = self.hidden(inputs, starts), []
+        times, share = np.exp(self.weights["c"]), self.share + self.weights["c"][self.class_of]
+        for k, at in enumerate(starts):
+            goal = targets[at : at + WINDOWS].ravel()
+            found = inner.take(inputs[at - 1 : at + WINDOWS].ravel(), 0)
+            keys = np.ascontiguousarray(paired(found)[..., DIM : 2 * DIM].transpose(0, 2, 1))
+            _, _, logits = self.forward(found, keys, hidden[k])
+            logs = logits.ravel().take(np.arange(0, logits.size, CLASSES) + self.class_of.take(goal))
+            logs += share.take(goal)
+            logs -= np.log(np.exp(logits, out=logits) @ times)
+            out.append(logs[goal != self.pad])
         return np.concatenate(out).astype(np.float64)
 
 
@@ -196,6 +226,8 @@ class Model:
 AGE = np.maximum(HALF + np.arange(HALF)[:, None] - np.arange(2 * HALF)[None, :], 0)
 FUTURE = np.where(HALF + np.arange(HALF)[:, None] < np.arange(2 * HALF)[None, :], np.float32(-1e9), np.float32(0))
 
+#: Gives a row's sum in each of its columns.
+SPREAD = np.ones((2 * HALF, 2 * HALF), np.float32)
 
 WEIGHTS = ("W", "bias", "O", "c")
 
@@ -222,44 +254,67 @@ class Trainer:
     def learn(self, sequences: list[np.ndarray], rng: np.random.Generator) -> None:
         """One step for each batch of the sequences' windows, in random order."""
         inputs, targets, scored = windows(sequences, self.model.pad)
-        hidden, goal, real = self.model.hidden(inputs), self.model.class_of[targets], (scored[:, None] & (targets != self.model.pad)).astype(np.float32)
-        for at in rng.permutation(np.arange(1, len(inputs), BATCH)):
-            self._step(inputs[at - 1 : at + BATCH], hidden, at - 1, goal[at : at + BATCH].ravel(), real[at : at + BATCH].ravel())
-
-    def _step(self, rows: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], low: int, goal: np.ndarray, real: np.ndarray) -> None:
-        """rows: ids; hidden, low: as in forward; goal, real: class of each target of rows 1 and on, and whether it counts."""
-        model, w = self.model, self.model.weights
+        starts = range(1, len(inputs), BATCH)
+        hidden, real = self.model.hidden(inputs, starts), (scored[:, None] & (targets != self.model.pad)).astype(np.float32)
+        for k in rng.permutation(len(starts)):
+            at = starts[k]
+            goal = self.model.class_of.take(targets[at : at + BATCH].ravel())
+            self._step(inputs[at - 1 : at + BATCH], hidden[k], goal, real[at : at + BATCH].ravel())
+
+    def _step(self, rows: np.ndarray, hidden: tuple[np.ndarray, np.ndarray], goal: np.ndarray, real: np.ndarray) -> None:
+        """rows: ids; hidden: as in forward; goal, real: class of each target of rows 1 and on, and whether it counts."""
+        model, w, n = self.model, self.model.weights, len(rows) - 1
         self.steps += 1
         x = model.vectors.take(rows.ravel(), 0)
-        f = model.forward(x @ w["W"], hidden, low)
-        real = real / max(1, real.sum())
-        d = f["mass"]
-        d *= (real / f["total"])[:, None]
-        d[np.arange(len(d)), goal] -= real
-        h, n, a = f["h"], len(rows) - 1, f["a"]
-        dh = (d @ w["O"].T).reshape(n, HALF, 2 * DIM)
-        dh *= 1 - h[..., :-1] ** 2
+        inner = x @ w["W"]
+        across = paired((w["W"][:, DIM : 3 * DIM].T @ x.T).T).transpose(0, 2, 1)
+        a, h, d = model.forward(inner, across[:, :DIM], hidden)
+        h = h.reshape(-1, 2 * DIM)
+        # each row of the logits' slope is d times scale, each column times that class's times
+        np.exp(d, out=d)
+        times = np.exp(w["c"])
+        total = d @ times
+        scale = real / (max(1, real.sum()) * total)
+        total /= times.take(goal)
+        d.reshape(-1)[np.arange(0, d.size, CLASSES) + goal] -= total
+        wide = scale.repeat(2 * DIM).reshape(-1, 2 * DIM)
+        dh = (stacked(d) @ np.ascontiguousarray((w["O"] * times).T)).reshape(-1, 2 * DIM)
+        dh *= wide
+        wide *= h
+        last = np.concatenate([(stacked(wide).transpose(0, 2, 1) @ stacked(d)).sum(0), (scale @ d)[None]])
+        last *= times
+        h *= h
+        dh *= np.subtract(np.float32(1), h, out=h)
+        dh = dh.reshape(n, HALF, 2 * DIM)
         da_v = dh[..., :DIM]
-        ds = da_v @ np.ascontiguousarray(f["values"].transpose(0, 2, 1))
-        ds -= np.einsum("ijk,ijk->ij", da_v, f["seen"])[..., None]
+        ds = da_v @ across[:, DIM:]
         ds *= a
-        both = np.empty((n, 2 * HALF, 2 * DIM), np.float32)
-        np.matmul(ds.transpose(0, 2, 1), f["q"], out=both[..., :DIM])
-        np.matmul(a.transpose(0, 2, 1), da_v, out=both[..., DIM:])
+        less = (ds.reshape(-1, 2 * HALF) @ SPREAD).reshape(a.shape)
+        less *= a
+        ds -= less
         made = np.empty((n + 1, HALF, 4 * DIM), np.float32)
-        made[0] = 0
-        np.matmul(ds, f["keys"], out=made[1:, :, :DIM])
-        made[1:, :, DIM : 3 * DIM] = both[:, HALF:]
+        made[0, :, :DIM] = made[0, :, 3 * DIM :] = 0
+        np.matmul(ds, paired(inner)[..., DIM : 2 * DIM], out=made[1:, :, :DIM])
         made[1:, :, 3 * DIM :] = dh[..., DIM:]
-        made[:-1, :, DIM : 3 * DIM] += both[:, :HALF]
-        last = h.reshape(-1, 2 * DIM + 1).T @ d
+        # a row is met as the second half of a window and as the first half of the next
+        for at, both in ((DIM, ds.transpose(0, 2, 1) @ inner.reshape(n + 1, HALF, -1)[1:, :, :DIM]), (2 * DIM, a.transpose(0, 2, 1) @ da_v)):
+            both[:-1, HALF:] += both[1:, :HALF]
+            made[0, :, at : at + DIM] = both[0, :HALF]
+            made[1:, :, at : at + DIM] = both[:, HALF:]
         slope = np.concatenate([(x.T @ made.reshape(-1, 4 * DIM)).ravel(), np.bincount(AGE.ravel(), np.ones(n, np.float32) @ ds.reshape(n, -1), 2 * HALF), last.ravel()], dtype=np.float32)
         self.mean *= np.float32(0.9)
         self.mean += np.float32(0.1) * slope
         self.square *= np.float32(0.99)
-        self.square += np.float32(0.01) * slope**2
+        slope *= slope
+        slope *= np.float32(0.01)
+        self.square += slope
         rate = self.rate / np.sqrt(1 + self.steps / STEPS) / (1 - 0.9**self.steps)
-        self.flat -= np.float32(rate) * self.mean / (np.sqrt(self.square / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+        root = self.square * np.float32(1 / (1 - 0.99**self.steps))
+        np.sqrt(root, out=root)
+        root += np.float32(1e-8)
+        np.divide(self.mean, root, out=root)
+        root *= np.float32(rate)
+        self.flat -= root
 
 
 def _add_neighbours(sequences: list[np.ndarray], code: np.ndarray, total: np.ndarray, count: np.ndarray) -> None:
@@ -301,8 +356,9 @@ def _around(x: np.ndarray) -> np.ndarray:
         if width & run:
             out = out + held[at : at + n]
             at += run
-        held = held[:-run] + held[run:]
         run *= 2
+        if run <= width:
+            held = held[: -(run // 2)] + held[run // 2 :]
     return out
 
 
@@ -357,10 +413,11 @@ def shares(counts: np.ndarray, class_of: np.ndarray, end: int) -> np.ndarray:
 
 
 #: Rows are of four kinds. Of a text: numbers of its words and, to learn from, its sequence of ids. Of a block: ids, lengths
-#: (ids of each word) and counts (in training texts) of its distinct words, in the order of their numbers. Of each of these
-#: words: word, number, n. Of a task: sums of what stands around an id in its training texts, its places n.
-CODED = "doc_id long, train boolean, block long, numbers binary, first boolean, sequence binary, ids binary, lengths binary, counts binary, word string, number long, n long, id long, sums binary"
-CODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("block", pa.int64()), ("numbers", pa.binary()), ("first", pa.bool_()), ("sequence", pa.binary()), ("ids", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary()), ("word", pa.string()), ("number", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("sums", pa.binary())])
+#: (ids of each word) and counts (in training texts) of its distinct words, in the order of their numbers. Of a bucket of these
+#: words: words, joined by spaces, their numbers and counts. Of a task: sums of what stands around an id in its training texts,
+#: its places n.
+CODED = "doc_id long, train boolean, block long, numbers binary, first boolean, sequence binary, ids binary, lengths binary, counts binary, bucket long, words string, n long, id long, sums binary"
+CODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("block", pa.int64()), ("numbers", pa.binary()), ("first", pa.bool_()), ("sequence", pa.binary()), ("ids", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary()), ("bucket", pa.int64()), ("words", pa.string()), ("n", pa.int64()), ("id", pa.int64()), ("sums", pa.binary())])
 
 
 def _rows(**columns) -> Iterator[pa.RecordBatch]:
@@ -372,6 +429,55 @@ def _rows(**columns) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, 100_000)
 
 
+def _bucketed(block: int, words: pa.LargeStringArray, length: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The block's rows of CODED of its words' buckets."""
+    own = np.flatnonzero(length)  # all but the empty word, which white space at a text's ends gives
+    if not len(own):
+        return
+    bucket = buckets(words.take(pa.array(own)))
+    order = np.argsort(bucket.astype(np.uint32), kind="stable")
+    own, bucket = own[order].astype(np.int32), bucket[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    listed = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)), pa.int32()), words.take(pa.array(own)).cast(pa.string()))
+    yield from _rows(
+        block=np.full(len(starts), block),
+        bucket=bucket[starts],
+        words=pc.binary_join(listed, " "),
+        numbers=[x.tobytes() for x in np.split(own, starts[1:])],
+        counts=[x.tobytes() for x in np.split(counts[own], starts[1:])],
+    )
+
+
+#: Of each block, its words (home, numbers) that other blocks have too, with their counts everywhere. Of a bucket: the sum of
+#: its words' counts n, and how many words v have any.
+TOTALS = "home long, numbers binary, counts binary, n long, v long"
+TOTALS_SCHEMA = pa.schema([("home", pa.int64()), ("numbers", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+
+
+def _totals(rows: pa.Table) -> pa.Table:
+    """Adds up the counts of one bucket's words, each of which every block has once."""
+    words = pc.ascii_split_whitespace(rows["words"].combine_chunks().cast(pa.large_string())).flatten().dictionary_encode()
+    word, numbers = words.indices.to_numpy(), rows["numbers"].to_pylist()
+    edges = np.append(0, np.cumsum([len(x) // 4 for x in numbers]))
+    number, n = np.frombuffer(b"".join(numbers), np.int32), np.frombuffer(b"".join(rows["counts"].to_pylist()), np.int64)
+    total = np.zeros(len(words.dictionary), np.int64)
+    np.add.at(total, word, n)
+    count = total[word]
+    other = np.flatnonzero(count > n)
+    cut = np.searchsorted(other, edges[1:-1])
+    number, count = number[other], count[other]
+    return pa.table(
+        [
+            pa.concat_arrays([*rows["block"].chunks, pa.nulls(1, pa.int64())]),
+            pa.array([*(x.tobytes() for x in np.split(number, cut)), None], pa.binary()),
+            pa.array([*(x.tobytes() for x in np.split(count, cut)), None], pa.binary()),
+            pa.array([None] * len(numbers) + [int(total.sum())], pa.int64()),
+            pa.array([None] * len(numbers) + [int((total > 0).sum())], pa.int64()),
+        ],
+        schema=TOTALS_SCHEMA,
+    )
+
+
 def _id_type(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
@@ -395,8 +501,7 @@ def _code(tokens, pattern: str, block_bytes: int):
             ids, length = subwords(found.words)
             counts = np.bincount(numbers[np.repeat(learned, np.diff(edges))], minlength=len(length))
             yield from _rows(block=[block], ids=[ids.astype(kind).tobytes()], lengths=[length.astype(np.int32).tobytes()], counts=[counts.tobytes()])
-            own = np.flatnonzero(length)  # all but the empty word, which white space at a text's ends gives
-            yield from _rows(block=np.full(len(own), block), word=found.words.take(pa.array(own)), number=own, n=counts[own])
+            yield from _bucketed(block, found.words, length, counts)
             begins = np.cumsum(length) - length
             ends = np.append(0, np.cumsum(length[numbers]))[edges]
             low = 0
@@ -553,18 +658,22 @@ def _score(model_sent, tokens, pattern: str, n_total: int, n_distinct: int, n_en
         subwords, model = _subwords(tokens, pattern), model_sent.value
         inner = model.inner()
         distinct = texts.filter(pc.is_valid(texts["lengths"])).select(["ids", "lengths", "counts"]).to_pylist()[0]
-        ids, length = np.frombuffer(distinct["ids"], _id_type(subwords.size)).astype(np.int64), np.frombuffer(distinct["lengths"], np.int32).astype(np.int64)
+        ids, length = np.frombuffer(distinct["ids"], _id_type(subwords.size)), np.frombuffer(distinct["lengths"], np.int32).astype(np.int64)
         count = np.frombuffer(distinct["counts"], np.int64).astype(np.float64)
-        count[elsewhere["number"].to_numpy()] = elsewhere["c"].to_numpy()  # words that other blocks have too
+        # words that other blocks have too
+        count[np.frombuffer(b"".join(elsewhere["numbers"].to_pylist()), np.int32)] = np.frombuffer(b"".join(elsewhere["counts"].to_pylist()), np.int64)
         texts = texts.filter(pc.is_valid(texts["numbers"]))
         doc, train = texts["doc_id"].combine_chunks(), texts["train"].to_numpy()
         numbers = texts["numbers"].to_pylist()
         n_words = np.array([len(x) // 4 for x in numbers])
         numbers, edges = np.frombuffer(b"".join(numbers), np.int32), np.append(0, np.cumsum(n_words))
+        # the end is one word more
+        ids, length, count = np.append(ids, ids.dtype.type(subwords.end)), np.append(length, 1), np.append(count, float(n_ends))
         first = np.cumsum(length) - length
         scale = np.log(n_total + n_distinct + 1.0)
         gains = np.zeros(len(MIXES))
-        edge, made = np.array([subwords.end]), []
+        logs = np.log(count + 1)
+        edge, made = np.array([subwords.end], ids.dtype), []
         held = np.cumsum(n_words + 1)
         low = 0
         while low < len(n_words):
@@ -573,17 +682,15 @@ def _score(model_sent, tokens, pattern: str, n_total: int, n_distinct: int, n_en
             ends = np.cumsum(sizes + 1) - 1  # where each text's end stands among its words
             word = np.ones(len(own) + len(sizes), bool)
             word[ends] = False
-            pieces = np.ones(len(word), np.int64)
-            pieces[word] = length[own]
-            flat = np.full(pieces.sum(), subwords.end)
+            all_words = np.full(len(word), len(length) - 1)
+            all_words[word] = own
+            pieces = length.take(all_words)
             begins = np.cumsum(pieces) - pieces
-            flat[ranges(begins[word], pieces[word])] = ids[ranges(first[own], length[own])]
-            cut = begins[ends] + 1
-            sequences = [np.concatenate([edge, x]) for x in np.split(flat, cut[:-1])]
+            flat = ids.take(ranges(first.take(all_words), pieces))
+            sequences = [np.concatenate([edge, x]) for x in np.split(flat, begins[ends][:-1] + 1)]
             by_ids = np.add.reduceat(model.log_probabilities(sequences, inner), begins)
-            c = np.full(len(word), float(n_ends))
-            c[word] = count[own]
-            by_words = np.log(c + 1) - scale
+            c = count.take(all_words)
+            by_words = logs.take(all_words) - scale
             starts = ends - sizes
             base, known, mixed = np.add.reduceat(by_words, starts), np.add.reduceat((c > 0).astype(np.int64), starts), _mixed(by_ids, by_words, starts)
             if train[low:high].any():  # each training text's own words and end are taken off the counts
@@ -612,19 +719,17 @@ def lm_scores(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int =
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held_out(F.col(id_col))).alias("train"))
     slim = slim.withColumn("first", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUND_SHARE)) == 0)
     texts = staged(slim.mapInArrow(_code(sent, pattern, block_bytes), CODED), "coded")  # so each text is read once
-    # a word has a row for each block that holds it
-    same = Window.partitionBy("word")
-    found = texts.filter("word IS NOT NULL").select(F.col("block").alias("home"), "number", "n", F.sum("n").over(same).alias("c"), F.min("block").over(same).alias("lead"))
-    words = staged(found.select("home", "number", "c", (F.col("c") > F.col("n")).alias("elsewhere"), (F.col("home") == F.col("lead")).alias("lead")), "words")
-    elsewhere = words.filter("elsewhere").select("home", "number", "c")
-    totals = words.filter("lead AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    words = texts.filter("bucket IS NOT NULL").select("block", "bucket", "words", "numbers", "counts")
+    words = staged(words.groupBy("bucket").applyInArrow(_totals, TOTALS), "words")
+    elsewhere = words.filter("length(numbers) > 0").select("home", "numbers", "counts")
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_ends = texts.filter("sequence IS NOT NULL").count()
     n_total, n_distinct = totals["n"] + n_ends, totals["v"] + (n_ends > 0)
     model = learn_model(texts, n_ends, subwords)
     score = _score(spark.sparkContext.broadcast(model), sent, pattern, n_total, n_distinct, n_ends)
     # a few partitions for each block, as several blocks that meet in one make a long task
     n_parts = max(shuffle_partitions(spark), min(MOST_PARTITIONS, 4 * texts.filter("lengths IS NOT NULL").count()))
-    needed = texts.filter("numbers IS NOT NULL OR lengths IS NOT NULL").select("doc_id", "train", "block", "numbers", "ids", "lengths", "counts")
+    needed = texts.filter("(numbers IS NOT NULL OR lengths IS NOT NULL) AND bucket IS NULL").select("doc_id", "train", "block", "numbers", "ids", "lengths", "counts")
     needed, elsewhere = needed.repartition(n_parts, "block"), elsewhere.repartition(n_parts, "home")
     summed = staged(needed.groupBy("block").cogroup(elsewhere.groupBy("home")).applyInArrow(score, SUMMED), "summed")
     gains = summed.filter("gains IS NOT NULL").agg(*(F.coalesce(F.sum(F.col("gains")[i]), F.lit(0.0)) for i in range(len(MIXES)))).first()

@@ -355,3 +355,68 @@ def test_model_scores_against_brute_force():
             goal = s[i + 1]
             want.append(logits[model.class_of[goal]] - np.log(np.exp(logits).sum()) + model.share[goal])
     assert got == pytest.approx(np.array(want), abs=1e-3)
+
+
+def few_model(rng):
+    class Few:
+        size, end, pad = 42, 40, 41
+        start = np.ones(42, bool)
+
+    model = lm_scoring.new_model(rng.normal(size=(42, 3 * lm_scoring.CODE)).astype(np.float32), np.ones(42), Few)
+    model.weights["bias"] = rng.normal(size=2 * lm_scoring.HALF).astype(np.float32)
+    model.weights["c"] = rng.normal(size=lm_scoring.CLASSES).astype(np.float32)
+    return model
+
+
+def test_step_follows_the_slope():
+    # one step's slope against differences of the mean loss, by scores of the same sequences
+    rng = np.random.default_rng(5)
+    model = few_model(rng)
+    sequences = [np.array([40, *rng.integers(0, 40, n), 40]) for n in (0, 9, 70, 3)]
+    trainer = lm_scoring.Trainer(model, 0.0)
+    trainer.learn(sequences, rng)
+    assert trainer.steps == 1
+    slope, flat = trainer.mean / np.float32(0.1), trainer.flat.astype(np.float64)
+
+    def loss(x):
+        model.weights = lm_scoring.shaped(x, model.weights)
+        return -model.log_probabilities(sequences, model.inner()).mean()
+
+    for _ in range(40):
+        way = rng.normal(size=len(flat)) * (rng.random(len(flat)) < 0.1)
+        want = (loss(flat + 1e-4 * way) - loss(flat - 1e-4 * way)) / 2e-4
+        assert float(slope @ way) == pytest.approx(want, rel=2e-2, abs=2e-3)
+
+
+def test_blocks_words_travel_by_bucket(monkeypatch):
+    # a block's words take a row for each bucket, and totals tell the others' counts
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_scoring, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rows = [("w" + " ".join(f"W{i * j}" for i in range(3000)), j % 3 > 0) for j in range(1, 5)] + [(" \t", True), ("", True), ("é   É É", True)]
+    table = pa.table({"doc_id": range(len(rows)), "text": [x for x, _ in rows], "train": [x for _, x in rows], "first": [True] * len(rows)})
+    made = pa.Table.from_batches(lm_scoring._code(types.SimpleNamespace(value=byte_bpe.read_ranks(RANKS)), tokenizers.PATTERN, 20_000)(iter(table.to_batches(max_chunksize=1)))).to_pylist()
+    blocks = {r["block"] for r in made if r["lengths"]}
+    assert len(blocks) > 2
+    found = [r for r in made if r["id"] is None and r["lengths"] is None and r["sequence"] is None and r["train"] is None]
+    assert len(found) <= len(blocks) * 1024
+    assert len({(r["block"], r["bucket"]) for r in found}) == len(found)
+    counts, held = Counter(), Counter()
+    by_bucket = defaultdict(list)
+    for r in found:
+        by_bucket[r["bucket"]].append(r)
+        for x, n in zip(r["words"].split(" "), np.frombuffer(r["counts"], np.int64).tolist(), strict=True):
+            counts[x] += n
+            held[r["block"], np.frombuffer(r["numbers"], np.int32)[r["words"].split(" ").index(x)]] = (x, n)
+    assert {x: n for x, n in counts.items() if n} == Counter(w.decode() for x, train in rows if train for w in x.encode().lower().split())
+    n = v = 0
+    told = {}
+    for some in by_bucket.values():
+        out = lm_scoring._totals(pa.Table.from_pylist(some)).to_pylist()
+        n, v = n + out[-1]["n"], v + out[-1]["v"]
+        for r in out[:-1]:
+            told |= {(r["home"], i): c for i, c in zip(np.frombuffer(r["numbers"], np.int32).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True)}
+    assert n == sum(counts.values()) and v == sum(x > 0 for x in counts.values())
+    assert told == {k: counts[x] for k, (x, own) in held.items() if counts[x] > own}
