@@ -1,8 +1,11 @@
 """Rolls on a synthetic world: what each module does beside asking and drawing."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
+from coplex import queries as Q
 from coplex.plans import roll as R
 
 NAMES = {0: "anchor", **{i: f"x{i}" for i in range(1, 7)}, **{i: f"y{i}" for i in range(11, 15)}, 20: "umbrella", 21: "bare"}
@@ -33,6 +36,20 @@ def test_small_samples_are_smoothed(scope):
     assert R.Scope.of(scope.sample, lambda: 1 / 0, scope.rates, 400, NAMES, m=10).prior is None
 
 
+def stub(scope):
+    """What queries take their scopes from, all samples the same."""
+    own = lambda *a, **k: scope.sample
+    sizes = {"n_all": 400, "n_e": 400, "pair_total": 400}
+    return SimpleNamespace(sample=own, wide=own, coded=own, rates=lambda rating: scope.rates, constants=sizes, names=NAMES, index=SimpleNamespace(table=lambda name: scope.pairs))
+
+
+def test_samples_of_a_segment_are_smoothed_whatever_their_size(scope, monkeypatch):
+    monkeypatch.setattr(R, "is_small", lambda *a: False)
+    found = Q._scope(stub(scope), 0, segments=4)
+    assert found.prior is not None and found.lift_of is not None
+    assert Q._scope(stub(scope), 0).prior is None
+
+
 def test_design(scope):
     facets = [X, Y, R.Facet("z", (20,), none_in_query=True), R.Facet("w", (21,))]
     run = lambda *a, **k: R.roll_design(scope, facets, [0, 3], *a, **k)
