@@ -50,6 +50,11 @@ def test_samples_of_a_segment_are_smoothed_whatever_their_size(scope, monkeypatc
     assert Q._scope(stub(scope), 0).prior is None
 
 
+def test_samples_of_an_act_are_smoothed_whatever_their_size(scope, monkeypatch):
+    monkeypatch.setattr(R, "is_small", lambda *a: False)
+    assert Q._scope(stub(scope), 0, "e", 3).prior is not None
+
+
 def test_design(scope):
     facets = [X, Y, R.Facet("z", (20,), none_in_query=True), R.Facet("w", (21,))]
     run = lambda *a, **k: R.roll_design(scope, facets, [0, 3], *a, **k)
