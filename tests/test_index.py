@@ -212,6 +212,22 @@ def test_stored_index(spark, posts, tmp_path):
         sm.posting(index.table("rows"), None)
 
 
+def test_stored_index_of_unique_ids(spark, posts, tmp_path, monkeypatch):
+    """Posts with unique ids need no shuffle by basket; the index is the same as by the way for repeated ids, and only its tables stay."""
+    from coplex.sources import index as ix
+
+    settings = ix.Settings("2016-01-01", "base", 8, ("x",), ("one", "two"), ("base",), ("a_0",), ("a_", "b_"))
+    rows = posts.withColumns({"segment": F.when(F.col("id") % 2 == 0, "one").otherwise("two"), "general_tags": F.concat("general_tags", F.array(F.lit("a_1"), F.lit("a_1")))})
+    one = ix.build(spark, rows, str(tmp_path / "one"), settings)
+    assert {x.name for x in (tmp_path / "one").iterdir()} == {*ix.SCHEMAS, "sizes"}
+    assert not ps.unique(rows.unionByName(rows.limit(1))) and ps.unique(rows)
+    monkeypatch.setattr(ps, "unique", lambda posts: False)
+    two = ix.build(spark, rows, str(tmp_path / "two"), settings)
+    for name in ix.SCHEMAS:
+        a, b = one.table(name), two.table(name)
+        assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty(), name
+
+
 def test_ranked(spark):
     from coplex.sources.store import ranked
 
@@ -256,6 +272,12 @@ def test_sketches(spark, posts):
             found, kept = sm.from_sketch(table, 1, 199, F.col("rating") < 3, entity_cap, cap, exact, k)
             assert sorted(r.pid for r in found.select("pid").collect()) == sorted(r.pid for r in exact().collect())
             assert kept if k == 500 or cap == 3 and k == 60 else True
+    many = spark.range(20_000).select(F.col("id").alias("pid"), F.expr("array(1S, smallint(id % 2 + 2))").alias("items"))
+    plan = sm.sketches(many, 10)
+    assert plan.count() == 30
+    meant = many.select("pid", sm.order_key("pid", 1).alias("hash")).orderBy("hash", "pid").limit(10).collect()
+    assert [r.pid for r in plan.filter("tid = 1").orderBy("place").collect()] == [r.pid for r in meant]
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()  # rows are cut before they are ordered
     merged = sm.sketches(df.filter("pid < 90"), 7).unionByName(sm.sketches(df.filter("pid >= 90"), 7))
     place = F.row_number().over(sm.Window.partitionBy("tid").orderBy("hash", "pid"))
     again = merged.withColumn("place", place).filter("place <= 7").select("tid", "place", "pid")
